@@ -2,12 +2,14 @@
 
 One-hot levels come from the bin metadata, so encoding is a projection with
 no pass over the data.  Correlations of all column pairs come from one
-aggregate of pair sums (a d x d problem, independent of the row count); the
+pass of pair sums (a d x d result, independent of the row count); the
 pruning rule then runs on that small long table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,31 +42,37 @@ def one_hot(binned: DataFrame, bins, target: str, id_col: str | None = None) ->
 def corr_pairs(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
     """(a, b, corr) for every pair a before b in ``cols`` order, Pearson, rounded half-even.
 
-    One aggregate pass: n, sums, sums of squares and pair products, combined
-    map-side.  A constant column gives NULL (pandas gives NaN).  For hundreds
-    of columns use ``corr_pairs_ml``.
+    One pass and one small shuffle: each row emits the products of its
+    non-zero columns (for one-hot data: (features + 1)^2 / 2 terms, whatever
+    the number of levels), its non-zero values and a count; ``groupBy(i, j)``
+    sums them with map-side combine into at most d^2 + d + 1 groups.  A
+    constant column gives NULL (pandas gives NaN).
     """
-    x = [F.col(c).cast("double") for c in cols]
-    aggs = [F.count(F.lit(1)).cast("double").alias("_n")]
-    aggs += [F.sum(x[i]).alias(f"s{i}") for i in range(len(cols))]
-    aggs += [F.sum(x[i] * x[i]).alias(f"q{i}") for i in range(len(cols))]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs += [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    row = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                 F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
-                 F.col(f"q{i}").alias("qa"), F.col(f"q{j}").alias("qb"),
-                 F.col(f"p{i}_{j}").alias("sab"))
-        for i, j in pairs]))
-    long = row.select("_n", stack.alias("t")).select("_n", "t.*")
-    n = F.col("_n")
-    num = n * F.col("sab") - F.col("sa") * F.col("sb")
-    var_a = n * F.col("qa") - F.col("sa") * F.col("sa")
-    var_b = n * F.col("qb") - F.col("sb") * F.col("sb")
-    den = F.sqrt(var_a * var_b)
-    corr = F.when((var_a > 0) & (var_b > 0), num / den)
-    return long.select("a", "b", F.bround(corr, digits).alias("corr"))
+    d = len(cols)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    nz = F.filter(cells, lambda x: x["v"] != 0)
+    term = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+    prods = F.flatten(F.transform(nz, lambda x: F.transform(
+        F.filter(nz, lambda y: y["i"] >= x["i"]), lambda y: term(x["i"], y["i"], x["v"] * y["v"]))))
+    singles = F.transform(nz, lambda x: term(x["i"], F.lit(-1), x["v"]))
+    count = F.array(term(F.lit(-1), F.lit(-1), F.lit(1.0)))
+    sums = (df.select(F.explode(F.concat(prods, singles, count)).alias("t"))
+            .groupBy("t.i", "t.j").agg(F.sum("t.v").alias("s")))
+    # at most d^2 + d + 1 rows: bounded by the schema, never by the row count
+    got = {(r["i"], r["j"]): r["s"] for r in sums.collect()}
+    n = got.get((-1, -1), 0.0)
+    rows = []
+    for i in range(d):
+        for j in range(i + 1, d):
+            sa, sb = got.get((i, -1), 0.0), got.get((j, -1), 0.0)
+            qa, qb = got.get((i, i), 0.0), got.get((j, j), 0.0)
+            var_a, var_b = n * qa - sa * sa, n * qb - sb * sb
+            c = (n * got.get((i, j), 0.0) - sa * sb) / math.sqrt(var_a * var_b) \
+                if var_a > 0 and var_b > 0 else None
+            rows.append((cols[i], cols[j], c))
+    out = df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    return out.select("a", "b", F.bround("corr", digits).alias("corr"))
 
 
 def corr_pairs_ml(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:

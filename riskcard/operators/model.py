@@ -17,6 +17,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +50,16 @@ def compress(df: DataFrame, features: list[str], target: str, extra: list[str] |
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def assemble(train: DataFrame, features: list[str], target: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", target, "w")
+
+
 def fit_logistic(train: DataFrame, features: list[str], target: str, penalty: str, c: float,
-                 n_rows: int, max_iter: int = 100, tol: float = 1e-6):
+                 n_rows: int, max_iter: int = 100, tol: float = 1e-6, assembled: bool = False):
     """One regularised fit on a compressed frame; returns (intercept, coefficients)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(train)
+    data = train if assembled else assemble(train, features, target)
     lr = LogisticRegression(featuresCol="_x", labelCol=target, weightCol="w",
                             regParam=1.0 / (c * n_rows), elasticNetParam=1.0 if penalty == "l1" else 0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol,
@@ -65,46 +73,58 @@ def coef_frame(spark: SparkSession, features: list[str], intercept: float, coefs
     return spark.createDataFrame(rows, "feature string, coef double")
 
 
-def _z(features: list[str], intercept: float, coefs: list[float]):
-    z = F.lit(float(intercept))
-    for f, w in zip(features, coefs):
-        if w != 0.0:
-            z = z + F.col(f).cast("double") * F.lit(float(w))
-    return z
-
-
 def ks_of_models(compressed: DataFrame, features: list[str], target: str, models: list) -> DataFrame:
     """(model, split, ks) for many models in one job.
 
-    Every model's P(bad) is a column; the frame is unpivoted to
-    (model, split, p, w, y), aggregated at distinct-p grain and the KS taken
-    with a window per (model, split).  The grain per group is bounded by the
-    compressed frame.
+    A pandas UDF turns each Arrow batch of design rows into all models'
+    P(bad) with one matrix product (rows x features times features x models);
+    ``posexplode`` gives (model, p), which is aggregated at distinct-p grain
+    and the KS taken with a window per (model, split).  The grain per group
+    is bounded by the compressed frame.
     """
-    cols = [(1.0 / (1.0 + F.exp(-_z(features, b0, w)))).alias(f"m{k}") for k, (b0, w) in enumerate(models)]
-    names = [f"m{k}" for k in range(len(models))]
-    wide = compressed.select("split", "w", F.col(target).alias("_y"), *cols)
-    long = wide.unpivot(["split", "w", "_y"], names, "model", "p")
+    coef = np.array([w for _, w in models], dtype=float).T          # features x models
+    inter = np.array([b0 for b0, _ in models], dtype=float)
+
+    @pandas_udf("array<double>")
+    def probs(x: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype=object)
+        z = np.vstack(x.to_numpy()) @ coef + inter
+        return pd.Series(list(1.0 / (1.0 + np.exp(-z))))
+
+    xs = F.array(*[F.col(f).cast("double") for f in features])
+    long = (compressed.select("split", "w", F.col(target).alias("_y"), probs(xs).alias("_p"))
+            .select("split", "w", "_y", F.posexplode("_p").alias("model", "p")))
     g = long.groupBy("model", "split", "p").agg(
         F.sum(F.when(F.col("_y") == 0, F.col("w")).otherwise(0.0)).alias("good"),
         F.sum(F.when(F.col("_y") == 1, F.col("w")).otherwise(0.0)).alias("bad"))
     wo = Window.partitionBy("model", "split").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     wa = Window.partitionBy("model", "split")
     ks = F.abs(F.sum("bad").over(wo) / F.sum("bad").over(wa) - F.sum("good").over(wo) / F.sum("good").over(wa))
-    return (g.select("model", "split", ks.alias("ks"))
+    return (g.select(F.concat(F.lit("m"), F.col("model").cast("string")).alias("model"), "split", ks.alias("ks"))
             .groupBy("model", "split").agg(F.bround(F.max("ks"), 4).alias("ks")))
 
 
+ROWS_PER_FIT_PARTITION = 1_000_000
+
+
 def grid_search(spark: SparkSession, compressed: DataFrame, features: list[str], target: str,
-                n_train: int, penalties=PENALTIES, c_values=C_VALUES, threads: int = 8,
+                n_train: int, penalties=PENALTIES, c_values=C_VALUES, threads: int | None = None,
                 max_iter: int = 100):
     """36 fits; (grid table, fitted models).  Quality = KS_test - |KS_train - KS_test| (K4, K6-K8)."""
     grid = [(p, c) for p in penalties for c in c_values]
-    train = compressed.filter(F.col("split") == "train").cache()
+    # assembled once and cached: every fit reads the same vectors.  Fits are
+    # many short jobs, so all of them run at once and the frame is kept in
+    # as few partitions as its size allows.
+    train = assemble(compressed.filter(F.col("split") == "train"), features, target)
+    rows = train.count()
+    train = train.coalesce(max(1, -(-rows // ROWS_PER_FIT_PARTITION))).cache()
     try:
-        with ThreadPoolExecutor(max_workers=threads) as pool:
+        train.count()
+        with ThreadPoolExecutor(max_workers=threads or len(grid)) as pool:
             models = list(pool.map(
-                lambda pc: fit_logistic(train, features, target, pc[0], pc[1], n_train, max_iter), grid))
+                lambda pc: fit_logistic(train, features, target, pc[0], pc[1], n_train, max_iter,
+                                        assembled=True), grid))
     finally:
         train.unpersist()
     ks = {(r["model"], r["split"]): r["ks"] for r in ks_of_models(compressed, features, target, models).collect()}
