@@ -75,6 +75,56 @@ def corr_pairs(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
     return out.select("a", "b", F.bround("corr", digits).alias("corr"))
 
 
+def corr_pairs_binned(binned: DataFrame, bins, target: str, digits: int = 2) -> DataFrame:
+    """``corr_pairs`` of the one-hot columns of ``one_hot(binned, bins, target)``,
+    computed from the labels without building the 0/1 matrix.
+
+    One-hot levels of a feature are exclusive, so every pair sum is a
+    co-occurrence count of two labels.  Each row emits one (feature, label,
+    feature, label) struct per pair of binned columns (a fixed array, no
+    lambdas, inside whole-stage codegen); one ``groupBy().count()`` with
+    map-side combine leaves at most (levels)^2 rows, which are all the
+    statistics the correlations need.
+    """
+    cats = [cat_name(b.feature) for b in bins]
+    lab = {c: F.col(c) for c in cats}
+    lab[target] = F.col(target).cast("string")
+    keys = cats + [target]
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i:]]
+    arr = F.array(*[F.struct(F.lit(a).alias("fa"), lab[a].alias("la"), F.lit(b).alias("fb"), lab[b].alias("lb"))
+                    for a, b in pairs])
+    counts = (binned.select(F.explode(arr).alias("t")).groupBy("t.fa", "t.la", "t.fb", "t.lb")
+              .agg(F.count(F.lit(1)).alias("k")).collect())          # bounded by levels^2
+    co = {(r["fa"], r["la"], r["fb"], r["lb"]): float(r["k"]) for r in counts}
+    n = sum(v for (fa, la, fb, lb), v in co.items() if fa == fb == keys[0] and la == lb)
+    # one-hot column -> (binned column, label); the target column is its own "1" level
+    levels = sorted(level_columns(bins))
+    where = {name: (src, label) for name, src, label in levels}
+    where[target] = (target, "1")
+    cols = [name for name, _, _ in levels] + [target]
+
+    def single(c):
+        f, l = where[c]
+        return co.get((f, l, f, l), 0.0)
+
+    def both(a, b):
+        (fa, la), (fb, lb) = where[a], where[b]
+        if fa == fb:
+            return single(a) if la == lb else 0.0
+        i, j = keys.index(fa), keys.index(fb)
+        return co.get((fa, la, fb, lb), 0.0) if i < j else co.get((fb, lb, fa, la), 0.0)
+
+    rows = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            sa, sb = single(a), single(b)
+            var_a, var_b = n * sa - sa * sa, n * sb - sb * sb
+            c = (n * both(a, b) - sa * sb) / math.sqrt(var_a * var_b) if var_a > 0 and var_b > 0 else None
+            rows.append((a, b, c))
+    out = binned.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    return out.select("a", "b", F.bround("corr", digits).alias("corr"))
+
+
 def corr_pairs_ml(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
     """Same table through Spark ML (a d x d covariance by tree aggregation)."""
     from pyspark.ml.feature import VectorAssembler

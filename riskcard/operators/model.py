@@ -10,7 +10,7 @@
   (``elasticNetParam`` 1 for L1, 0 for L2), no standardisation, and an
   unpenalised intercept.
 * All 36 fits run on Spark from a driver thread pool; their 72 KS values come
-  from one job over the cached compressed frame.
+  from one scoring pass over the compressed frame.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from riskcard.plans.prefix import grouped_running_sums
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The reference grid.
@@ -73,14 +75,14 @@ def coef_frame(spark: SparkSession, features: list[str], intercept: float, coefs
     return spark.createDataFrame(rows, "feature string, coef double")
 
 
-def ks_of_models(compressed: DataFrame, features: list[str], target: str, models: list) -> DataFrame:
-    """(model, split, ks) for many models in one job.
+def ks_of_models(compressed: DataFrame, features: list[str], target: str, models: list) -> dict:
+    """{(model, split): ks} for many models from one scoring pass.
 
     A pandas UDF turns each Arrow batch of design rows into all models'
     P(bad) with one matrix product (rows x features times features x models);
-    ``posexplode`` gives (model, p), which is aggregated at distinct-p grain
-    and the KS taken with a window per (model, split).  The grain per group
-    is bounded by the compressed frame.
+    ``posexplode`` gives (model, p), which is aggregated at distinct-p grain.
+    Running sums per (model, split) use the two-level prefix sums, so one
+    model's grain (up to the compressed frame) is not one task.
     """
     coef = np.array([w for _, w in models], dtype=float).T          # features x models
     inter = np.array([b0 for b0, _ in models], dtype=float)
@@ -98,11 +100,18 @@ def ks_of_models(compressed: DataFrame, features: list[str], target: str, models
     g = long.groupBy("model", "split", "p").agg(
         F.sum(F.when(F.col("_y") == 0, F.col("w")).otherwise(0.0)).alias("good"),
         F.sum(F.when(F.col("_y") == 1, F.col("w")).otherwise(0.0)).alias("bad"))
-    wo = Window.partitionBy("model", "split").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    wa = Window.partitionBy("model", "split")
-    ks = F.abs(F.sum("bad").over(wo) / F.sum("bad").over(wa) - F.sum("good").over(wo) / F.sum("good").over(wa))
-    return (g.select(F.concat(F.lit("m"), F.col("model").cast("string")).alias("model"), "split", ks.alias("ks"))
-            .groupBy("model", "split").agg(F.bround(F.max("ks"), 4).alias("ks")))
+    # running sums by descending p within (model, split), via two-level prefix sums:
+    # the distinct-p grain of one model can be as large as the compressed frame
+    g = g.withColumn("_split", F.when(F.col("split") == "train", 0).otherwise(1)).persist()
+    c = grouped_running_sums(g, ["model", "_split"], ["p"], {"cg": "good", "cb": "bad"}, ascending=False)
+    tot = g.groupBy("model", "_split").agg(F.sum("good").alias("_G"), F.sum("bad").alias("_B"))
+    c = c.join(F.broadcast(tot), ["model", "_split"])
+    ks = F.abs(F.col("cb") / F.col("_B") - F.col("cg") / F.col("_G"))
+    try:
+        rows = c.groupBy("model", "split").agg(F.bround(F.max(ks), 4).alias("ks")).collect()
+    finally:
+        g.unpersist()
+    return {(f"m{r['model']}", r["split"]): r["ks"] for r in rows}      # 2 rows per model
 
 
 ROWS_PER_FIT_PARTITION = 1_000_000
@@ -127,7 +136,7 @@ def grid_search(spark: SparkSession, compressed: DataFrame, features: list[str],
                                         assembled=True), grid))
     finally:
         train.unpersist()
-    ks = {(r["model"], r["split"]): r["ks"] for r in ks_of_models(compressed, features, target, models).collect()}
+    ks = ks_of_models(compressed, features, target, models)
     rows = []
     for k, (p, c) in enumerate(grid):
         ktr, kte = ks.get((f"m{k}", "train")), ks.get((f"m{k}", "test"))

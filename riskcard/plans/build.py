@@ -114,7 +114,7 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
     # one-hot + correlation prune
     oh = E.one_hot(binned, bins, tgt, idc)
     cols = [c for c in oh.columns if c != idc]
-    pairs = E.corr_pairs(oh, cols)
+    pairs = E.corr_pairs_binned(binned, bins, tgt)
     prune = E.corr_prune(pairs, cols, tgt, p.corr_threshold, spark)
     kept = E.kept_columns(prune, tgt)
     features = [c for c in kept if c != tgt]

@@ -56,25 +56,42 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # ------------------------------------------------------------------ base views
+# Lazy plans only (no data is cached): analysing the fixture joins costs about
+# a second of driver time, so each base plan is built once per session and folder.
+
+_PLANS: dict = {}
+
+
+def _memo(name, spark, d, make):
+    key = (name, id(spark), d)
+    hit = _PLANS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = make()
+    _PLANS[key] = (spark, df)
+    return df
+
 
 def app(spark, d):
-    return FX.applications(spark, d)
+    return _memo("app", spark, d, lambda: FX.applications(spark, d))
 
 
 def clean(spark, d):
-    return prep.replace_sentinels(app(spark, d))
+    return _memo("clean", spark, d, lambda: prep.replace_sentinels(app(spark, d)))
 
 
 def cleaned(spark, d):
-    return prep.clean_columns(app(spark, d), TARGET, ID)
+    return _memo("cleaned", spark, d, lambda: prep.clean_columns(app(spark, d), TARGET, ID))
 
 
 def binned(spark, d):
-    return apply_bins(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET])
+    return _memo("binned", spark, d,
+                 lambda: apply_bins(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET]))
 
 
 def scored(spark, d, features=None):
-    return clean(spark, d).select(ID, TARGET, P.score_expr(scorecard(features)).alias("score"))
+    return _memo(f"scored{features}", spark, d, lambda: clean(spark, d).select(
+        ID, TARGET, P.score_expr(scorecard(features)).alias("score")))
 
 
 def score_grain(spark, d):
@@ -321,7 +338,7 @@ def q_one_hot(spark, d):
 
 def _pairs(spark, d):
     oh = one_hot(spark, d)
-    return E.corr_pairs(oh, _oh_cols(oh)), _oh_cols(oh)
+    return E.corr_pairs_binned(binned(spark, d), FX.SCORECARD_BINS, TARGET), _oh_cols(oh)
 
 
 def q_corr_pairs(spark, d):
@@ -351,7 +368,7 @@ def _model_inputs(spark, d):
     """Pruned one-hot design, split and compressed (cached by the caller)."""
     oh = one_hot(spark, d)
     cols = _oh_cols(oh)
-    pairs = E.corr_pairs(oh, cols)
+    pairs = E.corr_pairs_binned(binned(spark, d), FX.SCORECARD_BINS, TARGET)
     kept = E.kept_columns(E.corr_prune(pairs, cols, TARGET, 0.67, spark), TARGET)
     feats = [c for c in kept if c != TARGET]
     n_train = M.train_test_split(oh, ID).filter("split = 'train'").count()

@@ -112,3 +112,31 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
     n = df.count() if n_rows is None else n_rows
     b = choose_buckets(n) if buckets is None else buckets
     return running_sums(df, order_cols, {out: "1"}, ascending=ascending, buckets=b, n_rows=n)
+
+
+def grouped_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                         sum_cols: dict[str, str], ascending: bool = True,
+                         buckets: int | None = None) -> DataFrame:
+    """Running sums restarted per group, without one task per group.
+
+    The group columns (numeric codes) lead the composite order key, so a large
+    group spans several buckets; each group's own start is subtracted using
+    per-group totals (one row per group, broadcast back).
+    """
+    n = df.count()
+    b = choose_buckets(n) if buckets is None else buckets
+    keyed = df
+    for i, c in enumerate(order_cols):
+        if not ascending:
+            keyed = keyed.withColumn(f"_o{i}", -F.col(c))
+    order = [f"_o{i}" if not ascending else c for i, c in enumerate(order_cols)]
+    run = running_sums(keyed, list(group_cols) + order, sum_cols, ascending=True, buckets=b, n_rows=n)
+    srcs = {o: (F.lit(1).cast("long") if s == "1" else F.col(s)) for o, s in sum_cols.items()}
+    totals = df.groupBy(*group_cols).agg(*[F.sum(e).alias("_g_" + o) for o, e in srcs.items()])
+    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group_cols, *[F.coalesce(F.sum("_g_" + o).over(w), F.lit(0)).alias("_s_" + o)
+                                          for o in srcs])
+    out = run.join(F.broadcast(starts), list(group_cols))
+    for o in srcs:
+        out = out.withColumn(o, F.col(o) - F.col("_s_" + o)).drop("_s_" + o)
+    return out.drop(*[c for c in order if c.startswith("_o")])
