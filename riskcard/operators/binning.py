@@ -281,56 +281,64 @@ def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical
     Status rows say why a feature was rejected instead of dropping it silently.
     """
     results, num_bins, cat_bins = [], {}, {}
-    fitted_rows = []
+    fit_schema = "feature string, trend string, starts array<int>, n_bins int, iv double"
     nums = [f for f in numeric_trends if f in df.columns]
-    if nums:
-        cuts = prebin_cuts(df, nums, n_prebins, exact=exact)
-        counts = prebin_counts(df, cuts, target)
-        present = counts.filter(F.col("pb").isNotNull())
-        trends = spark.createDataFrame(list(numeric_trends.items()), "feature string, trend string") \
-            .filter(F.col("feature").isin(nums))
-        fits = fit_bins(present, trends)
-        fc = fitted_counts(present, fits).collect()       # <= 20 rows per feature
-        fits_l = {r["feature"]: r for r in fits.collect()}
-        nb = numeric_bins_from_fit(cuts, fc)
-        for f in nums:
-            r = fits_l.get(f)
-            if r is None:
-                results.append((f, "failed: no values", 0, None))
-                continue
-            status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
-            results.append((f, status, int(r["n_bins"]), float(r["iv"])))
-            if status == "selected":
-                num_bins[f] = nb[f]
-        fitted_rows += fc
-    cats = [c for c in categorical if c in df.columns]
-    if cats:
-        cp = category_prebins(df, cats, target, n_prebins)
-        counts = cp.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        trends = spark.createDataFrame([(c, "ascending") for c in cats], "feature string, trend string")
-        fits = fit_bins(counts, trends)
-        fits_l = {r["feature"]: r for r in fits.collect()}
-        # members per fitted bin, in event-rate order
-        pos = counts.withColumn("pos", F.row_number().over(Window.partitionBy("feature").orderBy("pb")) - 1)
-        m = (cp.join(pos.select("feature", "pb", "pos"), ["feature", "pb"])
-             .join(F.broadcast(fits.select("feature", "starts")), "feature")
-             .withColumn("bin_id", segment_of("pos"))
-             .groupBy("feature", "bin_id")
-             .agg(F.array_sort(F.collect_list(F.struct("rate", "value"))).alias("_m"))
-             .select("feature", "bin_id", F.transform("_m", lambda s: s["value"]).alias("members"))
-             .collect())
-        groups = {}
-        for r in sorted(m, key=lambda r: (r["feature"], r["bin_id"])):
-            groups.setdefault(r["feature"], []).append(tuple(r["members"]))
-        for c in cats:
-            r = fits_l.get(c)
-            if r is None:
-                results.append((c, "failed: no values", 0, None))
-                continue
-            status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
-            results.append((c, status, int(r["n_bins"]), float(r["iv"])))
-            if status == "selected":
-                cat_bins[c] = CategoricalBins(c, tuple(groups[c]))
+    held = []
+    try:
+        if nums:
+            cuts = prebin_cuts(df, nums, n_prebins, exact=exact)
+            # (feature, pre-bin) counts: at most 21 rows per feature, kept for the two reads below
+            present = prebin_counts(df, cuts, target).filter(F.col("pb").isNotNull()).persist()
+            held.append(present)
+            trends = spark.createDataFrame(list(numeric_trends.items()), "feature string, trend string") \
+                .filter(F.col("feature").isin(nums))
+            fit_rows = fit_bins(present, trends).collect()          # one row per feature
+            fits = spark.createDataFrame([tuple(r) for r in fit_rows], fit_schema)
+            fc = fitted_counts(present, fits).collect()             # <= 20 rows per feature
+            fits_l = {r["feature"]: r for r in fit_rows}
+            nb = numeric_bins_from_fit(cuts, fc)
+            for f in nums:
+                r = fits_l.get(f)
+                if r is None:
+                    results.append((f, "failed: no values", 0, None))
+                    continue
+                status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
+                results.append((f, status, int(r["n_bins"]), float(r["iv"])))
+                if status == "selected":
+                    num_bins[f] = nb[f]
+        cats = [c for c in categorical if c in df.columns]
+        if cats:
+            cp = category_prebins(df, cats, target, n_prebins).persist()    # one row per category
+            held.append(cp)
+            counts = cp.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+            trends = spark.createDataFrame([(c, "ascending") for c in cats], "feature string, trend string")
+            fit_rows = fit_bins(counts, trends).collect()
+            fits = spark.createDataFrame([tuple(r) for r in fit_rows], fit_schema)
+            fits_l = {r["feature"]: r for r in fit_rows}
+            # members per fitted bin, in event-rate order
+            pos = counts.withColumn("pos", F.row_number().over(Window.partitionBy("feature").orderBy("pb")) - 1)
+            m = (cp.join(pos.select("feature", "pb", "pos"), ["feature", "pb"])
+                 .join(F.broadcast(fits.select("feature", "starts")), "feature")
+                 .withColumn("bin_id", segment_of("pos"))
+                 .groupBy("feature", "bin_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("rate", "value"))).alias("_m"))
+                 .select("feature", "bin_id", F.transform("_m", lambda s: s["value"]).alias("members"))
+                 .collect())
+            groups = {}
+            for r in sorted(m, key=lambda r: (r["feature"], r["bin_id"])):
+                groups.setdefault(r["feature"], []).append(tuple(r["members"]))
+            for c in cats:
+                r = fits_l.get(c)
+                if r is None:
+                    results.append((c, "failed: no values", 0, None))
+                    continue
+                status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
+                results.append((c, status, int(r["n_bins"]), float(r["iv"])))
+                if status == "selected":
+                    cat_bins[c] = CategoricalBins(c, tuple(groups[c]))
+    finally:
+        for h in held:
+            h.unpersist()
     status = spark.createDataFrame(results, "feature string, status string, n_bins int, iv double")
     return status, num_bins, cat_bins
 
