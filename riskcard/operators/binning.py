@@ -86,21 +86,23 @@ def category_prebins(df: DataFrame, features: list[str], target: str,
     Categories are ordered by (event rate, value); pre-bin k holds the
     categories whose cumulative share, in that order, starts in
     [k/max_prebins, (k+1)/max_prebins).  So a category under 5% shares a
-    pre-bin with its neighbours and there are at most 20 pre-bins.  The window
-    runs per feature over its distinct categories (high-cardinality text
-    columns take the presence flag instead).
+    pre-bin with its neighbours and there are at most 20 pre-bins.  The
+    cumulative shares use the grouped two-level prefix sums, so a feature with
+    very many categories is not one task.
     """
+    from riskcard.plans.prefix import grouped_running_sums
     wide = df.select(F.col(target).alias("_y"), *[as_text(df, c).alias(c) for c in features])
     long = wide.unpivot(["_y"], features, "feature", "value").filter(F.col("value").isNotNull())
     cat = long.groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("long").alias("bad"))
     cat = cat.withColumn("rate", F.col("bad") / F.col("n"))
-    w = Window.partitionBy("feature").orderBy("rate", "value")
-    wt = Window.partitionBy("feature")
-    start = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    share = F.coalesce(start, F.lit(0)) / F.sum("n").over(wt)
-    return cat.withColumn("pb", F.least(F.floor(share * max_prebins), F.lit(max_prebins - 1)).cast("int"))
+    run = grouped_running_sums(cat, ["feature"], ["rate", "value"], {"_cum": "n"})
+    tot = cat.groupBy("feature").agg(F.sum("n").alias("_tot"))      # one row per feature
+    run = run.join(F.broadcast(tot), "feature")
+    share = (F.col("_cum") - F.col("n")) / F.col("_tot")
+    return run.withColumn("pb", F.least(F.floor(share * max_prebins), F.lit(max_prebins - 1)).cast("int")) \
+              .drop("_cum", "_tot")
 
 
 # ---------------------------------------------------------------- the fit (DP)

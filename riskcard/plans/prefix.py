@@ -107,13 +107,49 @@ def running_sums(df: DataFrame, order_cols: list[str], sum_cols: dict[str, str],
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
                       ascending: bool = True, buckets: int | None = None,
-                      n_rows: int | None = None) -> DataFrame:
-    """1-based row number over the total order ``order_cols``."""
+                      n_rows: int | None = None, method: str = "auto") -> DataFrame:
+    """1-based row number over the total order ``order_cols``.
+
+    ``buckets``: sampled boundaries + per-bucket windows (up to MAX_BUCKETS).
+    ``sort``: global sort + reliable checkpoint + per-partition offsets, for
+    inputs too large for MAX_BUCKETS windows.  ``auto`` picks by size.
+    """
     n = df.count() if n_rows is None else n_rows
+    if method == "sort" or (method == "auto" and buckets is None
+                            and n > MAX_BUCKETS * ROWS_PER_BUCKET):
+        return row_number_by_sort(df, order_cols, out, ascending)
     b = choose_buckets(n) if buckets is None else buckets
     return running_sums(df, order_cols, {out: "1"}, ascending=ascending, buckets=b, n_rows=n)
 
 
+def row_number_by_sort(df: DataFrame, order_cols: list[str], out: str = "rn",
+                       ascending: bool = True, partitions: int | None = None) -> DataFrame:
+    """Row numbers without any window.
+
+    The global sort range-partitions on the full key, so a hot leading value
+    is split by the next column.  Each row is tagged with its partition and
+    ``monotonically_increasing_id`` (partition << 33 | position), and the result
+    is frozen with a reliable ``checkpoint()`` in the shared checkpoint folder,
+    so no recomputation can reshuffle it.  Partition counts (one row per
+    partition) give the offsets.
+    """
+    from riskcard.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
+    s = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    s = (s.sortWithinPartitions(*keys)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .checkpoint(eager=True))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (s.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_off") + pos + 1)
+            .drop("_pid", "_mid", "_off"))
+
+
 def grouped_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
                          sum_cols: dict[str, str], ascending: bool = True,
                          buckets: int | None = None) -> DataFrame:

@@ -107,3 +107,17 @@ def test_bin_table_sums_to_rows(spark):
     tot = bt.filter(F.col("label") == "Totals").collect()[0]
     assert tot["n"] == 99 and abs(tot["n_pct"] - 1.0) < 1e-12
     assert tot["iv"] >= 0
+
+
+def test_category_prebins_bounded_and_ordered(spark):
+    # 300 small categories with distinct event rates: at most 20 pre-bins, ordered by rate
+    rows = []
+    for c in range(300):
+        bad = c % 7
+        rows += [(f"c{c:03d}", 1)] * bad + [(f"c{c:03d}", 0)] * (10 - bad)
+    df = spark.createDataFrame(rows, "f string, y int")
+    cp = B.category_prebins(df, ["f"], "y").collect()
+    pbs = {r["pb"] for r in cp}
+    assert len(pbs) <= 20 and min(pbs) == 0
+    by_rate = sorted(cp, key=lambda r: (r["rate"], r["value"]))
+    assert [r["pb"] for r in by_rate] == sorted(r["pb"] for r in by_rate)

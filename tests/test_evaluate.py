@@ -111,3 +111,15 @@ def test_origin_and_backfill(spark):
     _, g = grain(spark, [(1, 10, 1), (2, 20, 0), (3, 30, 0)])
     t = V.backfill(V.with_origin(V.ks_table(g, "score")), "score", "group").orderBy("group").collect()
     assert t[0]["group"] == 0.0 and t[0]["score"] == 10 and t[0]["cumbadrate"] is None
+
+
+def test_row_number_by_sort_equals_buckets(spark):
+    from riskcard.plans.prefix import row_number_by_sort
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(0, 3), 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, score long, y int")
+    a = {r["id"]: r["rn"] for r in row_number_by_sort(df, ["score", "id"], partitions=5).collect()}
+    b = {r["id"]: r["rn"] for r in global_row_number(df, ["score", "id"], buckets=3).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 4001))
+    d = {r["id"]: r["rn"] for r in row_number_by_sort(df, ["score", "id"], ascending=False, partitions=4).collect()}
+    assert all(d[i] == 4001 - a[i] for i in a)
