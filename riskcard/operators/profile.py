@@ -38,24 +38,55 @@ def as_text(df: DataFrame, c: str):
     return e.cast("string")
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def type_families(df: DataFrame, features: list[str]) -> dict[str, list[str]]:
+    """Features by value family: 'long', 'double' or 'string' (everything else)."""
+    fam: dict[str, list[str]] = {"long": [], "double": [], "string": []}
+    for c in features:
+        t = df.schema[c].dataType
+        fam["long" if isinstance(t, INTEGRAL) else "double" if isinstance(t, FRACTIONAL) else "string"].append(c)
+    return fam
+
+
 def to_long(df: DataFrame, features: list[str], target: str, null_label: str | None = NULL_VALUE) -> DataFrame:
-    """(feature, value, y) with one row per (row, feature)."""
+    """(feature, value, y) with one row per (row, feature); value as text."""
     val = (lambda c: F.coalesce(as_text(df, c), F.lit(null_label))) if null_label is not None \
         else (lambda c: as_text(df, c))
     wide = df.select(F.col(target).alias("_y"), *[val(c).alias(c) for c in features])
     return wide.unpivot(["_y"], features, "feature", "value")
 
 
+def _typed_long(df: DataFrame, fam: str, features: list[str], target: str) -> DataFrame:
+    """Unpivot one type family keeping its type: numbers are grouped as numbers
+    and only become text after aggregation (far fewer rows than cells)."""
+    if fam == "string":
+        return to_long(df, features, target)
+    cast = (lambda c: norm_zero(F.col(c).cast("double"))) if fam == "double" else (lambda c: F.col(c).cast("long"))
+    wide = df.select(F.col(target).alias("_y"), *[cast(c).alias(c) for c in features])
+    return wide.unpivot(["_y"], features, "feature", "value")
+
+
 def value_counts(df: DataFrame, features: list[str], target: str,
                  batch: int = BATCH_COLUMNS) -> DataFrame:
-    """(feature, value, all, good, bad) for every value of every feature."""
+    """(feature, value, all, good, bad) for every value of every feature.
+
+    NULL is the value 'NULL' (for text columns it merges with the literal
+    text 'NULL', as filling missing cells with that text does).
+    """
     parts = []
-    for i in range(0, len(features), batch):
-        long = to_long(df, features[i:i + batch], target)
-        parts.append(long.groupBy("feature", "value").agg(
-            F.count(F.lit(1)).alias("all"),
-            F.count(F.when(F.col("_y") == 0, 1)).alias("good"),
-            F.count(F.when(F.col("_y") == 1, 1)).alias("bad")))
+    for fam, cols in type_families(df, features).items():
+        for i in range(0, len(cols), batch):
+            long = _typed_long(df, fam, cols[i:i + batch], target)
+            agg = long.groupBy("feature", "value").agg(
+                F.count(F.lit(1)).alias("all"),
+                F.count(F.when(F.col("_y") == 0, 1)).alias("good"),
+                F.count(F.when(F.col("_y") == 1, 1)).alias("bad"))
+            if fam != "string":
+                agg = agg.withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit(NULL_VALUE)))
+            parts.append(agg)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -102,9 +133,13 @@ def cardinality(df: DataFrame, features: list[str], approx: bool = False,
         agg = df.agg(*[F.approx_count_distinct(c).cast("long").alias(c) for c in features])
         return agg.unpivot([], features, "feature", "n_distinct")
     parts = []
-    for i in range(0, len(features), batch):
-        fs = features[i:i + batch]
-        wide = df.select(*[as_text(df, c).alias(c) for c in fs])
-        long = wide.unpivot([], fs, "feature", "value").filter(F.col("value").isNotNull())
-        parts.append(long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")))
+    for fam, cols in type_families(df, features).items():
+        for i in range(0, len(cols), batch):
+            fs = cols[i:i + batch]
+            cast = {"long": lambda c: F.col(c).cast("long"),
+                    "double": lambda c: norm_zero(F.col(c).cast("double")),
+                    "string": lambda c: as_text(df, c)}[fam]
+            wide = df.select(*[cast(c).alias(c) for c in fs])
+            long = wide.unpivot([], fs, "feature", "value").filter(F.col("value").isNotNull())
+            parts.append(long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")))
     return reduce(DataFrame.unionByName, parts)
