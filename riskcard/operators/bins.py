@@ -8,7 +8,7 @@ executors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +58,22 @@ class NumericBins:
 
 @dataclass(frozen=True)
 class CategoricalBins:
-    """Groups of category values; anything else (unseen, missing) -> 'NaN'."""
+    """Groups of category values; anything else (unseen, missing) -> 'NaN'.
+
+    ``names`` optionally overrides the labels (a presence flag is the single
+    group ('not NaN',) labelled 'not NaN')."""
     feature: str
     groups: tuple  # tuple of tuples of member strings
+    names: tuple | None = None
 
     @property
     def labels(self) -> list[str]:
-        return [members_label(g) for g in self.groups]
+        return list(self.names) if self.names else [members_label(g) for g in self.groups]
 
     def member_rows(self):
         """(feature, value, bin_id, label) per member."""
-        return [(self.feature, m, i, members_label(g))
-                for i, g in enumerate(self.groups) for m in g]
+        labels = self.labels
+        return [(self.feature, m, i, labels[i]) for i, g in enumerate(self.groups) for m in g]
 
     def label_expr(self, x: Column | None = None) -> Column:
         x = F.col(self.feature) if x is None else x

@@ -104,8 +104,8 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
     bins = [cat_bins[f] for f in sorted(cat_bins)] + [num_bins[f] for f in sorted(num_bins)]
     if not bins:
         raise ValueError("no feature passed the IV screen")
-    # presence-only features become a two-level categorical bin
-    bins += [CategoricalBins(f, (("not NaN",),)) for f in presence]
+    # presence-only features become a two-level flag: 'not NaN' / 'NaN'
+    bins += [CategoricalBins(f, (("not NaN",),), names=("not NaN",)) for f in presence]
     to_bin = cleaned.select(idc, tgt, *[b.feature for b in bins if b.feature not in presence],
                             *[F.when(F.col(f).isNotNull(), F.lit("not NaN")).alias(f) for f in presence])
     binned = apply_bins(to_bin, bins, keep=[idc, tgt])

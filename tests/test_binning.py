@@ -121,3 +121,9 @@ def test_category_prebins_bounded_and_ordered(spark):
     assert len(pbs) <= 20 and min(pbs) == 0
     by_rate = sorted(cp, key=lambda r: (r["rate"], r["value"]))
     assert [r["pb"] for r in by_rate] == sorted(r["pb"] for r in by_rate)
+
+
+def test_presence_bin_labels(spark):
+    b = CategoricalBins("c", (("not NaN",),), names=("not NaN",))
+    df = spark.createDataFrame([("not NaN",), (None,)], "c string")
+    assert [r[0] for r in apply_bins(df, [b]).collect()] == ["not NaN", "NaN"]
