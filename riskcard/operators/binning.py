@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskcard.functions.exprs import MISSING_LABEL, safe_div, woe
+from riskcard.functions.exprs import safe_div, woe
 from riskcard.operators.bins import CategoricalBins, NumericBins
 from riskcard.operators.profile import as_text
 

@@ -26,7 +26,7 @@ from riskcard.operators import model as M
 from riskcard.operators import points as P
 from riskcard.operators import prep
 from riskcard.operators import profile as PR
-from riskcard.operators.bins import CategoricalBins, NumericBins, apply_bins, cat_name
+from riskcard.operators.bins import CategoricalBins, apply_bins, cat_name
 from riskcard.session import scratch_path
 from riskcard.sources import fixture as FX
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 from riskcard.functions.exprs import MISSING_LABEL
-from riskcard.operators.bins import CategoricalBins, NumericBins, cat_name
+from riskcard.operators.bins import NumericBins, cat_name
 from riskcard.operators.encode import level_columns
 from riskcard.sources import fixture as FX
 from riskcard.plans import catalog as C

@@ -1,8 +1,5 @@
 """Monotone binning fit (FIXTURES M7, M9, M10 and the binning golden values)."""
 
-import itertools
-import math
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
