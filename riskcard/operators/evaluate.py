@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskcard.functions.exprs import odds, safe_div
-from riskcard.plans.prefix import global_row_number, running_sums
+from riskcard.plans.prefix import choose_buckets, global_row_number, running_sums
 
 KS_COLUMNS = ["group", "good", "bad", "good_distri", "bad_distri", "badrate", "cumbadrate",
               "lift", "cumgood", "cumbad", "ks"]
@@ -59,14 +59,19 @@ def _totals(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
 
 
 def ks_table(grain: DataFrame, key: str, ascending: bool = True, by: list[str] | None = None,
-             group: str = "population", buckets: int = 1, keep_key: bool = True) -> DataFrame:
+             group: str = "population", buckets: int | None = 1, keep_key: bool = True) -> DataFrame:
     """KS / lift table over the ordered grain.
 
     ``group`` is the population fraction reached at the end of each grain row
     (``population``) or the grain-row index over the number of grain rows
-    (``index``, as for equal-size groups).
+    (``index``, as for equal-size groups).  ``buckets=None`` sizes the
+    two-level prefix sums from the grain's row count (for raw probabilities,
+    whose grain can approach the row count); 1 is a plain window, right for
+    integer scores.
     """
     by = list(by or [])
+    if buckets is None:
+        buckets = 1 if by else choose_buckets(grain.count())
     c = _totals(_cumulate(grain, key, ascending, by, buckets), by, buckets)
     grp = safe_div("cum_n", "_N") if group == "population" else safe_div("idx", "_K")
     cumbadrate = safe_div("cum_bad", "cum_n")

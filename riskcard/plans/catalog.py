@@ -454,7 +454,7 @@ def q_ks_table(spark, d):
     p = P.predict_proba(clean(spark, d), scorecard(), [TARGET])
     p = p.withColumn("p1", F.bround("p1", 9))
     g = V.score_grain(p, "p1", TARGET)
-    return rounded(V.ks_table(g, "p1", ascending=False, keep_key=False))
+    return rounded(V.ks_table(g, "p1", ascending=False, keep_key=False, buckets=None))
 
 
 def q_ks_table_score(spark, d):
