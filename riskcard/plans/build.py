@@ -51,6 +51,7 @@ class BuildParams:
                                                     "MBELJFILINGNAME2", "City_App", "State_App"])
     n_prebins: int = B.MAX_PREBINS
     exact_quantiles: bool = False
+    prebin: str = "quantile"            # or "tree": CART pre-bins, >= 5% of rows each
     grid_threads: int | None = None     # None: all grid points at once
     max_iter: int = 100
 
@@ -98,7 +99,8 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
 
     # fit + screen every feature in one set of jobs
     status, num_bins, cat_bins = B.screen_features(
-        spark, cleaned, tgt, binnable, trends, p.min_iv, p.max_iv, p.n_prebins, p.exact_quantiles)
+        spark, cleaned, tgt, binnable, trends, p.min_iv, p.max_iv, p.n_prebins, p.exact_quantiles,
+        p.prebin)
     out["feature_status"] = status
     lap("bin_fit")
     bins = [cat_bins[f] for f in sorted(cat_bins)] + [num_bins[f] for f in sorted(num_bins)]

@@ -124,3 +124,16 @@ def test_presence_bin_labels(spark):
     b = CategoricalBins("c", (("not NaN",),), names=("not NaN",))
     df = spark.createDataFrame([("not NaN",), (None,)], "c string")
     assert [r[0] for r in apply_bins(df, [b]).collect()] == ["not NaN", "NaN"]
+
+
+def test_tree_prebins_respect_min_share(spark):
+    from conftest import MEDIUM
+    from riskcard.plans import catalog as C
+    c = C.clean(spark, MEDIUM)
+    cuts = B.prebin_cuts_tree(c, ["acct_bal", "qty"], "pi")
+    counts = B.prebin_counts(c, cuts, "pi").filter(F.col("pb").isNotNull()).collect()
+    for f in ("acct_bal", "qty"):
+        rows = [r for r in counts if r["feature"] == f]
+        total = sum(r["n"] for r in rows)
+        assert 2 <= len(rows) <= 20
+        assert min(r["n"] for r in rows) >= 0.05 * total - 1
