@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 
 import duckdb
 
@@ -22,13 +23,16 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"   # compare doubles exactly, no re-rounding
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, float):
-        r = round(v, 6)
+        r = v if STRICT else round(v, 6)
         return 0.0 if r == 0 else r
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
