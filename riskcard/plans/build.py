@@ -53,6 +53,8 @@ class BuildParams:
     exact_quantiles: bool = False
     prebin: str = "quantile"            # or "tree": CART pre-bins, >= 5% of rows each
     grid_threads: int | None = None     # None: all grid points at once
+    grid_penalties: tuple = tuple(M.PENALTIES)
+    grid_c: tuple = tuple(M.C_VALUES)
     max_iter: int = 100
 
 
@@ -129,8 +131,8 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
         n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).collect()[0][0] or 0)
         timings["compressed_rows"] = comp.count()
         lap("compress")
-        grid, models = M.grid_search(spark, comp, features, tgt, n_train, threads=p.grid_threads,
-                                     max_iter=p.max_iter)
+        grid, models = M.grid_search(spark, comp, features, tgt, n_train, list(p.grid_penalties),
+                                     list(p.grid_c), threads=p.grid_threads, max_iter=p.max_iter)
         grid = spark.createDataFrame(grid.collect(), grid.schema)    # 36 rows
     finally:
         comp.unpersist()

@@ -40,3 +40,22 @@ def test_build_end_to_end(spark):
     assert out["grid"].count() == 36
     m = out["metrics"].collect()[0]
     assert 0.5 < m["auc2"] <= 1.0
+
+
+def test_build_with_presence_feature(spark):
+    from pyspark.sql import functions as F
+
+    from riskcard.plans.build import BuildParams, build_from
+    from riskcard.sources import fixture as FX
+    app = FX.applications(spark, SMALL).withColumn(
+        "ELJCOUNTY1", F.when(F.col("app_id") % 3 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("c"), (F.col("app_id") % 97).cast("string"))))
+    out = build_from(spark, app, FX.dictionary(spark),
+                     BuildParams(new_asc=["avg_disc"], presence=["ELJCOUNTY1"], grid_penalties=("l2",),
+                                 grid_c=(0.5, 1.0)))
+    sc = out["scorecard"]
+    pres = [b for b in sc.bins if b.feature == "ELJCOUNTY1"]
+    assert pres and pres[0].labels == ["not NaN"]
+    assert out["grid"].count() == 2
+    labels = {r["label"] for r in out["points"].filter("feature = 'ELJCOUNTY1_cat'").collect()}
+    assert labels == {"not NaN", "NaN"}
