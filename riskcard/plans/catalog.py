@@ -125,9 +125,10 @@ def q_report_tables(spark, d):
     offset, factor = V.scaling()
     c = clean(spark, d)
     tables = {
-        "iv": PR.iv_by_feature(PR.value_table(c, CLEAN_FEATURES, TARGET)),
-        "missing_rate": PR.missing_rate(app(spark, d)),
+        "scorecard": P.scorecard_points(spark, scorecard(), binned(spark, d)),
         "ppt": V.ppt_table(sg, "score", offset, factor),
+        "missing_rate": PR.missing_rate(app(spark, d)),
+        "iv": PR.iv_by_feature(PR.value_table(c, CLEAN_FEATURES, TARGET)),
     }
     bt = B.bin_table(binned(spark, d), [cat_name(b.feature) for b in FX.SCORECARD_BINS], TARGET)
     root = RP.write_report(spark, tables, bt, project="demo")
