@@ -229,6 +229,8 @@ def fit_bins(counts: DataFrame, trends: DataFrame) -> DataFrame:
     (feature, trend) with trend 'ascending' or 'descending'.  The grouped map
     gets at most ``MAX_PREBINS`` rows per group.
     """
+    from riskcard.session import ship_code
+    ship_code(counts.sparkSession)
     j = counts.join(F.broadcast(trends), "feature")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

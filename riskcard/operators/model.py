@@ -84,6 +84,8 @@ def ks_of_models(compressed: DataFrame, features: list[str], target: str, models
     Running sums per (model, split) use the two-level prefix sums, so one
     model's grain (up to the compressed frame) is not one task.
     """
+    from riskcard.session import ship_code
+    ship_code(compressed.sparkSession)
     coef = np.array([w for _, w in models], dtype=float).T          # features x models
     inter = np.array([b0 for b0, _ in models], dtype=float)
 

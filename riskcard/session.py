@@ -66,3 +66,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``riskcard`` importable on executors (``addPyFile`` of a zip), once
+    per application.  Grouped-map and pandas UDFs pickle references to package
+    functions, so Python workers must be able to import the package, and on a
+    cluster only shipped code is there.
+    """
+    import zipfile
+
+    import riskcard
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(riskcard.__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="riskcard-pyfiles-", dir="/tmp"), "riskcard.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
