@@ -362,7 +362,7 @@ def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical
             held.append(cp)
             counts = cp.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
             trends = spark.createDataFrame([(c, "ascending") for c in cats], "feature string, trend string")
-            fit_rows = fit_bins(counts, trends).collect()
+            fit_rows = fit_bins(counts, trends).collect()            # one row per feature
             fits = spark.createDataFrame([tuple(r) for r in fit_rows], fit_schema)
             fits_l = {r["feature"]: r for r in fit_rows}
             # members per fitted bin, in event-rate order
@@ -373,7 +373,7 @@ def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical
                  .groupBy("feature", "bin_id")
                  .agg(F.array_sort(F.collect_list(F.struct("rate", "value"))).alias("_m"))
                  .select("feature", "bin_id", F.transform("_m", lambda s: s["value"]).alias("members"))
-                 .collect())
+                 .collect())                                          # the fitted bins' members
             groups = {}
             for r in sorted(m, key=lambda r: (r["feature"], r["bin_id"])):
                 groups.setdefault(r["feature"], []).append(tuple(r["members"]))

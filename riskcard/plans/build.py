@@ -89,11 +89,11 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
     out["iv"] = PR.iv_by_feature(PR.value_table(cleaned, feats, tgt))
 
     # roles from types + one value test; directions from the dictionary
-    roles = {r["feature"]: r["role"] for r in prep.column_roles(cleaned, feats).collect()}
+    roles = {r["feature"]: r["role"] for r in prep.column_roles(cleaned, feats).collect()}  # per column
     droles = prep.dictionary_roles(dictionary, spark, p.new_desc, p.new_asc)
     prep.check_directions(droles)
     trends = {r["feature"]: ("ascending" if r["role"] == "num_asc" else "descending")
-              for r in droles.filter(F.col("role").startswith("num")).collect()
+              for r in droles.filter(F.col("role").startswith("num")).collect()    # dictionary rows
               if roles.get(r["feature"]) == "numeric"}
     categorical = sorted(f for f, r in roles.items() if r == "categorical")
     presence = sorted(set(categorical) & set(p.presence))
