@@ -42,15 +42,6 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def type_families(df: DataFrame, features: list[str]) -> dict[str, list[str]]:
-    """Features by value family: 'long', 'double' or 'string' (everything else)."""
-    fam: dict[str, list[str]] = {"long": [], "double": [], "string": []}
-    for c in features:
-        t = df.schema[c].dataType
-        fam["long" if isinstance(t, INTEGRAL) else "double" if isinstance(t, FRACTIONAL) else "string"].append(c)
-    return fam
-
-
 def to_long(df: DataFrame, features: list[str], target: str, null_label: str | None = NULL_VALUE) -> DataFrame:
     """(feature, value, y) with one row per (row, feature); value as text."""
     val = (lambda c: F.coalesce(as_text(df, c), F.lit(null_label))) if null_label is not None \
@@ -59,14 +50,36 @@ def to_long(df: DataFrame, features: list[str], target: str, null_label: str | N
     return wide.unpivot(["_y"], features, "feature", "value")
 
 
-def _typed_long(df: DataFrame, fam: str, features: list[str], target: str) -> DataFrame:
-    """Unpivot one type family keeping its type: numbers are grouped as numbers
-    and only become text after aggregation (far fewer rows than cells)."""
+def _family(df: DataFrame, c: str) -> str:
+    t = df.schema[c].dataType
+    return "long" if isinstance(t, INTEGRAL) else "double" if isinstance(t, FRACTIONAL) else "string"
+
+
+def _typed_value(df: DataFrame, c: str, null_label: str | None):
+    """A cell as struct(l, d, s) with only its own type's field set.
+
+    Every feature unpivots into the same struct type, so one scan covers all
+    of them, numbers are grouped as numbers, and text conversion happens after
+    aggregation.  Every field is nullable by construction (``when`` without
+    ``otherwise``): the unpivot takes its type from the first feature.  With
+    ``null_label``, a text cell equal to it groups with NULL cells, as filling
+    missing cells with that text does.
+    """
+    fam = _family(df, c)
+    x = F.col(c)
+    some = x.isNotNull()
+    lv = F.when(some, x.cast("long")) if fam == "long" else F.lit(None).cast("long")
+    dv = F.when(some, norm_zero(x.cast("double"))) if fam == "double" else F.lit(None).cast("double")
     if fam == "string":
-        return to_long(df, features, target)
-    cast = (lambda c: norm_zero(F.col(c).cast("double"))) if fam == "double" else (lambda c: F.col(c).cast("long"))
-    wide = df.select(F.col(target).alias("_y"), *[cast(c).alias(c) for c in features])
-    return wide.unpivot(["_y"], features, "feature", "value")
+        keep = some if null_label is None else some & (as_text(df, c) != F.lit(null_label))
+        sv = F.when(keep, as_text(df, c))
+    else:
+        sv = F.lit(None).cast("string")
+    return F.struct(lv.alias("l"), dv.alias("d"), sv.alias("s"))
+
+
+def _value_text(v: str = "v"):
+    return F.coalesce(F.col(f"{v}.l").cast("string"), F.col(f"{v}.d").cast("string"), F.col(f"{v}.s"))
 
 
 def value_counts(df: DataFrame, features: list[str], target: str,
@@ -77,16 +90,16 @@ def value_counts(df: DataFrame, features: list[str], target: str,
     text 'NULL', as filling missing cells with that text does).
     """
     parts = []
-    for fam, cols in type_families(df, features).items():
-        for i in range(0, len(cols), batch):
-            long = _typed_long(df, fam, cols[i:i + batch], target)
-            agg = long.groupBy("feature", "value").agg(
-                F.count(F.lit(1)).alias("all"),
-                F.count(F.when(F.col("_y") == 0, 1)).alias("good"),
-                F.count(F.when(F.col("_y") == 1, 1)).alias("bad"))
-            if fam != "string":
-                agg = agg.withColumn("value", F.coalesce(F.col("value").cast("string"), F.lit(NULL_VALUE)))
-            parts.append(agg)
+    for i in range(0, len(features), batch):
+        fs = features[i:i + batch]
+        wide = df.select(F.col(target).alias("_y"), *[_typed_value(df, c, NULL_VALUE).alias(c) for c in fs])
+        long = wide.unpivot(["_y"], fs, "feature", "v")
+        agg = long.groupBy("feature", "v").agg(
+            F.count(F.lit(1)).alias("all"),
+            F.count(F.when(F.col("_y") == 0, 1)).alias("good"),
+            F.count(F.when(F.col("_y") == 1, 1)).alias("bad"))
+        parts.append(agg.select("feature", F.coalesce(_value_text(), F.lit(NULL_VALUE)).alias("value"),
+                                "all", "good", "bad"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -95,12 +108,15 @@ def value_table(df: DataFrame, features: list[str], target: str,
     """IV table per value (D2): all, good, bad, share, bad_rate, dist_good, dist_bad, woe, iv.
 
     Good distribution uses all - bad, as the reference does; pure values (no
-    goods or no bads) get WoE 0 and add no IV.  Feature totals are one row per
-    feature, broadcast back by an equi-join on the feature name.
+    goods or no bads) get WoE 0 and add no IV.
     """
     counts = value_counts(df, features, target, batch)
-    totals = counts.groupBy("feature").agg(F.sum("all").alias("_n"), F.sum("bad").alias("_b"))
-    t = counts.join(F.broadcast(totals), "feature")
+    # Every row puts exactly one value (maybe 'NULL') into every feature, so each
+    # feature's totals are the table's row and bad counts: one scalar subquery
+    # over the target column, not a second pass of the unpivot aggregate.
+    tot = df.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                          F.count(F.when(F.col(target) == 1, 1)).alias("b")).alias("t")).scalar()
+    t = counts.withColumn("_n", tot["n"]).withColumn("_b", tot["b"])
     dg = safe_div(F.col("all") - F.col("bad"), F.col("_n") - F.col("_b"))
     db = safe_div("bad", "_b")
     t = t.select("feature", "value", "all", "good", "bad",
@@ -133,13 +149,9 @@ def cardinality(df: DataFrame, features: list[str], approx: bool = False,
         agg = df.agg(*[F.approx_count_distinct(c).cast("long").alias(c) for c in features])
         return agg.unpivot([], features, "feature", "n_distinct")
     parts = []
-    for fam, cols in type_families(df, features).items():
-        for i in range(0, len(cols), batch):
-            fs = cols[i:i + batch]
-            cast = {"long": lambda c: F.col(c).cast("long"),
-                    "double": lambda c: norm_zero(F.col(c).cast("double")),
-                    "string": lambda c: as_text(df, c)}[fam]
-            wide = df.select(*[cast(c).alias(c) for c in fs])
-            long = wide.unpivot([], fs, "feature", "value").filter(F.col("value").isNotNull())
-            parts.append(long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")))
+    for i in range(0, len(features), batch):
+        fs = features[i:i + batch]
+        wide = df.select(*[_typed_value(df, c, None).alias(c) for c in fs])
+        long = wide.unpivot([], fs, "feature", "v").filter(_value_text().isNotNull())
+        parts.append(long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct")))
     return reduce(DataFrame.unionByName, parts)
