@@ -294,10 +294,14 @@ def bin_table(binned: DataFrame, features: list[str], target: str) -> DataFrame:
 
 
 def bin_stats(agg: DataFrame) -> DataFrame:
-    """WoE / IV columns over (feature, label, n, non_event, event) rows."""
-    tot = agg.groupBy("feature").agg(F.sum("n").alias("_n"), F.sum("non_event").alias("_ne"),
-                                     F.sum("event").alias("_e"))
-    t = agg.join(F.broadcast(tot), "feature")
+    """WoE / IV columns over (feature, label, n, non_event, event) rows.
+
+    Feature totals come from a window over the aggregated bins: a feature has
+    at most ~21 bins, so the window is small and the counts are not re-read.
+    """
+    w = Window.partitionBy("feature")
+    t = agg.select("*", F.sum("n").over(w).alias("_n"), F.sum("non_event").over(w).alias("_ne"),
+                   F.sum("event").over(w).alias("_e"))
     dne, de = safe_div("non_event", "_ne"), safe_div("event", "_e")
     t = t.select("feature", "label", "n", safe_div("n", "_n").alias("n_pct"), "non_event", "event",
                  safe_div("event", "n").alias("event_rate"), dne.alias("_dne"), de.alias("_de"))
