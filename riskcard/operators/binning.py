@@ -141,7 +141,11 @@ def category_prebins(df: DataFrame, features: list[str], target: str,
     cat = long.groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("long").alias("bad"))
-    cat = cat.withColumn("rate", F.col("bad") / F.col("n"))
+    # one row per (feature, category), read three times below: checkpoint it once
+    # in the shared folder instead of re-running the unpivot aggregate each time
+    from riskcard.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    cat = cat.withColumn("rate", F.col("bad") / F.col("n")).checkpoint(eager=True)
     run = grouped_running_sums(cat, ["feature"], ["rate", "value"], {"_cum": "n"})
     tot = cat.groupBy("feature").agg(F.sum("n").alias("_tot"))      # one row per feature
     run = run.join(F.broadcast(tot), "feature")

@@ -204,18 +204,24 @@ def score_histogram(grain: DataFrame, key: str, bins: int = 80) -> DataFrame:
 def optimal_cutoff(grain: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     """Population fraction at max KS, then that percentile of the key, rounded.
 
-    The percentile is found by rank interpolation over the cumulative counts
-    of the grain, so the fraction never has to pass through the driver.
+    One pass over the grain: running sums give KS and the population fraction
+    per key, a window over the (small) grain picks the first maximum, and the
+    percentile is found by rank interpolation over the cumulative counts, so
+    the fraction never has to pass through the driver.
     """
-    kst = ks_table(grain, key, ascending=ascending)
+    c = _totals(_cumulate(grain, key, ascending, [], 1), [], 1)
+    ks = F.abs(safe_div("cum_bad", "_B") - safe_div("cum_good", "_G"))
+    grp = safe_div("cum_n", "_N")
     w = Window.partitionBy()
-    best = kst.withColumn("_best", F.min_by(F.col("group"), F.struct(-F.col("ks"), F.col("group"))).over(w))
-    c = _totals(_cumulate(grain, key, True, [], 1), [], 1)
-    c = c.join(best.select(key, "_best"), key)
+    c = c.withColumn("_ks", ks).withColumn("_grp", grp)
+    c = c.withColumn("_best", F.min_by(F.col("_grp"), F.struct(-F.col("_ks"), F.col("_grp"))).over(w))
+    # ranks counted in ascending key order for the percentile
+    wa = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_cn_up", F.sum("n").over(wa))
     pos = F.col("_best") * (F.col("_N") - 1)
     lo_r, hi_r = F.floor(pos), F.ceil(pos)
-    first = F.col("cum_n") - F.col("n")
-    inside = lambda r: (first <= r) & (r < F.col("cum_n"))
+    first = F.col("_cn_up") - F.col("n")
+    inside = lambda r: (first <= r) & (r < F.col("_cn_up"))
     agg = c.agg(F.first("_best").alias("group"),
                 F.max(F.when(inside(lo_r), F.col(key))).alias("_lo"),
                 F.max(F.when(inside(hi_r), F.col(key))).alias("_hi"),

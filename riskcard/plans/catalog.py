@@ -408,15 +408,16 @@ def _ks_by_split(df):
 
 
 def q_grid_quality(spark, d):
-    parts = []
-    for name, feats in (("full", None), ("reduced", list(FX.REDUCED_FEATURES))):
-        s = M.train_test_split(scored(spark, d, feats), ID, 0.7, SPLIT_SEED)
-        k = _ks_by_split(s)
-        parts.append(k.groupBy().agg(
-            F.max(F.when(F.col("split") == "train", F.col("ks"))).alias("ks_train"),
-            F.max(F.when(F.col("split") == "test", F.col("ks"))).alias("ks_test"))
-            .select(F.lit(name).alias("name"), "ks_train", "ks_test"))
-    out = parts[0].unionByName(parts[1])
+    # both scorings in one projection, unpivoted by name: one pass over the data
+    full, reduced = scorecard(), scorecard(list(FX.REDUCED_FEATURES))
+    s = clean(spark, d).select(ID, TARGET, P.score_expr(full).alias("full"), P.score_expr(reduced).alias("reduced"))
+    s = M.train_test_split(s, ID, 0.7, SPLIT_SEED).unpivot([ID, TARGET, "split"], ["full", "reduced"],
+                                                            "name", "score")
+    g = V.score_grain(s, "score", TARGET, by=["name", "split"])
+    k = V.ks_stat(V.ks_table(g, "score", ascending=True, by=["name", "split"]), by=["name", "split"])
+    out = k.groupBy("name").agg(
+        F.max(F.when(F.col("split") == "train", F.col("ks"))).alias("ks_train"),
+        F.max(F.when(F.col("split") == "test", F.col("ks"))).alias("ks_test"))
     return rounded(out.withColumn("quality", F.col("ks_test") - F.abs(F.col("ks_train") - F.col("ks_test"))))
 
 
