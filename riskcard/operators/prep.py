@@ -109,24 +109,37 @@ def _check_threshold(threshold: float):
         raise ValueError("sparse_threshold is a fraction in [0, 1]")
 
 
-def clean_columns(df: DataFrame, target: str, id_col: str | None = None,
-                  sparse_threshold: float = 0.95, sentinels=SENTINELS) -> DataFrame:
-    """Name/type rules, sentinels -> NULL, sparse rule; columns sorted, target last.
-
-    The id column (our replacement for the row index) is kept first.
-    """
-    _check_threshold(sparse_threshold)
+def rule_filtered(df: DataFrame, target: str, id_col: str | None = None,
+                  sentinels=SENTINELS) -> DataFrame:
+    """Name/type rules (no job) and sentinels -> NULL; id first, target last."""
     keep = [f.name for f in df.schema.fields
             if f.name not in (target, id_col) and drop_reason(f) is None]
-    cleaned = replace_sentinels(df.select(*([id_col] if id_col else []), *keep, target), sentinels)
+    return replace_sentinels(df.select(*([id_col] if id_col else []), *keep, target), sentinels)
+
+
+def drop_sparse(df: DataFrame, target: str, id_col: str | None = None,
+                sparse_threshold: float = 0.95) -> DataFrame:
+    """Sparse rule (one aggregate), surviving columns sorted, target last."""
+    _check_threshold(sparse_threshold)
+    keep = [c for c in df.columns if c not in (target, id_col)]
     if keep:
-        fr = null_fractions(cleaned, keep).collect()  # one row per column
+        fr = null_fractions(df, keep).collect()  # one row per column
         sparse = {r["feature"] for r in fr if r["null_fraction"] is not None
                   and r["null_fraction"] > sparse_threshold}
     else:
         sparse = set()
     survivors = sorted(c for c in keep if c not in sparse)
-    return cleaned.select(*([id_col] if id_col else []), *survivors, target)
+    return df.select(*([id_col] if id_col else []), *survivors, target)
+
+
+def clean_columns(df: DataFrame, target: str, id_col: str | None = None,
+                  sparse_threshold: float = 0.95, sentinels=SENTINELS) -> DataFrame:
+    """Name/type rules, sentinels -> NULL, sparse rule; columns sorted, target last.
+
+    The id column (our replacement for the row index) is kept first.
+    """
+    _check_threshold(sparse_threshold)
+    return drop_sparse(rule_filtered(df, target, id_col, sentinels), target, id_col, sparse_threshold)
 
 
 def exclude_columns(df: DataFrame, names: list[str]) -> DataFrame:

@@ -80,8 +80,11 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
     out["missing_rate"] = PR.missing_rate(df)
     df = prep.exclude_columns(df, p.exclude)
 
-    # clean: name/type rules (no job), sentinels, sparse rule (one job)
-    cleaned = materialize(spark, prep.clean_columns(df, tgt, idc, p.sparse_threshold), "cleaned")
+    # clean: name/type rules (no job) and sentinels, written once; the sparse rule
+    # then reads the written table, so the source is scanned a single time
+    prep._check_threshold(p.sparse_threshold)
+    written = materialize(spark, prep.rule_filtered(df, tgt, idc), "cleaned")
+    cleaned = prep.drop_sparse(written, tgt, idc, p.sparse_threshold)
     feats = [c for c in cleaned.columns if c not in (tgt, idc)]
     lap("clean")
 
