@@ -22,7 +22,6 @@ the monotone constraint and outside the totals of the fit.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -399,7 +398,3 @@ def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical
             h.unpersist()
     status = spark.createDataFrame(results, "feature string, status string, n_bins int, iv double")
     return status, num_bins, cat_bins
-
-
-def union_all(dfs):
-    return reduce(DataFrame.unionByName, dfs)

@@ -47,14 +47,6 @@ class NumericBins:
             expr = expr.when(x <= F.lit(float(s)), F.lit(lab))
         return expr.otherwise(F.lit(labels[-1]))
 
-    def bin_id_expr(self, x: Column | None = None) -> Column:
-        """0-based bin index, NULL for missing: number of splits below x."""
-        x = F.col(self.feature) if x is None else x
-        idx = F.lit(0)
-        for s in self.splits:
-            idx = idx + (x > F.lit(float(s))).cast("int")
-        return F.when(x.isNotNull(), idx)
-
 
 @dataclass(frozen=True)
 class CategoricalBins:
