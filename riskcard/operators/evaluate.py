@@ -264,21 +264,24 @@ def ppt_table(grain: DataFrame, key: str, offset: float, factor: float, origin:
 
 
 def ppt_theta_join(grain: DataFrame, key: str, offset: float, factor: float) -> DataFrame:
-    """The same cutoff table as an explicit non-equi join of cutoffs and score groups.
+    """The same cutoff table from one explicit non-equi join of cutoffs and score groups.
 
-    Both sides are grain tables (one row per distinct score), so the join is
-    bounded by the score range, not by the row count.
+    ``score >= cutoff`` gives N(>=s), G(>=s) and N(>s); the rejected side follows
+    from totals (N(<=s) = N - N(>s)), and the totals are the values at the
+    lowest cutoff.  Both sides are the grain (one row per distinct score) with
+    the same columns, so the join is bounded by the score range and the grain
+    is computed once.
     """
-    cut = grain.select(F.col(key).alias("cutoff_score"))
+    cut = grain.select(F.col(key).alias("cutoff_score"), F.col("n").alias("n_s"), F.col("good").alias("g_s"))
     g = grain.select(F.col(key).alias("_s"), "n", "good")
     ge = (cut.join(g, F.col("_s") >= F.col("cutoff_score"))
-          .groupBy("cutoff_score").agg(F.sum("n").alias("n_ge"), F.sum("good").alias("g_ge"),
-                                       F.sum(F.when(F.col("_s") > F.col("cutoff_score"), F.col("n"))
-                                             .otherwise(0)).alias("n_gt")))
-    le = (cut.join(g, F.col("_s") <= F.col("cutoff_score"))
-          .groupBy("cutoff_score").agg(F.sum("n").alias("n_le"), F.sum("good").alias("g_le")))
-    # N = N(<=s) + N(>s) for every cutoff: no separate total is needed
-    j = ge.join(le, "cutoff_score").withColumn("_N", F.col("n_le") + F.col("n_gt"))
+          .groupBy("cutoff_score", "n_s", "g_s")
+          .agg(F.sum("n").alias("n_ge"), F.sum("good").alias("g_ge")))
+    w = Window.partitionBy()
+    j = (ge.withColumn("_N", F.max("n_ge").over(w)).withColumn("_G", F.max("g_ge").over(w))
+         .withColumn("n_gt", F.col("n_ge") - F.col("n_s"))
+         .withColumn("n_le", F.col("_N") - F.col("n_gt"))
+         .withColumn("g_le", F.col("_G") - (F.col("g_ge") - F.col("g_s"))))
     mo = F.exp((F.col("cutoff_score").cast("double") - F.lit(float(offset))) / F.lit(float(factor)))
     out = j.select(
         F.col("cutoff_score").cast("long").alias("cutoff_score"),
