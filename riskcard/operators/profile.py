@@ -42,14 +42,6 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def to_long(df: DataFrame, features: list[str], target: str, null_label: str | None = NULL_VALUE) -> DataFrame:
-    """(feature, value, y) with one row per (row, feature); value as text."""
-    val = (lambda c: F.coalesce(as_text(df, c), F.lit(null_label))) if null_label is not None \
-        else (lambda c: as_text(df, c))
-    wide = df.select(F.col(target).alias("_y"), *[val(c).alias(c) for c in features])
-    return wide.unpivot(["_y"], features, "feature", "value")
-
-
 def _family(df: DataFrame, c: str) -> str:
     t = df.schema[c].dataType
     return "long" if isinstance(t, INTEGRAL) else "double" if isinstance(t, FRACTIONAL) else "string"
