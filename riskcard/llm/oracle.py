@@ -57,5 +57,64 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op5_benchmark_decontamination": DECONTAMINATION,
-           "op6_substring_dedup": SUBSTRING_DEDUP}
+EXACT_TOP_K = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)])::BIGINT AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+# base32 of the 160 bits, 20 bits (5 hex digits, 4 letters) at a time
+_BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (5 * (i // 4) + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER + 1, 1)
+    FOR i IN range(32)], '')"""
+WARC = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h
+           FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+URL_FILTERS = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+    ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+p AS (SELECT row_number() OVER () AS n, page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+u AS (SELECT n, page_id, path, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+      FROM p),
+m AS (SELECT u.n, rules.host || rules.path AS rule, verdict,
+             row_number() OVER (PARTITION BY u.n ORDER BY length(rules.host || rules.path) DESC, verdict DESC,
+                                rules.host || rules.path) AS k
+      FROM u JOIN rules ON (u.host = rules.host OR ends_with(u.host, '.' || rules.host))
+                       AND starts_with(u.path, rules.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) x ON x.n = u.n
+"""
+
+# the shortest prefix of the 60 hash bits whose documents fit the limit
+SHARDING = """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS b,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+lv AS (SELECT n, h >> (60 - k) AS prefix, k, sum(b) OVER w AS bytes, count(*) OVER w AS docs
+       FROM d, LATERAL unnest(range(61)) AS t(k) WINDOW w AS (PARTITION BY k, h >> (60 - k))),
+best AS (SELECT n, min(k) AS k FROM lv WHERE bytes <= {limit} OR docs = 1 GROUP BY n)
+SELECT doc_id, b AS doc_bytes,
+       's' || CASE WHEN best.k = 0 THEN '' ELSE lpad(bin(lv.prefix), best.k::INTEGER, '0') END AS shard,
+       best.k::INTEGER AS shard_depth, lv.bytes::BIGINT AS shard_bytes, lv.docs::BIGINT AS shard_docs
+FROM d JOIN best USING (n) JOIN lv ON lv.n = d.n AND lv.k = best.k
+"""
+
+ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_exact_top_k": EXACT_TOP_K,
+           "op5_benchmark_decontamination": DECONTAMINATION, "op6_substring_dedup": SUBSTRING_DEDUP,
+           "op7_warc": WARC, "op8_url_filters": URL_FILTERS,
+           "op10_extendible_hash_sharding": SHARDING.format(limit=64 << 20)}
