@@ -7,7 +7,8 @@ cannot take is shared again by weight among the others.
 Per source: whole copies of everything while they fit the target, then the remaining budget is
 filled by a subset of its documents.  Documents are counted by exact length; every length gives
 its proportional part, and bounded-knapsack dynamic programming over what is left of each length
-hits the rest of the budget.  Which documents of a length go in follows a seeded hash of doc_id.
+hits the rest of the budget (where one huge document leaves a gap, others come once more, never
+above ``max_repeat`` times).  Which documents of a length go in follows a seeded hash of doc_id.
 
 Only (source, length) counts enter the fit: one task fits one source, over its distinct lengths
 (at most about the square root of twice its words).  Documents are ranked within (source, length,
@@ -74,32 +75,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
             .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                         .otherwise(F.lit(0)).cast("int"))
             .withColumn("budget", F.floor("target") - F.col("copies") * F.col("source_size"))
-            .select("source", "no", "source_size", "target", "copies", "budget"))
+            .select("source", "no", "source_size", "target", "copies", "budget",
+                    (F.lit(max_repeat) - F.col("copies")).alias("spare")))
 
 
-def subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come as near to the budget
-    as can be from below."""
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros(len(lengths), np.int64)
-    if budget >= total:
-        return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
+def _fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """How many of ``free`` documents of each length come nearest to the budget from below: long ones
+    first while more than EXACT words are left, then a bounded knapsack over reachable sums."""
+    take, rest = np.zeros(len(lengths), np.int64), budget
     down = np.argsort(-lengths)
-    for i in down:                                     # down to what the programme solves exactly
+    for i in down:
         if rest > EXACT:
-            n = min(int(counts[i] - take[i]), (rest - EXACT) // int(lengths[i]))
-            take[i] += n
-            rest -= n * int(lengths[i])
+            take[i] = min(int(free[i]), (rest - EXACT) // int(lengths[i]))
+            rest -= int(take[i]) * int(lengths[i])
     if not 0 < rest <= MOST:
         return take
     reach = np.zeros(rest + 1, bool)
     reach[0] = True
     came, chunks = np.full(rest + 1, -1, np.int32), []
     for i in down:
-        left, part = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1
+        left, part = min(int(free[i] - take[i]), rest // int(lengths[i])), 1
         while left > 0 and not reach[rest]:
             n = min(part, left)
             left, part = left - n, part * 2
@@ -118,10 +113,29 @@ def subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def subset(lengths: np.ndarray, counts: np.ndarray, budget: int, repeats: int = 1) -> np.ndarray:
+    """How many documents of each length to take: every length's proportional part, then the best
+    fill of the rest.  Documents come a second time (up to ``repeats``) only where no subset meets
+    the budget."""
+    total = int((lengths * counts).sum())
+    budget = min(budget, total * repeats)
+    if budget <= 0:
+        return np.zeros(len(lengths), np.int64)
+    take = np.array([int(c) * min(budget, total) // total for c in counts], np.int64)
+    for r in range(1, repeats + 1):
+        rest = budget - int((lengths * take).sum())
+        if not rest:
+            break
+        take = take + _fill(lengths, counts * r - take, rest)
+    return take
+
+
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("size")
-    extra = subset(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), int(rows["budget"].iloc[0]))
-    return pd.DataFrame({"no": rows["no"].to_numpy(), "size": rows["size"].to_numpy(), "extra": extra})
+    n = rows["n"].to_numpy(np.int64)
+    extra = subset(rows["size"].to_numpy(np.int64), n, int(rows["budget"].iloc[0]), int(rows["spare"].iloc[0]))
+    return pd.DataFrame({"no": rows["no"].to_numpy(), "size": rows["size"].to_numpy(), "plus": extra // n,
+                         "extra": extra % n})
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
@@ -137,17 +151,17 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed:
         f"p.{c}" for c in ("no", "source_size", "target", "copies", "budget")])
     cells = written(rows.where("size > 0").groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "mix-cells")
     cells = cells.alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select(
-        "no", "size", "bucket", "n", "budget")
-    lengths = cells.groupBy("no", "size", "budget").agg(F.sum("n").alias("n")).where("budget > 0")
-    extra = lengths.groupBy("no").applyInPandas(_fit, "no int, size long, extra long")
+        "no", "size", "bucket", "n", "budget", "spare")
+    lengths = cells.groupBy("no", "size", "budget", "spare").agg(F.sum("n").alias("n")).where("budget > 0")
+    extra = lengths.groupBy("no").applyInPandas(_fit, "no int, size long, plus int, extra long")
     # the cells of a length are filled in bucket order; at most BUCKETS rows per window
     earlier = (Window.partitionBy("no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     quota = (cells.join(extra, ["no", "size"])
              .withColumn("quota", F.col("extra") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-             .select("no", "size", "bucket", "quota").where("quota > 0"))
+             .select("no", "size", "bucket", "plus", "quota").where("plus > 0 or quota > 0"))
     rank = F.row_number().over(Window.partitionBy("no", "size", "bucket").orderBy(order, "doc_id", "text_key"))
     return (here.join(quota, ["no", "size", "bucket"], "left").withColumn("rank", rank)
-            .withColumn("times", F.when(F.col("size") > 0, F.col("copies") + F.when(
+            .withColumn("times", F.when(F.col("size") > 0, F.col("copies") + F.coalesce("plus", F.lit(0)) + F.when(
                 F.col("rank") <= F.col("quota"), F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0)))
             .select("doc_id", "text_key", "size", "source_size", "target", "times"))
 
