@@ -70,7 +70,7 @@ def _look_up(rows: DataFrame, found: DataFrame, h: str, top: str | None, depth:
         F.concat(F.lit("s"), bits)
     more = BITS if top else 0
     return rows.join(f, same, "left").withColumns({
-        "_shard": F.coalesce("_shard", name), "_depth": F.coalesce("_depth", F.col("_f_d") + more),
+        "_shard": F.coalesce("_shard", F.when(F.col("_f_d").isNotNull(), name)), "_depth": F.coalesce("_depth", F.col("_f_d") + more),
         "_shard_bytes": F.coalesce("_shard_bytes", "_f_bytes"),
         "_shard_docs": F.coalesce("_shard_docs", "_f_docs")}).drop(*f.columns)
 
