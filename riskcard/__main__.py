@@ -14,9 +14,9 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from riskcard.operators import evaluate as V
 from riskcard.plans.build import BuildParams, build_from
-from riskcard.session import get_session
+from riskcard.plans.prefix import written
+from riskcard.session import get_session, release_scratch
 from riskcard.sources import report as RP
 from riskcard.sources.tables import scan
 
@@ -45,7 +45,6 @@ def main(argv=None) -> str:
     ap.add_argument("--target-score", type=float, default=450.0)
     ap.add_argument("--target-odds", type=float, default=1.0)
     ap.add_argument("--pdo", type=float, default=80.0)
-    ap.add_argument("--prebin", choices=["quantile", "tree"], default="quantile")
     ap.add_argument("--project", default="scorecard")
     ap.add_argument("--out", default=None, help="report folder (default: under spark.checkpoint.dir)")
     ap.add_argument("--master", default=None)
@@ -56,7 +55,8 @@ def main(argv=None) -> str:
     id_col = a.id_col
     if id_col is None:
         id_col = "_row_id"
-        df = df.withColumn(id_col, F.monotonically_increasing_id())
+        # written with its rows: an id of a recomputed scan could change
+        df = written(df.withColumn(id_col, F.monotonically_increasing_id()), "numbered")
     if a.dictionary:
         d = scan(spark, a.dictionary)
         d = d.select(*[F.col(c).alias(DICT_COLUMNS.get(c, c)) for c in d.columns])
@@ -66,15 +66,14 @@ def main(argv=None) -> str:
                     corr_threshold=a.corr_threshold, train_fraction=a.train_fraction,
                     target_score=a.target_score, target_odds=a.target_odds, pts_double_odds=a.pdo,
                     new_asc=_list(a.new_asc), new_desc=_list(a.new_desc), exclude=_list(a.exclude),
-                    prebin=a.prebin)
+                    made_id=None if a.id_col else id_col)
     out = build_from(spark, df, d, p)
-    tables = {
-        "scorecard": out["points"], "ppt": out["ppt"], "missing_rate": out["missing_rate"], "iv": out["iv"],
-        "feature_status": out["feature_status"], "grid": out["grid"], "metrics": out["metrics"],
-        "ks": out["ks"], "roc": V.roc_curve(out["grain"], "score"),
-    }
+    names = ["missing_rate", "iv", "feature_status", "correlations", "grid", "coefficients", "model_metrics", "model_ks",
+             "model_roc", "ks", "ks_point", "ks_curve", "optimal_cutoff", "histogram", "roc", "metrics", "ppt", "scored"]
+    tables = {"scorecard": out["points"], **{n: out[n] for n in names}}
     base = f"{a.out.rstrip('/')}/{RP.run_name(a.project)}" if a.out else None
     root = RP.write_report(spark, tables, out["bin_table"], base=base, project=a.project)
+    release_scratch()
     print(root)
     return root
 

@@ -32,11 +32,6 @@ def odds(rate) -> Column:
     return F.try_divide(r, F.lit(1.0) - r)
 
 
-def r6(c) -> Column:
-    """Round doubles to 6 places for stable comparison."""
-    return F.round(col(c).cast("double"), 6)
-
-
 def fmt_num(x: float) -> str:
     """Python float text, as in an interval label: 0.0, 2500.0, inf, -inf."""
     x = float(x)

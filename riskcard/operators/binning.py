@@ -2,21 +2,19 @@
 
 Job shape, for all features at once:
 
-1. pre-bin cuts: one aggregate pass computing quantiles of every numeric
-   feature (``percentile_approx`` at scale, exact ``percentile`` for the oracle
-   checks); the result is a few numbers per feature.
-2. pre-bin counts: a projection (cut position per value) + unpivot +
-   ``groupBy(feature, prebin)``, combined map-side: (feature, pb, n, bad).
-3. the fit: ``groupBy(feature).applyInPandas`` over those counts, at most 20
-   rows per feature.  Python never sees a raw row.
-4. the bin table is re-aggregated from the pre-bin counts; no second pass over
-   the data, and selection and application always use the same fit.
-
-The fit maximises total IV over contiguous merges of ordered pre-bins,
-subject to strictly monotone event rates between neighbouring bins.  A bin
-with no events or no non-events has WoE 0 and IV 0.  Ties go to fewer bins,
-then to smaller segment starts.  Missing values form their own row, outside
-the monotone constraint and outside the totals of the fit.
+1. value counts: (feature, value, n, bad), combined map-side; a hot value costs one row per task.
+2. pre-bins: the values of a feature in order (numbers by size, categories by event rate) get
+   cumulative shares from range sums (``plans.prefix``); pre-bin k takes the values whose share
+   starts in [k/20, (k+1)/20), and pre-bins under 5% of the rows are merged with the next.
+3. the fit: ``groupBy(feature).applyInPandas`` over at most 20 rows per feature.  Python never
+   sees a raw row.
+4. bin tables come from the pre-bin counts and the fit; the data are not read again.
+
+The fit maximises total IV over contiguous merges of ordered pre-bins, subject to strictly
+monotone event rates between neighbouring bins.  A bin with no events or no non-events has WoE 0
+and IV 0.  Ties go to fewer bins, then to smaller segment starts.  Missing values are a bin of
+their own: outside the monotone constraint, inside the totals and the IV, so a feature whose
+missing values tell something is judged on that as well.
 """
 
 from __future__ import annotations
@@ -30,127 +28,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskcard.functions.exprs import safe_div, woe
-from riskcard.operators.bins import CategoricalBins, NumericBins
+from riskcard.operators.bins import CategoryTable, NumericBins, cat_name
 from riskcard.operators.profile import as_text
+from riskcard.plans.prefix import running_sums, written
+from riskcard.session import ship_code
 
 MAX_PREBINS = 20
 MIN_PREBIN_SHARE = 0.05
 IV_DIGITS = 10
+LABEL_MEMBERS = 10          # categories named in a bin's label
 
+COUNTS = "feature string, pb int, n long, bad long, hi double"
 
-def quantile_fracs(n_prebins: int) -> list[float]:
-    return [k / n_prebins for k in range(1, n_prebins)]
 
+def _events(y: str = "_y"):
+    return F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("bad")
 
-def prebin_cuts(df: DataFrame, features: list[str], n_prebins: int = MAX_PREBINS,
-                exact: bool = False, accuracy: int = 10000) -> dict[str, list[float]]:
-    """Sorted distinct quantile cuts per feature, NULLs ignored.
 
-    One aggregate over all features; returns ``n_prebins - 1`` numbers per
-    feature, so the collect is bounded by the schema, not the data.
-    """
-    fr = quantile_fracs(n_prebins)
-    arr = F.array(*[F.lit(float(f)) for f in fr])
-    if exact:
-        aggs = [F.percentile(F.col(c).cast("double"), arr).alias(c) for c in features]
-    else:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), arr, accuracy).alias(c) for c in features]
-    row = df.agg(*aggs).collect()[0]
-    return {c: sorted(set(float(v) for v in (row[c] or []) if v is not None)) for c in features}
-
-
-def _tree_thresholds(node) -> list[float]:
-    """Continuous split thresholds of a fitted Spark ML tree (JVM node objects)."""
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if n.getClass().getSimpleName() == "InternalNode":
-            out.append(float(n.split().threshold()))
-            stack += [n.leftChild(), n.rightChild()]
-    return out
-
-
-def prebin_cuts_tree(df: DataFrame, features: list[str], target: str,
-                     n_prebins: int = MAX_PREBINS, min_share: float = MIN_PREBIN_SHARE,
-                     max_bins: int = 256, threads: int = 8) -> dict[str, list[float]]:
-    """Pre-bin cuts from a classification tree per feature (the CART pre-binning
-    of the reference's binning package).
-
-    Each fit is a distributed Spark ML ``DecisionTreeClassifier`` on one feature
-    (NULLs excluded), with every leaf holding at least ``min_share`` of the rows,
-    so there are at most 1/min_share pre-bins; the fits run concurrently.
-    Thresholds are right-closed (x <= t goes left), like the quantile cuts.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    depth = max(1, math.ceil(math.log2(n_prebins)))
-
-    def fit(f: str) -> tuple[str, list[float]]:
-        d = df.select(F.col(f).cast("double").alias(f), F.col(target).cast("double").alias("_y")) \
-            .filter(F.col(f).isNotNull())
-        n = d.count()
-        if n == 0:
-            return f, []
-        v = VectorAssembler(inputCols=[f], outputCol="_x").transform(d)
-        tree = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, maxBins=max_bins,
-                                      minInstancesPerNode=max(1, math.ceil(min_share * n)), seed=7)
-        m = tree.fit(v)
-        return f, sorted(set(_tree_thresholds(m._java_obj.rootNode())))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(features)))) as pool:
-        return dict(pool.map(fit, features))
-
-
-def prebin_index(x, cuts: list[float]):
-    """Number of cuts strictly below x: right-closed pre-bins; NULL stays NULL."""
-    idx = F.lit(0)
-    for c in cuts:
-        idx = idx + (x > F.lit(float(c))).cast("int")
-    return F.when(x.isNotNull(), idx)
-
-
-def prebin_counts(df: DataFrame, cuts: dict[str, list[float]], target: str) -> DataFrame:
-    """(feature, pb, n, bad); pb NULL is the missing row."""
-    feats = list(cuts)
-    wide = df.select(F.col(target).alias("_y"),
-                     *[prebin_index(F.col(f).cast("double"), cuts[f]).alias(f) for f in feats])
-    long = wide.unpivot(["_y"], feats, "feature", "pb")
-    return long.groupBy("feature", "pb").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("long").alias("bad"))
+def numeric_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, x, n, bad) per distinct number; NULL and NaN are one missing row (x NULL)."""
+    number = lambda c: F.col(c).cast("double")
+    wide = df.select(F.col(target).alias("_y"), *[
+        F.when(~F.isnan(number(c)), number(c) + F.lit(0.0)).alias(c) for c in features])
+    return wide.unpivot(["_y"], features, "feature", "x").groupBy("feature", "x").agg(*_events())
 
 
-def category_prebins(df: DataFrame, features: list[str], target: str,
-                     max_prebins: int = MAX_PREBINS) -> DataFrame:
-    """(feature, pb, value, n, bad, rate) for categorical features (I5 pre-binning).
-
-    Categories are ordered by (event rate, value); pre-bin k holds the
-    categories whose cumulative share, in that order, starts in
-    [k/max_prebins, (k+1)/max_prebins).  So a category under 5% shares a
-    pre-bin with its neighbours and there are at most 20 pre-bins.  The
-    cumulative shares use the grouped two-level prefix sums, so a feature with
-    very many categories is not one task.
-    """
-    from riskcard.plans.prefix import grouped_running_sums
+def category_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, value, n, bad, rate) per category; NULL is the missing row."""
     wide = df.select(F.col(target).alias("_y"), *[as_text(df, c).alias(c) for c in features])
-    long = wide.unpivot(["_y"], features, "feature", "value").filter(F.col("value").isNotNull())
-    cat = long.groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("long").alias("bad"))
-    # one row per (feature, category), read three times below: checkpoint it once
-    # in the shared folder instead of re-running the unpivot aggregate each time
-    from riskcard.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    cat = cat.withColumn("rate", F.col("bad") / F.col("n")).checkpoint(eager=True)
-    run = grouped_running_sums(cat, ["feature"], ["rate", "value"], {"_cum": "n"})
-    tot = cat.groupBy("feature").agg(F.sum("n").alias("_tot"))      # one row per feature
-    run = run.join(F.broadcast(tot), "feature")
-    share = (F.col("_cum") - F.col("n")) / F.col("_tot")
-    return run.withColumn("pb", F.least(F.floor(share * max_prebins), F.lit(max_prebins - 1)).cast("int")) \
-              .drop("_cum", "_tot")
+    return (wide.unpivot(["_y"], features, "feature", "value").groupBy("feature", "value").agg(*_events())
+            .withColumn("rate", F.col("bad") / F.col("n")))
+
+
+def merge_small(n: list[int], min_share: float = MIN_PREBIN_SHARE) -> list[int]:
+    """Number of each pre-bin after merging forward until every one holds ``min_share`` of the rows
+    (what is left at the end joins the last)."""
+    total, out, at, held = sum(n), [], 0, 0
+    for x in n:
+        out.append(at)
+        held += x
+        if held >= min_share * total:
+            at, held = at + 1, 0
+    return [min(k, at - 1) for k in out] if held and at else out
+
+
+def ordered_prebins(values: DataFrame, order: list[str], max_prebins: int = MAX_PREBINS,
+                    min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+    """Add ``pb`` to (feature, ..., n) rows without missing values, in the order of ``order``."""
+    ship_code(values.sparkSession)
+    values = written(values, "values")
+    totals = values.groupBy("feature").agg(F.sum("n").alias("_total"))          # one row per feature
+    run = running_sums(values, order, {"_cum": "n"}, groups=["feature"]).join(totals, "feature")
+    run = written(run.withColumn("_raw", F.expr(f"(_cum - n) * {max_prebins} div _total").cast("int"))
+                  .drop("_cum", "_total"), "prebins")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:                                # at most max_prebins rows
+        pdf = pdf.sort_values("_raw")
+        return pdf[["feature", "_raw"]].assign(pb=merge_small(pdf["n"].tolist(), min_share))
+
+    raw = run.groupBy("feature", "_raw").agg(F.sum("n").alias("n"))
+    merged = raw.groupBy("feature").applyInPandas(merge, "feature string, _raw int, pb int")
+    # at most max_prebins rows per feature
+    return run.join(merged, ["feature", "_raw"]).drop("_raw")
+
+
+def prebin_counts(df: DataFrame, features: list[str], target: str, max_prebins: int = MAX_PREBINS,
+                  min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+    """(feature, pb, n, bad, hi) of numeric features; ``hi`` is the pre-bin's largest value, pb NULL
+    the missing row (I2)."""
+    values = written(numeric_counts(df, features, target), "value-counts")
+    pb = ordered_prebins(values.where("x is not null"), ["x"], max_prebins, min_share)
+    present = pb.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("x").alias("hi"))
+    missing = values.where("x is null").select("feature", F.lit(None).cast("int").alias("pb"), "n", "bad",
+                                               F.lit(None).cast("double").alias("hi"))
+    return present.unionByName(missing)
+
+
+def category_prebins(df: DataFrame, features: list[str], target: str, max_prebins: int = MAX_PREBINS,
+                     min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+    """(feature, value, n, bad, rate, pb) per category, ordered by (event rate, value); value and pb
+    NULL for the missing row (I5)."""
+    values = written(category_counts(df, features, target), "category-counts")
+    pb = ordered_prebins(values.where("value is not null"), ["rate", "value"], max_prebins, min_share)
+    return pb.unionByName(values.where("value is null").withColumn("pb", F.lit(None).cast("int")))
+
+
+def category_prebin_counts(categories: DataFrame) -> DataFrame:
+    return categories.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 # ---------------------------------------------------------------- the fit (DP)
@@ -163,9 +127,12 @@ def _segment_iv(n, e, G, B):
     return (dg - db) * math.log(dg / db)
 
 
-def fit_monotone(n: list[int], e: list[int], trend: str) -> tuple[list[int], float]:
+def fit_monotone(n: list[int], e: list[int], trend: str, missing: tuple[int, int] = (0, 0)) -> tuple[list[int], float]:
     """Best segmentation of ordered pre-bins: (segment start positions, total IV).
 
+    ``missing``: rows and events of the missing bin.  It counts in the totals and in the IV, and
+    stands outside the monotone constraint.
+
     ``best[(i, j)]`` = best key of a segmentation of pre-bins 0..j whose last
     bin is i..j; a bin i..j may follow k..i-1 only if the event rate moves in
     the trend's direction strictly.  Keys compare (IV, -bins, starts) so ties
@@ -174,7 +141,8 @@ def fit_monotone(n: list[int], e: list[int], trend: str) -> tuple[list[int], flo
     p = len(n)
     if p == 0:
         return [], 0.0
-    G, B = sum(n) - sum(e), sum(e)
+    G, B = sum(n) - sum(e) + missing[0] - missing[1], sum(e) + missing[1]
+    own = _segment_iv(*missing, G, B)
     cn = np.concatenate([[0], np.cumsum(n)])
     ce = np.concatenate([[0], np.cumsum(e)])
 
@@ -213,7 +181,7 @@ def fit_monotone(n: list[int], e: list[int], trend: str) -> tuple[list[int], flo
                 best[(i, j)] = cand
     finals = [best[(i, p - 1)] for i in range(p) if (i, p - 1) in best]
     top = max(finals, key=key)
-    return list(top[1]), float(top[0])
+    return list(top[1]), float(top[0]) + own
 
 
 FIT_SCHEMA = T.StructType([
@@ -228,18 +196,20 @@ FIT_SCHEMA = T.StructType([
 def fit_bins(counts: DataFrame, trends: DataFrame) -> DataFrame:
     """Run the fit per (feature, trend) over pre-bin counts.
 
-    ``counts``: (feature, pb, n, bad) without the missing row; ``trends``:
-    (feature, trend) with trend 'ascending' or 'descending'.  The grouped map
-    gets at most ``MAX_PREBINS`` rows per group.
+    ``counts``: (feature, pb, n, bad), pb NULL for the missing row; ``trends``: (feature, trend)
+    with trend 'ascending' or 'descending', one row per feature.  The grouped map gets at most
+    ``MAX_PREBINS`` + 1 rows per group.  The IV is that of the whole table: missing rows included.
     """
-    from riskcard.session import ship_code
     ship_code(counts.sparkSession)
-    j = counts.join(F.broadcast(trends), "feature")
+    j = counts.select("feature", "pb", "n", "bad").join(F.broadcast(trends), "feature")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pb")
+        gone = pdf[pdf["pb"].isna()]
+        pdf = pdf[pdf["pb"].notna()].sort_values("pb")
+        if not len(pdf):
+            return pd.DataFrame(columns=["feature", "trend", "starts", "n_bins", "iv"])
         starts, iv = fit_monotone(pdf["n"].astype(int).tolist(), pdf["bad"].astype(int).tolist(),
-                                  pdf["trend"].iloc[0])
+                                  pdf["trend"].iloc[0], (int(gone["n"].sum()), int(gone["bad"].sum())))
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "trend": [pdf["trend"].iloc[0]],
                              "starts": [starts], "n_bins": [len(starts)], "iv": [iv]})
 
@@ -251,35 +221,19 @@ def starts_text(col="starts"):
 
 
 def segment_of(pos_col: str, starts_col: str = "starts"):
-    """Index of the fitted bin holding pre-bin position ``pos``."""
-    return F.size(F.filter(F.col(starts_col), lambda s: s <= F.col(pos_col))) - 1
+    """Index of the fitted bin holding pre-bin ``pos``; NULL for the missing row."""
+    return F.when(F.col(pos_col).isNotNull(),
+                  F.size(F.filter(F.col(starts_col), lambda s: s <= F.col(pos_col))) - 1)
 
 
 def fitted_counts(counts: DataFrame, fits: DataFrame) -> DataFrame:
-    """(feature, trend, bin_id, pb_lo, pb_hi, n, bad) of the fitted bins.
-
-    Pre-bin positions are the ranks of the present pre-bins of a feature.
-    """
-    w = Window.partitionBy("feature").orderBy("pb")
-    pos = counts.withColumn("pos", F.row_number().over(w) - 1)
-    j = pos.join(F.broadcast(fits.select("feature", "trend", "starts")), "feature")
-    j = j.withColumn("bin_id", segment_of("pos"))
-    return j.groupBy("feature", "trend", "bin_id").agg(
-        F.min("pb").alias("pb_lo"), F.max("pb").alias("pb_hi"),
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-
-
-def numeric_bins_from_fit(cuts: dict[str, list[float]], fitted: list) -> dict[str, NumericBins]:
-    """Splits of each fitted numeric feature: the cut below each bin start but the first."""
-    by = {}
-    for r in fitted:
-        by.setdefault(r["feature"], []).append(r)
-    out = {}
-    for f, rows in by.items():
-        rows = sorted(rows, key=lambda r: r["bin_id"])
-        splits = tuple(cuts[f][r["pb_lo"] - 1] for r in rows[1:])
-        out[f] = NumericBins(f, splits)
-    return out
+    """(feature, trend, bin_id, pb_lo, pb_hi, n, bad[, hi]) of the fitted bins; bin_id NULL is the
+    missing row."""
+    j = counts.join(F.broadcast(fits.select("feature", "trend", "starts")), "feature")
+    top = [F.max("hi").alias("hi")] if "hi" in counts.columns else []
+    return (j.withColumn("bin_id", segment_of("pb")).groupBy("feature", "trend", "bin_id")
+            .agg(F.min("pb").alias("pb_lo"), F.max("pb").alias("pb_hi"), F.sum("n").alias("n"),
+                 F.sum("bad").alias("bad"), *top))
 
 
 def bin_table(binned: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -326,75 +280,114 @@ def with_totals(bt: DataFrame) -> DataFrame:
         F.when(F.col("_gl") == 0, F.col("woe")).alias("woe"), "iv")
 
 
+def complete_table(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The whole bin table of fitted features: every bin, Special, Missing and Totals.
+
+    ``counts``: (feature, bin_id, n, bad) with bin_id NULL for missing rows; ``labels``: (feature,
+    bin_id, label) of every bin.  There are no special codes, so that row is empty; the missing row
+    is there also where nothing is missing.  ``position`` orders a feature's rows.
+    """
+    feats = labels.select("feature").distinct()
+    rows = (labels.join(counts.where("bin_id is not null").select("feature", "bin_id", "n", "bad"),
+                        ["feature", "bin_id"], "left")
+            .unionByName(feats.select("feature", F.lit(1000).alias("bin_id"), F.lit("Special").alias("label"),
+                                      F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
+            .unionByName(feats.join(counts.where("bin_id is null").select("feature", "n", "bad"), "feature", "left")
+                         .select("feature", F.lit(1001).alias("bin_id"), F.lit("Missing").alias("label"), "n", "bad")))
+    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
+    agg = rows.select("feature", F.col("bin_id").alias("position"), "label", n.alias("n"),
+                      (n - bad).alias("non_event"), bad.alias("event"))
+    bt = bin_stats(agg.select("feature", F.struct("position", "label").alias("label"), "n", "non_event", "event"))
+    tot = bt.groupBy("feature").agg(F.struct(F.lit(1002).alias("position"), F.lit("Totals").alias("label")).alias("label"),
+                                    F.sum("n").alias("n"), F.lit(1.0).alias("n_pct"), F.sum("non_event").alias("non_event"),
+                                    F.sum("event").alias("event"), safe_div(F.sum("event"), F.sum("n")).alias("event_rate"),
+                                    F.lit(None).cast("double").alias("woe"), F.sum("iv").alias("iv"))
+    return bt.unionByName(tot).select("feature", "label.position", "label.label", "n", "n_pct", "non_event", "event",
+                                      "event_rate", "woe", "iv").orderBy("feature", "position")
+
+
 # ------------------------------------------------------------ screening
 
+def _fit_selected(spark, counts, trends, min_iv, max_iv):
+    """Fit all features; (status rows, fits of the selected ones)."""
+    fits = fit_bins(counts, spark.createDataFrame(list(trends.items()), "feature string, trend string")).collect()
+    by = {r["feature"]: r for r in fits}                                  # one row per feature
+    status, chosen = [], []
+    for f in trends:
+        r = by.get(f)
+        if r is None:
+            status.append((f, "failed: no values", 0, None))
+            continue
+        ok = min_iv < r["iv"] < max_iv
+        status.append((f, "selected" if ok else "rejected: iv outside band", int(r["n_bins"]), float(r["iv"])))
+        if ok:
+            chosen.append(tuple(r))
+    return status, spark.createDataFrame(chosen, FIT_SCHEMA)
+
+
 def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical: list[str],
                     numeric_trends: dict[str, str], min_iv: float = 0.01, max_iv: float = 1.0,
-                    n_prebins: int = MAX_PREBINS, exact: bool = False, prebin: str = "quantile"):
+                    n_prebins: int = MAX_PREBINS):
     """Fit every categorical and every direction-known numeric feature in one go.
 
-    Returns (status DataFrame, numeric bins, categorical bins, fitted bin rows).
-    Status rows say why a feature was rejected instead of dropping it silently.
+    A feature is selected if the IV of its whole table (missing rows included) lies in the band.
+    Returns (status DataFrame, bins of the selected features, their counts per bin).  Status rows
+    say why a feature was rejected instead of dropping it silently.  The members of categorical
+    bins stay a table; only the few categories named in labels come to the driver.
     """
-    results, num_bins, cat_bins = [], {}, {}
-    fit_schema = "feature string, trend string, starts array<int>, n_bins int, iv double"
-    nums = [f for f in numeric_trends if f in df.columns]
-    held = []
-    try:
-        if nums:
-            cuts = (prebin_cuts_tree(df, nums, target, n_prebins) if prebin == "tree"
-                    else prebin_cuts(df, nums, n_prebins, exact=exact))
-            # (feature, pre-bin) counts: at most 21 rows per feature, kept for the two reads below
-            present = prebin_counts(df, cuts, target).filter(F.col("pb").isNotNull()).persist()
-            held.append(present)
-            trends = spark.createDataFrame(list(numeric_trends.items()), "feature string, trend string") \
-                .filter(F.col("feature").isin(nums))
-            fit_rows = fit_bins(present, trends).collect()          # one row per feature
-            fits = spark.createDataFrame([tuple(r) for r in fit_rows], fit_schema)
-            fc = fitted_counts(present, fits).collect()             # <= 20 rows per feature
-            fits_l = {r["feature"]: r for r in fit_rows}
-            nb = numeric_bins_from_fit(cuts, fc)
-            for f in nums:
-                r = fits_l.get(f)
-                if r is None:
-                    results.append((f, "failed: no values", 0, None))
-                    continue
-                status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
-                results.append((f, status, int(r["n_bins"]), float(r["iv"])))
-                if status == "selected":
-                    num_bins[f] = nb[f]
-        cats = [c for c in categorical if c in df.columns]
-        if cats:
-            cp = category_prebins(df, cats, target, n_prebins).persist()    # one row per category
-            held.append(cp)
-            counts = cp.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-            trends = spark.createDataFrame([(c, "ascending") for c in cats], "feature string, trend string")
-            fit_rows = fit_bins(counts, trends).collect()            # one row per feature
-            fits = spark.createDataFrame([tuple(r) for r in fit_rows], fit_schema)
-            fits_l = {r["feature"]: r for r in fit_rows}
-            # members per fitted bin, in event-rate order
-            pos = counts.withColumn("pos", F.row_number().over(Window.partitionBy("feature").orderBy("pb")) - 1)
-            m = (cp.join(pos.select("feature", "pb", "pos"), ["feature", "pb"])
-                 .join(F.broadcast(fits.select("feature", "starts")), "feature")
-                 .withColumn("bin_id", segment_of("pos"))
-                 .groupBy("feature", "bin_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("rate", "value"))).alias("_m"))
-                 .select("feature", "bin_id", F.transform("_m", lambda s: s["value"]).alias("members"))
-                 .collect())                                          # the fitted bins' members
-            groups = {}
-            for r in sorted(m, key=lambda r: (r["feature"], r["bin_id"])):
-                groups.setdefault(r["feature"], []).append(tuple(r["members"]))
-            for c in cats:
-                r = fits_l.get(c)
-                if r is None:
-                    results.append((c, "failed: no values", 0, None))
-                    continue
-                status = "selected" if min_iv < r["iv"] < max_iv else "rejected: iv outside band"
-                results.append((c, status, int(r["n_bins"]), float(r["iv"])))
-                if status == "selected":
-                    cat_bins[c] = CategoricalBins(c, tuple(groups[c]))
-    finally:
-        for h in held:
-            h.unpersist()
-    status = spark.createDataFrame(results, "feature string, status string, n_bins int, iv double")
-    return status, num_bins, cat_bins
+    status, bins, tables = [], [], []
+    cats = [c for c in categorical if c in df.columns]
+    if cats:
+        cp = written(category_prebins(df, cats, target, n_prebins), "categories")
+        counts = category_prebin_counts(cp)
+        got, fits = _fit_selected(spark, counts, {c: "ascending" for c in cats}, min_iv, max_iv)
+        status += got
+        members = written(cp.join(F.broadcast(fits.select("feature", "starts")), "feature")
+                          .withColumn("bin_id", segment_of("pb")).where("bin_id is not null")
+                          .select("feature", "value", "bin_id", "rate", "n"), "category-bins")
+        tables.append(fitted_counts(counts, fits).drop("pb_lo", "pb_hi", "trend"))
+        bins += category_bins(members)
+    nums = {f: t for f, t in numeric_trends.items() if f in df.columns}
+    if nums:
+        counts = written(prebin_counts(df, list(nums), target, n_prebins), "prebin-counts")
+        got, fits = _fit_selected(spark, counts, nums, min_iv, max_iv)
+        status += got
+        fitted = fitted_counts(counts, fits)
+        tables.append(fitted.drop("pb_lo", "pb_hi", "trend", "hi"))
+        rows = fitted.where("bin_id is not null").orderBy("feature", "bin_id").collect()   # <= 20 per feature
+        tops: dict = {}
+        for r in rows:
+            tops.setdefault(r["feature"], []).append(r["hi"])
+        bins += [NumericBins(f, tuple(his[:-1])) for f, his in tops.items()]
+    counts = None
+    for t in tables:
+        counts = t if counts is None else counts.unionByName(t)
+    return (spark.createDataFrame(status, "feature string, status string, n_bins int, iv double"),
+            sorted(bins, key=lambda b: (isinstance(b, NumericBins), b.feature)),
+            None if counts is None else written(counts, "bin-counts"))
+
+
+def category_bins(members: DataFrame) -> list[CategoryTable]:
+    """Bins of the features in a (feature, value, bin_id, rate, n) table; a label names the first
+    LABEL_MEMBERS categories of its bin in event-rate order."""
+    first = Window.partitionBy("feature", "bin_id").orderBy("rate", "value")
+    named = (members.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= LABEL_MEMBERS)
+             .join(members.groupBy("feature", "bin_id").agg(F.count(F.lit(1)).alias("size")), ["feature", "bin_id"])
+             .orderBy("feature", "bin_id", "_at").collect())       # <= LABEL_MEMBERS per bin
+    bins: dict = {}
+    for r in named:
+        bins.setdefault(r["feature"], {}).setdefault(r["bin_id"], (r["size"], []))[1].append(r["value"])
+    return [CategoryTable(f, tuple(label_of(names, size) for _, (size, names) in sorted(by.items())),
+                          members.where(F.col("feature") == f).select("value", "bin_id"))
+            for f, by in bins.items()]
+
+
+def label_of(names: list[str], size: int) -> str:
+    more = f" and {size - len(names)} more" if size > len(names) else ""
+    return "[" + " ".join(f"'{m}'" for m in names) + more + "]"
+
+
+def label_table(spark: SparkSession, bins: list) -> DataFrame:
+    """(feature, bin_id, label) of every bin, features under their binned names."""
+    return spark.createDataFrame([(cat_name(b.feature), i, lab) for b in bins for i, lab in enumerate(b.labels)],
+                                 "feature string, bin_id int, label string")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskcard.functions.exprs import MISSING_LABEL, interval_label, members_label
+from riskcard.operators.profile import as_text
 
 INF = float("inf")
 
@@ -76,6 +77,18 @@ class CategoricalBins:
         return expr.otherwise(F.lit(MISSING_LABEL))
 
 
+@dataclass(frozen=True)
+class CategoryTable:
+    """Fitted groups of category values, kept as a (value, bin_id) table, however many there are;
+    anything else (unseen, missing) is the missing bin."""
+    feature: str
+    labels: tuple          # display labels, one per bin
+    members: DataFrame
+
+
+MISSING_CODE = -1
+
+
 def cat_name(feature: str) -> str:
     return feature + "_cat"
 
@@ -91,6 +104,47 @@ def apply_bins(df: DataFrame, bins: list, keep: list[str] | None = None) -> Data
     return df.select(*exprs)
 
 
+def code_expr(b) -> Column:
+    """Bin number of a row's raw value (MISSING_CODE for the missing bin), by projection."""
+    x = F.col(b.feature)
+    if isinstance(b, NumericBins):
+        e = F.when(x.isNull(), F.lit(MISSING_CODE))
+        for i, split in enumerate(b.splits):
+            e = e.when(x <= F.lit(float(split)), F.lit(i))
+        return e.otherwise(F.lit(len(b.splits)))
+    e = F.when(x.isNull(), F.lit(MISSING_CODE))
+    for i, g in enumerate(b.groups):
+        e = e.when(x.isin(list(g)), F.lit(i))
+    return e.otherwise(F.lit(MISSING_CODE))
+
+
+def apply_codes(df: DataFrame, bins: list, keep: list[str] | None = None) -> DataFrame:
+    """Replace each binned feature by an integer ``<feature>_cat`` bin number.
+
+    Numeric and presence bins are a projection.  The members of a ``CategoryTable`` are joined on
+    the value: Spark broadcasts them while they are under its size limit, else both sides shuffle
+    and adaptive execution splits a hot category.
+    """
+    out = df
+    for b in bins:
+        if isinstance(b, CategoryTable):
+            t = b.members.select(F.col("value").alias("_value"), F.col("bin_id").alias("_code_" + b.feature))
+            out = out.join(t, as_text(df, b.feature) == F.col("_value"), "left").drop("_value")
+    codes = [F.coalesce("_code_" + b.feature, F.lit(MISSING_CODE)) if isinstance(b, CategoryTable) else code_expr(b)
+             for b in bins]
+    return out.select(*[F.col(c) for c in keep or []], *[c.alias(cat_name(b.feature)) for b, c in zip(bins, codes)])
+
+
+def label_codes(binned: DataFrame, bins: list, keep: list[str]) -> DataFrame:
+    """Labels of a ``binned`` table as bin numbers."""
+    def code(b):
+        e = F.lit(MISSING_CODE)
+        for i, lab in reversed(list(enumerate(b.labels))):
+            e = F.when(F.col(cat_name(b.feature)) == F.lit(lab), F.lit(i)).otherwise(e)
+        return e.alias(cat_name(b.feature))
+    return binned.select(*keep, *[code(b) for b in bins])
+
+
 def numeric_bin_table(spark: SparkSession, bins: list[NumericBins]) -> DataFrame:
     schema = T.StructType([
         T.StructField("feature", T.StringType(), False),
@@ -134,16 +188,14 @@ def apply_numeric_range_join(df: DataFrame, bins: list[NumericBins], id_col: str
 
 def apply_categorical_join(df: DataFrame, bins: list[CategoricalBins], id_col: str,
                            spark: SparkSession) -> DataFrame:
-    """Category -> bin lookup as a broadcast left equi-join on the value."""
+    """Category -> bin lookup as a left equi-join on the value (C5), labels attached last."""
     table = categorical_member_table(spark, bins)
-    out = df.select(id_col, *[b.feature for b in bins])
-    for b in bins:
-        t = F.broadcast(table.filter(F.col("feature") == b.feature)
-                        .select(F.col("value").alias("_v"), F.col("label").alias(cat_name(b.feature))))
-        out = out.join(t, F.col(b.feature) == F.col("_v"), "left").drop("_v")
-        out = out.withColumn(cat_name(b.feature),
-                             F.coalesce(F.col(cat_name(b.feature)), F.lit(MISSING_LABEL)))
-    return out.select(id_col, *[cat_name(b.feature) for b in bins])
+    tables = [CategoryTable(b.feature, tuple(b.labels),
+                            table.filter(F.col("feature") == b.feature).select("value", "bin_id")) for b in bins]
+    coded = apply_codes(df, tables, keep=[id_col])
+    label = lambda b: F.coalesce(F.get(F.array(*[F.lit(x) for x in b.labels]), F.col(cat_name(b.feature))),
+                                 F.lit(MISSING_LABEL))
+    return coded.select(id_col, *[label(b).alias(cat_name(b.feature)) for b in bins])
 
 
 def presence_flag(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:

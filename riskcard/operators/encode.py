@@ -2,19 +2,18 @@
 
 One-hot levels come from the bin metadata, so encoding is a projection with
 no pass over the data.  Correlations of all column pairs come from one
-pass of pair sums (a d x d result, independent of the row count); the
-pruning rule then runs on that small long table.
+pass of pair counts (at most levels^2 rows, independent of the row count);
+the pruning rule then runs on that small long table.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskcard.functions.exprs import MISSING_LABEL
-from riskcard.operators.bins import cat_name
+from riskcard.operators.bins import MISSING_CODE, cat_name, label_codes
+from riskcard.plans.prefix import written
 
 
 def level_columns(bins) -> list[tuple[str, str, str]]:
@@ -39,101 +38,81 @@ def one_hot(binned: DataFrame, bins, target: str, id_col: str | None = None) ->
     return binned.select(*([id_col] if id_col else []), *cols, target)
 
 
-def corr_pairs(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
-    """(a, b, corr) for every pair a before b in ``cols`` order, Pearson, rounded half-even.
+def one_hot_codes(coded: DataFrame, bins, target: str, id_col: str | None = None) -> DataFrame:
+    """The same table from bin numbers (``bins.apply_codes``)."""
+    cols = [F.when(F.col(src) == code, 1).otherwise(0).alias(name) for name, src, code in level_codes(bins)]
+    return coded.select(*([id_col] if id_col else []), *cols, target)
 
-    One pass and one small shuffle: each row emits the products of its
-    non-zero columns (for one-hot data: (features + 1)^2 / 2 terms, whatever
-    the number of levels), its non-zero values and a count; ``groupBy(i, j)``
-    sums them with map-side combine into at most d^2 + d + 1 groups.  A
-    constant column gives NULL (pandas gives NaN).
-    """
-    d = len(cols)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    nz = F.filter(cells, lambda x: x["v"] != 0)
-    term = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
-    prods = F.flatten(F.transform(nz, lambda x: F.transform(
-        F.filter(nz, lambda y: y["i"] >= x["i"]), lambda y: term(x["i"], y["i"], x["v"] * y["v"]))))
-    singles = F.transform(nz, lambda x: term(x["i"], F.lit(-1), x["v"]))
-    count = F.array(term(F.lit(-1), F.lit(-1), F.lit(1.0)))
-    sums = (df.select(F.explode(F.concat(prods, singles, count)).alias("t"))
-            .groupBy("t.i", "t.j").agg(F.sum("t.v").alias("s")))
-    # at most d^2 + d + 1 rows: bounded by the schema, never by the row count
-    got = {(r["i"], r["j"]): r["s"] for r in sums.collect()}
-    n = got.get((-1, -1), 0.0)
+
+def level_codes(bins) -> list[tuple[str, str, int]]:
+    """(column name, binned column, bin number) for every level, sorted by column name."""
+    out = []
+    for b in bins:
+        c = cat_name(b.feature)
+        out += [(f"{c}__b{i}", c, i) for i in range(len(b.labels))] + [(f"{c}__bnan", c, MISSING_CODE)]
+    return sorted(out)
+
+
+def level_labels(spark: SparkSession, bins) -> DataFrame:
+    """(feature, label): the readable name ``<feature> = <bin>`` of every one-hot column."""
     rows = []
-    for i in range(d):
-        for j in range(i + 1, d):
-            sa, sb = got.get((i, -1), 0.0), got.get((j, -1), 0.0)
-            qa, qb = got.get((i, i), 0.0), got.get((j, j), 0.0)
-            var_a, var_b = n * qa - sa * sa, n * qb - sb * sb
-            c = (n * got.get((i, j), 0.0) - sa * sb) / math.sqrt(var_a * var_b) \
-                if var_a > 0 and var_b > 0 else None
-            rows.append((cols[i], cols[j], c))
-    out = df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
-    return out.select("a", "b", F.bround("corr", digits).alias("corr"))
+    for b in bins:
+        c = cat_name(b.feature)
+        rows += [(f"{c}__b{i}", f"{b.feature} = {lab}") for i, lab in enumerate(b.labels)]
+        rows.append((f"{c}__bnan", f"{b.feature} = {MISSING_LABEL}"))
+    return spark.createDataFrame(rows, "feature string, label string")
 
 
-def corr_pairs_binned(binned: DataFrame, bins, target: str, digits: int = 2) -> DataFrame:
-    """``corr_pairs`` of the one-hot columns of ``one_hot(binned, bins, target)``,
-    computed from the labels without building the 0/1 matrix.
-
-    One-hot levels of a feature are exclusive, so every pair sum is a
-    co-occurrence count of two labels.  Each row emits one (feature, label,
-    feature, label) struct per pair of binned columns (a fixed array, no
-    lambdas, inside whole-stage codegen); one ``groupBy().count()`` with
-    map-side combine leaves at most (levels)^2 rows, which are all the
-    statistics the correlations need.
-    """
-    cats = [cat_name(b.feature) for b in bins]
-    lab = {c: F.col(c) for c in cats}
-    lab[target] = F.col(target).cast("string")
-    keys = cats + [target]
-    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("fa"), lab[a].alias("la"), F.lit(b).alias("fb"), lab[b].alias("lb"))
-                    for a, b in pairs])
-    counts = (binned.select(F.explode(arr).alias("t")).groupBy("t.fa", "t.la", "t.fb", "t.lb")
-              .agg(F.count(F.lit(1)).alias("k")).collect())          # bounded by levels^2
-    co = {(r["fa"], r["la"], r["fb"], r["lb"]): float(r["k"]) for r in counts}
-    n = sum(v for (fa, la, fb, lb), v in co.items() if fa == fb == keys[0] and la == lb)
-    # one-hot column -> (binned column, label); the target column is its own "1" level
-    levels = sorted(level_columns(bins))
-    where = {name: (src, label) for name, src, label in levels}
-    where[target] = (target, "1")
-    cols = [name for name, _, _ in levels] + [target]
+_CODES = 1 << 12        # bin numbers per feature that fit the packed pair key
 
-    def single(c):
-        f, l = where[c]
-        return co.get((f, l, f, l), 0.0)
 
-    def both(a, b):
-        (fa, la), (fb, lb) = where[a], where[b]
-        if fa == fb:
-            return single(a) if la == lb else 0.0
-        i, j = keys.index(fa), keys.index(fb)
-        return co.get((fa, la, fb, lb), 0.0) if i < j else co.get((fb, lb, fa, la), 0.0)
+def corr_pairs_codes(coded: DataFrame, bins, target: str, digits: int = 2) -> DataFrame:
+    """(a, b, corr) for every pair of one-hot columns a before b (names sorted, target last),
+    Pearson, rounded half-even; NULL for a constant column (D10).
 
-    rows = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            sa, sb = single(a), single(b)
-            var_a, var_b = n * sa - sa * sa, n * sb - sb * sb
-            c = (n * both(a, b) - sa * sb) / math.sqrt(var_a * var_b) if var_a > 0 and var_b > 0 else None
-            rows.append((a, b, c))
-    out = binned.sparkSession.createDataFrame(rows, "a string, b string, corr double")
-    return out.select("a", "b", F.bround("corr", digits).alias("corr"))
-
-
-def corr_pairs_ml(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
-    """Same table through Spark ML (a d x d covariance by tree aggregation)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.select(*cols)).select("_v")
-    m = Correlation.corr(vec, "_v").collect()[0][0].toArray()   # d x d, bounded by the schema
-    rows = [(cols[i], cols[j], None if m[i, j] != m[i, j] else round(float(m[i, j]), digits))
-            for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    Levels of a feature exclude each other, so every pair sum is a co-occurrence count of two bin
+    numbers.  A row emits one packed number per pair of binned columns (a fixed array inside
+    whole-stage codegen); one count with map-side combine leaves at most levels^2 rows, written
+    once.  Each level is then paired with the levels after it by position, an equi-join on tables
+    of at most levels^2 rows; nothing of it passes through the driver.
+    """
+    spark = coded.sparkSession
+    names = [cat_name(b.feature) for b in bins] + [target]
+    level_no = {n: i for i, n in enumerate(names)}
+    code = [F.col(n).cast("long") + 1 for n in names]
+    base, m = len(names), _CODES
+    packed = F.array(*[((F.lit(i * base + j) * m + code[i]) * m + code[j])
+                       for i in range(base) for j in range(i, base)])
+    x = F.col("x")
+    counts = (coded.select(F.explode(packed).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+              .select(F.expr(f"x div {m * m * base}").alias("fa"), F.expr(f"x div {m * m} % {base}").alias("fb"),
+                      F.expr(f"x div {m} % {m} - 1").alias("ca"), (x % m - 1).alias("cb"), "k"))
+    counts = written(counts, "level-pairs")
+    n = counts.where((F.col("fa") == 0) & (F.col("fb") == 0)).agg(F.sum("k").cast("double").alias("n")).scalar()
+    rows = [(name, level_no[src], c) for name, src, c in level_codes(bins)] + [(target, base - 1, 1)]
+    levels = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, name string, f long, c long")
+    own = counts.where("fa = fb").select(F.col("fa").alias("f"), F.col("ca").alias("c"), "k")
+    levels = written(levels.join(own, ["f", "c"], "left").na.fill(0, ["k"]).withColumnRenamed("k", "s"), "levels")
+    left = (levels.where(F.col("pos") < len(rows) - 1)
+            .select("name", "f", "c", "s", F.explode(F.sequence(F.col("pos") + 1, F.lit(len(rows) - 1))).alias("pos")))
+    right = levels.select("pos", F.col("name").alias("b"), F.col("f").alias("f2"), F.col("c").alias("c2"),
+                          F.col("s").alias("s2"))
+    j = left.join(right, "pos")
+    swap = F.col("f") > F.col("f2")
+    turn = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    j = j.select("name", "b", "s", "s2", turn("f", "f2").alias("fa"), turn("f2", "f").alias("fb"),
+                 turn("c", "c2").alias("ca"), turn("c2", "c").alias("cb"))
+    both = counts.where("fa <> fb")
+    j = j.join(both, ["fa", "fb", "ca", "cb"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    var = lambda s: n * F.col(s) - F.col(s).cast("double") * F.col(s)
+    corr = F.when((var("s") > 0) & (var("s2") > 0),
+                  (n * F.col("k") - F.col("s").cast("double") * F.col("s2")) / F.sqrt(var("s") * var("s2")))
+    return j.select(F.col("name").alias("a"), "b", F.bround(corr, digits).alias("corr"))
+
+
+def corr_pairs_binned(binned: DataFrame, bins, target: str, digits: int = 2) -> DataFrame:
+    """The same from labels."""
+    return corr_pairs_codes(label_codes(binned, bins, [target]), bins, target, digits)
 
 
 def corr_prune(pairs: DataFrame, cols: list[str], target: str, threshold: float = 0.67,

@@ -4,8 +4,9 @@ Everything starts from ``score_grain``: one row per distinct score (or
 prediction) with its row, good and bad counts.  That aggregate is combined
 map-side and is small for integer scorecard points (a few hundred to a few
 thousand rows at any data size), so the running sums over it may use an
-ordinary window.  For a grain that can be large (raw probabilities) pass
-``buckets > 1`` and the two-level prefix sums of ``plans.prefix`` are used.
+ordinary window (``partitions=1``).  A fractional key is refused there: its grain
+can approach the row count, so ``partitions=None`` sends it through the range
+sums of ``plans.prefix``.
 
 Ties: the reference numbers rows after a sort, so tied scores split between
 groups by chance.  Here a KS point sits between distinct scores, which is
@@ -18,10 +19,12 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskcard.functions.exprs import odds, safe_div
-from riskcard.plans.prefix import choose_buckets, global_row_number, running_sums
+from riskcard.plans.prefix import global_row_number, running_sums, written
 
+# Column names of the KS table.
 KS_COLUMNS = ["group", "good", "bad", "good_distri", "bad_distri", "badrate", "cumbadrate",
               "lift", "cumgood", "cumbad", "ks"]
 
@@ -37,42 +40,47 @@ def score_grain(df: DataFrame, key: str, label: str, weight: str | None = None,
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("long").alias("bad"))
 
 
-def _cumulate(grain: DataFrame, key: str, ascending: bool, by: list[str], buckets: int) -> DataFrame:
+def _check_small(grain: DataFrame, key: str) -> None:
+    """Single-window tables are for integer scores, whose grain does not grow with the rows."""
+    kind = grain.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{key} is {kind.simpleString()}: only an integer key has a bounded grain here")
+
+
+def _cumulate(grain: DataFrame, key: str, ascending: bool, by: list[str], partitions: int | None) -> DataFrame:
+    if partitions == 1:
+        _check_small(grain, key)
     sums = {"cum_n": "n", "cum_good": "good", "cum_bad": "bad", "idx": "1"}
-    if by:
-        o = F.col(key).asc() if ascending else F.col(key).desc()
-        w = Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return grain.select("*", *[(F.sum(F.lit(1).cast("long")) if s == "1" else F.sum(s)).over(w).alias(c)
-                                   for c, s in sums.items()])
-    return running_sums(grain, [key], sums, ascending=ascending, buckets=buckets)
+    return running_sums(grain, [key], sums, ascending, partitions, groups=by)
 
 
-def _totals(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
+def _totals(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
     """Attach the totals N, G, B and the number of grain rows K."""
-    if buckets <= 1:
-        w = Window.partitionBy(*by) if by else Window.partitionBy()
+    if partitions == 1:
+        w = Window.partitionBy(*by)
         return df.select("*", F.sum("n").over(w).alias("_N"), F.sum("good").over(w).alias("_G"),
                          F.sum("bad").over(w).alias("_B"), F.count(F.lit(1)).over(w).alias("_K"))
-    t = df.agg(F.sum("n"), F.sum("good"), F.sum("bad"), F.count(F.lit(1))).collect()[0]
-    return df.select("*", F.lit(t[0]).alias("_N"), F.lit(t[1]).alias("_G"), F.lit(t[2]).alias("_B"),
-                     F.lit(t[3]).alias("_K"))
+    sums = [F.sum("n").alias("_N"), F.sum("good").alias("_G"), F.sum("bad").alias("_B"),
+            F.count(F.lit(1)).alias("_K")]
+    if by:
+        return df.join(df.groupBy(*by).agg(*sums), by)
+    t = df.agg(F.struct(*sums).alias("t")).scalar()
+    return df.select("*", *[t[c].alias(c) for c in ("_N", "_G", "_B", "_K")])
 
 
 def ks_table(grain: DataFrame, key: str, ascending: bool = True, by: list[str] | None = None,
-             group: str = "population", buckets: int | None = 1, keep_key: bool = True) -> DataFrame:
+             group: str = "population", partitions: int | None = 1, keep_key: bool = True) -> DataFrame:
     """KS / lift table over the ordered grain.
 
     ``group`` is the population fraction reached at the end of each grain row
     (``population``) or the grain-row index over the number of grain rows
-    (``index``, as for equal-size groups).  ``buckets=None`` sizes the
-    two-level prefix sums from the grain's row count (for raw probabilities,
-    whose grain can approach the row count); 1 is a plain window, right for
-    integer scores.
+    (``index``, as for equal-size groups).  ``partitions``: 1 is a plain window,
+    for integer scores; None takes the range sums, for raw probabilities.
     """
     by = list(by or [])
-    if buckets is None:
-        buckets = 1 if by else choose_buckets(grain.count())
-    c = _totals(_cumulate(grain, key, ascending, by, buckets), by, buckets)
+    if partitions != 1:
+        grain = written(grain, "grain")           # read for the ranges and for the totals
+    c = _totals(_cumulate(grain, key, ascending, by, partitions), by, partitions)
     grp = safe_div("cum_n", "_N") if group == "population" else safe_div("idx", "_K")
     cumbadrate = safe_div("cum_bad", "cum_n")
     out = c.select(
@@ -132,25 +140,25 @@ def lift_table(kst: DataFrame) -> DataFrame:
 
 
 def equal_groups(df: DataFrame, key: str, id_col: str, groupnum: int, ascending: bool = True,
-                 buckets: int | None = None) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Group number ceil(rn * g / n) over the total order (key, id).
 
     Integer arithmetic, so a row at an exact multiple is never pushed up; this
     is not ``ntile`` (which gives the larger groups first).
     """
+    df = written(df, "groups")                    # counted and ranked
     total = df.count()
-    ranked = global_row_number(df, [key, id_col], "rn", ascending=ascending, buckets=buckets,
-                               n_rows=total)
+    ranked = global_row_number(df, [key, id_col], "rn", ascending, partitions)
     g = int(groupnum)
     return ranked.withColumn("grp", F.expr(f"(rn * {g} + {total - 1}) div {max(total, 1)}"))
 
 
-def roc_curve(grain: DataFrame, key: str, bad_high: bool = False) -> DataFrame:
+def roc_curve(grain: DataFrame, key: str, bad_high: bool = False, partitions: int | None = 1) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct threshold.
 
     ``bad_high=False``: low keys are bad (a scorecard), thresholds are ``-key``.
     """
-    c = _totals(_cumulate(grain, key, not bad_high, [], 1), [], 1)
+    c = _totals(_cumulate(grain, key, not bad_high, [], partitions), [], partitions)
     thr = F.col(key) if bad_high else -F.col(key)
     return c.select(thr.cast("double").alias("threshold"),
                     safe_div("cum_good", "_G").alias("fpr"),
@@ -158,10 +166,10 @@ def roc_curve(grain: DataFrame, key: str, bad_high: bool = False) -> DataFrame:
 
 
 def auc(grain: DataFrame, key: str, bad_high: bool = False, by: list[str] | None = None,
-        buckets: int = 1) -> DataFrame:
+        partitions: int | None = 1) -> DataFrame:
     """ROC AUC by rank sums over the grain, ties counted half."""
     by = list(by or [])
-    c = _totals(_cumulate(grain, key, not bad_high, by, buckets), by, buckets)
+    c = _totals(_cumulate(grain, key, not bad_high, by, partitions), by, partitions)
     # goods strictly "safer" than this key = goods after it in the bad-first order
     above = F.col("_G") - F.col("cum_good")
     term = F.col("bad").cast("double") * above + F.lit(0.5) * F.col("bad") * F.col("good")
@@ -169,11 +177,14 @@ def auc(grain: DataFrame, key: str, bad_high: bool = False, by: list[str] | None
     return a.withColumn("gini", F.lit(100.0) * (F.lit(2.0) * F.col("auc") - F.lit(1.0)))
 
 
-def model_metrics(grain: DataFrame, key: str, bad_high: bool = False) -> DataFrame:
-    """KS x100 and AUC rounded to 2 places, Gini."""
-    kst = ks_table(grain, key, ascending=not bad_high)
+def model_metrics(grain: DataFrame, key: str, bad_high: bool = False, partitions: int | None = 1) -> DataFrame:
+    """KS x100 and AUC rounded to 2 places, Gini (D16).  On raw probabilities: ``bad_high=True,
+    partitions=None`` (K10)."""
+    if partitions != 1:
+        grain = written(grain, "grain")
+    kst = ks_table(grain, key, ascending=not bad_high, partitions=partitions)
     ks = kst.agg(F.max("ks").alias("_ks"))
-    a = auc(grain, key, bad_high)
+    a = auc(grain, key, bad_high, partitions=partitions)
     both = ks.unionByName(a.select(F.lit(None).cast("double").alias("_ks"), "auc", "gini"),
                           allowMissingColumns=True)
     return both.agg(F.bround(F.lit(100.0) * F.max("_ks"), 2).alias("ks100"),
@@ -193,8 +204,8 @@ def score_percentiles(grain: DataFrame, key: str, qs=(0.1, 0.25, 0.5, 0.75, 0.9)
 
 def score_histogram(grain: DataFrame, key: str, bins: int = 80) -> DataFrame:
     """Equal-width histogram by class over [min, max]."""
-    w = Window.partitionBy()
-    lo, hi = F.min(key).over(w), F.max(key).over(w)
+    ends = grain.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("e")).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     width = (hi - lo).cast("double") / F.lit(float(bins))
     b = F.least(F.coalesce(F.floor(F.try_divide(F.col(key) - lo, width)), F.lit(0)), F.lit(bins - 1))
     return (grain.select(b.cast("int").alias("bin"), "good", "bad")
@@ -239,6 +250,7 @@ def ppt_table(grain: DataFrame, key: str, offset: float, factor: float, origin:
     G(>=s)/(N(>=s)+o[s=min]);  rejected good rate = G(<=s)/(N(<=s)+o), NULL->0.
     Prefix and suffix sums over the grain replace one full scan per cutoff.
     """
+    _check_small(grain, key)
     o = 1 if origin else 0
     w_up = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_all = Window.partitionBy()
@@ -260,39 +272,8 @@ def ppt_table(grain: DataFrame, key: str, offset: float, factor: float, origin:
         F.coalesce(safe_div("g_le", F.col("n_le") + o), F.lit(0.0)).alias("good_rate_rejected"))
     return out.select("cutoff_score", "approval_rate", "marginal_odds_ratio", "marginal_good_rate",
                       "good_rate_accepted", odds("good_rate_accepted").alias("odds_accepted"),
-                      "good_rate_rejected", odds("good_rate_rejected").alias("odds_rejected"))
-
-
-def ppt_theta_join(grain: DataFrame, key: str, offset: float, factor: float) -> DataFrame:
-    """The same cutoff table from one explicit non-equi join of cutoffs and score groups.
-
-    ``score >= cutoff`` gives N(>=s), G(>=s) and N(>s); the rejected side follows
-    from totals (N(<=s) = N - N(>s)), and the totals are the values at the
-    lowest cutoff.  Both sides are the grain (one row per distinct score) with
-    the same columns, so the join is bounded by the score range and the grain
-    is computed once.
-    """
-    cut = grain.select(F.col(key).alias("cutoff_score"), F.col("n").alias("n_s"), F.col("good").alias("g_s"))
-    g = grain.select(F.col(key).alias("_s"), "n", "good")
-    ge = (cut.join(g, F.col("_s") >= F.col("cutoff_score"))
-          .groupBy("cutoff_score", "n_s", "g_s")
-          .agg(F.sum("n").alias("n_ge"), F.sum("good").alias("g_ge")))
-    w = Window.partitionBy()
-    j = (ge.withColumn("_N", F.max("n_ge").over(w)).withColumn("_G", F.max("g_ge").over(w))
-         .withColumn("n_gt", F.col("n_ge") - F.col("n_s"))
-         .withColumn("n_le", F.col("_N") - F.col("n_gt"))
-         .withColumn("g_le", F.col("_G") - (F.col("g_ge") - F.col("g_s"))))
-    mo = F.exp((F.col("cutoff_score").cast("double") - F.lit(float(offset))) / F.lit(float(factor)))
-    out = j.select(
-        F.col("cutoff_score").cast("long").alias("cutoff_score"),
-        safe_div("n_gt", "_N").alias("approval_rate"),
-        mo.alias("marginal_odds_ratio"),
-        (mo / (F.lit(1.0) + mo)).alias("marginal_good_rate"),
-        safe_div("g_ge", "n_ge").alias("good_rate_accepted"),
-        F.coalesce(safe_div("g_le", "n_le"), F.lit(0.0)).alias("good_rate_rejected"))
-    return out.select("cutoff_score", "approval_rate", "marginal_odds_ratio", "marginal_good_rate",
-                      "good_rate_accepted", odds("good_rate_accepted").alias("odds_accepted"),
-                      "good_rate_rejected", odds("good_rate_rejected").alias("odds_rejected"))
+                      "good_rate_rejected", odds("good_rate_rejected").alias("odds_rejected")
+                      ).orderBy(F.desc("cutoff_score"))
 
 
 def scaling(target_score: float = 450.0, target_odds: float = 1.0, pts_double_odds: float = 80.0):

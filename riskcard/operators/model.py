@@ -1,16 +1,16 @@
 """Split, regularised logistic regression and the grid search.
 
-* The split is a pure function of the id (``pmod(id * 7919 + seed, 100)``),
-  so it is the same whatever the partitioning, on a rerun, or in SQL.
-* After one-hot encoding, rows with the same bins are identical: the design
-  is compressed with ``groupBy(levels, target, split).count()`` and the count
-  becomes ``weightCol``.  ``regParam`` still uses the row count.
+* The split hashes the id with a seed (the first 32 bits of an MD5), so it is
+  the same whatever the partitioning, on a rerun, or in SQL, for ids of any type.
+* After pruning, rows that agree in every kept level are identical: the design
+  is compressed on one small code per feature (pruned levels fold into one
+  code) and the row count becomes ``weightCol``.  ``regParam`` still uses the row count.
 * sklearn's objective ``pen(w) + C * sum(loss)`` equals Spark's
   ``mean(loss) + regParam * pen`` with ``regParam = 1 / (C * n)``
   (``elasticNetParam`` 1 for L1, 0 for L2), no standardisation, and an
   unpenalised intercept.
-* All 36 fits run on Spark from a driver thread pool; their 72 KS values come
-  from one scoring pass over the compressed frame.
+* The 36 fits run on Spark from a small driver thread pool; their 72 KS values
+  come from two passes over the compressed frame.
 """
 
 from __future__ import annotations
@@ -19,25 +19,28 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskcard.plans.prefix import grouped_running_sums
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from riskcard.operators.encode import level_codes
+from riskcard.plans.prefix import written
+from riskcard.session import ship_code
 
 # The reference grid.
 PENALTIES = ["l1", "l2"]
 C_VALUES = [0.001, 0.0025, 0.005, 0.0075, 0.01, 0.025, 0.05, 0.075, 0.1, 0.2, 0.3, 0.4, 0.5,
             0.6, 0.7, 0.8, 0.9, 1.0]
-SPLIT_MULTIPLIER = 7919
+FIT_THREADS = 4             # fits at a time; each keeps its own blocks of the training rows
+KS_INTERVALS = 4096
+OTHER_CODE = -2             # a pruned level in the compressed design
 
 
 def split_expr(id_col: str, train_fraction: float = 0.7, seed: int = 42):
     """'train' / 'test' from the id alone (K2)."""
-    cut = int(round(train_fraction * 100))
-    r = F.pmod(F.col(id_col) * SPLIT_MULTIPLIER + seed, F.lit(100))
-    return F.when(r < cut, F.lit("train")).otherwise(F.lit("test"))
+    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.when(h < int(train_fraction * 2**32), F.lit("train")).otherwise(F.lit("test"))
 
 
 def train_test_split(df: DataFrame, id_col: str, train_fraction: float = 0.7, seed: int = 42) -> DataFrame:
@@ -46,10 +49,20 @@ def train_test_split(df: DataFrame, id_col: str, train_fraction: float = 0.7, se
     return df.withColumn("split", split_expr(id_col, train_fraction, seed))
 
 
-def compress(df: DataFrame, features: list[str], target: str, extra: list[str] | None = None) -> DataFrame:
-    """Identical design rows collapsed to one row with a weight ``w`` (section 4.4)."""
-    keys = list(extra or []) + list(features) + [target]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("w"))
+def compress_codes(coded: DataFrame, bins, features: list[str], target: str,
+                   extra: list[str] | None = None) -> DataFrame:
+    """Rows that agree in every kept one-hot column ``features`` collapsed to one weighted row,
+    with those columns (section 4.4).  Groups by one folded code per feature."""
+    kept: dict = {}
+    for name, src, code in level_codes(bins):
+        if name in set(features):
+            kept.setdefault(src, []).append((name, code))
+    folded = coded.select(*(extra or []), target, *[
+        F.when(F.col(src).isin([c for _, c in lv]), F.col(src)).otherwise(F.lit(OTHER_CODE)).alias(src)
+        for src, lv in kept.items()])
+    g = folded.groupBy(*(extra or []), target, *kept).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    columns = {name: (F.col(src) == code).cast("int") for src, lv in kept.items() for name, code in lv}
+    return g.select(*(extra or []), *[columns[f].alias(f) for f in features], target, "w")
 
 
 def assemble(train: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -75,16 +88,23 @@ def coef_frame(spark: SparkSession, features: list[str], intercept: float, coefs
     return spark.createDataFrame(rows, "feature string, coef double")
 
 
-def ks_of_models(compressed: DataFrame, features: list[str], target: str, models: list) -> dict:
-    """{(model, split): ks} for many models from one scoring pass.
+def linear_column(features: list[str], intercept: float, coefs: list[float]):
+    """Bad log-odds of a design row, by projection."""
+    z = F.lit(float(intercept))
+    for f, w in zip(features, coefs):
+        z = z + F.col(f) * F.lit(float(w))
+    return z
+
+
+def ks_of_models(compressed: DataFrame, features: list[str], target: str, models: list,
+                 intervals: int = KS_INTERVALS) -> dict:
+    """{(model, split): ks} of many models over the compressed frame, exact, in two passes.
 
-    A pandas UDF turns each Arrow batch of design rows into all models'
-    P(bad) with one matrix product (rows x features times features x models);
-    ``posexplode`` gives (model, p), which is aggregated at distinct-p grain.
-    Running sums per (model, split) use the two-level prefix sums, so one
-    model's grain (up to the compressed frame) is not one task.
+    A pandas UDF turns each Arrow batch of design rows into all models' P(bad) with one matrix
+    product.  Pass 1 counts goods and bads per (model, split, interval of p): a bounded table.  Its
+    running sums are exact at interval edges and bound KS inside.  Pass 2 ranks the distinct p of
+    only those intervals that can still hold the maximum.
     """
-    from riskcard.session import ship_code
     ship_code(compressed.sparkSession)
     coef = np.array([w for _, w in models], dtype=float).T          # features x models
     inter = np.array([b0 for b0, _ in models], dtype=float)
@@ -97,26 +117,37 @@ def ks_of_models(compressed: DataFrame, features: list[str], target: str, models
         return pd.Series(list(1.0 / (1.0 + np.exp(-z))))
 
     xs = F.array(*[F.col(f).cast("double") for f in features])
+    by = ["model", "split"]
     long = (compressed.select("split", "w", F.col(target).alias("_y"), probs(xs).alias("_p"))
-            .select("split", "w", "_y", F.posexplode("_p").alias("model", "p")))
-    g = long.groupBy("model", "split", "p").agg(
-        F.sum(F.when(F.col("_y") == 0, F.col("w")).otherwise(0.0)).alias("good"),
-        F.sum(F.when(F.col("_y") == 1, F.col("w")).otherwise(0.0)).alias("bad"))
-    # running sums by descending p within (model, split), via two-level prefix sums:
-    # the distinct-p grain of one model can be as large as the compressed frame
-    g = g.withColumn("_split", F.when(F.col("split") == "train", 0).otherwise(1)).persist()
-    c = grouped_running_sums(g, ["model", "_split"], ["p"], {"cg": "good", "cb": "bad"}, ascending=False)
-    tot = g.groupBy("model", "_split").agg(F.sum("good").alias("_G"), F.sum("bad").alias("_B"))
-    c = c.join(F.broadcast(tot), ["model", "_split"])
-    ks = F.abs(F.col("cb") / F.col("_B") - F.col("cg") / F.col("_G"))
-    try:
-        rows = c.groupBy("model", "split").agg(F.bround(F.max(ks), 4).alias("ks")).collect()
-    finally:
-        g.unpersist()
-    return {(f"m{r['model']}", r["split"]): r["ks"] for r in rows}      # 2 rows per model
-
-
-ROWS_PER_FIT_PARTITION = 1_000_000
+            .select("split", "w", "_y", F.posexplode("_p").alias("model", "p"))
+            .withColumn("k", F.least(F.floor(F.col("p") * intervals), F.lit(intervals - 1)).cast("int")))
+    counts = [F.sum(F.when(F.col("_y") == 0, F.col("w")).otherwise(0.0)).alias("good"),
+              F.sum(F.when(F.col("_y") == 1, F.col("w")).otherwise(0.0)).alias("bad")]
+    # descending p; at most ``intervals`` rows per window
+    down = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*by)
+    edge = written(
+        long.groupBy(*by, "k").agg(*counts)
+        .withColumn("G", F.sum("good").over(whole)).withColumn("B", F.sum("bad").over(whole))
+        .withColumn("g1", F.sum("good").over(down)).withColumn("b1", F.sum("bad").over(down))
+        .withColumn("g0", F.col("g1") - F.col("good")).withColumn("b0", F.col("b1") - F.col("bad"))
+        .withColumn("at_edge", F.abs(F.col("b1") / F.col("B") - F.col("g1") / F.col("G")))
+        .withColumn("inside", F.greatest(F.col("b1") / F.col("B") - F.col("g0") / F.col("G"),
+                                         F.col("g1") / F.col("G") - F.col("b0") / F.col("B")))
+        .withColumn("best", F.max("at_edge").over(whole)), "ks-edges")
+    # a bounded table (intervals x models x splits) that shrinks to a few intervals per model
+    narrow = edge.where("inside > best").select(*by, "k", "G", "B", "g0", "b0")
+    rest = (long.join(F.broadcast(narrow), [*by, "k"]).groupBy(*by, "k", "p", "G", "B", "g0", "b0").agg(*counts))
+    inner = (Window.partitionBy(*by, "k").orderBy(F.desc("p"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fine = rest.select(*by, F.abs((F.col("b0") + F.sum("bad").over(inner)) / F.col("B")
+                                  - (F.col("g0") + F.sum("good").over(inner)) / F.col("G")).alias("ks"))
+    every = fine.unionByName(edge.select(*by, F.col("at_edge").alias("ks")))
+    rows = every.groupBy(*by).agg(F.bround(F.max("ks"), 4).alias("ks")).collect()      # 2 rows per model
+    return {(f"m{r['model']}", r["split"]): r["ks"] for r in rows}
+
+
+ROWS_PER_FIT_PARTITION = 50_000
 
 
 def grid_search(spark: SparkSession, compressed: DataFrame, features: list[str], target: str,
@@ -124,15 +155,14 @@ def grid_search(spark: SparkSession, compressed: DataFrame, features: list[str],
                 max_iter: int = 100):
     """36 fits; (grid table, fitted models).  Quality = KS_test - |KS_train - KS_test| (K4, K6-K8)."""
     grid = [(p, c) for p in penalties for c in c_values]
-    # assembled once and cached: every fit reads the same vectors.  Fits are
-    # many short jobs, so all of them run at once and the frame is kept in
-    # as few partitions as its size allows.
+    # assembled once and cached: every fit reads the same vectors, in partitions of about
+    # ROWS_PER_FIT_PARTITION rows (a fit is many short jobs)
     train = assemble(compressed.filter(F.col("split") == "train"), features, target)
     rows = train.count()
-    train = train.coalesce(max(1, -(-rows // ROWS_PER_FIT_PARTITION))).cache()
+    train = train.repartition(max(1, -(-rows // ROWS_PER_FIT_PARTITION))).cache()
     try:
         train.count()
-        with ThreadPoolExecutor(max_workers=threads or len(grid)) as pool:
+        with ThreadPoolExecutor(max_workers=threads or FIT_THREADS) as pool:
             models = list(pool.map(
                 lambda pc: fit_logistic(train, features, target, pc[0], pc[1], n_train, max_iter,
                                         assembled=True), grid))

@@ -95,6 +95,52 @@ def score_expr(sc: Scorecard, features: list[str] | None = None) -> Column:
     return s
 
 
+def codes_expr(sc: Scorecard, values: dict, start: Column) -> Column:
+    """start + the per-bin values (feature -> (per bin, missing)) of a row of bin numbers."""
+    out = start
+    for b in sc.bins:
+        ws, wn = values[b.feature]
+        by_code = F.array(F.lit(wn if wn is not None else type(ws[0])(0)), *[F.lit(w) for w in ws])
+        out = out + F.get(by_code, F.col(cat_name(b.feature)) + 1)        # the missing bin is number -1
+    return out
+
+
+def score_codes(sc: Scorecard) -> Column:
+    """Integer score of a row of bin numbers (``bins.apply_codes``)."""
+    pts = {f: ([int(p) for p in ps], None if pn is None else int(pn)) for f, (ps, pn) in sc.points().items()}
+    return codes_expr(sc, pts, F.lit(int(sc.intercept_points())).cast("long")).cast("long")
+
+
+def predictor_codes(sc: Scorecard) -> Column:
+    """Bad log-odds of a row of bin numbers."""
+    ws = {f: ([float(w) for w in x], None if n is None else float(n)) for f, (x, n) in sc.weights.items()}
+    return codes_expr(sc, ws, F.lit(float(sc.intercept)))
+
+
+def with_scaling(df: DataFrame, logit: Column, sc: Scorecard) -> DataFrame:
+    """Add logit (good log-odds), odds, P(good) and the unrounded score (L1, L2)."""
+    return (df.withColumn("logit", logit).withColumn("odds", F.exp("logit"))
+            .withColumn("probs", F.col("odds") / (F.lit(1.0) + F.col("odds")))
+            .withColumn("raw_score", F.lit(float(sc.offset)) + F.lit(float(sc.factor)) * F.col("logit")))
+
+
+def scorecard_lines(spark: SparkSession, sc: Scorecard, counts: DataFrame, total: DataFrame) -> DataFrame:
+    """(feature, label, score, n) from counts per bin (feature, bin_id, n; bin_id NULL: missing) and
+    the one-row table of all rows (L12)."""
+    pts, rows = sc.points(), []
+    for b in sc.bins:
+        ps, pn = pts[b.feature]
+        rows += [(b.feature, i, lab, int(p)) for i, (lab, p) in enumerate(zip(b.labels, ps))]
+        if pn is not None:
+            rows.append((b.feature, None, MISSING_LABEL, int(pn)))
+    lines = spark.createDataFrame(rows, "f string, b int, label string, score long")
+    out = (lines.join(counts, F.col("f").eqNullSafe(F.col("feature")) & F.col("b").eqNullSafe(F.col("bin_id")), "left")
+           .select(F.concat("f", F.lit("_cat")).alias("feature"), "label", "score", F.coalesce("n", F.lit(0)).alias("n")))
+    inter = total.select(F.lit(INTERCEPT).alias("feature"), F.lit(None).cast("string").alias("label"),
+                         F.lit(int(sc.intercept_points())).cast("long").alias("score"), "n")
+    return out.unionByName(inter).orderBy("feature", "label")
+
+
 def score_rows_wide(df: DataFrame, sc: Scorecard, keep: list[str], out: str = "score") -> DataFrame:
     """Row scores by projection (the default: no shuffle)."""
     return df.select(*keep, score_expr(sc).alias(out))
@@ -105,18 +151,18 @@ def points_table(spark: SparkSession, sc: Scorecard) -> DataFrame:
 
 
 def score_rows_long(binned: DataFrame, sc: Scorecard, id_col: str, spark: SparkSession) -> DataFrame:
-    """Row scores the long way: unpivot labels, broadcast-join points, sum per id.
+    """Row scores from labels: each label looks its points up, the row adds them.
 
-    Kept as the relational form of the dot product.  It shuffles on the id, so
-    ``score_rows_wide`` is preferred on large tables.
+    The relational form of the dot product without its shuffle: the points (one row per bin,
+    bounded by the binning) become one map per feature inside the projection.
     """
-    cats = [cat_name(b.feature) for b in sc.bins]
-    long = binned.select(id_col, *cats).unpivot([id_col], cats, "feature", "label")
-    pts = points_table(spark, sc).filter(F.col("feature") != INTERCEPT)
-    j = long.join(F.broadcast(pts), ["feature", "label"], "left")
-    return (j.groupBy(id_col)
-            .agg((F.sum(F.coalesce(F.col("points"), F.lit(0))) + F.lit(int(sc.intercept_points())))
-                 .cast("long").alias("score")))
+    score = F.lit(int(sc.intercept_points())).cast("long")
+    for b in sc.bins:
+        ps, pn = sc.points()[b.feature]
+        lines = [*zip(b.labels, ps), (MISSING_LABEL, pn or 0)]
+        by_label = F.create_map(*[F.lit(x) for lab, p in lines for x in (lab, int(p))])
+        score = score + F.coalesce(by_label[F.col(cat_name(b.feature))], F.lit(0))
+    return binned.select(id_col, score.cast("long").alias("score"))
 
 
 def score_scaling(df: DataFrame, sc: Scorecard, keep: list[str]) -> DataFrame:

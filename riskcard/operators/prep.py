@@ -82,6 +82,20 @@ def drop_reason(field: T.StructField) -> str | None:
     return None
 
 
+def checked_target(df: DataFrame, target: str) -> DataFrame:
+    """The table with its target as 0/1 integers; an error for any other value (one aggregate).
+
+    Targets come as integers, decimals, doubles or booleans (CSV and Parquet writers differ)."""
+    kind = df.schema[target].dataType
+    if not isinstance(kind, (*NUMERIC_TYPES, T.BooleanType)):
+        raise ValueError(f"target {target} is {kind.simpleString()}: a number or boolean is needed")
+    y = F.col(target).cast("double")
+    bad = df.agg(F.count_if(y.isNull() | ~y.isin(0.0, 1.0)).alias("n")).head()[0]
+    if bad:
+        raise ValueError(f"target {target}: {bad} rows are neither 0 nor 1")
+    return df.withColumn(target, F.col(target).cast("int"))
+
+
 def replace_sentinels(df: DataFrame, sentinels=SENTINELS) -> DataFrame:
     """Whole-cell sentinel strings become NULL on string columns."""
     strs = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}

@@ -119,6 +119,11 @@ def value_table(df: DataFrame, features: list[str], target: str,
     return t.withColumn("iv", F.col("woe") * (F.col("dist_good") - F.col("dist_bad")))
 
 
+def sorted_value_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The value table for people: by feature, then value."""
+    return value_table(df, features, target).orderBy("feature", "value")
+
+
 def iv_by_feature(vt: DataFrame) -> DataFrame:
     """(feature, iv) = sum of the value IVs."""
     return vt.groupBy("feature").agg(F.sum("iv").alias("iv"))

@@ -1,13 +1,13 @@
 """The whole scorecard build, stage by stage, on Spark.
 
-ingest -> missing rate -> clean -> raw IV -> roles -> bin fit + screening ->
-bin apply -> one-hot -> correlation prune -> split + compress -> 36-fit grid ->
+ingest (target check) -> missing rate -> clean -> raw IV -> roles -> bin fit + screening -> bin
+numbers -> correlation prune -> split + compress -> 36-fit grid -> winner on the whole table ->
 scorecard points -> evaluation (KS, AUC, cutoff table).
 
-Materialisation points: the cleaned input is written once as Parquet under
-the shared checkpoint folder (it feeds five jobs, and a lost executor then
-recomputes from that file, not from the source joins), and the compressed
-design matrix is cached for the grid.  Everything between is lazy.
+Materialisation points, all Parquet under the shared checkpoint folder: the cleaned input (it
+feeds five jobs, and a lost executor then recomputes from that file, not from the source joins),
+the bin numbers, the compressed design and the small count tables.  Only the assembled training
+vectors are cached.  ``session.release_scratch`` deletes the folders when the results are used up.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ from riskcard.operators import model as M
 from riskcard.operators import points as P
 from riskcard.operators import prep
 from riskcard.operators import profile as PR
-from riskcard.operators.bins import CategoricalBins, apply_bins, cat_name
-from riskcard.session import scratch_path
+from riskcard.operators.bins import CategoricalBins, apply_codes, cat_name
+from riskcard.plans.prefix import written
 from riskcard.sources import fixture as FX
 
 
@@ -35,6 +34,7 @@ from riskcard.sources import fixture as FX
 class BuildParams:
     target: str = FX.TARGET
     id_col: str = FX.ID
+    made_id: str | None = None          # an id column that is not part of the data
     sparse_threshold: float = 0.95
     min_iv: float = 0.01
     max_iv: float = 1.0
@@ -47,25 +47,16 @@ class BuildParams:
     new_asc: list = field(default_factory=list)
     new_desc: list = field(default_factory=list)
     exclude: list = field(default_factory=list)
+    # Features that only get a presence flag.
     presence: list = field(default_factory=lambda: ["ELJCOUNTY1", "ELJCOUNTY2", "MBELJFILINGNAME1",
                                                     "MBELJFILINGNAME2", "City_App", "State_App"])
     n_prebins: int = B.MAX_PREBINS
-    exact_quantiles: bool = False
-    prebin: str = "quantile"            # or "tree": CART pre-bins, >= 5% of rows each
-    grid_threads: int | None = None     # None: all grid points at once
+    grid_threads: int | None = None     # None: model.FIT_THREADS at a time
     grid_penalties: tuple = tuple(M.PENALTIES)
     grid_c: tuple = tuple(M.C_VALUES)
     max_iter: int = 100
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared checkpoint folder and read back: cuts lineage,
-    survives executor loss, keeps column pruning on later reads."""
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params: BuildParams) -> dict:
     p = params
     tgt, idc = p.target, p.id_col
@@ -77,19 +68,20 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
         now = time.time()
         timings[name] = round(now - clock[0], 3)
         clock[0] = now
-    out["missing_rate"] = PR.missing_rate(df)
-    df = prep.exclude_columns(df, p.exclude)
+    df = prep.checked_target(df, tgt)
+    out["missing_rate"] = PR.missing_rate(df, [c for c in df.columns if c != p.made_id])
 
     # clean: name/type rules (no job) and sentinels, written once; the sparse rule
     # then reads the written table, so the source is scanned a single time
     prep._check_threshold(p.sparse_threshold)
-    written = materialize(spark, prep.rule_filtered(df, tgt, idc), "cleaned")
-    cleaned = prep.drop_sparse(written, tgt, idc, p.sparse_threshold)
-    feats = [c for c in cleaned.columns if c not in (tgt, idc)]
+    table = written(prep.rule_filtered(df, tgt, idc), "cleaned")
+    cleaned = prep.drop_sparse(table, tgt, idc, p.sparse_threshold)
     lap("clean")
 
-    # raw IV of every column: unpivot + two aggregates
-    out["iv"] = PR.iv_by_feature(PR.value_table(cleaned, feats, tgt))
+    # raw IV of every column, before the user's exclusions
+    out["iv"] = PR.iv_by_feature(PR.value_table(cleaned, [c for c in cleaned.columns if c not in (tgt, idc)], tgt))
+    cleaned = prep.exclude_columns(cleaned, [c for c in p.exclude if c not in (tgt, idc)])
+    feats = [c for c in cleaned.columns if c not in (tgt, idc)]
 
     # roles from types + one value test; directions from the dictionary
     roles = {r["feature"]: r["role"] for r in prep.column_roles(cleaned, feats).collect()}  # per column
@@ -100,68 +92,77 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
               if roles.get(r["feature"]) == "numeric"}
     categorical = sorted(f for f, r in roles.items() if r == "categorical")
     presence = sorted(set(categorical) & set(p.presence))
-    binnable = [c for c in categorical if c not in presence]
 
     # fit + screen every feature in one set of jobs
-    status, num_bins, cat_bins = B.screen_features(
-        spark, cleaned, tgt, binnable, trends, p.min_iv, p.max_iv, p.n_prebins, p.exact_quantiles,
-        p.prebin)
+    status, bins, counts = B.screen_features(spark, cleaned, tgt, [c for c in categorical if c not in presence],
+                                             trends, p.min_iv, p.max_iv, p.n_prebins)
     out["feature_status"] = status
-    lap("bin_fit")
-    bins = [cat_bins[f] for f in sorted(cat_bins)] + [num_bins[f] for f in sorted(num_bins)]
     if not bins:
         raise ValueError("no feature passed the IV screen")
     # presence-only features become a two-level flag: 'not NaN' / 'NaN'
-    bins += [CategoricalBins(f, (("not NaN",),), names=("not NaN",)) for f in presence]
-    to_bin = cleaned.select(idc, tgt, *[b.feature for b in bins if b.feature not in presence],
-                            *[F.when(F.col(f).isNotNull(), F.lit("not NaN")).alias(f) for f in presence])
-    binned = apply_bins(to_bin, bins, keep=[idc, tgt])
-    out["bin_table"] = B.bin_table(binned, [cat_name(b.feature) for b in bins], tgt)
-
-    # one-hot + correlation prune
-    oh = E.one_hot(binned, bins, tgt, idc)
-    cols = [c for c in oh.columns if c != idc]
-    pairs = E.corr_pairs_binned(binned, bins, tgt)
-    prune = E.corr_prune(pairs, cols, tgt, p.corr_threshold, spark)
+    flags = [CategoricalBins(f, (("not NaN",),), names=("not NaN",)) for f in presence]
+    flagged = cleaned.select("*", *[F.when(F.col(f).isNotNull(), F.lit("not NaN")).alias("_flag_" + f) for f in presence])
+    flagged = flagged.drop(*presence).withColumnsRenamed({"_flag_" + f: f for f in presence})
+    bins = bins + flags
+    coded = written(apply_codes(flagged, bins, keep=[idc, tgt]), "coded")
+    if flags:
+        flag_counts = coded.select(F.col(tgt).alias("_y"), *[F.col(cat_name(b.feature)).alias(b.feature) for b in flags])
+        counts = counts.unionByName(
+            flag_counts.unpivot(["_y"], [b.feature for b in flags], "feature", "code").groupBy("feature", "code")
+            .agg(*B._events()).select("feature", F.when(F.col("code") >= 0, F.col("code")).alias("bin_id"), "n", "bad"))
+    labels = B.label_table(spark, bins)
+    out["bin_table"] = B.complete_table(counts.withColumn("feature", F.concat("feature", F.lit("_cat"))), labels)
+    lap("bin_fit")
+
+    # correlations of one-hot levels + prune, on bin numbers
+    cols = [name for name, _, _ in E.level_codes(bins)] + [tgt]
+    pairs = written(E.corr_pairs_codes(coded, bins, tgt), "pairs")
+    prune = written(E.corr_prune(pairs, cols, tgt, p.corr_threshold, spark), "prune")
+    out["correlations"] = E.corr_after_prune(pairs, prune)
     kept = E.kept_columns(prune, tgt)
     features = [c for c in kept if c != tgt]
     lap("corr_prune")
 
     # split + compress; all fits on the cached compressed frame
-    split = M.train_test_split(oh, idc, p.train_fraction, p.split_seed)
-    comp = M.compress(split, features, tgt, extra=["split"]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).collect()[0][0] or 0)
-        timings["compressed_rows"] = comp.count()
-        lap("compress")
-        grid, models = M.grid_search(spark, comp, features, tgt, n_train, list(p.grid_penalties),
-                                     list(p.grid_c), threads=p.grid_threads, max_iter=p.max_iter)
-        grid = spark.createDataFrame(grid.collect(), grid.schema)    # 36 rows
-    finally:
-        comp.unpersist()
+    comp = written(M.compress_codes(M.train_test_split(coded, idc, p.train_fraction, p.split_seed), bins, features,
+                                    tgt, extra=["split"]), "compressed")
+    n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).head()[0] or 0)
+    timings["compressed_rows"] = comp.count()
+    lap("compress")
+    grid, models = M.grid_search(spark, comp, features, tgt, n_train, list(p.grid_penalties), list(p.grid_c),
+                                 threads=p.grid_threads, max_iter=p.max_iter)
     lap("grid")
-    best = M.grid_best(grid).collect()[0]
+    best = M.grid_best(grid).head()
     b0, w = models[best["grid_order"]]
     out["grid"] = grid
-    out["coefficients"] = M.coef_frame(spark, features, b0, w)
+    out["coefficients"] = M.coef_frame(spark, features, b0, w).join(E.level_labels(spark, bins), "feature", "left")
+
+    # the winner on the whole table, by raw prediction (K10); z rises with P(bad)
+    by_z = written(V.score_grain(comp.withColumn("z", M.linear_column(features, b0, w)), "z", tgt, weight="w"), "by-z")
+    out["model_ks"] = V.ks_table(by_z, "z", ascending=False, partitions=None)
+    out["model_roc"] = V.roc_curve(by_z, "z", bad_high=True, partitions=None)
+    out["model_metrics"] = V.model_metrics(by_z, "z", bad_high=True, partitions=None)
 
     # coefficients -> scorecard over the original bins (pruned levels weigh 0)
     coef = dict(zip(features, w))
     offset, factor = V.scaling(p.target_score, p.target_odds, p.pts_double_odds)
-    weights = {}
-    for b in bins:
-        c = cat_name(b.feature)
-        ws = [coef.get(f"{c}__b{i}", 0.0) for i in range(len(b.labels))]
-        weights[b.feature] = (ws, coef.get(f"{c}__bnan", 0.0))
+    weights = {b.feature: ([coef.get(f"{cat_name(b.feature)}__b{i}", 0.0) for i in range(len(b.labels))],
+                           coef.get(f"{cat_name(b.feature)}__bnan", 0.0)) for b in bins}
     sc = P.Scorecard(tuple(bins), weights, b0, offset, factor)
     out["scorecard"] = sc
-    out["points"] = P.scorecard_points(spark, sc, binned)
+    out["points"] = P.scorecard_lines(spark, sc, counts, coded.agg(F.count(F.lit(1)).alias("n")))
 
     # evaluation at score grain over the whole table
-    scored = to_bin.select(idc, tgt, P.score_expr(sc).alias("score"))
-    grain = V.score_grain(scored, "score", tgt).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = P.with_scaling(coded.select(idc, tgt, P.score_codes(sc).alias("score"),
+                                         (-P.predictor_codes(sc)).alias("_logit")), F.col("_logit"), sc).drop("_logit")
+    grain = written(V.score_grain(scored, "score", tgt), "grain")
     out["grain"] = grain
     out["ks"] = V.ks_table(grain, "score", ascending=True)
+    out["ks_point"] = V.ks_cutoff(out["ks"])
+    out["ks_curve"] = V.ks_curve(out["ks"])
+    out["optimal_cutoff"] = V.optimal_cutoff(grain, "score")
+    out["histogram"] = V.score_histogram(grain, "score")
+    out["roc"] = V.roc_curve(grain, "score")
     out["metrics"] = V.model_metrics(grain, "score")
     out["ppt"] = V.ppt_table(grain, "score", offset, factor)
     out["scored"] = scored

@@ -19,8 +19,9 @@ from riskcard.operators import model as M
 from riskcard.operators import points as P
 from riskcard.operators import prep
 from riskcard.operators import profile as PR
-from riskcard.operators.bins import (CategoricalBins, NumericBins, apply_bins, apply_categorical_join,
+from riskcard.operators.bins import (CategoricalBins, NumericBins, apply_bins, apply_categorical_join, apply_codes,
                                      apply_numeric_range_join, cat_name, presence_flag)
+from riskcard.plans.prefix import global_row_number, written
 from riskcard.session import scratch_path
 from riskcard.sources import fixture as FX
 from riskcard.sources import report as RP
@@ -30,13 +31,11 @@ from riskcard.streaming.score_stream import stream_scores
 ID, TARGET = FX.ID, FX.TARGET
 
 # Parameters of the test queries (fixed values of this catalogue).
-IV_FEATURES = ["priority", "segment", "is_f", "n_items"]
 CLEAN_FEATURES = ["acct_bal", "avg_disc", "is_f", "n_items", "priority", "qty", "segment", "total_price"]
-PREBIN_FEATURES = ["acct_bal", "total_price", "qty", "avg_disc"]
-ORACLE_PREBINS = 6
+PREBIN_FEATURES = ["acct_bal", "avg_disc", "n_items", "qty", "total_price"]
 CORR_THRESHOLD = 0.5
-ROW_BUCKETS = 4          # two-level row numbering with more than one bucket, even on small data
 EXTRA_ASC = ["avg_disc"]
+# Features that only get a presence flag, and one of the fixture's.
 PRESENCE_LIST = ["ELJCOUNTY1", "ELJCOUNTY2", "MBELJFILINGNAME1", "MBELJFILINGNAME2", "City_App",
                  "State_App", "segment"]
 SPLIT_SEED = 42
@@ -56,42 +55,25 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # ------------------------------------------------------------------ base views
-# Lazy plans only (no data is cached): analysing the fixture joins costs about
-# a second of driver time, so each base plan is built once per session and folder.
-
-_PLANS: dict = {}
-
-
-def _memo(name, spark, d, make):
-    key = (name, id(spark), d)
-    hit = _PLANS.get(key)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = make()
-    _PLANS[key] = (spark, df)
-    return df
-
 
 def app(spark, d):
-    return _memo("app", spark, d, lambda: FX.applications(spark, d))
+    return FX.applications(spark, d)
 
 
 def clean(spark, d):
-    return _memo("clean", spark, d, lambda: prep.replace_sentinels(app(spark, d)))
+    return prep.replace_sentinels(app(spark, d))
 
 
 def cleaned(spark, d):
-    return _memo("cleaned", spark, d, lambda: prep.clean_columns(app(spark, d), TARGET, ID))
+    return prep.clean_columns(app(spark, d), TARGET, ID)
 
 
 def binned(spark, d):
-    return _memo("binned", spark, d,
-                 lambda: apply_bins(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET]))
+    return apply_bins(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET])
 
 
 def scored(spark, d, features=None):
-    return _memo(f"scored{features}", spark, d, lambda: clean(spark, d).select(
-        ID, TARGET, P.score_expr(scorecard(features)).alias("score")))
+    return clean(spark, d).select(ID, TARGET, P.score_expr(scorecard(features)).alias("score"))
 
 
 def score_grain(spark, d):
@@ -153,8 +135,9 @@ def q_table_shape(spark, d):
 
 def q_column_widths(spark, d):
     a = app(spark, d)
-    strs = [f.name for f in a.schema.fields if isinstance(f.dataType, T.StringType)]
-    return RP.column_widths(a, strs)
+    # numbers are written with engine-specific digits: whole numbers and text have one text form
+    cols = [f.name for f in a.schema.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return RP.column_widths(a, cols)
 
 
 def q_null_sentinels(spark, d):
@@ -162,7 +145,10 @@ def q_null_sentinels(spark, d):
 
 
 def q_clean_columns(spark, d):
-    return rounded(cleaned(spark, d))
+    # columns that each of the name rules drops: p_0 and NAP, states, CL
+    more = {"p_0": F.lit(0.5), "NAP": F.col(ID) % 7, "HIRES_RATE_S": F.col("qty"), "GDPx": F.col("qty"),
+            "CLtype": F.col("segment")}
+    return rounded(prep.clean_columns(app(spark, d).withColumns(more), TARGET, ID))
 
 
 def _rule_survivors(a):
@@ -206,7 +192,7 @@ def q_missing_rate(spark, d):
 
 
 def q_iv_value_table(spark, d):
-    return rounded(PR.value_table(clean(spark, d), IV_FEATURES, TARGET))
+    return _positions(rounded(PR.sorted_value_table(clean(spark, d), CLEAN_FEATURES, TARGET)))
 
 
 def q_iv_by_feature(spark, d):
@@ -221,21 +207,14 @@ def q_feature_cardinality(spark, d):
     return PR.cardinality(clean(spark, d), CLEAN_FEATURES)
 
 
-def _oracle_prebins(spark, d):
-    c = clean(spark, d)
-    cuts = B.prebin_cuts(c, PREBIN_FEATURES, ORACLE_PREBINS, exact=True)
-    return B.prebin_counts(c, cuts, TARGET).filter(F.col("pb").isNotNull())
-
-
 def q_prebin_counts(spark, d):
-    return _oracle_prebins(spark, d)
+    return rounded(B.prebin_counts(clean(spark, d), PREBIN_FEATURES, TARGET))
 
 
 def _fit(spark, d, trend):
-    counts = _oracle_prebins(spark, d)
+    counts = written(B.prebin_counts(clean(spark, d), PREBIN_FEATURES, TARGET), "prebin-counts")
     trends = spark.createDataFrame([(f, trend) for f in PREBIN_FEATURES], "feature string, trend string")
-    fits = B.fit_bins(counts, trends)
-    return rounded(fits.select("feature", B.starts_text().alias("starts"), "iv"))
+    return rounded(B.fit_bins(counts, trends).select("feature", B.starts_text().alias("starts"), "iv"))
 
 
 def q_bin_fit_asc(spark, d):
@@ -246,33 +225,38 @@ def q_bin_fit_desc(spark, d):
     return _fit(spark, d, "descending")
 
 
+CATEGORY_FEATURES = ["priority", "segment", "brand"]
+
+
 def q_bin_fit_categorical(spark, d):
-    c = clean(spark, d)
-    feats = ["priority", "segment"]
-    cp = B.category_prebins(c, feats, TARGET)
-    counts = cp.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    trends = spark.createDataFrame([(f, "ascending") for f in feats], "feature string, trend string")
-    fits = B.fit_bins(counts, trends)
-    fc = B.fitted_counts(counts, fits)
-    members = (cp.join(fc.select("feature", "bin_id", "pb_lo", "pb_hi"), "feature")
-               .filter((F.col("pb") >= F.col("pb_lo")) & (F.col("pb") <= F.col("pb_hi")))
-               .groupBy("feature", "bin_id")
-               .agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("members")))
-    return fc.join(members, ["feature", "bin_id"]).select(
-        "feature", F.col("bin_id").cast("int").alias("bin_id"), "members", "n", "bad")
+    c = clean(spark, d).join(FX.order_brand(spark, d), ID, "left")
+    cp = written(B.category_prebins(c, CATEGORY_FEATURES, TARGET), "categories")
+    trends = spark.createDataFrame([(f, "ascending") for f in CATEGORY_FEATURES], "feature string, trend string")
+    fits = B.fit_bins(B.category_prebin_counts(cp), trends)
+    # one row per category, held against the oracle without gathering the members of a bin
+    return rounded(cp.join(F.broadcast(fits.select("feature", "starts", "iv")), "feature")
+                   .select("feature", "value", "n", "bad", B.segment_of("pb").alias("bin_id"), "pb", "iv"))
+
+
+def q_bin_fit_missing(spark, d):
+    """Whole bin tables of features of which only the missing rows tell something."""
+    c = FX.informative_gaps(clean(spark, d))
+    _, bins, counts = B.screen_features(spark, c, TARGET, ["gap_cat"], {"gap_num": "descending"}, max_iv=10.0)
+    return rounded(B.complete_table(counts.withColumn("feature", F.concat("feature", F.lit("_cat"))),
+                                    B.label_table(spark, bins)))
 
 
 def q_bin_fit_all(spark, d):
-    c = cleaned(spark, d)
+    c = written(cleaned(spark, d), "cleaned")
+    feats = [x for x in c.columns if x not in (ID, TARGET)]
     roles = prep.dictionary_roles(FX.dictionary(spark), spark, extra_asc=EXTRA_ASC)
     prep.check_directions(roles)
-    data_roles = {r["feature"]: r["role"] for r in _data_roles(spark, d).collect()}
+    data_roles = {r["feature"]: r["role"] for r in prep.column_roles(c, feats).collect()}
     trends = {r["feature"]: ("ascending" if r["role"] == "num_asc" else "descending")
               for r in roles.filter(F.col("role").startswith("num")).collect()
               if data_roles.get(r["feature"]) == "numeric"}
     cats = sorted(f for f, r in data_roles.items() if r == "categorical")
-    status, _, _ = B.screen_features(spark, c, TARGET, cats, trends)
-    return rounded(status)
+    return rounded(B.screen_features(spark, c, TARGET, cats, trends)[0])
 
 
 def _bt(spark, d):
@@ -365,33 +349,43 @@ def q_predict_proba(spark, d):
     return rounded(P.predict_proba(clean(spark, d), scorecard(), [ID]))
 
 
+def _coded(spark, d):
+    return apply_codes(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET])
+
+
 def _model_inputs(spark, d):
-    """Pruned one-hot design, split and compressed (cached by the caller)."""
-    oh = one_hot(spark, d)
-    cols = _oh_cols(oh)
-    pairs = E.corr_pairs_binned(binned(spark, d), FX.SCORECARD_BINS, TARGET)
+    """Pruned one-hot design, split and compressed."""
+    coded = written(_coded(spark, d), "coded")
+    cols = [name for name, _, _ in E.level_codes(FX.SCORECARD_BINS)] + [TARGET]
+    pairs = written(E.corr_pairs_codes(coded, FX.SCORECARD_BINS, TARGET), "pairs")
     kept = E.kept_columns(E.corr_prune(pairs, cols, TARGET, 0.67, spark), TARGET)
     feats = [c for c in kept if c != TARGET]
-    n_train = M.train_test_split(oh, ID).filter("split = 'train'").count()
-    comp = M.compress(M.train_test_split(oh, ID), feats, TARGET, extra=["split"])
+    comp = written(M.compress_codes(M.train_test_split(coded, ID, 0.7, SPLIT_SEED), FX.SCORECARD_BINS, feats, TARGET,
+                                    extra=["split"]), "compressed")
+    n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).head()[0] or 0)
     return comp, feats, n_train
 
 
+FLAT_FEATURE = "priority"
+
+
 def q_fit_logistic(spark, d):
-    comp, feats, n_train = _model_inputs(spark, d)
-    b0, w = M.fit_logistic(comp.filter("split = 'train'"), feats, TARGET, "l2", 1.0, n_train)
-    return M.coef_frame(spark, feats, b0, w)
+    """Fitted bad rate per level of one feature: with a negligible penalty it is the observed one."""
+    bins = [b for b in FX.SCORECARD_BINS if b.feature == FLAT_FEATURE]
+    coded = _coded(spark, d).select(ID, TARGET, cat_name(FLAT_FEATURE))
+    feats = [name for name, _, code in E.level_codes(bins) if code > 0]      # the first level is the base
+    comp = written(M.compress_codes(coded, bins, feats, TARGET), "compressed")
+    n = int(comp.agg(F.sum("w")).head()[0] or 0)
+    b0, w = M.fit_logistic(comp, feats, TARGET, "l2", 1e9, n, max_iter=500, tol=1e-14)
+    z = M.linear_column(feats, b0, w)
+    rate = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    return (comp.groupBy(*feats).agg(F.sum("w").cast("long").alias("n")).withColumn("rate", rate)
+            .select("n", F.round("rate", 4).alias("rate")))
 
 
 def _grid(spark, d):
     comp, feats, n_train = _model_inputs(spark, d)
-    comp = comp.cache()
-    try:
-        table, _ = M.grid_search(spark, comp, feats, TARGET, n_train)
-        table = spark.createDataFrame(table.collect(), table.schema)  # 36 rows; frees the cache
-    finally:
-        comp.unpersist()
-    return table
+    return M.grid_search(spark, comp, feats, TARGET, n_train)[0]
 
 
 def q_grid_search(spark, d):
@@ -399,7 +393,14 @@ def q_grid_search(spark, d):
 
 
 def q_grid_best(spark, d):
-    return M.grid_best(_grid(spark, d))
+    """The rule for the winner, over a grid whose qualities are KS values of score halves."""
+    g = V.score_grain(scored(spark, d).withColumn("part", F.col(ID) % GRID_PARTS), "score", TARGET, by=["part"])
+    ks = V.ks_stat(V.ks_table(g, "score", ascending=True, by=["part"]), by=["part"], digits=2)
+    grid = ks.select(F.col("part").cast("int").alias("grid_order"), F.col("ks").alias("quality"))
+    return rounded(M.grid_best(grid))
+
+
+GRID_PARTS = 36
 
 
 def _ks_by_split(df):
@@ -447,16 +448,24 @@ def q_scored_rows(spark, d):
 
 
 def q_ranked_rows(spark, d):
-    from riskcard.plans.prefix import global_row_number
     s = scored(spark, d).select(ID, "score")
-    return global_row_number(s, ["score", ID], "rn", buckets=ROW_BUCKETS).select(ID, "rn")
+    return global_row_number(s, ["score", ID], "rn").select(ID, "rn")
 
 
 def q_ks_table(spark, d):
-    p = P.predict_proba(clean(spark, d), scorecard(), [TARGET])
-    p = p.withColumn("p1", F.bround("p1", 9))
-    g = V.score_grain(p, "p1", TARGET)
-    return rounded(V.ks_table(g, "p1", ascending=False, keep_key=False, buckets=None))
+    g = _logit_grain(spark, d)
+    return rounded(V.ks_table(g, "z", ascending=False, keep_key=False, partitions=None))
+
+
+def _logit_grain(spark, d):
+    """One row per distinct prediction: P(bad) rises with the bad log-odds z, which both engines
+    add up in the same order."""
+    z = clean(spark, d).select(TARGET, P.linear_predictor(scorecard()).alias("z"))
+    return V.score_grain(z, "z", TARGET)
+
+
+def q_model_eval_proba(spark, d):
+    return rounded(V.model_metrics(_logit_grain(spark, d), "z", bad_high=True, partitions=None))
 
 
 def q_ks_table_score(spark, d):
@@ -465,7 +474,7 @@ def q_ks_table_score(spark, d):
 
 def _deciles(spark, d):
     s = scored(spark, d)
-    grp = V.equal_groups(s, "score", ID, 10, buckets=ROW_BUCKETS)
+    grp = V.equal_groups(s, "score", ID, 10)
     g = V.score_grain(grp, "grp", TARGET)
     return V.ks_table(g, "grp", ascending=True, group="index", keep_key=False)
 
@@ -522,19 +531,23 @@ def q_backfill_score(spark, d):
     return rounded(V.backfill(V.with_origin(ks_score(spark, d)), "score", "group"))
 
 
-def q_ppt_table(spark, d):
+def _ppt(spark, d, origin):
+    """The cutoff table with each row's place in it (highest cutoff first)."""
     offset, factor = V.scaling()
-    return rounded(V.ppt_table(score_grain(spark, d), "score", offset, factor, origin=False))
+    return _positions(rounded(V.ppt_table(score_grain(spark, d), "score", offset, factor, origin)))
 
 
-def q_ppt_table_origin(spark, d):
-    offset, factor = V.scaling()
-    return rounded(V.ppt_table(score_grain(spark, d), "score", offset, factor, origin=True))
+def _positions(df):
+    """A row's place in the order that the operator returns, to hold against the oracle."""
+    return global_row_number(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "position").drop("_at")
 
 
-def q_ppt_theta_join(spark, d):
-    offset, factor = V.scaling()
-    return rounded(V.ppt_theta_join(score_grain(spark, d), "score", offset, factor))
+def q_ppt_table(spark, d):
+    return _ppt(spark, d, origin=False)
+
+
+def q_ppt_table_origin(spark, d):
+    return _ppt(spark, d, origin=True)
 
 
 def q_string_scalars(spark, d):
@@ -542,7 +555,7 @@ def q_string_scalars(spark, d):
     mixed = F.when(F.col("p_size") % 3 == 0, F.lit(".")).otherwise(F.col("p_size").cast("string"))
     return p.select("p_partkey", F.lower("p_name").alias("name_lower"),
                     F.endswith(F.lower("p_name"), F.lit("widget")).alias("ends_widget"),
-                    F.substring("p_brand", 7, 100).try_cast("int").alias("brand_no"),
+                    F.expr("substring(p_brand, 7)").try_cast("int").alias("brand_no"),
                     mixed.try_cast("int").alias("size_num"))
 
 
@@ -574,6 +587,7 @@ QUERIES = {
     "bin_fit_asc": q_bin_fit_asc,
     "bin_fit_desc": q_bin_fit_desc,
     "bin_fit_categorical": q_bin_fit_categorical,
+    "bin_fit_missing": q_bin_fit_missing,
     "bin_fit_all": q_bin_fit_all,
     "bin_table": q_bin_table,
     "bin_totals_rollup": q_bin_totals_rollup,
@@ -615,10 +629,10 @@ QUERIES = {
     "roc_curve": q_roc_curve,
     "auc_gini": q_auc_gini,
     "model_metrics": q_model_metrics,
+    "model_eval_proba": q_model_eval_proba,
     "backfill_score": q_backfill_score,
     "ppt_table": q_ppt_table,
     "ppt_table_origin": q_ppt_table_origin,
-    "ppt_theta_join": q_ppt_theta_join,
     "string_scalars": q_string_scalars,
     "stream_score": q_stream_score,
 }

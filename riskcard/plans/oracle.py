@@ -31,7 +31,7 @@ SELECT o_orderkey AS app_id, c_custkey AS "MBID", o_orderdate AS opened, 1 + o_o
      + CASE c_mktsegment WHEN 'MACHINERY' THEN 10e0 WHEN 'BUILDING' THEN -6e0 ELSE 0e0 END
      + (o_orderkey * 7919 % 101) > 95e0 THEN 1 ELSE 0 END AS pi
 FROM orders JOIN customer ON c_custkey = o_custkey
-LEFT JOIN (SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS qty, avg(l_discount) AS avg_disc
+LEFT JOIN (SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS qty, round(avg(l_discount), 6) AS avg_disc
            FROM lineitem GROUP BY l_orderkey) li ON l_orderkey = o_orderkey
 """
 
@@ -53,6 +53,10 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def quoted(c: str) -> str:
+    return '"MBID"' if c == "MBID" else c
+
+
 def num(x: float) -> str:
     """A DOUBLE literal."""
     if math.isinf(x):
@@ -117,7 +121,8 @@ def score_sql(features=None) -> str:
 BINNED = ("SELECT app_id, " + ", ".join(f"{label_case(b)} AS {cat_name(b.feature)}" for b in FX.SCORECARD_BINS)
           + ", pi FROM clean")
 SCORED = f"SELECT app_id, pi, {score_sql()} AS score FROM clean"
-SPLIT = "CASE WHEN ((app_id * 7919 + 42) % 100 + 100) % 100 < 70 THEN 'train' ELSE 'test' END"
+SPLIT = ("CASE WHEN ('0x' || substr(md5(app_id::VARCHAR || ':42'), 1, 8))::BIGINT < "
+         f"{int(0.7 * 2**32)} THEN 'train' ELSE 'test' END")
 GRAIN = ("SELECT score, count(*) AS n, count(*) FILTER (WHERE pi = 0) AS good, "
          "count(*) FILTER (WHERE pi = 1) AS bad FROM scored GROUP BY score")
 
@@ -190,39 +195,131 @@ def iv_by_feature_sql() -> str:
     return f"SELECT feature, {r6('sum(iv)')} AS iv FROM ({iv_table_sql(C.CLEAN_FEATURES)}) GROUP BY feature"
 
 
+def numeric_values(features, src: str = "clean") -> str:
+    return " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS DOUBLE) AS x, pi FROM {src}" for f in features)
+
+
+def category_values(features, src: str = "clean") -> str:
+    return " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS VARCHAR) AS x, pi FROM {src}" for f in features)
+
+
+def prebin_ctes(values: str, by_rate: bool, tag: str = "") -> str:
+    """CTEs up to pb{tag}(feature, x, n, bad, rate, pb): pre-bins by cumulative share, merged forward
+    to 5% of the rows; x and pb NULL for the missing row."""
+    order = "rate, x" if by_rate else "x"
+    return f"""v{tag} AS (SELECT feature, x, count(*) AS n, count(*) FILTER (WHERE pi = 1) AS bad,
+  count(*) FILTER (WHERE pi = 1) / count(*) AS rate FROM ({values}) GROUP BY feature, x),
+raw{tag} AS (SELECT *, CAST(20 * (sum(n) OVER (PARTITION BY feature ORDER BY {order}) - n)
+                 // sum(n) OVER (PARTITION BY feature) AS INTEGER) AS r FROM v{tag} WHERE x IS NOT NULL),
+rp{tag} AS (SELECT feature, r, sum(n) AS n, row_number() OVER (PARTITION BY feature ORDER BY r) AS ord,
+                   sum(sum(n)) OVER (PARTITION BY feature) AS total FROM raw{tag} GROUP BY feature, r),
+mg{tag}(feature, r, ord, g, held) AS (
+  SELECT feature, r, ord, 0, n FROM rp{tag} WHERE ord = 1
+  UNION ALL
+  SELECT p.feature, p.r, p.ord, m.g + CAST(m.held * 20 >= p.total AS INTEGER),
+         CASE WHEN m.held * 20 >= p.total THEN p.n ELSE m.held + p.n END
+  FROM mg{tag} m JOIN rp{tag} p ON p.feature = m.feature AND p.ord = m.ord + 1),
+fin{tag} AS (SELECT feature, max(g) - CAST(max_by(held, ord) * 20 < any_value(total) AND max(g) > 0 AS INTEGER) AS top
+             FROM mg{tag} JOIN rp{tag} USING (feature, r, ord) GROUP BY feature),
+pb{tag} AS (SELECT feature, x, n, bad, rate, least(g, top) AS pb
+            FROM raw{tag} JOIN mg{tag} USING (feature, r) JOIN fin{tag} USING (feature)
+            UNION ALL SELECT feature, x, n, bad, rate, NULL FROM v{tag} WHERE x IS NULL)"""
+
+
+def fit_ctes(trends: str, tag: str = "") -> str:
+    """CTEs up to best{tag}(feature, starts, iv, nb): every strictly monotone segmentation of the
+    pre-bins is walked; the missing row counts in totals and IV.  ``trends``: (feature, trend)."""
+    iv = """CASE WHEN {n} - {b} > 0 AND {b} > 0 AND nt > bt AND bt > 0 THEN
+            (({n} - {b}) / (nt - bt) - {b} / bt) * ln((({n} - {b}) / (nt - bt)) / ({b} / bt)) ELSE 0e0 END"""
+    return f"""pc{tag} AS (SELECT feature, pb, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM pb{tag} GROUP BY ALL),
+tot{tag} AS (SELECT feature, trend, sum(n) AS nt, sum(bad) AS bt, max(pb) AS mp,
+                    coalesce(sum(n) FILTER (WHERE pb IS NULL), 0e0) AS nm, coalesce(sum(bad) FILTER (WHERE pb IS NULL), 0e0) AS bm
+             FROM pc{tag} JOIN ({trends}) t USING (feature) GROUP BY feature, trend),
+segs{tag} AS (SELECT a.feature, a.pb AS s, b.pb AS e, sum(c.n) AS n, sum(c.bad) AS bad
+         FROM pc{tag} a JOIN pc{tag} b ON a.feature = b.feature AND a.pb <= b.pb
+         JOIN pc{tag} c ON c.feature = a.feature AND c.pb BETWEEN a.pb AND b.pb GROUP BY ALL),
+segiv{tag} AS (SELECT feature, trend, s, e, n, bad, {iv.format(n='n', b='bad')} AS iv FROM segs{tag} JOIN tot{tag} USING (feature)),
+walk{tag}(feature, trend, s, e, n, bad, iv, starts, nb) AS (
+  SELECT feature, trend, s, e, n, bad, iv, CAST(s AS VARCHAR), 1 FROM segiv{tag} WHERE s = 0
+  UNION ALL
+  SELECT w.feature, w.trend, g.s, g.e, g.n, g.bad, w.iv + g.iv, w.starts || ',' || CAST(g.s AS VARCHAR), w.nb + 1
+  FROM walk{tag} w JOIN segiv{tag} g ON g.feature = w.feature AND g.s = w.e + 1
+  WHERE CASE WHEN w.trend = 'ascending' THEN w.bad * g.n < g.bad * w.n ELSE w.bad * g.n > g.bad * w.n END),
+best{tag} AS (SELECT feature, starts, iv + {iv.format(n='nm', b='bm')} AS iv, nb FROM walk{tag} JOIN tot{tag} USING (feature, trend)
+  WHERE e = mp QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(iv, 10) DESC, nb, starts) = 1)"""
+
+
 def prebin_sql() -> str:
-    fr = ", ".join(repr(k / C.ORACLE_PREBINS) for k in range(1, C.ORACLE_PREBINS))
-    cuts = " UNION ALL ".join(f"SELECT {q(f)} AS feature, quantile_cont({f}, [{fr}]) AS cuts FROM clean"
-                              for f in C.PREBIN_FEATURES)
-    lv = " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS DOUBLE) AS x, pi FROM clean"
-                            for f in C.PREBIN_FEATURES)
-    return f"""SELECT feature, CAST(len(list_filter(cuts, lambda c: c < x)) AS INTEGER) AS pb,
-  count(*) AS n, CAST(sum(pi) AS BIGINT) AS bad
-FROM ({lv}) JOIN ({cuts}) USING (feature) WHERE x IS NOT NULL GROUP BY ALL"""
+    body = f"""SELECT feature, pb, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad,
+  {r6('max(x)')} AS hi FROM pb GROUP BY feature, pb"""
+    return with_base(body, prebin_ctes(numeric_values(C.PREBIN_FEATURES), False), recursive=True)
+
+
+def all_trends(features, trend: str) -> str:
+    return " UNION ALL ".join(f"SELECT {q(f)} AS feature, {q(trend)} AS trend" for f in features)
 
 
 def fit_sql(trend: str) -> str:
-    cmp = "w.bad * g.n < g.bad * w.n" if trend == "ascending" else "w.bad * g.n > g.bad * w.n"
-    seg = """
-segs AS (SELECT a.feature, a.pos AS s, b.pos AS e, sum(c.n) AS n, sum(c.bad) AS bad
-         FROM pcp a JOIN pcp b ON a.feature = b.feature AND a.pos <= b.pos
-         JOIN pcp c ON c.feature = a.feature AND c.pos BETWEEN a.pos AND b.pos GROUP BY ALL),
-segiv AS (SELECT segs.*, CASE WHEN n - bad > 0 AND bad > 0 THEN
-            ((n - bad) / (nt - bt) - bad / bt) * ln(((n - bad) / (nt - bt)) / (bad / bt)) ELSE 0e0 END AS iv
-          FROM segs JOIN (SELECT feature, CAST(sum(n) AS DOUBLE) AS nt, CAST(sum(bad) AS DOUBLE) AS bt
-                          FROM pcp GROUP BY feature) USING (feature)),
-walk(feature, s, e, n, bad, iv, starts, nb) AS (
-  SELECT feature, s, e, n, bad, iv, CAST(s AS VARCHAR), 1 FROM segiv WHERE s = 0
-  UNION ALL
-  SELECT w.feature, g.s, g.e, g.n, g.bad, w.iv + g.iv, w.starts || ',' || CAST(g.s AS VARCHAR), w.nb + 1
-  FROM walk w JOIN segiv g ON g.feature = w.feature AND g.s = w.e + 1
-  WHERE """ + cmp + ")"
-    pcp = f"pc AS ({prebin_sql()}), pcp AS (SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY pb) - 1 AS INTEGER) AS pos, n, bad FROM pc),"
-    body = f"""SELECT feature, starts, {r6('iv')} AS iv FROM walk
-JOIN (SELECT feature, max(pos) AS mp FROM pcp GROUP BY feature) USING (feature)
-WHERE e = mp
-QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(iv, 10) DESC, nb, starts) = 1"""
-    return with_base(body, pcp + seg, recursive=True)
+    extra = prebin_ctes(numeric_values(C.PREBIN_FEATURES), False) + ", " + fit_ctes(all_trends(C.PREBIN_FEATURES, trend))
+    return with_base(f"SELECT feature, starts, {r6('iv')} AS iv FROM best", extra, recursive=True)
+
+
+SEGMENT = "CAST(len([z FOR z IN string_split(starts, ',') IF z::INTEGER <= pb]) - 1 AS INTEGER)"
+
+
+def category_fit_sql() -> str:
+    branded = """branded AS (SELECT clean.*, brand FROM clean LEFT JOIN (
+  SELECT l_orderkey, min(p_brand) AS brand FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) b
+  ON b.l_orderkey = app_id)"""
+    extra = ", ".join([branded, prebin_ctes(category_values(C.CATEGORY_FEATURES, "branded"), True),
+                       fit_ctes(all_trends(C.CATEGORY_FEATURES, "ascending"))])
+    return with_base(f"""SELECT feature, x AS value, n, bad, CASE WHEN pb IS NOT NULL THEN {SEGMENT} END AS bin_id, pb,
+  {r6('iv')} AS iv FROM pb JOIN best USING (feature)""", extra, recursive=True)
+
+
+def screen_sql() -> str:
+    """Status of every feature with a direction, over the cleaned table."""
+    nums = {"acct_bal": "descending", "avg_disc": "ascending", "n_items": "ascending", "qty": "ascending",
+            "total_price": "ascending"}
+    cats = ["is_f", "priority", "segment"]
+    trends = " UNION ALL ".join(f"SELECT {q(f)} AS feature, {q(t)} AS trend" for f, t in nums.items())
+    extra = ", ".join([prebin_ctes(numeric_values(nums), False, "_n"), fit_ctes(trends, "_n"),
+                       prebin_ctes(category_values(cats), True, "_c"), fit_ctes(all_trends(cats, "ascending"), "_c")])
+    return with_base(f"""SELECT feature, CASE WHEN iv > 0.01e0 AND iv < 1e0 THEN 'selected' ELSE 'rejected: iv outside band' END AS status,
+  CAST(nb AS INTEGER) AS n_bins, {r6('iv')} AS iv FROM (SELECT * FROM best_n UNION ALL SELECT * FROM best_c)""",
+                     extra, recursive=True)
+
+
+def missing_fit_sql() -> str:
+    """Whole bin tables of the two features whose missing rows follow the target."""
+    gaps = """gaps AS (SELECT *, CASE WHEN NOT gap THEN CAST(app_id * 31 % 1000 AS DOUBLE) END AS gap_num,
+  CASE WHEN NOT gap THEN 'g' || CAST(app_id * 17 % 6 AS VARCHAR) END AS gap_cat
+  FROM (SELECT *, (pi = 1 AND app_id % 10 < 7) OR (pi = 0 AND app_id % 10 < 2) AS gap FROM clean))"""
+    extra = ", ".join([gaps, prebin_ctes(numeric_values(["gap_num"], "gaps"), False, "_n"),
+                       fit_ctes(all_trends(["gap_num"], "descending"), "_n"),
+                       prebin_ctes(category_values(["gap_cat"], "gaps"), True, "_c"),
+                       fit_ctes(all_trends(["gap_cat"], "ascending"), "_c"), f"""
+placed AS (SELECT feature, x, NULL::VARCHAR AS c, n, bad, rate, CASE WHEN pb IS NOT NULL THEN {SEGMENT} END AS b FROM pb_n JOIN best_n USING (feature)
+  UNION ALL SELECT feature, NULL, x, n, bad, rate, CASE WHEN pb IS NOT NULL THEN {SEGMENT} END FROM pb_c JOIN best_c USING (feature)),
+edges AS (SELECT feature, b, max(x) AS hi, lag(max(x)) OVER (PARTITION BY feature ORDER BY b) AS lo,
+                 max(b) OVER (PARTITION BY feature) AS top, string_agg(chr(39) || c || chr(39), ' ' ORDER BY rate, c) AS names,
+                 sum(n) AS n, sum(bad) AS bad FROM placed WHERE b IS NOT NULL GROUP BY feature, b),
+lines AS (SELECT feature, b AS position, CASE WHEN names IS NOT NULL THEN '[' || names || ']'
+            ELSE '(' || CASE WHEN b = 0 THEN '-inf' ELSE lo::VARCHAR END || ', '
+                 || CASE WHEN b = top THEN 'inf' ELSE hi::VARCHAR END || ']' END AS label, n, bad FROM edges
+  UNION ALL SELECT DISTINCT feature, 1000, 'Special', 0, 0 FROM edges
+  UNION ALL SELECT feature, 1001, 'Missing', sum(n), sum(bad) FROM placed WHERE b IS NULL GROUP BY feature),
+sh AS (SELECT *, (n - bad) / CAST(sum(n - bad) OVER (PARTITION BY feature) AS DOUBLE) AS dg,
+              bad / CAST(sum(bad) OVER (PARTITION BY feature) AS DOUBLE) AS db,
+              CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS total FROM lines),
+w AS (SELECT *, CASE WHEN dg > 0 AND db > 0 THEN ln(dg / db) ELSE 0e0 END AS woe FROM sh),
+full_table AS (SELECT feature, position, label, n, n / total AS n_pct, n - bad AS non_event, bad AS event,
+                      bad / nullif(n, 0) AS event_rate, woe, woe * (dg - db) AS iv FROM w
+  UNION ALL SELECT feature, 1002, 'Totals', sum(n), 1e0, sum(n - bad), sum(bad), sum(bad) / sum(n), NULL, sum(woe * (dg - db))
+            FROM w GROUP BY feature)"""])
+    return with_base(f"""SELECT feature || '_cat' AS feature, CAST(position AS INTEGER) AS position, label, CAST(n AS BIGINT) AS n,
+  {r6('n_pct')} AS n_pct, CAST(non_event AS BIGINT) AS non_event, CAST(event AS BIGINT) AS event, {r6('event_rate')} AS event_rate,
+  {r6('woe')} AS woe, {r6('iv')} AS iv FROM full_table""", extra, recursive=True)
 
 
 def bin_table_sql() -> str:
@@ -313,6 +410,16 @@ FROM (SELECT pi, (row_number() OVER (ORDER BY score, app_id) * 10 + count(*) OVE
     return ks_sql(g, "grp", desc=False, index_group=True, keep_key=False)
 
 
+def report_sql() -> str:
+    """Rows of each report table."""
+    lines = sum(len(b.labels) + (FX.SCORECARD_WEIGHTS[b.feature][1] is not None) for b in FX.SCORECARD_BINS) + 1
+    return with_base(f"""SELECT 'scorecard' AS table_name, {lines}::BIGINT AS rows
+UNION ALL SELECT 'ppt', count(*) FROM grain
+UNION ALL SELECT 'missing_rate', {len(APP_COLUMNS)}
+UNION ALL SELECT 'iv', {len(C.CLEAN_FEATURES)}
+UNION ALL SELECT 'bins', count(*) FROM ({bin_table_sql()})""")
+
+
 def _all() -> dict[str, str]:
     sc_r = score_sql(list(FX.REDUCED_FEATURES))
     ks_score = rsel(["score"] + KS_COLS, KS_DOUBLES, KS_SCORE)
@@ -321,9 +428,11 @@ def _all() -> dict[str, str]:
                   "NULL::DOUBLE AS lift, 0e0 AS cumgood, 0e0 AS cumbad, 0e0 AS ks")
     nation = "SELECT * FROM nation"
     cleaned_sel = ", ".join(CLEANED_COLUMNS)
+    kind = lambda c: (f"(SELECT CASE WHEN coalesce(bool_and({c} IS NULL OR {c} IN (0, 1)), true) THEN 'categorical' "
+                      "ELSE 'numeric' END FROM clean)")
     roles_data = " UNION ALL ".join(
-        [f"SELECT {q(f)} AS feature, 'numeric' AS kind" for f in NUMERIC_CLEANED]
-        + [f"SELECT {q(f)}, 'categorical'" for f in ("is_f", "priority", "segment")])
+        [f"SELECT {q(f)} AS feature, {kind(f)} AS kind" for f in NUMERIC_CLEANED + ["is_f"]]
+        + [f"SELECT {q(f)}, 'categorical'" for f in ("priority", "segment")])
     dict_vals = ", ".join(f"({q(a)}, {q(b) if b is not None else 'NULL'}, {q(c)})" for a, b, c in FX.DICTIONARY_ROWS)
     role_case = """CASE WHEN (coalesce(contains(type, 'Num'), false) OR coalesce(type = 'Character (#,###.##)', false)) AND sign = '>' THEN 'num_desc'
   WHEN (coalesce(contains(type, 'Num'), false) OR coalesce(type = 'Character (#,###.##)', false)) AND sign = '<' THEN 'num_asc'
@@ -357,16 +466,15 @@ WHERE role IS NOT NULL AND EXISTS (SELECT 1 FROM ({roles_data}) d WHERE d.featur
     card = " UNION ALL ".join(f"SELECT {q(f)} AS feature, count(DISTINCT {f}) AS n_distinct FROM clean"
                               for f in C.CLEAN_FEATURES)
     iv_vt = rsel(["feature", "value", '"all"', "good", "bad", "share", "bad_rate", "dist_good", "dist_bad", "woe", "iv"],
-                 IV_DOUBLES, iv_table_sql(C.IV_FEATURES))
-    cat_fit = """SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY rate) - 1 AS INTEGER) AS bin_id,
-  members, CAST(n AS BIGINT) AS n, CAST(bad AS BIGINT) AS bad
-FROM (SELECT feature, rate, string_agg(value, ',' ORDER BY value) AS members, sum(n) AS n, sum(bad) AS bad
-      FROM (SELECT feature, value, n, bad, bad / n AS rate FROM (
-              SELECT 'priority' AS feature, priority AS value, count(*) AS n, sum(pi) AS bad FROM clean
-              WHERE priority IS NOT NULL GROUP BY ALL
-              UNION ALL
-              SELECT 'segment', segment, count(*), sum(pi) FROM clean WHERE segment IS NOT NULL GROUP BY ALL))
-      GROUP BY feature, rate)"""
+                 IV_DOUBLES, iv_table_sql(C.CLEAN_FEATURES))
+    flat = next(b for b in FX.SCORECARD_BINS if b.feature == C.FLAT_FEATURE)
+    flat_fit = f"""SELECT count(*) AS n, round(avg(CAST(pi AS DOUBLE)), 4) AS rate
+FROM (SELECT pi, {label_case(flat)} AS lab FROM clean) GROUP BY lab"""
+    part_grain = f"""SELECT app_id % {C.GRID_PARTS} AS part, score, count(*) AS n, count(*) FILTER (WHERE pi = 0) AS good,
+  count(*) FILTER (WHERE pi = 1) AS bad FROM scored GROUP BY ALL"""
+    best_part = f"""SELECT CAST(part AS INTEGER) AS grid_order, {r6('round_even(max(ks), 2)')} AS quality
+FROM ({ks_sql(part_grain, 'score', False, by='part')}) GROUP BY part
+ORDER BY round_even(max(ks), 2) DESC NULLS LAST, part LIMIT 1"""
     bt = rsel(BT_COLS, BT_DOUBLES, bin_table_sql())
     totals = f"""SELECT feature, label, n, n_pct, non_event, event, event_rate, woe, iv FROM ({bt})
 UNION ALL
@@ -396,14 +504,18 @@ FROM (SELECT score, good, bad, sum(good) OVER w AS cg, CAST(sum(good) OVER () AS
     hist = """SELECT CAST(least(coalesce(floor((score - lo) / ((hi - lo) / 80e0)), 0), 79) AS INTEGER) AS bin,
   count(*) FILTER (WHERE pi = 0) AS n_good, count(*) FILTER (WHERE pi = 1) AS n_bad
 FROM scored, (SELECT min(score) AS lo, max(score) AS hi FROM scored) GROUP BY ALL"""
-    theta = ppt_sql(False)
     string_sql = """SELECT p_partkey, lower(p_name) AS name_lower, ends_with(lower(p_name), 'widget') AS ends_widget,
-  TRY_CAST(substr(p_brand, 7, 100) AS INTEGER) AS brand_no,
+  TRY_CAST(substr(p_brand, 7) AS INTEGER) AS brand_no,
   TRY_CAST(CASE WHEN p_size % 3 = 0 THEN '.' ELSE CAST(p_size AS VARCHAR) END AS INTEGER) AS size_num FROM part"""
-    p1 = f"round_even(1e0 / (1e0 + exp(-{z_expr()})), 9)"
-    ks_p1 = ks_sql(f"""SELECT p1, count(*) AS n, count(*) FILTER (WHERE pi = 0) AS good,
-      count(*) FILTER (WHERE pi = 1) AS bad FROM (SELECT {p1} AS p1, pi FROM clean) GROUP BY p1""", "p1", desc=True,
-                   keep_key=False)
+    z_grain = f"""SELECT z, count(*) AS n, count(*) FILTER (WHERE pi = 0) AS good,
+      count(*) FILTER (WHERE pi = 1) AS bad FROM (SELECT {z_expr()} AS z, pi FROM clean) GROUP BY z"""
+    ks_p1 = ks_sql(z_grain, "z", desc=True, keep_key=False)
+    eval_proba = f"""SELECT {r6('round_even(100e0 * (SELECT max(ks) FROM (' + ks_p1 + ')), 2)')} AS ks100,
+  {r6('round_even(auc, 2)')} AS auc2, {r6('round_even(100e0 * (2e0 * auc - 1e0), 2)')} AS gini FROM (
+  SELECT sum(CAST(bad AS DOUBLE) * (gg - cg) + 0.5e0 * bad * good) / (gg * bb) AS auc
+  FROM (SELECT z, good, bad, sum(good) OVER w AS cg, CAST(sum(good) OVER () AS DOUBLE) AS gg,
+               CAST(sum(bad) OVER () AS DOUBLE) AS bb FROM ({z_grain})
+        WINDOW w AS (ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY gg, bb)"""
     logit = f"(-{z_expr()})"
     quality = f"""SELECT name, ks_train, ks_test, {r6('ks_test - abs(ks_train - ks_test)')} AS quality FROM (
   SELECT 'full' AS name, max(ks) FILTER (WHERE split = 'train') AS ks_train, max(ks) FILTER (WHERE split = 'test') AS ks_test
@@ -431,8 +543,9 @@ SELECT 'Intercept', NULL, CAST(round_even({OFFSET} - {FACTOR} * {num(FX.SCORECAR
         "report_run_name": "SELECT o_orderkey, 'demo_' || strftime(o_orderdate, '%d-%m-%Y_%H-%M-%S') AS run_name FROM orders",
         "table_shape": with_base(f"""SELECT (SELECT count(*) FROM app) AS n_rows, {len(APP_COLUMNS)} AS n_cols,
   (SELECT min(app_id) FROM (SELECT app_id FROM app ORDER BY app_id LIMIT 5)) AS first_id"""),
-        "column_widths": with_base("""SELECT 'segment' AS feature, CAST(max(length(segment)) AS BIGINT) AS max_len FROM app
-UNION ALL SELECT 'priority', CAST(max(length(priority)) AS BIGINT) FROM app"""),
+        "column_widths": with_base(" UNION ALL ".join(
+            f"SELECT {q(c)} AS feature, CAST(max(length(CAST({quoted(c)} AS VARCHAR))) AS BIGINT) AS max_len FROM app"
+            for c in APP_COLUMNS if c not in DOUBLE_COLUMNS)),
         "null_sentinels": with_base("SELECT app_id, segment FROM clean"),
         "clean_columns": with_base(
             "SELECT " + ", ".join(r6(c) + f" AS {c}" if c in DOUBLE_COLUMNS else c for c in CLEANED_COLUMNS)
@@ -450,14 +563,20 @@ UNION ALL SELECT 'priority', CAST(max(length(priority)) AS BIGINT) FROM app"""),
                                           for f in NUMERIC_CLEANED)
             + ", a.pi FROM clean c JOIN (SELECT app_id, pi FROM app) a USING (app_id)"),
         "missing_rate": with_base(missing),
-        "iv_value_table": with_base(iv_vt),
+        "iv_value_table": with_base(f"SELECT *, row_number() OVER (ORDER BY feature, value) AS position FROM ({iv_vt})"),
         "iv_by_feature": with_base(iv_by_feature_sql()),
         "iv_select": with_base(f"SELECT * FROM ({iv_by_feature_sql()}) WHERE iv > 0.01e0 AND iv < 1e0"),
         "feature_cardinality": with_base(card),
-        "prebin_counts": with_base(prebin_sql()),
+        "prebin_counts": prebin_sql(),
         "bin_fit_asc": fit_sql("ascending"),
         "bin_fit_desc": fit_sql("descending"),
-        "bin_fit_categorical": with_base(cat_fit),
+        "bin_fit_categorical": category_fit_sql(),
+        "bin_fit_missing": missing_fit_sql(),
+        "bin_fit_all": screen_sql(),
+        "report_tables": report_sql(),
+        "stream_score": with_base("SELECT app_id, score FROM scored"),
+        "fit_logistic": with_base(flat_fit),
+        "grid_best": with_base(best_part),
         "bin_table": with_base(bt),
         "bin_totals_rollup": with_base(totals),
         "bin_members_array": with_base("""SELECT bin_id, CAST(count(DISTINCT priority) AS INTEGER) AS size,
@@ -512,11 +631,11 @@ FROM (SELECT app_id, {logit} AS logit FROM clean)"""),
         "roc_curve": with_base(roc),
         "auc_gini": with_base(auc),
         "model_metrics": with_base(metrics),
+        "model_eval_proba": with_base(eval_proba),
         "backfill_score": with_base(
             f"SELECT coalesce(score, (SELECT min(score) FROM grain)) AS score, * EXCLUDE (score) FROM ({ks_score} UNION ALL {origin_row})"),
-        "ppt_table": with_base(ppt_sql(False)),
-        "ppt_table_origin": with_base(ppt_sql(True)),
-        "ppt_theta_join": with_base(theta),
+        "ppt_table": with_base(f"SELECT *, row_number() OVER (ORDER BY cutoff_score DESC) AS position FROM ({ppt_sql(False)})"),
+        "ppt_table_origin": with_base(f"SELECT *, row_number() OVER (ORDER BY cutoff_score DESC) AS position FROM ({ppt_sql(True)})"),
         "string_scalars": string_sql,
     }
 

@@ -1,178 +1,68 @@
-"""Global running sums and row numbers without a single-partition window.
+"""Running sums and row numbers over a whole table, without a single-partition window.
 
-``Window.orderBy(..)`` with no ``partitionBy`` moves every row into one task.
-Here the order key is cut into ``B`` ranges by boundaries sampled from the data
-(composite keys, so a hot leading value is split by the next column), each row
-gets an explicit ``_bucket`` column (a pure expression of its key, so a
-recomputed stage reproduces it), per-bucket totals (B rows) give each bucket
-its offset, and the final window runs per bucket.
+``Window.orderBy(..)`` with no ``partitionBy`` moves every row into one task.  Here the rows are
+range-partitioned on the full order key (so a hot leading value is split by the next column),
+written once to the shared folder with their partition number, and summed per partition; each
+partition's offset is the sum of those before it (one row per partition).  The same method serves
+any size: Spark chooses the number of ranges, from ``spark.sql.shuffle.partitions`` and the bytes.
 
-Grain tables (one row per distinct score) are small by construction; callers
-pass ``buckets=1`` there and get a plain window over a few thousand rows.
+NULL keys come last, ascending or descending.
+
+Tables that are small by construction (one row per integer score) may pass ``partitions=1`` and
+get a plain window.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
-SAMPLE_PER_BUCKET = 64
-
-
-def _greater(cols: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``(cols) > bound``."""
-    cond = None
-    for i in reversed(range(len(cols))):
-        gt = cols[i] > F.lit(bound[i])
-        cond = gt if cond is None else (gt | ((cols[i] == F.lit(bound[i])) & cond))
-    return cond
-
-
-def _bucket_expr(cols: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Number of boundaries strictly below the key, by binary search (depth log2 B)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_greater(cols, bounds[mid]), _bucket_expr(cols, bounds, mid + 1, hi)) \
-            .otherwise(_bucket_expr(cols, bounds, lo, mid))
+from riskcard.session import scratch_path
 
 
-def choose_buckets(n_rows: int) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / ROWS_PER_BUCKET)))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sample_boundaries(df: DataFrame, key_cols: list[str], buckets: int, n_rows: int,
-                      seed: int = 17) -> list[tuple]:
-    """``buckets-1`` sorted composite boundaries from a bounded sample of keys.
-
-    The sample holds about ``buckets * SAMPLE_PER_BUCKET`` keys whatever the
-    table size, so the driver only ever sees that many small tuples.
-    """
-    if buckets <= 1 or n_rows == 0:
-        return []
-    want = buckets * SAMPLE_PER_BUCKET
-    frac = min(1.0, 2.0 * want / max(n_rows, 1))
-    keys = sorted(tuple(r) for r in df.select(*key_cols).sample(False, frac, seed).collect()
-                  if all(v is not None for v in r))
-    if not keys:
-        return []
-    bounds = []
-    for k in range(1, buckets):
-        b = keys[min(len(keys) - 1, (k * len(keys)) // buckets)]
-        if not bounds or b > bounds[-1]:
-            bounds.append(b)
-    return bounds
+def _order(cols: list[str], ascending: bool) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in cols]
 
 
-def running_sums(df: DataFrame, order_cols: list[str], sum_cols: dict[str, str],
-                 ascending: bool = True, buckets: int = 1, n_rows: int | None = None) -> DataFrame:
-    """Add ``out = running sum of src`` over the total order ``order_cols``.
+def running_sums(df: DataFrame, order_cols: list[str], sum_cols: dict[str, str], ascending: bool = True,
+                 partitions: int | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Add ``out = running sum of src`` in the order of ``order_cols``, restarted per ``groups``.
 
-    ``sum_cols`` maps output name -> source column (or ``"1"`` for a row count).
-    ``order_cols`` must form a total order (unique keys) for the result to be
-    deterministic.  Descending order negates the (numeric) key.
+    ``sum_cols`` maps output name -> source column (or ``"1"`` for a row count).  ``order_cols``
+    must be unique (within a group) for the result to be deterministic.  A group may span several
+    ranges: its offset then comes from the ranges before.
     """
-    keyed = df
-    key_names = []
-    for i, c in enumerate(order_cols):
-        kn = f"_k{i}"
-        keyed = keyed.withColumn(kn, F.col(c) if ascending else -F.col(c))
-        key_names.append(kn)
-    srcs = {out: (F.lit(1).cast("long") if src == "1" else F.col(src)) for out, src in sum_cols.items()}
-    keys = [F.col(k) for k in key_names]
-    if buckets <= 1:
-        w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = keyed.select("*", *[F.sum(e).over(w).alias(o) for o, e in srcs.items()])
-        return out.drop(*key_names)
-
-    n = n_rows if n_rows is not None else keyed.count()
-    bounds = sample_boundaries(keyed, key_names, buckets, n)
-    keyed = keyed.withColumn("_bucket", _bucket_expr(keys, bounds, 0, len(bounds)))
-    totals = keyed.groupBy("_bucket").agg(*[F.sum(e).alias("_t_" + o) for o, e in srcs.items()])
-    # at most B rows: one single-partition window over bucket totals is cheap
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[
-        F.coalesce(F.sum("_t_" + o).over(wb), F.lit(0)).alias("_o_" + o) for o in srcs])
-    w = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)
-    out = keyed.join(F.broadcast(offsets), "_bucket").select(
-        *[F.col(c) for c in keyed.columns],
-        *[(F.sum(e).over(w) + F.col("_o_" + o)).alias(o) for o, e in srcs.items()])
-    return out.drop(*key_names, "_bucket")
-
-
-def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn",
-                      ascending: bool = True, buckets: int | None = None,
-                      n_rows: int | None = None, method: str = "auto") -> DataFrame:
-    """1-based row number over the total order ``order_cols``.
-
-    ``buckets``: sampled boundaries + per-bucket windows (up to MAX_BUCKETS).
-    ``sort``: global sort + reliable checkpoint + per-partition offsets, for
-    inputs too large for MAX_BUCKETS windows.  ``auto`` picks by size.
-    """
-    n = df.count() if n_rows is None else n_rows
-    if method == "sort" or (method == "auto" and buckets is None
-                            and n > MAX_BUCKETS * ROWS_PER_BUCKET):
-        return row_number_by_sort(df, order_cols, out, ascending)
-    b = choose_buckets(n) if buckets is None else buckets
-    return running_sums(df, order_cols, {out: "1"}, ascending=ascending, buckets=b, n_rows=n)
-
-
-def row_number_by_sort(df: DataFrame, order_cols: list[str], out: str = "rn",
-                       ascending: bool = True, partitions: int | None = None) -> DataFrame:
-    """Row numbers without any window.
-
-    The global sort range-partitions on the full key, so a hot leading value
-    is split by the next column.  Each row is tagged with its partition and
-    ``monotonically_increasing_id`` (partition << 33 | position), and the result
-    is frozen with a reliable ``checkpoint()`` in the shared checkpoint folder,
-    so no recomputation can reshuffle it.  Partition counts (one row per
-    partition) give the offsets.
-    """
-    from riskcard.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    keys = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
-    s = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    s = (s.sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (s.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + pos + 1)
-            .drop("_pid", "_mid", "_off"))
-
-
-def grouped_running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                         sum_cols: dict[str, str], ascending: bool = True,
-                         buckets: int | None = None) -> DataFrame:
-    """Running sums restarted per group, without one task per group.
-
-    The group columns (numeric codes) lead the composite order key, so a large
-    group spans several buckets; each group's own start is subtracted using
-    per-group totals (one row per group, broadcast back).
-    """
-    n = df.count()
-    b = choose_buckets(n) if buckets is None else buckets
-    keyed = df
-    for i, c in enumerate(order_cols):
-        if not ascending:
-            keyed = keyed.withColumn(f"_o{i}", -F.col(c))
-    order = [f"_o{i}" if not ascending else c for i, c in enumerate(order_cols)]
-    run = running_sums(keyed, list(group_cols) + order, sum_cols, ascending=True, buckets=b, n_rows=n)
+    groups = list(groups or [])
     srcs = {o: (F.lit(1).cast("long") if s == "1" else F.col(s)) for o, s in sum_cols.items()}
-    totals = df.groupBy(*group_cols).agg(*[F.sum(e).alias("_g_" + o) for o, e in srcs.items()])
-    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group_cols, *[F.coalesce(F.sum("_g_" + o).over(w), F.lit(0)).alias("_s_" + o)
-                                          for o in srcs])
-    out = run.join(F.broadcast(starts), list(group_cols))
-    for o in srcs:
-        out = out.withColumn(o, F.col(o) - F.col("_s_" + o)).drop("_s_" + o)
-    return out.drop(*[c for c in order if c.startswith("_o")])
+    order = _order(order_cols, ascending)
+    upto = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if partitions == 1:
+        return df.select("*", *[F.sum(e).over(upto).alias(o) for o, e in srcs.items()])
+    keys = [*[F.col(g).asc_nulls_last() for g in groups], *order]
+    s = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    s = written(s.withColumn("_range", F.spark_partition_id()), "ranges")
+    # one row per range and group in it: the groups of a range are few, or end in it
+    totals = s.groupBy(*groups, "_range").agg(*[F.sum(e).alias("_t_" + o) for o, e in srcs.items()])
+    before = (Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*[F.col(g).alias("_g_" + g) for g in groups], F.col("_range").alias("_r"), *[
+        F.coalesce(F.sum("_t_" + o).over(before), F.lit(0)).alias("_o_" + o) for o in srcs])
+    same = F.col("_range") == F.col("_r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col("_g_" + g))
+    inside = (Window.partitionBy("_range", *groups).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return s.join(offsets, same).select(*df.columns, *[
+        (F.sum(e).over(inside) + F.col("_o_" + o)).alias(o) for o, e in srcs.items()])
+
+
+def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn", ascending: bool = True,
+                      partitions: int | None = None) -> DataFrame:
+    """1-based row number over the total order ``order_cols``."""
+    return running_sums(df, order_cols, {out: "1"}, ascending, partitions)

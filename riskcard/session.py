@@ -8,32 +8,45 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings applied by ``get_session``.  On a cluster the submitter owns these;
-# the values here are what tests and the bench use on local[N].
+# SQL settings wanted everywhere; a cluster that sets one of them keeps its own value.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Added when this process starts a local master itself (tests, bench).
+LOCAL_CONF = {
+    "spark.driver.memory": "16g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "riskcard", extra: dict | None = None) -> SparkSession:
+    """The active session, or a new one.
+
+    Submitted to a cluster (no ``master`` given), only SQL settings that nobody set are filled in;
+    the number of shuffle partitions and the driver's memory are the submitter's.
+    """
     builder = SparkSession.builder.appName(app_name)
+    conf = dict(extra or {})
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
-    conf.update(extra or {})
+        conf = {**LOCAL_CONF, **conf}
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    submitted = spark.sparkContext.getConf()
+    for k, v in DEFAULT_CONF.items():
+        if not submitted.contains(k):
+            spark.conf.set(k, v)
+    if master:
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -41,8 +54,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names this folder; it is only invented here when the setting
-    is missing (local tests), and then under a fresh directory of its own.
+    The cluster names this folder.  It is only invented on a local master (tests), where driver
+    and executors are one process; elsewhere a missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -56,16 +69,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         base = os.path.dirname(current.rstrip("/"))
         spark.conf.set("spark.checkpoint.dir", base)
         return base
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     base = tempfile.mkdtemp(prefix="riskcard-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", base)
     sc.setCheckpointDir(base)
     return base
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch() -> None:
+    """Delete the scratch folders handed out so far, once nothing reads them any more."""
+    from pyarrow import fs
+    while _SCRATCH:
+        store, path = fs.FileSystem.from_uri(_SCRATCH.pop())
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
 
 
 _SHIPPED: set = set()

@@ -18,17 +18,25 @@ ID = "app_id"
 TARGET = "pi"
 
 
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (read_table(spark, sf_dir, "lineitem")
+            .groupBy("l_orderkey")
+            .agg(F.count(F.lit(1)).alias("n_items"),
+                 F.sum("l_quantity").alias("qty"),
+                 F.round(F.avg("l_discount"), 6).alias("avg_disc")))
+
+
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applications_from(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
+                             order_items(spark, sf_dir))
+
+
+def applications_from(orders: DataFrame, customer: DataFrame, items: DataFrame) -> DataFrame:
     """One row per order: identifiers, a date, a score-like column, numeric and
     categorical predictors with missing values and sentinels, and a 0/1 target."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    items = (read_table(spark, sf_dir, "lineitem")
-             .groupBy("l_orderkey")
-             .agg(F.count(F.lit(1)).alias("n_items"),
-                  F.sum("l_quantity").alias("qty"),
-                  F.avg("l_discount").alias("avg_disc")))
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                           "o_orderpriority")
+    customer = customer.select("c_custkey", "c_acctbal", "c_mktsegment")
     j = (orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
          .join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left"))
     k = F.col("o_orderkey")
@@ -55,6 +63,22 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def informative_gaps(df: DataFrame) -> DataFrame:
+    """Two columns whose missing rows follow the target: the values say nothing, the gaps do."""
+    k = F.col(ID)
+    gap = ((F.col(TARGET) == 1) & (k % 10 < 7)) | ((F.col(TARGET) == 0) & (k % 10 < 2))
+    return (df.withColumn("gap_num", F.when(~gap, (k * 31 % 1000).cast("double")))
+            .withColumn("gap_cat", F.when(~gap, F.concat(F.lit("g"), (k * 17 % 6).cast("string")))))
+
+
+def order_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app_id, brand): the smallest brand among an order's parts, a many-level category."""
+    items = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return (items.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias(ID))
+            .agg(F.min("p_brand").alias("brand")))
+
+
 # The variable dictionary fixture (name, type, sign).
 DICTIONARY_ROWS = [
     ("acct_bal", "Numeric", ">"),
@@ -98,7 +122,5 @@ SCORECARD_WEIGHTS = {
 # A second, smaller scorecard: only two of the features (for grid_quality).
 REDUCED_FEATURES = ("acct_bal", "n_items")
 
-NUMERIC_FEATURES = ["acct_bal", "total_price", "n_items"]
-CATEGORICAL_FEATURES = ["priority", "segment"]
 PRESENCE_FEATURES = ["segment"]
 EXCLUDED = ["MBID", "opened", "sparse_x"]

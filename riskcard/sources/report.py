@@ -7,14 +7,16 @@ plus one long bin table partitioned by feature, numbers rounded half-even to
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskcard.session import scratch_path
+from riskcard.session import ensure_checkpoint_dir
 
+# Fixed value: the run name's date format.
 RUN_FORMAT = "dd-MM-yyyy_HH-mm-ss"     # Spark pattern of %d-%m-%Y_%H-%M-%S
 
 
@@ -39,7 +41,7 @@ def round_for_export(df: DataFrame, digits: int = 4) -> DataFrame:
 def write_report(spark: SparkSession, tables: dict[str, DataFrame], bin_table: DataFrame | None = None,
                  base: str | None = None, project: str = "scorecard") -> str:
     """Write every table; the bin table is one long table partitioned by feature."""
-    root = base or scratch_path(spark, run_name(project))
+    root = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{run_name(project)}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         round_for_export(df).write.mode("overwrite").parquet(f"{root}/{name}")
     if bin_table is not None:

@@ -9,49 +9,43 @@ as in batch.  Output and checkpoint live under the shared checkpoint folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from riskcard.operators import prep
 from riskcard.operators.points import Scorecard, score_expr
+from riskcard.plans.prefix import written
 from riskcard.session import scratch_path
+from riskcard.sources import fixture as FX
 from riskcard.sources.tables import read_table
 
 
 def application_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The applications table with ``orders`` read as a stream."""
+    """The applications table with ``orders`` read as a stream.
+
+    The line-item aggregate is a static side: it is written once, not recomputed per micro-batch.
+    """
     schema = read_table(spark, sf_dir, "orders").schema
     # a file stream watches a folder; the glob keeps it to the orders file(s)
     orders = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-              .option("pathGlobFilter", "orders*.parquet")
-              .parquet(sf_dir.rstrip("/")))
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    items = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-             .agg(F.count(F.lit(1)).alias("n_items")))
-    j = (orders.join(customer, F.col("c_custkey") == F.col("o_custkey"))
-         .join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left"))
-    k = F.col("o_orderkey")
-    return j.select(
-        k.alias("app_id"),
-        F.when(k % 20 != 3, F.col("o_totalprice")).alias("total_price"),
-        F.when(k % 25 != 4, F.col("c_acctbal")).alias("acct_bal"),
-        "n_items",
-        F.when(k % 30 == 7, F.lit(".")).when(k % 45 == 11, F.lit("NULL"))
-         .otherwise(F.col("c_mktsegment")).alias("segment"),
-        F.col("o_orderpriority").alias("priority"))
-
-
-def stream_scores(spark: SparkSession, sf_dir: str, sc: Scorecard, timeout_s: int = 600) -> DataFrame:
+              .option("pathGlobFilter", "*.parquet").parquet(_orders_folder(sf_dir)))
+    return FX.applications_from(orders, read_table(spark, sf_dir, "customer"),
+                                written(FX.order_items(spark, sf_dir), "order-items"))
+
+
+def _orders_folder(sf_dir: str) -> str:
+    """Glob of the orders table, a file or a folder of files."""
+    return f"{sf_dir.rstrip('/')}/orders.parquet*"
+
+
+def stream_scores(spark: SparkSession, sf_dir: str, sc: Scorecard) -> DataFrame:
     """Run the scoring stream to completion (available-now trigger) and read the sink back."""
-    src = application_stream(spark, sf_dir)
-    scored = src.select("app_id", score_expr(sc).alias("score"))
+    src = prep.replace_sentinels(application_stream(spark, sf_dir))
+    scored = src.select(FX.ID, score_expr(sc).alias("score"))
     out = scratch_path(spark, "stream-score-out")
     ckpt = scratch_path(spark, "stream-score-ckpt")
     q = (scored.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("scoring stream did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.schema("app_id long, score long").parquet(out)

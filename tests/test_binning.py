@@ -8,10 +8,10 @@ from riskcard.operators import binning as B
 from riskcard.operators.bins import CategoricalBins, NumericBins, apply_bins
 
 
-def brute(n, e, trend):
+def brute(n, e, trend, missing=(0, 0)):
     """Every contiguous segmentation, kept when strictly monotone; same tie rule."""
     p = len(n)
-    G, Bt = sum(n) - sum(e), sum(e)
+    G, Bt = sum(n) - sum(e) + missing[0] - missing[1], sum(e) + missing[1]
     best = None
     for mask in range(1 << (p - 1)):
         starts = [0] + [i + 1 for i in range(p - 1) if mask >> i & 1]
@@ -25,7 +25,7 @@ def brute(n, e, trend):
         key = (round(iv, B.IV_DIGITS), -len(starts), tuple(-s for s in starts))
         if best is None or key > best[0]:
             best = (key, starts, iv)
-    return best[1], best[2]
+    return best[1], best[2] + B._segment_iv(*missing, G, Bt)
 
 
 ACCT = ([2406, 2399, 2396, 2408, 2398, 2393], [1260, 1055, 904, 794, 544, 408])
@@ -57,12 +57,13 @@ def test_merges_to_monotone_m7():
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 60)), min_size=1, max_size=7),
-       st.sampled_from(["ascending", "descending"]))
-def test_dp_equals_brute_force(cells, trend):
+       st.sampled_from(["ascending", "descending"]), st.tuples(st.integers(0, 30), st.integers(0, 30)))
+def test_dp_equals_brute_force(cells, trend, gap):
     n = [a + b for a, b in cells]
     e = [b for a, b in cells]
-    s1, iv1 = B.fit_monotone(n, e, trend)
-    s2, iv2 = brute(n, e, trend)
+    missing = (gap[0] + gap[1], gap[1])
+    s1, iv1 = B.fit_monotone(n, e, trend, missing)
+    s2, iv2 = brute(n, e, trend, missing)
     assert s1 == s2 and abs(iv1 - iv2) < 1e-9
 
 
@@ -126,14 +127,54 @@ def test_presence_bin_labels(spark):
     assert [r[0] for r in apply_bins(df, [b]).collect()] == ["not NaN", "NaN"]
 
 
-def test_tree_prebins_respect_min_share(spark):
-    from conftest import MEDIUM
-    from riskcard.plans import catalog as C
-    c = C.clean(spark, MEDIUM)
-    cuts = B.prebin_cuts_tree(c, ["acct_bal", "qty"], "pi")
-    counts = B.prebin_counts(c, cuts, "pi").filter(F.col("pb").isNotNull()).collect()
-    for f in ("acct_bal", "qty"):
-        rows = [r for r in counts if r["feature"] == f]
-        total = sum(r["n"] for r in rows)
-        assert 2 <= len(rows) <= 20
-        assert min(r["n"] for r in rows) >= 0.05 * total - 1
+def test_small_prebins_merge_forward():
+    assert B.merge_small([94, 1, 5]) == [0, 1, 1]
+    assert B.merge_small([34, 1, 65]) == [0, 1, 1]
+    assert B.merge_small([50, 50, 1]) == [0, 1, 1]
+    assert B.merge_small([1, 1, 1]) == [0, 1, 2]
+    assert B.merge_small([3, 2, 95]) == [0, 0, 1]
+
+
+def test_zero_inflated_number_and_rare_category(spark):
+    rows = [(0.0 if i < 940 else float(i), "a" if i < 340 else "b" if i < 350 else "c", int(i % 3 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, c string, y int")
+    n = [r["n"] for r in B.prebin_counts(df, ["x"], "y").orderBy("pb").collect()]
+    assert n == [940, 60]
+    by = B.category_prebin_counts(B.category_prebins(df, ["c"], "y")).collect()
+    assert min(r["n"] for r in by) >= 50 and sum(r["n"] for r in by) == 1000
+
+
+def test_informative_missing_values_are_in_the_iv(spark):
+    """The values say nothing, 30% are missing and mostly bad: the screen sees it."""
+    rows = []
+    for i in range(3000):
+        gap = i % 10 < 3
+        y = int(i % 100 < 70) if gap else int((i * 7) % 100 < 20)
+        rows.append((None if gap else float(i * 31 % 500), None if gap else f"c{i * 17 % 5}", y))
+    df = spark.createDataFrame(rows, "x double, c string, y int")
+    status, bins, counts = B.screen_features(spark, df, "y", ["c"], {"x": "ascending"}, max_iv=10.0)
+    got = {r["feature"]: r for r in status.collect()}
+    table = B.complete_table(counts, spark.createDataFrame(
+        [(b.feature, i, lab) for b in bins for i, lab in enumerate(b.labels)], "feature string, bin_id int, label string"))
+    for f in ("x", "c"):
+        lines = [r for r in table.collect() if r["feature"] == f]
+        assert [r["label"] for r in lines[-3:]] == ["Special", "Missing", "Totals"]
+        assert lines[-1]["n"] == 3000 and lines[-2]["n"] == 900 and lines[-3]["n"] == 0
+        assert got[f]["status"] == "selected" and abs(got[f]["iv"] - lines[-1]["iv"]) < 1e-9 and got[f]["iv"] > 0.5
+
+
+def test_many_categories_are_never_collected(spark):
+    """100,000 categories: members stay a table, labels name a few, codes match the members."""
+    from riskcard.operators.bins import MISSING_CODE, apply_codes
+    df = (spark.range(200_000).selectExpr("id", "concat('k', id % 100000) AS c",
+                                          "CAST((id % 100000) % 10 < 1 + (id % 100000) % 7 AS INT) AS y"))
+    _, bins, counts = B.screen_features(spark, df, "y", ["c"], {}, max_iv=50.0)
+    (b,) = bins
+    assert b.members.count() == 100_000
+    assert all("more" in lab and len(lab) < 300 for lab in b.labels)
+    coded = apply_codes(df.unionByName(spark.createDataFrame([(-1, "new", 0), (-2, None, 1)], "id long, c string, y int")),
+                        bins, keep=["id", "c"])
+    wrong = coded.join(b.members, coded["c"] == b.members["value"], "left").where(
+        F.coalesce(F.col("bin_id"), F.lit(MISSING_CODE)) != F.col("c_cat")).count()
+    assert wrong == 0 and coded.where(F.col("c_cat") == MISSING_CODE).count() == 2
+    assert counts.agg(F.sum("n")).head()[0] == 200_000

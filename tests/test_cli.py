@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from riskcard.session import scratch_path
 from riskcard.sources import fixture as FX
@@ -31,5 +32,13 @@ def test_cli_writes_report(spark, tmp_path):
     assert r.returncode == 0, r.stderr[-3000:]
     root = r.stdout.strip().splitlines()[-1]
     tables = set(os.listdir(root))
-    assert {"scorecard", "ppt", "missing_rate", "iv", "feature_status", "grid", "bins"} <= tables
+    assert {"scorecard", "ppt", "missing_rate", "iv", "feature_status", "grid", "bins", "optimal_cutoff", "ks_point",
+            "histogram", "ks_curve", "correlations", "coefficients", "model_metrics", "scored"} <= tables
+    bins = spark.read.parquet(f"{root}/bins")
+    for f in {r["feature"] for r in bins.select("feature").distinct().collect()}:
+        labels = {r["label"] for r in bins.where(F.col("feature") == f).collect()}
+        assert {"Special", "Missing", "Totals"} <= labels
+    scored = spark.read.parquet(f"{root}/scored")
+    assert {"score", "raw_score", "odds", "probs"} <= set(scored.columns) and scored.count() == 1500
+    assert spark.read.parquet(f"{root}/coefficients").where("label like '% = %'").count() > 0
     assert spark.read.parquet(f"{root}/grid").count() == 36

@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from riskcard.operators import encode as E
 from riskcard.operators import model as M
@@ -20,7 +22,9 @@ def test_prune_rule_m6(spark):
         rows.append((a, a, c, y, e, y))
     cols = ["a", "b", "c", "d", "e", "y"]
     df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in cols))
-    pairs = E.corr_pairs(df, cols)
+    m = np.corrcoef(np.array(rows, dtype=float).T)
+    pairs = spark.createDataFrame([(cols[i], cols[j], None if np.isnan(m[i, j]) else round(float(m[i, j]), 2))
+                                   for i in range(6) for j in range(i + 1, 6)], "a string, b string, corr double")
     kept = {r["feature"]: r["kept"] for r in E.corr_prune(pairs, cols, "y", 0.67, spark).collect()}
     # a = b: tie on |corr with y| -> the earlier (a) is dropped; c constant -> NULL corr, kept;
     # d = y: a leak, dropped; the target is never dropped
@@ -28,20 +32,6 @@ def test_prune_rule_m6(spark):
     assert E.kept_columns(E.corr_prune(pairs, cols, "y", 0.67, spark), "y") == ["b", "c", "e", "y"]
 
 
-def test_corr_matches_numpy(spark):
-    rnd = random.Random(4)
-    rows = [tuple(int(rnd.random() < p) for p in (0.2, 0.5, 0.7, 0.4)) for _ in range(300)]
-    cols = ["p", "q", "r", "s"]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in cols))
-    got = {(r["a"], r["b"]): r["corr"] for r in E.corr_pairs(df, cols).collect()}
-    m = np.corrcoef(np.array(rows, dtype=float).T)
-    for i in range(4):
-        for j in range(i + 1, 4):
-            assert abs(got[(cols[i], cols[j])] - round(m[i, j], 2)) < 1e-9
-    ml = {(r["a"], r["b"]): r["corr"] for r in E.corr_pairs_ml(df, cols).collect()}
-    assert ml == got
-
-
 def test_grid_best_first_on_ties_m11(spark):
     t = spark.createDataFrame([(0, "l1", 0.1, 0.4, 0.4, 0.4), (1, "l1", 0.2, 0.4, 0.4, 0.4),
                                (2, "l2", 0.1, 0.3, 0.3, 0.3)],
@@ -57,6 +47,18 @@ def test_split_is_a_function_of_id(spark):
     assert a == b and 650 < sum(v == "train" for v in a.values()) < 750
 
 
+@pytest.mark.parametrize("ids", ["id * 100", "9223372036854775807 - id * 8589934592", "concat('app-', id)",
+                                 "if(id = 0, null, id)"])
+def test_split_takes_any_id(spark, ids):
+    df = spark.range(5000).selectExpr(f"{ids} AS app_id")
+    for fraction in (0.7, 0.004, 0.5):
+        n = M.train_test_split(df, "app_id", fraction).where("split = 'train'").count()
+        assert abs(n - 5000 * fraction) < 5 * (5000 * fraction * (1 - fraction)) ** 0.5 + 1
+    c = spark.range(5000).selectExpr(f"{ids} AS app_id", "id % 20 = 3 AS gap")     # a pattern in ids
+    m = M.train_test_split(c, "app_id").where("gap and split = 'train'").count()
+    assert 140 < m < 210
+
+
 def test_l2_fit_matches_newton(spark):
     rnd = np.random.default_rng(0)
     n, d = 400, 3
@@ -81,16 +83,102 @@ def test_l2_fit_matches_newton(spark):
     assert np.allclose(w, beta[1:], atol=1e-4)
 
 
-def test_binned_pairs_equal_dense_pairs(spark):
-    from riskcard.operators.bins import CategoricalBins, NumericBins, apply_bins
+def test_l1_fit_meets_the_optimality_conditions(spark):
+    """|w|_1 + C * sum(loss) is minimal: the gradient balances the sign of a weight, and stays
+    within one where the weight is zero."""
+    rng = np.random.default_rng(1)
+    n = 600
+    x = (rng.random((n, 4)) < 0.4).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(0.4 - x @ np.array([1.2, -0.9, 0.0, 0.02])))).astype(int)
+    cols = ["x0", "x1", "x2", "x3"]
+    df = spark.createDataFrame([tuple(map(float, r)) + (int(t), 1.0) for r, t in zip(x, y)],
+                               "x0 double, x1 double, x2 double, x3 double, y int, w double")
+    c = 0.1
+    b0, w = M.fit_logistic(df, cols, "y", "l1", c, n, max_iter=500, tol=1e-12)
+    p = 1 / (1 + np.exp(-(b0 + x @ np.array(w))))
+    grad = c * x.T @ (p - y)
+    assert abs(c * (p - y).sum()) < 1e-3
+    assert any(abs(v) < 1e-9 for v in w) and any(abs(v) > 0.1 for v in w)
+    for g, v in zip(grad, w):
+        assert abs(g + np.sign(v)) < 2e-3 if abs(v) > 1e-9 else abs(g) <= 1 + 2e-3
+
+
+def binned_rows(spark, target="int"):
+    from riskcard.operators.bins import CategoricalBins, NumericBins
     rnd = random.Random(9)
-    rows = [(i, rnd.choice([None, 1.0, 5.0, 9.0]), rnd.choice(["a", "b", "c", None]), int(rnd.random() < 0.3))
-            for i in range(500)]
-    df = spark.createDataFrame(rows, "id long, x double, s string, y int")
-    bins = [NumericBins("x", (2.0, 6.0)), CategoricalBins("s", (("a",), ("b", "c"), ("zz",)))]
+    rows = []
+    for i in range(500):
+        y = int(rnd.random() < 0.3)
+        rows.append((i, rnd.choice([None, 1.0, 5.0, 9.0]), rnd.choice(["a", "b", "c", None]), "leak" if y else "no", y))
+    df = spark.createDataFrame(rows, "id long, x double, s string, t string, y int").withColumn("y", F.col("y").cast(target))
+    return df, [NumericBins("x", (2.0, 6.0)), CategoricalBins("s", (("a",), ("b", "c"), ("zz",))),
+                CategoricalBins("t", (("leak",), ("no",)))]
+
+
+def test_binned_pairs_match_numpy(spark):
+    from riskcard.operators.bins import apply_bins
+    df, bins = binned_rows(spark)
     binned = apply_bins(df, bins, keep=["id", "y"])
     oh = E.one_hot(binned, bins, "y", "id")
     cols = [c for c in oh.columns if c != "id"]
-    dense = sorted(map(tuple, E.corr_pairs(oh, cols).collect()))
-    fast = sorted(map(tuple, E.corr_pairs_binned(binned, bins, "y").collect()))
-    assert dense == fast
+    m = np.corrcoef(np.array([tuple(r)[1:] for r in oh.collect()], dtype=float).T)
+    got = {(r["a"], r["b"]): r["corr"] for r in E.corr_pairs_binned(binned, bins, "y").collect()}
+    assert len(got) == len(cols) * (len(cols) - 1) // 2
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            c = got[(cols[i], cols[j])]
+            assert c is None if np.isnan(m[i, j]) else abs(c - m[i, j]) <= 0.0051
+
+
+@pytest.mark.parametrize("target", ["int", "double", "boolean", "decimal(3,1)"])
+def test_leak_is_dropped_for_any_target_type(spark, target):
+    from riskcard.operators.bins import apply_codes
+    from riskcard.operators.prep import checked_target
+    df, bins = binned_rows(spark, target)
+    coded = apply_codes(checked_target(df, "y"), bins, keep=["id", "y"])
+    cols = [n for n, _, _ in E.level_codes(bins)] + ["y"]
+    prune = {r["feature"]: r["kept"] for r in E.corr_prune(E.corr_pairs_codes(coded, bins, "y"), cols, "y").collect()}
+    assert prune["t_cat__b0"] == 0 and prune["t_cat__b1"] == 0 and prune["y"] == 1 and prune["x_cat__b0"] == 1
+
+
+def test_target_must_be_zero_or_one(spark):
+    from riskcard.operators.prep import checked_target
+    for rows, kind in (([(0,), (2,)], "y int"), ([(0.0,), (None,)], "y double"), ([("1",)], "y string")):
+        with pytest.raises(ValueError):
+            checked_target(spark.createDataFrame(rows, kind), "y")
+
+
+def test_ks_by_intervals_is_exact(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((900, 3)) * 8).round(1)
+    y = (rng.random(900) < 1 / (1 + np.exp(2 - x[:, 0] / 2))).astype(int)
+    cols = ["x0", "x1", "x2"]
+    df = spark.createDataFrame([("train" if i % 3 else "test", *map(float, r), int(t), 1.0 + i % 2)
+                                for i, (r, t) in enumerate(zip(x, y))],
+                               "split string, x0 double, x1 double, x2 double, y int, w double")
+    models = [(-1.0, [0.5, 0.0, 0.0]), (0.2, [0.1, -0.3, 0.01]), (0.0, [0.0, 0.0, 0.0])]
+    want = {}
+    for k, (b0, w) in enumerate(models):
+        p = 1 / (1 + np.exp(-(b0 + x @ np.array(w))))
+        for split in ("train", "test"):
+            own = np.array([(i % 3 != 0) == (split == "train") for i in range(900)])
+            wt = np.array([1.0 + i % 2 for i in range(900)])
+            gaps = []
+            for c in np.unique(p[own]):
+                at = own & (p >= c)
+                gaps.append(abs((wt * y)[at].sum() / (wt * y)[own].sum() - (wt * (1 - y))[at].sum() / (wt * (1 - y))[own].sum()))
+            want[(f"m{k}", split)] = max(gaps)
+    for intervals in (4, 4096):
+        got = M.ks_of_models(df, cols, "y", models, intervals)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_compressed_design_equals_the_full_one(spark):
+    from riskcard.operators.bins import apply_codes
+    df, bins = binned_rows(spark)
+    coded = apply_codes(df, bins, keep=["id", "y"])
+    feats = ["s_cat__b0", "x_cat__b1", "x_cat__bnan"]
+    comp = M.compress_codes(M.train_test_split(coded, "id"), bins, feats, "y", extra=["split"])
+    full = M.train_test_split(E.one_hot_codes(coded, bins, "y", "id"), "id").groupBy("split", *feats, "y").count()
+    assert sorted(tuple(r) for r in comp.select("split", *feats, "y", F.col("w").cast("long")).collect()) == \
+        sorted(tuple(r) for r in full.collect())

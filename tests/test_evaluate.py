@@ -22,7 +22,7 @@ def test_all_equal_scores_m2(spark):
 
 def test_groups_use_ceil_not_ntile_m3(spark):
     df, _ = grain(spark, [(i, i, i % 2) for i in range(10)])
-    grp = V.equal_groups(df, "score", "id", 3, buckets=2)
+    grp = V.equal_groups(df, "score", "id", 3, partitions=2)
     sizes = sorted((r["grp"], r["count"]) for r in grp.groupBy("grp").count().collect())
     assert [c for _, c in sizes] == [3, 3, 4]
 
@@ -56,17 +56,6 @@ def test_ppt_equals_row_counting_m13(spark, origin):
         assert abs(r["good_rate_rejected"] - sum(rej) / len(rej)) < 1e-12
 
 
-def test_theta_join_equals_prefix_sums(spark):
-    rnd = random.Random(3)
-    _, g = grain(spark, [(i, rnd.randint(0, 60), int(rnd.random() < 0.4)) for i in range(400)])
-    offset, factor = V.scaling()
-    a = sorted(map(tuple, V.ppt_table(g, "score", offset, factor).collect()))
-    b = sorted(map(tuple, V.ppt_theta_join(g, "score", offset, factor).collect()))
-    assert len(a) == len(b)
-    for x, y in zip(a, b):
-        assert all((u is None and v is None) or abs(u - v) < 1e-12 for u, v in zip(x, y))
-
-
 def test_ks_invariant_to_partitioning_and_cumulative_ends(spark):
     rnd = random.Random(11)
     rows = [(i, rnd.randint(0, 50), int(rnd.random() < 0.35)) for i in range(2000)]
@@ -74,7 +63,7 @@ def test_ks_invariant_to_partitioning_and_cumulative_ends(spark):
     k1 = V.ks_stat(V.ks_table(g, "score")).collect()[0]["ks"]
     g8 = V.score_grain(df.repartition(1), "score", "y")
     k2 = V.ks_stat(V.ks_table(g8, "score")).collect()[0]["ks"]
-    kb = V.ks_stat(V.ks_table(g, "score", buckets=4)).collect()[0]["ks"]
+    kb = V.ks_stat(V.ks_table(g, "score", partitions=4)).collect()[0]["ks"]
     assert k1 == k2 == kb
     last = V.ks_table(g, "score").orderBy(F.desc("group")).first()
     assert abs(last["cumgood"] - 1) < 1e-12 and abs(last["cumbad"] - 1) < 1e-12
@@ -102,7 +91,7 @@ def test_two_level_row_number_equals_global_order(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.randint(0, 5), 0) for i in range(3000)]   # heavy ties: hot score values
     df = spark.createDataFrame(rows, "id long, score long, y int")
-    got = {r["id"]: r["rn"] for r in global_row_number(df, ["score", "id"], buckets=7).collect()}
+    got = {r["id"]: r["rn"] for r in global_row_number(df, ["score", "id"], partitions=7).collect()}
     expect = {i: k + 1 for k, (i, _) in enumerate(sorted(((i, s) for i, s, _ in rows), key=lambda t: (t[1], t[0])))}
     assert got == expect
 
@@ -113,13 +102,39 @@ def test_origin_and_backfill(spark):
     assert t[0]["group"] == 0.0 and t[0]["score"] == 10 and t[0]["cumbadrate"] is None
 
 
-def test_row_number_by_sort_equals_buckets(spark):
-    from riskcard.plans.prefix import row_number_by_sort
-    rnd = random.Random(8)
-    rows = [(i, rnd.randint(0, 3), 0) for i in range(4000)]
+def test_null_keys_come_last_in_both_directions(spark):
+    rows = [(i, None if i % 5 == 0 else i % 7, 0) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, score long, y int")
-    a = {r["id"]: r["rn"] for r in row_number_by_sort(df, ["score", "id"], partitions=5).collect()}
-    b = {r["id"]: r["rn"] for r in global_row_number(df, ["score", "id"], buckets=3).collect()}
-    assert a == b and sorted(a.values()) == list(range(1, 4001))
-    d = {r["id"]: r["rn"] for r in row_number_by_sort(df, ["score", "id"], ascending=False, partitions=4).collect()}
-    assert all(d[i] == 4001 - a[i] for i in a)
+    for ascending in (True, False):
+        for parts in (1, 4, None):
+            got = {r["id"]: r["rn"] for r in
+                   global_row_number(df, ["score", "id"], ascending=ascending, partitions=parts).collect()}
+            sign = 1 if ascending else -1
+            want = sorted(rows, key=lambda t: (t[1] is None, sign * (t[1] or 0), sign * t[0]))
+            assert got == {i: k + 1 for k, (i, _, _) in enumerate(want)}
+
+
+def test_grouped_running_sums_span_ranges(spark):
+    from riskcard.plans.prefix import running_sums
+    rows = [("a" if i % 10 else None, i, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    got = {(r.g, r.k): r.s for r in running_sums(df, ["k"], {"s": "v"}, groups=["g"], partitions=6).collect()}
+    want, tot = {}, {}
+    for g, k, v in sorted(rows, key=lambda t: t[1]):
+        tot[g] = tot.get(g, 0) + v
+        want[(g, k)] = tot[g]
+    assert got == want
+
+
+def test_single_window_refuses_fractional_keys(spark):
+    df = spark.createDataFrame([(0.25, 1), (0.5, 0)], "p double, y int")
+    g = V.score_grain(df, "p", "y")
+    with pytest.raises(ValueError):
+        V.ks_table(g, "p")
+    assert V.model_metrics(g, "p", bad_high=True, partitions=None).collect()[0]["auc2"] == 0.0
+
+
+def test_cutoffs_come_highest_first(spark):
+    _, g = grain(spark, [(i, (i * 7) % 11, i % 2) for i in range(50)])
+    got = [r.cutoff_score for r in V.ppt_table(g, "score", *V.scaling()).collect()]
+    assert got == sorted(got, reverse=True)

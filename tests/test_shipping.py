@@ -26,4 +26,4 @@ def test_udf_queries_run_from_another_directory():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     r = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True, text=True,
                        timeout=600)
-    assert "ROWS 4" in r.stdout, r.stderr[-3000:]
+    assert "ROWS 5" in r.stdout, r.stderr[-3000:]
