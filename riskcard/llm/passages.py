@@ -84,10 +84,11 @@ def profile(docs: DataFrame, window: int) -> DataFrame:
 
 
 def with_copies(prof: DataFrame) -> DataFrame:
-    """Add ``copy_of``: the smallest doc_id with the same word sequence, if it is another one."""
+    """Add ``copy_of``: the smallest doc_id with the same word sequence, if it is another one.
+    ``prof`` is read twice: give it a written table."""
     groups = (prof.where("doc_id is not null").groupBy("words_sha")
               .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"))
-    return (prof.join(groups, "words_sha", "left")
+    return (prof.join(written(groups, "copies"), "words_sha", "left")
             .withColumn("copy_of", F.when(F.col("doc_id") > F.col("lo"), F.col("lo"))).drop("lo"))
 
 
@@ -99,7 +100,7 @@ def repeated_grams(units: DataFrame, hot: int) -> DataFrame:
     counts = (each.groupBy("gram")
               .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("times").alias("n"))
               .where("lo < hi").select("gram", (F.col("n") > hot).alias("hot")))
-    return (each.drop("times").join(counts, "gram").groupBy(*KEY)
+    return (each.drop("times").join(written(counts, "repeated-grams"), "gram").groupBy(*KEY)
             .agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("grams"),
                  F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot_grams")))
 
@@ -116,7 +117,8 @@ def later_windows(windows: DataFrame) -> DataFrame:
     execution splits where a hash is hot."""
     first = (windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
              .where("lo < hi").select("hash", "lo"))
-    return windows.join(first, "hash").where("doc_id > lo").select(*KEY, "pos")
+    # written, so that it is shuffled by itself: only then can the join split a hot hash
+    return windows.join(written(first, "first-windows"), "hash").where("doc_id > lo").select(*KEY, "pos")
 
 
 __all__ = ["KEY", "anchors", "each_chunk", "keyed", "later_windows", "profile", "ready", "repeated_grams",

@@ -103,7 +103,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     document with the same words, all of whose words went) and ``removed``, the removed word
     intervals.  ``keep_text`` adds ``kept``: the kept words joined by one space, null where
     nothing was removed (the text stands as it is)."""
-    units = written(P.with_copies(P.profile(docs, window)), "substring-units")
+    units = written(P.with_copies(written(P.profile(docs, window), "substring-profile")), "substring-units")
     grams = P.repeated_grams(units, 2**62).drop("hot_grams")
     texts = written(P.texts_of(docs, grams), "substring-texts")
     windows = written(windows_of(texts, window), "substring-windows")
