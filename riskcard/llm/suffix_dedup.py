@@ -33,13 +33,13 @@ from riskcard.llm import words as W
 from riskcard.llm.common import interval_words, merged_intervals, written
 
 WINDOW = 50
-HOT = 5_000       # occurrences of one anchor gram that a shard takes
+HOT = 50_000      # occurrences of one anchor gram that a shard takes (about 0.6 KB each)
 SHARD = 20_000    # suffixes sorted together, besides the last gram's
 
 
 def suffixes_of(texts: DataFrame, window: int, hot: bool) -> DataFrame:
     """Retained suffixes: (gram, doc_id, text_key, pos, before, after); ``before`` holds the hashes
-    of the words left of the anchor, nearest first.  For hot grams the windows around each anchor
+    of the words left of the anchor, nearest first.  For hot grams the windows they are minimisers of
     instead: (hash, doc_id, text_key, pos)."""
     ctx, guard = window - W.GRAM, window - W.GRAM + 1
     wanted_col = "hot_grams" if hot else "grams"
@@ -49,8 +49,8 @@ def suffixes_of(texts: DataFrame, window: int, hot: bool) -> DataFrame:
             wanted = b.column(wanted_col).to_pylist()
             ids, keys = b.column("doc_id").to_numpy(), b.column("text_key").to_numpy()
             for i, j, h, first, _, _, _ in P.each_chunk(b.column("text")):
-                g = W.rolling(h, W.GRAM)
-                at = P.anchors(g, W.window_minima(h, first, window), guard)
+                g, low = W.rolling(h, W.GRAM), W.window_minima(h, first, window)
+                at = P.anchors(g, low, guard)
                 cut = np.searchsorted(at, first)
                 full = W.rolling(h, window).view(np.int64) if hot else None
                 for k in range(j - i):
@@ -60,8 +60,7 @@ def suffixes_of(texts: DataFrame, window: int, hot: bool) -> DataFrame:
                     if not len(own):
                         continue
                     if hot:
-                        s = np.unique((own[:, None] - np.arange(guard)).ravel())
-                        s = s[(s >= a) & (s <= z - window)]
+                        s = a + np.flatnonzero(np.isin(low[a: z - window + 1].view(np.int64), wanted[i + k]))
                         cols = [full[s], np.full(len(s), ids[i + k]), np.full(len(s), keys[i + k]),
                                 (s - a).astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols],
@@ -160,7 +159,7 @@ def neighbour_matches(suffixes: DataFrame, window: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed (words in passages of at least ``window``
     words that an earlier document holds), copy_of and ``spans``, the maximal word intervals."""
-    units = written(P.with_copies(P.profile(docs, window)), "suffix-units")
+    units = written(P.with_copies(written(P.profile(docs, window), "suffix-profile")), "suffix-units")
     texts = written(P.texts_of(docs, P.repeated_grams(units, hot)), "suffix-texts")
     found = neighbour_matches(suffixes_of(texts, window, hot=False), window)
     hot_windows = written(suffixes_of(texts, window, hot=True), "suffix-hot")
