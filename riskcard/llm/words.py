@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 2 << 20          # bytes hashed at a time; temporaries take about 40 times that
+CHUNK = 2 << 20          # bytes of whole texts taken together (a longer text stands alone)
+PIECE = 256 << 10        # bytes hashed at a time
 GRAM = 16                # words of the anchor grams that minimisers are chosen from
 _U = np.uint64
 
@@ -60,14 +61,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_byte: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    inside = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)
-    inside -= np.repeat(np.r_[0, starts].astype(inside.dtype), np.diff(np.r_[0, starts, len(data)]))
-    vals = np.where(word_byte[data], _BYTE[data], _U(0))
-    vals *= powers(int(_P), int((ends - starts).max()))[np.minimum(inside, (ends - starts).max() - 1)]
-    return mix(np.add.reduceat(vals, starts))
+    """A 64-bit hash of each word's bytes, PIECE bytes at a time (a longer word stands alone)."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        part, s = data[starts[i]: ends[j - 1]], starts[i:j] - starts[i]
+        longest = int((ends[i:j] - starts[i:j]).max())
+        inside = np.arange(len(part), dtype=np.int32 if len(part) < 2**31 else np.int64)
+        inside -= np.repeat(s.astype(inside.dtype), np.diff(np.r_[s, len(part)]))
+        vals = np.where(word_byte[part], _BYTE[part], _U(0))
+        vals *= powers(int(_P), longest)[np.minimum(inside, longest - 1)]
+        out[i:j] = np.add.reduceat(vals, s)
+        i = j
+    return mix(out)
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:

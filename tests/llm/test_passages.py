@@ -129,3 +129,16 @@ def test_word_hashes_see_bytes_not_places():
     assert first.tolist() == [0, 2, 2, 4, 6]
     assert h[0] == h[3] and h[1] == h[2] and len(set(h.tolist())) == 4
     assert W.rolling(np.array([1, 2, 3, 1, 2], np.uint64), 2)[0] == W.rolling(np.array([1, 2], np.uint64), 2)[0]
+
+
+def test_long_words_and_texts_hash_alike(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from riskcard.llm.common import strings
+    data, offsets = strings(pa.array(["q" * 3000 + " ab " + "z " * 900 + "q" * 3000, "ab"]))
+    starts, ends, _ = W.spans(data, offsets, W.NOT_SPACE)
+    whole = W.word_hashes(data, starts, ends, W.NOT_SPACE)
+    monkeypatch.setattr(W, "PIECE", 100)
+    assert np.array_equal(whole, W.word_hashes(data, starts, ends, W.NOT_SPACE))
+    assert whole[0] == whole[-2] and whole[1] == whole[-1]
