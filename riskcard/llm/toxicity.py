@@ -18,7 +18,7 @@ labelled training rows.  Scoring is a scan: each text is scored in a task with t
 Defined cases: null and empty texts have no features and get the score of the model's constant;
 a document with several labels is toxic if one says so; null labels say nothing; documents
 without an id are scored and never train; repeated documents are scored row by row; without a
-confirmed toxic document every score is 0; an empty table gives no rows.
+confirmed toxic label every score is 0, without a text of one it is the prior; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from riskcard.llm import words as W
-from riskcard.llm.common import ready, slices, strings
+from riskcard.llm.common import ready, slices, strings, written
 
 DIMS = 20                  # log2 of the hashed features
 GRAMS = (4, 6)             # bytes
+CHUNK = 512 << 10          # bytes worked on at a time; temporaries take about 120 times that
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 6_000
 THRESHOLD = 0.3
@@ -51,11 +52,11 @@ def feature_numbers(data: np.ndarray, offsets: np.ndarray):
     c = W.LOWER[data]
     after_c3 = np.r_[False, data[:-1] == 0xC3]
     c[after_c3 & (c >= 0x80) & (c <= 0x9E) & (c != 0x97)] += 0x20
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     letter = _LETTER[c]
     starts, ends, first = W.spans(c, offsets, _LETTER)
-    numbers = [W.word_hashes(c, starts, ends, _LETTER) >> np.uint64(64 - DIMS)]
-    owners = [np.repeat(np.arange(len(first) - 1), np.diff(first))]
+    numbers = [(W.word_hashes(c, starts, ends, _LETTER) >> np.uint64(64 - DIMS)).astype(np.int32)]
+    owners = [np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))]
     # grams over the letters, each word led by one boundary mark
     gap = np.r_[0, np.cumsum(~letter)]
     value = np.where(letter, W._BYTE[c], np.uint64(0x5851F42D4C957F2D))
@@ -68,16 +69,34 @@ def feature_numbers(data: np.ndarray, offsets: np.ndarray):
             h = h * W._P + value[k: k + m]
         inside = gap[n:] == gap[1: m + 1]            # all but the leading byte are letters
         inside &= owner[n - 1:] == owner[:m]
-        numbers.append(W.mix(h[inside]) >> np.uint64(64 - DIMS))
+        numbers.append((W.mix(h[inside]) >> np.uint64(64 - DIMS)).astype(np.int32))
         owners.append(owner[:m][inside])
-    return np.concatenate(numbers).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(numbers), np.concatenate(owners)
+
+
+def pieces(data: np.ndarray):
+    """Cut a long text where no letters are, so that no feature is lost: (start, end) ranges."""
+    gaps = np.flatnonzero(~_LETTER[W.LOWER[data]])
+    i = 0
+    while i < len(data):
+        at = np.searchsorted(gaps, i + CHUNK, "right") - 1
+        j = int(gaps[at]) if at >= 0 and gaps[at] > i else \
+            int(gaps[at + 1]) if at + 1 < len(gaps) else len(data)
+        j = len(data) if len(data) - i <= CHUNK else j
+        yield i, j
+        i = j
 
 
 def each_text(column):
     """Per bounded row range of a text column: (rows, feature numbers, row of each feature)."""
     data, offsets = strings(column)
-    for i, j in slices(offsets, W.CHUNK):
-        yield j - i, *feature_numbers(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+    for i, j in slices(offsets, CHUNK):
+        part = data[offsets[i]: offsets[j]]
+        if len(part) <= CHUNK:
+            yield j - i, *feature_numbers(part, offsets[i: j + 1] - offsets[i])
+        else:                       # one long text
+            numbers = np.concatenate([feature_numbers(part[a:b], np.array([0, b - a]))[0] for a, b in pieces(part)])
+            yield 1, numbers, np.zeros(len(numbers), np.int32)
 
 
 def scores_of(column, weights: np.ndarray, constant: float) -> np.ndarray:
@@ -89,28 +108,14 @@ def scores_of(column, weights: np.ndarray, constant: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def telling(cols: np.ndarray, of_positive: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """Features whose share of documents differs between the two samples by MIN_Z standard errors."""
-    n_pos, n_unl = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
-    a = np.bincount(cols[of_positive], minlength=1 << DIMS)
-    b = np.bincount(cols[~of_positive], minlength=1 << DIMS)
-    p = (a + b) / (n_pos + n_unl)
-    z = (a / n_pos - b / n_unl) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_pos + 1 / n_unl))
-    return np.flatnonzero((np.abs(z) >= MIN_Z) & (np.maximum(a, b) >= MIN_DOCS))
-
-
 def fit(docs: list, positive: np.ndarray, prior: float, seed: int = 7):
-    """nnPU by Adam on mini-batches.  ``docs``: per document (feature numbers, counts)."""
-    n = np.array([len(x) for x, _ in docs])
-    cols = np.concatenate([x for x, _ in docs]) if len(docs) else np.zeros(0, np.int64)
-    vals = np.concatenate([SCALE * c / max(c.sum(), 1) for _, c in docs]) if len(docs) else np.zeros(0)
-    known = telling(cols, np.repeat(positive, n), positive)
-    place = np.full(1 << DIMS, -1)
-    place[known] = np.arange(len(known))
-    row = np.repeat(np.arange(len(docs)), n)
-    ok = place[cols] >= 0
-    row, cols, vals = row[ok], place[cols[ok]], vals[ok]
-    ptr = np.searchsorted(row, np.arange(len(docs) + 1))
+    """nnPU by Adam on mini-batches.  ``docs``: per document the numbers of the model's features it
+    has and their shares of all its features."""
+    if not positive.any():
+        return np.zeros(1 << DIMS, np.float32), float(np.log(prior / (1 - prior)))
+    ptr = np.cumsum(np.r_[0, [len(x) for x, _ in docs]]).astype(np.int64)
+    known, cols = np.unique(np.concatenate([x for x, _ in docs]), return_inverse=True)
+    vals = SCALE * np.concatenate([c for _, c in docs])
     w = np.zeros(len(known) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
@@ -136,7 +141,7 @@ def fit(docs: list, positive: np.ndarray, prior: float, seed: int = 7):
             else:                                    # step back until the corrected risk is not negative
                 g[: len(p)] = -g_pos
                 g[len(p):] = -g_unl
-            grad = np.bincount(cols[at], weights=g[local] * vals[at], minlength=len(w))
+            grad = np.bincount(cols[at], weights=g[local] * vals[at], minlength=len(w)).astype(float)
             grad[-1] = g.sum()
             grad[:-1] += DECAY * w[:-1]
             step += 1
@@ -153,7 +158,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
-    """Features of the training sample, and the class prior.  Labels of held-out rows are never read."""
+    """All features of the training sample (toxic, features, counts), and the class prior.  Labels
+    of held-out rows are never read."""
     marked = (labels.select("doc_id", "toxic").where(~held_out()).where("doc_id is not null and toxic is not null")
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n, toxic = marked.agg(F.count("*"), F.sum("toxic")).head()
@@ -170,9 +176,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled
         for b in batches:
             feats = []
             for rows, numbers, row in each_text(b.column(1)):
-                cut = np.searchsorted(row[np.argsort(row, kind="stable")], np.arange(rows + 1))
-                numbers = numbers[np.argsort(row, kind="stable")]
-                feats += [np.unique(numbers[cut[k]: cut[k + 1]], return_counts=True) for k in range(rows)]
+                by_row = np.argsort(row, kind="stable")
+                cut = np.searchsorted(row[by_row], np.arange(rows + 1))
+                feats += [np.unique(numbers[by_row[cut[k]: cut[k + 1]]], return_counts=True) for k in range(rows)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([f.astype(np.int32) for f, _ in feats], pa.list_(pa.int32())),
                  pa.array([c.astype(np.int32) for _, c in feats], pa.list_(pa.int32()))],
@@ -182,6 +188,20 @@ def sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled
     return texts.mapInArrow(run, "toxic boolean, features array<int>, counts array<int>"), prior
 
 
+def telling(rows: DataFrame) -> np.ndarray:
+    """Features whose share of documents differs between the two samples by MIN_Z standard errors;
+    documents are counted by feature in Spark."""
+    n = dict(rows.groupBy("toxic").count().collect())     # two rows
+    n_pos, n_unl = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
+    share = (F.col("a") + F.col("b")) / (n_pos + n_unl)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n_pos + 1 / n_unl))
+    found = (rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature")
+             .agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+             .where((F.greatest("a", "b") >= MIN_DOCS)
+                    & (F.abs(F.col("a") / n_pos - F.col("b") / n_unl) >= MIN_Z * error)).select("feature"))
+    return np.sort(found.toArrow().column(0).to_numpy())   # at most 2^DIMS numbers
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
           max_unlabelled: int = MAX_UNLABELLED):
     """(weights, constant), or None without a confirmed toxic document."""
@@ -189,14 +209,26 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     rows, prior = sample(docs, labels, max_positive, max_unlabelled)
     if prior == 0.0:
         return None
-    got = rows.toArrow()                              # bounded by the sample
-    feats, counts = got.column("features"), got.column("counts")
-    pairs = [(feats[i].values.to_numpy().astype(np.int64), counts[i].values.to_numpy().astype(np.float64))
-             for i in range(len(got))]
-    positive = np.array(got.column("toxic").to_pylist(), bool)
+    rows = written(rows, "toxicity-sample")
+    known = docs.sparkSession.sparkContext.broadcast(telling(rows))
+
+    def shares(batches):
+        for b in batches:
+            out = []
+            for f, c in zip(b.column(1), b.column(2)):
+                f, c = f.values.to_numpy(), c.values.to_numpy()
+                at = np.isin(f, known.value)
+                out.append((f[at], c[at] / max(c.sum(), 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in out], pa.list_(pa.int32())),
+                                              pa.array([v for _, v in out], pa.list_(pa.float64()))],
+                                             ["toxic", "features", "shares"])
+
+    # the model's features of the sampled documents: bounded by the sample
+    got = rows.mapInArrow(shares, "toxic boolean, features array<int>, shares array<double>").toArrow()
+    positive = np.array(got.column(0).to_pylist(), bool)
+    pairs = [(f.values.to_numpy().astype(np.int64), v.values.to_numpy()) for f, v in zip(got.column(1), got.column(2))]
     # rows come in no fixed order; fix it, so that reruns fit the same model
-    order = sorted(range(len(pairs)), key=lambda i: (positive[i], len(pairs[i][0]), pairs[i][0].tobytes(),
-                                                     pairs[i][1].tobytes()))
+    order = sorted(range(len(pairs)), key=lambda i: (positive[i], pairs[i][0].tobytes(), pairs[i][1].tobytes()))
     return fit([pairs[i] for i in order], positive[order], min(max(prior, 1e-4), 0.9))
 
 

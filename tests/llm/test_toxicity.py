@@ -70,3 +70,12 @@ def test_features_of_texts_do_not_cross(spark):
     one = [next(toxicity.each_text(pa.array([t])))[1].tolist() for t in ("ab cdefgh", "xyz", "cdefgh")]
     n, numbers, row = next(toxicity.each_text(pa.array(["ab cdefgh", "xyz", "cdefgh"])))
     assert n == 3 and [sorted(numbers[row == k].tolist()) for k in range(3)] == [sorted(x) for x in one]
+
+
+def test_long_texts_have_the_features_of_their_whole(monkeypatch):
+    import pyarrow as pa
+    text = "Ab cdefgh ij, " * 300 + "x" * 5000 + " É" + "y" * 10
+    whole = sorted(next(toxicity.each_text(pa.array([text])))[1].tolist())
+    monkeypatch.setattr(toxicity, "CHUNK", 700)
+    (n, numbers, row), = toxicity.each_text(pa.array([text]))
+    assert n == 1 and sorted(numbers.tolist()) == whole and not row.any()
