@@ -18,9 +18,7 @@ from riskcard.plans.build import BuildParams, build_from
 from riskcard.plans.prefix import written
 from riskcard.session import get_session, release_scratch
 from riskcard.sources import report as RP
-from riskcard.sources.tables import scan
-
-DICT_COLUMNS = {"Variable Name (ReNamed)": "variable", "Type": "type", "Sign": "sign"}
+from riskcard.sources.tables import read_dictionary, scan
 
 
 def _list(s: str | None) -> list[str]:
@@ -58,8 +56,7 @@ def main(argv=None) -> str:
         # written with its rows: an id of a recomputed scan could change
         df = written(df.withColumn(id_col, F.monotonically_increasing_id()), "numbered")
     if a.dictionary:
-        d = scan(spark, a.dictionary)
-        d = d.select(*[F.col(c).alias(DICT_COLUMNS.get(c, c)) for c in d.columns])
+        d = read_dictionary(spark, a.dictionary)
     else:
         d = spark.createDataFrame([], "variable string, type string, sign string")
     p = BuildParams(target=a.target, id_col=id_col, sparse_threshold=a.sparse_threshold, min_iv=a.min_iv,

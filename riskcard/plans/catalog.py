@@ -25,8 +25,8 @@ from riskcard.plans.prefix import global_row_number, written
 from riskcard.session import scratch_path
 from riskcard.sources import fixture as FX
 from riskcard.sources import report as RP
-from riskcard.sources.tables import read_table, scan, write_csv
-from riskcard.streaming.score_stream import stream_scores
+from riskcard.sources.tables import DICTIONARY_COLUMNS, read_dictionary, read_table, scan, write_csv
+from riskcard.streaming.score_stream import stream_binned, stream_scores
 
 ID, TARGET = FX.ID, FX.TARGET
 
@@ -112,7 +112,7 @@ def q_report_tables(spark, d):
         "missing_rate": PR.missing_rate(app(spark, d)),
         "iv": PR.iv_by_feature(PR.value_table(c, CLEAN_FEATURES, TARGET)),
     }
-    bt = B.bin_table(binned(spark, d), [cat_name(b.feature) for b in FX.SCORECARD_BINS], TARGET)
+    bt = B.complete_table(_code_counts(spark, d), B.label_table(spark, FX.SCORECARD_BINS))
     root = RP.write_report(spark, tables, bt, project="demo")
     rows = [(n, spark.read.parquet(f"{root}/{n}").count()) for n in list(tables) + ["bins"]]
     return spark.createDataFrame(rows, "table_name string, rows long")
@@ -169,13 +169,20 @@ def q_column_roles(spark, d):
     return prep.column_roles(c, [x for x in c.columns if x not in (ID, TARGET)])
 
 
+def _dictionary(spark):
+    """The dictionary fixture through a CSV file, as a user's comes."""
+    path = scratch_path(spark, "dictionary") + ".csv"
+    write_csv(FX.dictionary(spark).withColumnsRenamed({v: k for k, v in DICTIONARY_COLUMNS.items()}), path)
+    return read_dictionary(spark, path)
+
+
 def q_dict_roles(spark, d):
-    roles = prep.dictionary_roles(FX.dictionary(spark), spark, extra_asc=EXTRA_ASC)
+    roles = prep.dictionary_roles(_dictionary(spark), spark, extra_asc=EXTRA_ASC)
     return prep.roles_in_data(roles, _data_roles(spark, d))
 
 
 def q_new_predictors(spark, d):
-    return prep.new_predictors(_data_roles(spark, d), FX.dictionary(spark))
+    return prep.new_predictors(_data_roles(spark, d), _dictionary(spark))
 
 
 def q_join_target(spark, d):
@@ -349,6 +356,14 @@ def q_predict_proba(spark, d):
     return rounded(P.predict_proba(clean(spark, d), scorecard(), [ID]))
 
 
+def _code_counts(spark, d):
+    """(feature, bin_id, n, bad) of the fixed bins; bin_id NULL for missing rows."""
+    cats = [cat_name(b.feature) for b in FX.SCORECARD_BINS]
+    long = _coded(spark, d).unpivot([TARGET], cats, "feature", "code")
+    return (long.groupBy("feature", F.when(F.col("code") >= 0, F.col("code")).alias("bin_id"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("bad")))
+
+
 def _coded(spark, d):
     return apply_codes(clean(spark, d), FX.SCORECARD_BINS, keep=[ID, TARGET])
 
@@ -563,6 +578,10 @@ def q_stream_score(spark, d):
     return stream_scores(spark, d, scorecard())
 
 
+def q_stream_binned(spark, d):
+    return stream_binned(spark, d, FX.SCORECARD_BINS)
+
+
 QUERIES = {
     "scan_csv": q_scan_csv,
     "scan_parquet": q_scan_parquet,
@@ -635,4 +654,5 @@ QUERIES = {
     "ppt_table_origin": q_ppt_table_origin,
     "string_scalars": q_string_scalars,
     "stream_score": q_stream_score,
+    "stream_binned": q_stream_binned,
 }

@@ -417,7 +417,7 @@ def report_sql() -> str:
 UNION ALL SELECT 'ppt', count(*) FROM grain
 UNION ALL SELECT 'missing_rate', {len(APP_COLUMNS)}
 UNION ALL SELECT 'iv', {len(C.CLEAN_FEATURES)}
-UNION ALL SELECT 'bins', count(*) FROM ({bin_table_sql()})""")
+UNION ALL SELECT 'bins', {sum(len(b.labels) + 3 for b in FX.SCORECARD_BINS)}""")
 
 
 def _all() -> dict[str, str]:
@@ -575,6 +575,7 @@ SELECT 'Intercept', NULL, CAST(round_even({OFFSET} - {FACTOR} * {num(FX.SCORECAR
         "bin_fit_all": screen_sql(),
         "report_tables": report_sql(),
         "stream_score": with_base("SELECT app_id, score FROM scored"),
+        "stream_binned": with_base("SELECT * FROM binned"),
         "fit_logistic": with_base(flat_fit),
         "grid_best": with_base(best_part),
         "bin_table": with_base(bt),

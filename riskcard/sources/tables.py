@@ -57,3 +57,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+# Column names of a variable dictionary file and our names for them.
+DICTIONARY_COLUMNS = {"Variable Name (ReNamed)": "variable", "Type": "type", "Sign": "sign"}
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A variable dictionary (variable, type, sign) from a file of any readable kind (A4)."""
+    d = scan(spark, path)
+    return d.select(*[F.col(f"`{c}`").alias(DICTIONARY_COLUMNS.get(c, c)) for c in d.columns]).select(
+        "variable", "type", "sign")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskcard.operators import prep
+from riskcard.operators.bins import apply_bins
 from riskcard.operators.points import Scorecard, score_expr
 from riskcard.plans.prefix import written
 from riskcard.session import scratch_path
@@ -36,16 +37,26 @@ def _orders_folder(sf_dir: str) -> str:
     return f"{sf_dir.rstrip('/')}/orders.parquet*"
 
 
-def stream_scores(spark: SparkSession, sf_dir: str, sc: Scorecard) -> DataFrame:
-    """Run the scoring stream to completion (available-now trigger) and read the sink back."""
-    src = prep.replace_sentinels(application_stream(spark, sf_dir))
-    scored = src.select(FX.ID, score_expr(sc).alias("score"))
-    out = scratch_path(spark, "stream-score-out")
-    ckpt = scratch_path(spark, "stream-score-ckpt")
-    q = (scored.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append")
+def drain(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream to completion (available-now trigger) into a Parquet sink and read it back."""
+    spark = df.sparkSession
+    out = scratch_path(spark, f"{name}-out")
+    q = (df.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema("app_id long, score long").parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def stream_scores(spark: SparkSession, sf_dir: str, sc: Scorecard) -> DataFrame:
+    """Sentinels to NULL and row scores on a stream."""
+    src = prep.replace_sentinels(application_stream(spark, sf_dir))
+    return drain(src.select(FX.ID, score_expr(sc).alias("score")), "stream-score")
+
+
+def stream_binned(spark: SparkSession, sf_dir: str, bins: list) -> DataFrame:
+    """Sentinels to NULL and bin labels on a stream."""
+    src = prep.replace_sentinels(application_stream(spark, sf_dir))
+    return drain(apply_bins(src, bins, keep=[FX.ID, FX.TARGET]), "stream-binned")
