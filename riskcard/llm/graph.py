@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Every round is two grouped minima (pre-aggregated before the shuffle) joined back to the edges,
-so a node of any degree is never gathered.  Each round's edges are written to the shared folder.
+so a node of any degree is never gathered.  Minima and edges are written to the shared folder: read
+back, both sides of a join have shuffles of their own, and adaptive execution can split the rows of
+a node that very many others link to.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return both.where("v > u").join(written(least, "least"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    joined = edges.join(written(edges.groupBy("a").agg(F.min("b").alias("m")), "least"), "a")
     return joined.select("a", F.col("m").alias("b")).union(
         joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
