@@ -78,3 +78,16 @@ def merged_intervals(intervals: Column) -> Column:
 
 def interval_words(intervals: Column) -> Column:
     return F.aggregate(intervals, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+
+def row_key(doc_id: Column, text_key: Column) -> Column:
+    """One number per (doc_id, text): what rows are joined and numbered by, so that one shuffle of
+    the texts serves both.  Rows that share it by chance are told apart by ``agree``."""
+    return F.xxhash64(doc_id.cast("long"), text_key)
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Equality of whole numbers (null like null) that is tested on joined rows; as ``a == b`` it
+    would become a join key and change how the rows are dealt."""
+    return ((F.coalesce(a.bitwiseXOR(b), F.lit(0)) == 0)
+            & (a.isNull().cast("int").bitwiseXOR(b.isNull().cast("int")) == 0))

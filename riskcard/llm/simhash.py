@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskcard.llm import words as W
-from riskcard.llm.common import ready, written
+from riskcard.llm.common import agree, ready, row_key, written
 from riskcard.llm.graph import components
 
 SHINGLE = 4
@@ -233,8 +233,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     share it, the one with the smallest text key)."""
     groups = near_duplicates(docs, shingle, bits)
     kept = (groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-            .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_key")))
-    # a key per row to join on: repeated rows agree in it, and one of them stays
-    key = F.xxhash64("text")
-    return (docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (key == kept["_kept_key"]))
-            .dropDuplicates(["_kept_id", "_kept_key"]).drop("_kept_id", "_kept_key"))
+            .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_text"))
+            .withColumn("_kept", row_key(F.col("_kept_id"), F.col("_kept_text"))))
+    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_row", row_key(F.col("doc_id"), F.col("_text")))
+    same = agree(rows["doc_id"].cast("long"), kept["_kept_id"]) & agree(rows["_text"], kept["_kept_text"])
+    # repeated rows agree in id and text: one of them stays
+    return (rows.join(kept, (rows["_row"] == kept["_kept"]) & same).dropDuplicates(["_row", "_kept_id", "_kept_text"])
+            .select(*[rows[c] for c in docs.columns]))
