@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from riskcard.llm import words as W
-from riskcard.llm.common import ready, slices, strings, written
+from riskcard.llm.common import agree, ready, row_key, slices, strings, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -65,7 +65,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     s = (s.withColumn("total", F.sum("source_size").over(everything))
          .withColumn("left_words", F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0)))
          .withColumn("left_weight", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-         .withColumn("held", F.col("w") * F.col("left_words") > F.col("limit") * F.col("left_weight"))
+         .withColumn("held", F.col("w") * F.col("left_words").cast("double")
+                     > F.col("limit").cast("double") * F.col("left_weight"))
          .withColumn("rest_words", F.col("total") - F.coalesce(F.sum(F.when(F.col("held"), F.col("limit")))
                                                                .over(everything), F.lit(0)))
          .withColumn("rest_weight", F.sum(F.when(~F.col("held"), F.col("w"))).over(everything)))
@@ -168,13 +169,15 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed:
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it."""
-    times = mixed(docs, **parameters).where("times > 0")
-    # repeated rows agree in the key; numbering them on both sides keeps the join one to one
-    nth = lambda a, b: F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1)))
-    times = times.select(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key"), "times")
-    times = times.withColumn("_mix_no", nth("_mix_id", "_mix_key"))
-    rows = docs.withColumn("_row_key", F.xxhash64("text")).withColumn("_row_no", nth("doc_id", "_row_key"))
-    same = (rows["doc_id"].eqNullSafe(times["_mix_id"]) & (rows["_row_key"] == times["_mix_key"])
-            & (rows["_row_no"] == times["_mix_no"]))
-    return rows.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[
-        rows[c] for c in docs.columns])
+    # repeated rows agree in id and text; numbering them on both sides keeps the join one to one
+    nth = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    times = mixed(docs, **parameters).select(
+        F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_text"), "times",
+        row_key(F.col("doc_id"), F.col("text_key")).alias("_mix"))
+    times = times.withColumn("_mix_no", nth("_mix", "_mix_id", "_mix_text"))
+    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_row", row_key(F.col("doc_id"), F.col("_text")))
+    rows = rows.withColumn("_row_no", nth("_row", "doc_id", "_text"))
+    same = (agree(rows["doc_id"].cast("long"), times["_mix_id"].cast("long")) & agree(rows["_text"], times["_mix_text"])
+            & agree(rows["_row_no"], times["_mix_no"]))
+    return (rows.join(times, (rows["_row"] == times["_mix"]) & same).where("times > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[rows[c] for c in docs.columns]))
