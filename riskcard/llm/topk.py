@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskcard.llm.common import ready
+from riskcard.llm.common import ready, written
 from riskcard.session import scratch_path
 
 K = 10
@@ -41,8 +41,8 @@ QUERY_CELLS = 1 << 19       # numbers in a block of queries (4 MB)
 PAIRS = 1 << 19             # scores held at a time in a task
 
 
-def matrix(ids: pa.Array, vectors: pa.Array, width: int):
-    """(ids, integer rows padded to ``width``) of the rows that take part."""
+def matrix(ids: pa.Array, vectors: pa.Array, width: int, scale: int = SCALE):
+    """(ids, integer rows floor(scale * x), padded to ``width``) of the rows that take part."""
     rows, keep = [], []
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     offsets = np.asarray(vectors.offsets)
@@ -54,7 +54,7 @@ def matrix(ids: pa.Array, vectors: pa.Array, width: int):
         a, b = offsets[i], offsets[i + 1]
         if valid[i] and id_ok[i] and not missing[a:b].any() and np.isfinite(flat[a:b]).all():
             keep.append(i)
-            row = np.floor(SCALE * flat[a:b])
+            row = np.floor(scale * flat[a:b])
             rows.append(row[:width] if len(row) >= width else np.r_[row, np.zeros(width - len(row))])
     kept = ids.take(pa.array(keep, pa.int64())).to_numpy(zero_copy_only=False).astype(np.int64)
     return kept, np.array(rows).reshape(len(keep), width)
@@ -81,24 +81,31 @@ def _pieces(batches, block, lists):
             yield ids[s: s + step], partials(q, c[s: s + step], lists), own
 
 
+def _best(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row (in any order)."""
+    if rows.shape[1] <= k:
+        return rows
+    if rows.dtype == object:
+        return np.sort(rows, axis=1)[:, -k:]
+    return np.partition(rows, rows.shape[1] - k, axis=1)[:, -k:]
+
+
 def gather(vectors: DataFrame, block, k: int, lists: int) -> DataFrame:
     """Phase 1: (query, total), the k best totals of each task among its list heads."""
 
     def run(batches):
-        q_ids = block.value[0]
-        best = [[] for _ in q_ids]
+        best = np.full((len(block.value[0]), 0), -np.inf)
         for _, parts, own in _pieces(batches, block.value, lists):
             total, head = sum(parts), np.zeros(own.shape, bool)
             for p in parts:
                 p = np.where(own, -np.inf, p.astype(np.float64))
                 at = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
                 np.put_along_axis(head, at, True, axis=1)
-            head &= ~own
-            for i in range(len(q_ids)):
-                best[i] = sorted([*best[i], *map(int, total[i][head[i]])], reverse=True)[:k]
+            best = _best(np.hstack([best, _best(np.where(head & ~own, total, -np.inf), k)]), k)
+        query, col = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(len(q_ids)), [len(x) for x in best]), pa.int32()),
-             pa.array([x for row in best for x in row], pa.int64())], ["query", "total"])
+            [pa.array(query.astype(np.int32)), pa.array([int(x) for x in best[query, col]], pa.int64())],
+            ["query", "total"])
 
     return vectors.mapInArrow(run, "query int, total long")
 
@@ -108,9 +115,9 @@ def resolve(vectors: DataFrame, block, cutoffs, k: int, lists: int) -> DataFrame
 
     def run(batches):
         q_ids, cut = block.value[0], cutoffs.value
-        found = np.zeros((0, 3), object)
-        has = np.array([c is not None for c in cut])
+        has = np.array([c is not None for c in cut], bool)
         low = np.array([c if c is not None else 0 for c in cut], object)
+        query, vec, score = (np.zeros(0, np.int64) for _ in range(3))
         for ids, parts, own in _pieces(batches, block.value, lists):
             least = (low if parts[0].dtype == object else low.astype(np.float64))[:, None]
             # times LISTS, so that the threshold cutoff / LISTS stays an integer comparison
@@ -118,18 +125,16 @@ def resolve(vectors: DataFrame, block, cutoffs, k: int, lists: int) -> DataFrame
             bound = sum(np.where(o, p * lists, least) for o, p in zip(over, parts))
             enough = (np.logical_or.reduce(over) & (bound >= least * lists)) | ~has[:, None]
             qi, ci = np.nonzero(enough & ~own)
-            score = sum(p[qi, ci] for p in parts)
-            ok = ~has[qi] | (score >= least[qi, 0])
-            new = np.c_[qi[ok].astype(object), ids[ci[ok]].astype(object), [int(x) for x in score[ok]]]
-            found = np.r_[found, new] if len(new) else found
-            order = np.lexsort((found[:, 1].astype(np.int64), -found[:, 2].astype(np.int64),
-                                found[:, 0].astype(np.int64)))
-            found = found[order]
-            q = found[:, 0].astype(np.int64)
-            found = found[np.arange(len(q)) - np.searchsorted(q, q) < k]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q_ids[found[:, 0].astype(np.int64)]), pa.array(found[:, 1].astype(np.int64)),
-             pa.array(found[:, 2].astype(np.int64))], ["query_id", "vec_id", "score"])
+            exact = sum(p[qi, ci] for p in parts)
+            ok = ~has[qi] | (exact >= least[qi, 0])
+            query = np.r_[query, qi[ok]]
+            vec = np.r_[vec, ids[ci[ok]]]
+            score = np.r_[score, np.array([int(x) for x in exact[ok]], np.int64)]
+            order = np.lexsort((vec, -score, query))
+            order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+            query, vec, score = query[order], vec[order], score[order]
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(vec), pa.array(score)],
+                                         ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -139,8 +144,12 @@ def top_k(table: DataFrame, is_query, k: int = K, lists: int = LISTS, query_cell
     spark = table.sparkSession
     ready(spark)
     vectors = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    asked = vectors.where(is_query & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).head()
+    usable = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    asked = (vectors.where(is_query & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
+             .select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+                     .alias("q")).groupBy("vec_id").agg(F.min("q").alias("q")))
+    asked = written(asked, "queries")             # counted, and read block by block
+    n, width = asked.agg(F.count("*"), F.max(F.size("q"))).head()
     widest = vectors.agg(F.max(F.size("embedding"))).head()[0] if n else 0
     width = max(width or 0, widest or 0, 1)
     blocks = max(1, math.ceil(n * width / query_cells)) if n else 0
@@ -148,18 +157,15 @@ def top_k(table: DataFrame, is_query, k: int = K, lists: int = LISTS, query_cell
     schema = "query_id long, vec_id long, score long"
     for no in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == no).toArrow()
-        ids, rows = matrix(got.column(0).combine_chunks(), got.column(1), width)
-        order = np.lexsort((*rows.T[::-1], ids))
-        ids, rows = ids[order], rows[order]
-        first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-        if not first.any():
+        ids, rows = matrix(got.column(0).combine_chunks(), got.column(1), width, scale=1)
+        if not len(ids):
             continue
-        block = spark.sparkContext.broadcast((ids[first], rows[first]))
+        block = spark.sparkContext.broadcast((ids, rows))
         one = Window.partitionBy("query").orderBy(F.col("total").desc())
         kth = (gather(vectors, block, k, lists).withColumn("r", F.row_number().over(one))
                .where(F.col("r") == k).select("query", "total").collect())     # one number per query of the block
         cut = dict((r.query, r.total) for r in kth)
-        cutoffs = spark.sparkContext.broadcast([cut.get(i) for i in range(int(first.sum()))])
+        cutoffs = spark.sparkContext.broadcast([cut.get(i) for i in range(len(ids))])
         resolve(vectors, block, cutoffs, k, lists).write.mode("append").parquet(path)
     found = spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
