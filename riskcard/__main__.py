@@ -65,8 +65,8 @@ def main(argv=None) -> str:
                     new_asc=_list(a.new_asc), new_desc=_list(a.new_desc), exclude=_list(a.exclude),
                     made_id=None if a.id_col else id_col)
     out = build_from(spark, df, d, p)
-    names = ["missing_rate", "iv", "feature_status", "correlations", "grid", "coefficients", "model_metrics", "model_ks",
-             "model_roc", "ks", "ks_point", "ks_curve", "optimal_cutoff", "histogram", "roc", "metrics", "ppt", "scored"]
+    names = ["missing_rate", "iv", "feature_status", "bin_members", "correlations", "grid", "coefficients", "model_metrics",
+             "model_ks", "model_roc", "ks", "ks_point", "ks_curve", "optimal_cutoff", "histogram", "roc", "metrics", "ppt", "scored"]
     tables = {"scorecard": out["points"], **{n: out[n] for n in names}}
     base = f"{a.out.rstrip('/')}/{RP.run_name(a.project)}" if a.out else None
     root = RP.write_report(spark, tables, out["bin_table"], base=base, project=a.project)

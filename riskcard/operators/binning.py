@@ -387,6 +387,16 @@ def label_of(names: list[str], size: int) -> str:
     return "[" + " ".join(f"'{m}'" for m in names) + more + "]"
 
 
+def member_table(spark: SparkSession, bins: list) -> DataFrame:
+    """(feature, value, bin_id) of every category of every ``CategoryTable``, features under their
+    binned names: labels name at most LABEL_MEMBERS.  Other values, and none, are the missing bin."""
+    out = spark.createDataFrame([], "feature string, value string, bin_id int")
+    for b in bins:
+        if isinstance(b, CategoryTable):
+            out = out.unionByName(b.members.select(F.lit(cat_name(b.feature)).alias("feature"), "value", "bin_id"))
+    return out
+
+
 def label_table(spark: SparkSession, bins: list) -> DataFrame:
     """(feature, bin_id, label) of every bin, features under their binned names."""
     return spark.createDataFrame([(cat_name(b.feature), i, lab) for b in bins for i, lab in enumerate(b.labels)],

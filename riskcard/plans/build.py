@@ -111,6 +111,7 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
             flag_counts.unpivot(["_y"], [b.feature for b in flags], "feature", "code").groupBy("feature", "code")
             .agg(*B._events()).select("feature", F.when(F.col("code") >= 0, F.col("code")).alias("bin_id"), "n", "bad"))
     labels = B.label_table(spark, bins)
+    out["bin_members"] = B.member_table(spark, bins)
     out["bin_table"] = B.complete_table(counts.withColumn("feature", F.concat("feature", F.lit("_cat"))), labels)
     lap("bin_fit")
 
