@@ -12,8 +12,9 @@ succeeded enter the manifest, a written table, so lost executors leave no doubtf
 Archives are read back from the manifest, as streams.
 
 The dictionary is trained on records spread evenly over the archive, SAMPLE_TIMES times its size
-in all; this bounds training and has no effect on what is stored.  Archives too small to train on
-have no dictionary frame.
+in all; this bounds training and has no effect on what is stored.  Where these are fewer than
+MIN_SAMPLE (few, long records), it is trained on pieces of all the records, as many bytes.  Archives
+of less than 20 KiB and those with too little variety to train on have no dictionary frame.
 
 Defined cases: null html is an empty payload; a null or empty url gets ``urn:page:<id>``; control
 characters in a url are percent-encoded; rows that repeat the page_id and payload of a response are
@@ -44,6 +45,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_TIMES = 50
+MIN_SAMPLE = 8              # records to train on
+PIECE = 2 << 10             # bytes of a record to train on where records are fewer
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
@@ -81,9 +84,12 @@ def dictionary(records: list[bytes]):
     total = sum(map(len, records))
     size = min(DICTIONARY_BYTES, total // 20)
     step = max(1, -(-total // (SAMPLE_TIMES * max(size, 1))))
-    sample = records[::step]
-    if size < 1024 or len(sample) < 8:
+    if size < 1024:
         return None
+    sample = records[::step]
+    if len(sample) < MIN_SAMPLE:
+        places = [(r, at) for r in records for at in range(0, len(r), PIECE)]
+        sample = [r[at: at + PIECE] for r, at in places[::step]]
     try:
         return zstandard.train_dictionary(size, sample, k=256, d=8, f=20, accel=5, level=LEVEL)
     except zstandard.ZstdError:       # too little variety to train on
