@@ -165,9 +165,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled
     n, toxic = marked.agg(F.count("*"), F.sum("toxic")).head()
     order = F.xxhash64("doc_id", F.lit("sample"))
     pos = marked.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive)
-    unl = (docs.select("doc_id").where(~held_out()).where("doc_id is not null")
+    unl = (docs.select("doc_id").where(~held_out()).where("doc_id is not null").distinct()
            .orderBy(order, "doc_id").limit(max_unlabelled))
-    ids = pos.withColumn("toxic", F.lit(True)).union(unl.distinct().withColumn("toxic", F.lit(False)))
+    ids = pos.withColumn("toxic", F.lit(True)).union(unl.withColumn("toxic", F.lit(False)))
     texts = (docs.select("doc_id", "text")
              .join(F.broadcast(ids), "doc_id")       # at most max_positive + max_unlabelled ids
              .dropDuplicates(["doc_id", "toxic"]).select("toxic", "text"))
