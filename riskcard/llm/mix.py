@@ -37,7 +37,7 @@ MAX_REPEAT = 3
 SEED = 20240229
 BUCKETS = 256
 EXACT = 100_000        # words of a budget left to the dynamic programme, at least
-MOST = 20_000_000      # and at most
+MOST = 20_000_000      # and at most; documents longer than that are taken while they fit
 
 
 @F.arrow_udf(LongType())
@@ -82,13 +82,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 
 def _fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     """How many of ``free`` documents of each length come nearest to the budget from below: long ones
-    first while more than EXACT words are left, then a bounded knapsack over reachable sums."""
+    first while more than EXACT words are left, or without that reserve while more than MOST are, then a
+    bounded knapsack over reachable sums."""
     take, rest = np.zeros(len(lengths), np.int64), budget
     down = np.argsort(-lengths)
     for i in down:
         if rest > EXACT:
             take[i] = min(int(free[i]), (rest - EXACT) // int(lengths[i]))
             rest -= int(take[i]) * int(lengths[i])
+    for i in down:
+        # free documents are now longer than rest - EXACT words, so at most one fits: the longest
+        if rest > MOST:
+            n = min(int(free[i] - take[i]), rest // int(lengths[i]))
+            take[i] += n
+            rest -= n * int(lengths[i])
     if not 0 < rest <= MOST:
         return take
     reach = np.zeros(rest + 1, bool)
