@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskcard.llm import (decontam, mix, shard, simhash, substring, suffix_dedup, topk, toxicity, urlfilter,
-                          warc)
+from riskcard.llm import (align, decontam, minhash, mix, shard, simhash, substring, suffix_dedup, topk, toxicity,
+                          urlfilter, variants, warc)
 from riskcard.llm.common import interval_words, table
 
 # (host, path, verdict)
@@ -75,6 +75,20 @@ def op10_extendible_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "doc_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), every=31)
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = align.aligned(table(spark, sf_dir, "documents"))
+    return documents
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash_near_dedup, op3_toxicity, op4_exact_top_k, op5_benchmark_decontamination,
-    op6_substring_dedup, op7_warc, op8_url_filters, op9_mix_to_target_weights, op10_extendible_hash_sharding)}
+    op6_substring_dedup, op7_warc, op8_url_filters, op9_mix_to_target_weights, op10_extendible_hash_sharding,
+    op11_document_fingerprints, op12_spelling_variants, op13_cross_tokenizer_alignment)}
