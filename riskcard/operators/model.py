@@ -9,16 +9,17 @@
   ``mean(loss) + regParam * pen`` with ``regParam = 1 / (C * n)``
   (``elasticNetParam`` 1 for L1, 0 for L2), no standardisation, and an
   unpenalised intercept.
-* The 36 fits run on Spark from a small driver thread pool; their 72 KS values
-  come from two passes over the compressed frame.
+* The 36 fits run together: one Spark job per iteration sums the gradients and
+  curvatures of all models that are not yet done, and the driver takes a
+  (proximal) Newton step for each.  Their 72 KS values come from two passes over
+  the compressed frame.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -31,7 +32,8 @@ from riskcard.session import ship_code
 PENALTIES = ["l1", "l2"]
 C_VALUES = [0.001, 0.0025, 0.005, 0.0075, 0.01, 0.025, 0.05, 0.075, 0.1, 0.2, 0.3, 0.4, 0.5,
             0.6, 0.7, 0.8, 0.9, 1.0]
-FIT_THREADS = 4             # fits at a time; each keeps its own blocks of the training rows
+SUMS = 8_000_000            # numbers that the models of one job may sum (64 MB a task)
+SLOTS = 32                  # partial sums that reach the driver
 KS_INTERVALS = 4096
 OTHER_CODE = -2             # a pruned level in the compressed design
 
@@ -148,26 +150,160 @@ def ks_of_models(compressed: DataFrame, features: list[str], target: str, models
 
 
 ROWS_PER_FIT_PARTITION = 50_000
+CHUNK_ROWS = 8_192
+
+
+def _model_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """For every model (row of ``beta``, intercept first): log loss, its gradient and its curvature."""
+    n, p = x.shape
+    out = np.zeros((len(beta), 1 + p + p * p))
+    for i in range(0, n, CHUNK_ROWS):
+        xs, ys, ws = (v[i: i + CHUNK_ROWS] for v in (x, y, w))
+        z = xs @ beta.T
+        prob = 1.0 / (1.0 + np.exp(-z))
+        out[:, 0] += ws @ (np.logaddexp(0.0, z) - ys[:, None] * z)
+        out[:, 1: 1 + p] += ((prob - ys[:, None]) * ws[:, None]).T @ xs
+        curve = prob * (1.0 - prob) * ws[:, None]
+        for k in range(len(beta)):
+            out[k, 1 + p:] += (xs.T @ (xs * curve[:, k: k + 1])).ravel()
+    return out
+
+
+def _summed_over(design: DataFrame, beta: np.ndarray) -> np.ndarray:
+    """``_model_sums`` over all rows of a (y, w, x0, x1, ..) frame: one sum per task, then per slot."""
+    ship_code(design.sparkSession)
+    shape = (len(beta), 1 + beta.shape[1] + beta.shape[1] ** 2)
+
+    def part(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            y, w, *cols = (np.asarray(c, dtype=float) for c in b.columns)
+            total += _model_sums(np.column_stack([np.ones(len(y)), *cols]), y, w, beta)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def add(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                total += np.frombuffer(blob).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = design.mapInArrow(part, "sums binary")
+    if design.rdd.getNumPartitions() > SLOTS:
+        parts = parts.repartition(SLOTS).mapInArrow(add, "sums binary")
+    return sum((np.frombuffer(r.sums).reshape(shape) for r in parts.collect()), np.zeros(shape))
+
+
+def _violation(beta: np.ndarray, grad: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """Per model, by how much the optimality conditions are missed (penalty slope 1, free intercept)."""
+    g, b = grad[:, 1:], beta[:, 1:]
+    lasso = np.where(b != 0, np.abs(g + np.sign(b)), np.maximum(np.abs(g) - 1.0, 0.0))
+    miss = np.where(l1[:, None], lasso, np.abs(g + b))
+    return np.maximum(np.abs(grad[:, 0]), miss.max(axis=1, initial=0.0))
+
+
+def _objective(beta: np.ndarray, loss: np.ndarray, c: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    b = beta[:, 1:]
+    return c * loss + np.where(l1, np.abs(b).sum(axis=1), 0.5 * (b * b).sum(axis=1))
+
+
+def _lasso_steps(beta: np.ndarray, grad: np.ndarray, curve: np.ndarray, sweeps: int = 2_000) -> np.ndarray:
+    """Minimum of the quadratic model plus the L1 penalty, by coordinate descent, all models at a time."""
+    new, slope = beta.copy(), grad.copy()             # slope: gradient of the quadratic model at ``new``
+    diag = np.einsum("kjj->kj", curve)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(beta.shape[1]):
+            h = np.maximum(diag[:, j], 1e-12)
+            at = new[:, j] - slope[:, j] / h
+            to = at if j == 0 else np.sign(at) * np.maximum(np.abs(at) - 1.0 / h, 0.0)
+            step = to - new[:, j]
+            new[:, j] = to
+            slope += curve[:, :, j] * step[:, None]
+            moved = max(moved, float(np.max(np.abs(step) * h, initial=0.0)))
+        if moved < 1e-10:
+            break
+    return new
+
+
+def fit_models(train: DataFrame, features: list[str], target: str, models: list, max_iter: int = 100,
+               tol: float = 1e-7):
+    """[(intercept, coefficients)] of the (penalty, C) ``models``: minima of pen(w) + C * sum(loss) over a
+    compressed frame, to ``tol`` in the optimality conditions (or ``max_iter`` iterations).
+
+    Every iteration is one pass over the rows for all unfinished models.  A step that raises a model's
+    objective is halved.  Models of very wide designs go in groups from small to large C, each started
+    from the nearest C of its penalty."""
+    # columns as small integers: the frame that all passes read
+    design = train.select(F.col(target).cast("double").alias("y"), F.col("w").cast("double").alias("w"),
+                          *[F.col(f).cast("byte").alias(f"x{k}") for k, f in enumerate(features)])
+    rows = design.count()
+    design = design.repartition(max(1, -(-rows // ROWS_PER_FIT_PARTITION))).cache()
+    try:
+        p = len(features) + 1
+        good, bad = (design.agg(F.sum(F.col("w") * (1 - F.col("y"))), F.sum(F.col("w") * F.col("y"))).first()
+                     if rows else (0, 0))
+        start = np.zeros(p)
+        start[0] = np.log(((bad or 0) + 0.5) / ((good or 0) + 0.5))
+        fitted: dict[int, np.ndarray] = {}
+        order = sorted(range(len(models)), key=lambda k: models[k][1])
+        size = max(1, SUMS // (1 + p + p * p))
+        for i in range(0, len(order), size):
+            group = order[i: i + size]
+            begin = []
+            for k in group:
+                same = [j for j in fitted if models[j][0] == models[k][0]]
+                begin.append(fitted[max(same, key=lambda j: models[j][1])] if same else start)
+            fitted.update(zip(group, _fit_group(design, np.array(begin), [models[k] for k in group], max_iter, tol)))
+    finally:
+        design.unpersist()
+    return [(float(fitted[k][0]), [float(v) for v in fitted[k][1:]]) for k in range(len(models))]
+
+
+def _fit_group(design: DataFrame, beta: np.ndarray, models: list, max_iter: int, tol: float) -> np.ndarray:
+    c, l1 = np.array([m[1] for m in models], dtype=float), np.array([m[0] == "l1" for m in models])
+    m, p = beta.shape
+    best, value = beta.copy(), np.full(m, np.inf)
+    step, trial = np.zeros((m, p)), beta.copy()
+    live = np.arange(m)
+    for _ in range(max_iter):
+        sums = _summed_over(design, trial[live])
+        loss, grad = sums[:, 0], sums[:, 1: 1 + p] * c[live, None]
+        curve = sums[:, 1 + p:].reshape(-1, p, p) * c[live, None, None]
+        now = _objective(trial[live], loss, c[live], l1[live])
+        miss = _violation(trial[live], grad, l1[live])
+        ok = (now <= value[live] + 1e-12 * np.abs(now)) | (miss < tol)
+        back = live[~ok]
+        step[back] /= 2
+        trial[back] = best[back] + step[back]
+        on = live[ok]
+        best[on], value[on] = trial[on], now[ok]
+        go = ok & (miss >= tol)
+        todo = live[go]
+        kind = l1[todo]
+        new = best[todo].copy()
+        if kind.any():
+            new[kind] = _lasso_steps(best[todo[kind]], grad[go][kind], curve[go][kind])
+        for at in np.flatnonzero(~kind):
+            k = todo[at]
+            ridge = np.eye(p)
+            ridge[0, 0] = 1e-12
+            slope = grad[go][at] + np.r_[0.0, best[k][1:]]
+            new[at] = best[k] - np.linalg.solve(curve[go][at] + ridge, slope)
+        step[todo] = new - best[todo]
+        trial[todo] = new
+        # done: within tolerance, or no step is left that lowers the objective
+        live = np.array([k for k in live if k in set(back) | set(todo) and np.abs(step[k]).max() > 1e-13], dtype=int)
+        if not len(live):
+            break
+    return best
 
 
 def grid_search(spark: SparkSession, compressed: DataFrame, features: list[str], target: str,
-                n_train: int, penalties=PENALTIES, c_values=C_VALUES, threads: int | None = None,
-                max_iter: int = 100):
+                penalties=PENALTIES, c_values=C_VALUES, max_iter: int = 100):
     """36 fits; (grid table, fitted models).  Quality = KS_test - |KS_train - KS_test| (K4, K6-K8)."""
     grid = [(p, c) for p in penalties for c in c_values]
-    # assembled once and cached: every fit reads the same vectors, in partitions of about
-    # ROWS_PER_FIT_PARTITION rows (a fit is many short jobs)
-    train = assemble(compressed.filter(F.col("split") == "train"), features, target)
-    rows = train.count()
-    train = train.repartition(max(1, -(-rows // ROWS_PER_FIT_PARTITION))).cache()
-    try:
-        train.count()
-        with ThreadPoolExecutor(max_workers=threads or FIT_THREADS) as pool:
-            models = list(pool.map(
-                lambda pc: fit_logistic(train, features, target, pc[0], pc[1], n_train, max_iter,
-                                        assembled=True), grid))
-    finally:
-        train.unpersist()
+    models = fit_models(compressed.filter(F.col("split") == "train"), features, target, grid, max_iter)
     ks = ks_of_models(compressed, features, target, models)
     rows = []
     for k, (p, c) in enumerate(grid):

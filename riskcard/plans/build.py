@@ -51,7 +51,6 @@ class BuildParams:
     presence: list = field(default_factory=lambda: ["ELJCOUNTY1", "ELJCOUNTY2", "MBELJFILINGNAME1",
                                                     "MBELJFILINGNAME2", "City_App", "State_App"])
     n_prebins: int = B.MAX_PREBINS
-    grid_threads: int | None = None     # None: model.FIT_THREADS at a time
     grid_penalties: tuple = tuple(M.PENALTIES)
     grid_c: tuple = tuple(M.C_VALUES)
     max_iter: int = 100
@@ -124,14 +123,13 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
     features = [c for c in kept if c != tgt]
     lap("corr_prune")
 
-    # split + compress; all fits on the cached compressed frame
+    # split + compress; all fits read the compressed frame together
     comp = written(M.compress_codes(M.train_test_split(coded, idc, p.train_fraction, p.split_seed), bins, features,
                                     tgt, extra=["split"]), "compressed")
-    n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).head()[0] or 0)
     timings["compressed_rows"] = comp.count()
     lap("compress")
-    grid, models = M.grid_search(spark, comp, features, tgt, n_train, list(p.grid_penalties), list(p.grid_c),
-                                 threads=p.grid_threads, max_iter=p.max_iter)
+    grid, models = M.grid_search(spark, comp, features, tgt, list(p.grid_penalties), list(p.grid_c),
+                                 max_iter=p.max_iter)
     lap("grid")
     best = M.grid_best(grid).head()
     b0, w = models[best["grid_order"]]

@@ -8,6 +8,8 @@ oracle comparison is not at the mercy of the last floating bit.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -377,8 +379,7 @@ def _model_inputs(spark, d):
     feats = [c for c in kept if c != TARGET]
     comp = written(M.compress_codes(M.train_test_split(coded, ID, 0.7, SPLIT_SEED), FX.SCORECARD_BINS, feats, TARGET,
                                     extra=["split"]), "compressed")
-    n_train = int(comp.filter("split = 'train'").agg(F.sum("w")).head()[0] or 0)
-    return comp, feats, n_train
+    return comp, feats
 
 
 FLAT_FEATURE = "priority"
@@ -399,14 +400,31 @@ def q_fit_logistic(spark, d):
 
 
 def _grid(spark, d):
-    comp, feats, n_train = _model_inputs(spark, d)
-    return M.grid_search(spark, comp, feats, TARGET, n_train)[0]
+    comp, feats = _model_inputs(spark, d)
+    return M.grid_search(spark, comp, feats, TARGET)[0]
 
 
 def q_grid_search(spark, d):
     return _grid(spark, d)
 
 
+def q_grid_search_flag(spark, d):
+    """The whole grid on one 0/1 column, where every fit has an exact answer: fitted bad rates per level,
+    KS by split and quality of all 36 models."""
+    bins = [b for b in FX.SCORECARD_BINS if b.feature == FLAT_FEATURE]
+    coded = _coded(spark, d).select(ID, TARGET, cat_name(FLAT_FEATURE))
+    feats = [name for name, _, code in E.level_codes(bins) if code == 0]
+    comp = written(M.compress_codes(M.train_test_split(coded, ID, 0.7, SPLIT_SEED), bins, feats, TARGET,
+                                    extra=["split"]), "compressed")
+    table, models = M.grid_search(spark, comp, feats, TARGET)
+    rate = lambda z: 1.0 / (1.0 + math.exp(-z))
+    fits = spark.createDataFrame([(k, rate(b0), rate(b0 + w)) for k, (b0, (w,)) in enumerate(models)],
+                                 "grid_order int, rate_off double, rate_on double")
+    return table.join(fits, "grid_order").select(
+        "grid_order", "penalty", "c", F.round("rate_off", 6).alias("rate_off"), F.round("rate_on", 6).alias("rate_on"),
+        "ks_train", "ks_validation", F.round("quality", 4).alias("quality"))
+
+
 def q_grid_best(spark, d):
     """The rule for the winner, over a grid whose qualities are KS values of score halves."""
     g = V.score_grain(scored(spark, d).withColumn("part", F.col(ID) % GRID_PARTS), "score", TARGET, by=["part"])
@@ -625,6 +643,7 @@ QUERIES = {
     "predict_proba": q_predict_proba,
     "fit_logistic": q_fit_logistic,
     "grid_search": q_grid_search,
+    "grid_search_flag": q_grid_search_flag,
     "grid_best": q_grid_best,
     "grid_quality": q_grid_quality,
     "ks_by_split": q_ks_by_split,

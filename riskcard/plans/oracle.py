@@ -388,6 +388,43 @@ def ks_split_sql(score: str) -> str:
     return f"SELECT split, round_even(max(ks), 4) AS ks FROM ({ks_sql(g, 'score', False, by='split')}) GROUP BY split"
 
 
+def grid_flag_sql() -> str:
+    """All fits of the grid on one 0/1 column.  With n, y rows and bads off (0) and on (1), a fit moves the two
+    bad rates towards each other by s / (C n): s is the sign of the coefficient for L1, until the rates meet,
+    and the coefficient itself for L2, found by bisection."""
+    flat = next(b for b in FX.SCORECARD_BINS if b.feature == C.FLAT_FEATURE)
+    on = f"CASE WHEN priority IN ({', '.join(q(v) for v in flat.groups[0])}) THEN 1 ELSE 0 END"
+    grid = ", ".join(f"({k}, {q(p)}, {num(c)})" for k, (p, c) in enumerate(
+        (p, c) for p in C.M.PENALTIES for c in C.M.C_VALUES))
+    p_on, p_off = "((y1 - (lo + hi) / 2 / c) / n1)", "((y0 + (lo + hi) / 2 / c) / n0)"
+    # above the root of logit(p_on) - logit(p_off) - w, which falls as w rises
+    above = f"""CASE WHEN {p_on} <= 0 OR {p_off} >= 1 THEN true WHEN {p_on} >= 1 OR {p_off} <= 0 THEN false
+  ELSE ln({p_on} / (1 - {p_on})) - ln({p_off} / (1 - {p_off})) < (lo + hi) / 2 END"""
+    extra = f"""flag AS (SELECT {SPLIT} AS split, CAST(count(*) FILTER (WHERE {on} = 0) AS DOUBLE) AS n0,
+  CAST(sum(pi) FILTER (WHERE {on} = 0) AS DOUBLE) AS y0, CAST(count(*) FILTER (WHERE {on} = 1) AS DOUBLE) AS n1,
+  CAST(sum(pi) FILTER (WHERE {on} = 1) AS DOUBLE) AS y1 FROM clean GROUP BY ALL),
+grid(grid_order, penalty, c) AS (VALUES {grid}),
+cell AS (SELECT * EXCLUDE (split), sign(y1 / n1 - y0 / n0) AS s,
+  ln(y1 / (n1 - y1)) - ln(y0 / (n0 - y0)) AS w FROM grid, flag WHERE split = 'train'),
+half AS (
+  SELECT grid_order, c, n0, y0, n1, y1, least(0e0, w) AS lo, greatest(0e0, w) AS hi, 0 AS i FROM cell WHERE penalty = 'l2'
+  UNION ALL
+  SELECT grid_order, c, n0, y0, n1, y1, CASE WHEN {above} THEN lo ELSE (lo + hi) / 2 END,
+    CASE WHEN {above} THEN (lo + hi) / 2 ELSE hi END, i + 1 FROM half WHERE i < 60),
+fit AS (
+  SELECT grid_order, {p_off} AS rate_off, {p_on} AS rate_on FROM half WHERE i = 60
+  UNION ALL
+  SELECT grid_order, CASE WHEN met THEN (y0 + y1) / (n0 + n1) ELSE off_ END, CASE WHEN met THEN (y0 + y1) / (n0 + n1) ELSE on_ END
+  FROM (SELECT *, (y0 + s / c) / n0 AS off_, (y1 - s / c) / n1 AS on_, s * ((y1 - s / c) / n1 - (y0 + s / c) / n0) <= 0 AS met
+        FROM cell WHERE penalty = 'l1')),
+ks AS (SELECT split, round_even(abs(y1 / (y0 + y1) - (n1 - y1) / (n0 + n1 - y0 - y1)), 4) AS ks FROM flag),
+rated AS (SELECT g.*, rate_off, rate_on, CASE WHEN rate_off = rate_on THEN 0e0 ELSE a.ks END AS ks_train,
+  CASE WHEN rate_off = rate_on THEN 0e0 ELSE b.ks END AS ks_validation
+FROM grid g JOIN fit USING (grid_order), ks a, ks b WHERE a.split = 'train' AND b.split = 'test')"""
+    return with_base("""SELECT grid_order, penalty, c, round(rate_off, 6) AS rate_off, round(rate_on, 6) AS rate_on, ks_train,
+  ks_validation, round(ks_validation - abs(ks_train - ks_validation), 4) AS quality FROM rated""", extra, recursive=True)
+
+
 def ppt_sql(origin: bool) -> str:
     o = 1 if origin else 0
     mo = f"exp((CAST(score AS DOUBLE) - {OFFSET}) / {FACTOR})"
@@ -577,6 +614,7 @@ SELECT 'Intercept', NULL, CAST(round_even({OFFSET} - {FACTOR} * {num(FX.SCORECAR
         "stream_score": with_base("SELECT app_id, score FROM scored"),
         "stream_binned": with_base("SELECT * FROM binned"),
         "fit_logistic": with_base(flat_fit),
+        "grid_search_flag": grid_flag_sql(),
         "grid_best": with_base(best_part),
         "bin_table": with_base(bt),
         "bin_totals_rollup": with_base(totals),

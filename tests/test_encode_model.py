@@ -182,3 +182,51 @@ def test_compressed_design_equals_the_full_one(spark):
     full = M.train_test_split(E.one_hot_codes(coded, bins, "y", "id"), "id").groupBy("split", *feats, "y").count()
     assert sorted(tuple(r) for r in comp.select("split", *feats, "y", F.col("w").cast("long")).collect()) == \
         sorted(tuple(r) for r in full.collect())
+
+
+def test_all_models_meet_their_optimality_conditions(spark):
+    """36 fits at once on a wide design with a constant column, a duplicated one, one that no row has, a
+    one-hot set and rare levels; the same in groups of few models, from a single partition or several."""
+    rng = np.random.default_rng(11)
+    n, p = 3_000, 24
+    x = (rng.random((n, p)) < rng.uniform(0.02, 0.6, p)).astype(int)
+    x[:, 0], x[:, 1], x[:, 2] = 1, x[:, 3], 0
+    x[:, 21:24] = np.eye(3, dtype=int)[rng.integers(0, 3, n)]
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - x @ rng.normal(0, 0.9, p)))).astype(int)
+    w = rng.integers(1, 5, n).astype(float)
+    cols = [f"c{k}" for k in range(p)]
+    df = spark.createDataFrame([(*map(int, r), int(t), float(v)) for r, t, v in zip(x, y, w)],
+                               ", ".join(f"{c} int" for c in cols) + ", y int, w double")
+    grid = [(pen, c) for pen in M.PENALTIES for c in M.C_VALUES]
+    models = M.fit_models(df, cols, "y", grid)
+    for (pen, c), (b0, beta) in zip(grid, models):
+        b = np.array(beta)
+        miss = (1 / (1 + np.exp(-(b0 + x @ b))) - y) * w * c
+        g = x.T @ miss
+        assert abs(miss.sum()) < 1e-5
+        if pen == "l2":
+            assert np.abs(g + b).max() < 1e-5
+        else:
+            assert all(abs(v + np.sign(u)) < 1e-5 if u else abs(v) <= 1 + 1e-5 for v, u in zip(g, b))
+    assert any(v == 0 for v in models[0][1]) and all(m[1][2] == 0 for m in models)
+
+
+def test_models_in_groups_and_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = (rng.random((400, 3)) < 0.4).astype(int)
+    y = (rng.random(400) < 0.2 + 0.5 * x[:, 0]).astype(int)
+    df = spark.createDataFrame([(*map(int, r), int(t), 1.0) for r, t in zip(x, y)], "a int, b int, c int, y int, w double")
+    grid = [(pen, c) for pen in M.PENALTIES for c in (0.005, 0.1, 1.0)]
+    whole = M.fit_models(df, ["a", "b", "c"], "y", grid)
+    monkeypatch.setattr(M, "SUMS", 50)
+    monkeypatch.setattr(M, "ROWS_PER_FIT_PARTITION", 60)
+    monkeypatch.setattr(M, "SLOTS", 2)
+    for (b0, w), (c0, v) in zip(whole, M.fit_models(df, ["a", "b", "c"], "y", grid)):
+        assert np.allclose([b0, *w], [c0, *v], atol=1e-5)
+
+
+def test_models_of_an_empty_or_one_class_table(spark):
+    kind = "a int, y int, w double"
+    assert all(w == [0.0] for _, w in M.fit_models(spark.createDataFrame([], kind), ["a"], "y", [("l1", 1.0), ("l2", 1.0)]))
+    one = M.fit_models(spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0)], kind), ["a"], "y", [("l1", 0.1), ("l2", 0.1)], max_iter=20)
+    assert all(b0 > 3 and np.isfinite(w).all() for b0, w in one)
