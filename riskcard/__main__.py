@@ -38,6 +38,7 @@ def main(argv=None) -> str:
     ap.add_argument("--exclude", default="")
     ap.add_argument("--sparse-threshold", type=float, default=0.95)
     ap.add_argument("--min-iv", type=float, default=0.01)
+    ap.add_argument("--prebins", choices=["shares", "tree"], default="shares")
     ap.add_argument("--corr-threshold", type=float, default=0.65)
     ap.add_argument("--train-fraction", type=float, default=0.7)
     ap.add_argument("--target-score", type=float, default=450.0)

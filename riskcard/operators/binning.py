@@ -5,7 +5,8 @@ Job shape, for all features at once:
 1. value counts: (feature, value, n, bad), combined map-side; a hot value costs one row per task.
 2. pre-bins: the values of a feature in order (numbers by size, categories by event rate) get
    cumulative shares from range sums (``plans.prefix``); pre-bin k takes the values whose share
-   starts in [k/20, (k+1)/20), and pre-bins under 5% of the rows are merged with the next.
+   starts in [k/20, (k+1)/20), and pre-bins under 5% of the rows are merged with the next.  The
+   pre-bins of numbers can also be the leaves of a classification tree (``tree_prebins``).
 3. the fit: ``groupBy(feature).applyInPandas`` over at most 20 rows per feature.  Python never
    sees a raw row.
 4. bin tables come from the pre-bin counts and the fit; the data are not read again.
@@ -74,9 +75,8 @@ def merge_small(n: list[int], min_share: float = MIN_PREBIN_SHARE) -> list[int]:
 
 def ordered_prebins(values: DataFrame, order: list[str], max_prebins: int = MAX_PREBINS,
                     min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
-    """Add ``pb`` to (feature, ..., n) rows without missing values, in the order of ``order``."""
+    """Add ``pb`` to (feature, ..., n) rows without missing values (a written table), in the order of ``order``."""
     ship_code(values.sparkSession)
-    values = written(values, "values")
     totals = values.groupBy("feature").agg(F.sum("n").alias("_total"))          # one row per feature
     run = running_sums(values, order, {"_cum": "n"}, groups=["feature"]).join(totals, "feature")
     run = written(run.withColumn("_raw", F.expr(f"(_cum - n) * {max_prebins} div _total").cast("int"))
@@ -92,13 +92,66 @@ def ordered_prebins(values: DataFrame, order: list[str], max_prebins: int = MAX_
     return run.join(merged, ["feature", "_raw"]).drop("_raw")
 
 
+def tree_prebins(values: DataFrame, max_prebins: int = MAX_PREBINS, min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+    """(feature, pb, n, bad, hi) of (feature, x, n, bad) rows without missing values: the leaves of a
+    classification tree per feature.
+
+    A leaf is cut where the Gini impurity falls most (the smallest such value), while it has both
+    outcomes and both sides keep ``min_share`` of the feature's rows.  Running sums are made once; a
+    cut of a leaf is then judged from them and the leaf's ends alone, so each level of the trees is one
+    aggregate over the values, for all leaves of all features.  If more than ``max_prebins`` leaves
+    are possible, the cuts of largest gain are taken first."""
+    spark = values.sparkSession
+    run = written(running_sums(values, ["x"], {"cn": "n", "cb": "bad"}, groups=["feature"])
+                  .select("feature", "x", "cn", "cb"), "value-sums")
+    ends = run.groupBy("feature").agg(F.max("cn").alias("n"), F.max("cb").alias("b"), F.max("x").alias("hi")).collect()
+    least = {r.feature: math.ceil(min_share * r.n) for r in ends}                   # one row per feature
+    # a leaf: feature, first and last running sums, largest value
+    fresh = [(r.feature, 0, 0, r.n, r.b, r.hi) for r in ends]
+    cuts: dict[tuple, tuple] = {}
+    while fresh := [v for v in fresh if 0 < v[4] - v[2] < v[3] - v[1] and v[3] - v[1] >= 2 * least[v[0]]]:
+        leaves = spark.createDataFrame([(*v[:5], max(1, least[v[0]])) for v in fresh],
+                                       "f string, sn long, sb long, en long, eb long, least long")
+        impure = lambda n, b: (b * b + (n - b) * (n - b)) / n
+        d = lambda a, b: (F.col(a) - F.col(b)).cast("double")
+        gain = impure(d("cn", "sn"), d("cb", "sb")) + impure(d("en", "cn"), d("eb", "cb"))
+        # at most max_prebins leaves per feature: every value meets one of them
+        inside = ((F.col("feature") == F.col("f")) & (F.col("cn") - F.col("sn") >= F.col("least"))
+                  & (F.col("en") - F.col("cn") >= F.col("least")))
+        best = (run.join(F.broadcast(leaves), inside).groupBy("f", "sn", "en")
+                .agg(F.max(F.struct(gain.alias("gain"), (-F.col("cn")).alias("cn"), "cb", "x")).alias("cut")).collect())
+        fresh_by, fresh = {(v[0], v[1], v[3]): v for v in fresh}, []
+        for r in best:                                                              # one row per leaf
+            f, sn, sb, en, eb, hi = v = fresh_by[r.f, r.sn, r.en]
+            left, right = (f, sn, sb, -r.cut.cn, r.cut.cb, r.cut.x), (f, -r.cut.cn, r.cut.cb, en, eb, hi)
+            whole = ((eb - sb) ** 2 + (en - sn - eb + sb) ** 2) / (en - sn)
+            cuts[v] = r.cut.gain - whole, left, right
+            fresh += [left, right]
+    rows = []
+    for r in ends:
+        leaves = [(r.feature, 0, 0, r.n, r.b, r.hi)]
+        while len(leaves) < max_prebins and (can := [v for v in leaves if v in cuts]):
+            v = max(can, key=lambda v: (cuts[v][0], -v[1]))
+            leaves.remove(v)
+            leaves += cuts[v][1:]
+        rows += [(f, k, en - sn, eb - sb, hi) for k, (f, sn, sb, en, eb, hi) in enumerate(sorted(leaves, key=lambda v: v[1]))]
+    return spark.createDataFrame(rows, "feature string, pb int, n long, bad long, hi double")
+
+
 def prebin_counts(df: DataFrame, features: list[str], target: str, max_prebins: int = MAX_PREBINS,
-                  min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+                  min_share: float = MIN_PREBIN_SHARE, method: str = "shares") -> DataFrame:
     """(feature, pb, n, bad, hi) of numeric features; ``hi`` is the pre-bin's largest value, pb NULL
-    the missing row (I2)."""
+    the missing row (I2).  ``method``: "shares" cuts by cumulative shares of the rows, "tree" by a
+    classification tree."""
+    if method not in ("shares", "tree"):
+        raise ValueError(f"unknown pre-bin method {method!r}")
     values = written(numeric_counts(df, features, target), "value-counts")
-    pb = ordered_prebins(values.where("x is not null"), ["x"], max_prebins, min_share)
-    present = pb.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("x").alias("hi"))
+    if method == "tree":
+        present = tree_prebins(values.where("x is not null"), max_prebins, min_share)
+    else:
+        pb = ordered_prebins(values.where("x is not null"), ["x"], max_prebins, min_share)
+        present = pb.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+                                                  F.max("x").alias("hi"))
     missing = values.where("x is null").select("feature", F.lit(None).cast("int").alias("pb"), "n", "bad",
                                                F.lit(None).cast("double").alias("hi"))
     return present.unionByName(missing)
@@ -327,7 +380,7 @@ def _fit_selected(spark, counts, trends, min_iv, max_iv):
 
 def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical: list[str],
                     numeric_trends: dict[str, str], min_iv: float = 0.01, max_iv: float = 1.0,
-                    n_prebins: int = MAX_PREBINS):
+                    n_prebins: int = MAX_PREBINS, prebins: str = "shares"):
     """Fit every categorical and every direction-known numeric feature in one go.
 
     A feature is selected if the IV of its whole table (missing rows included) lies in the band.
@@ -349,7 +402,7 @@ def screen_features(spark: SparkSession, df: DataFrame, target: str, categorical
         bins += category_bins(members)
     nums = {f: t for f, t in numeric_trends.items() if f in df.columns}
     if nums:
-        counts = written(prebin_counts(df, list(nums), target, n_prebins), "prebin-counts")
+        counts = written(prebin_counts(df, list(nums), target, n_prebins, method=prebins), "prebin-counts")
         got, fits = _fit_selected(spark, counts, nums, min_iv, max_iv)
         status += got
         fitted = fitted_counts(counts, fits)

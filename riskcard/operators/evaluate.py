@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskcard.functions.exprs import odds, safe_div
-from riskcard.plans.prefix import global_row_number, running_sums, written
+from riskcard.plans.prefix import carried, global_row_number, running_sums, written
 
 # Column names of the KS table.
 KS_COLUMNS = ["group", "good", "bad", "good_distri", "bad_distri", "badrate", "cumbadrate",
@@ -113,10 +113,10 @@ def _ks_schema() -> str:
             "badrate double, cumbadrate double, lift double, cumgood double, cumbad double, ks double")
 
 
-def backfill(df: DataFrame, col: str, order: str) -> DataFrame:
-    """Fill NULLs from the next row in ``order`` (E6).  For small tables."""
-    w = Window.orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(col, F.first(col, ignorenulls=True).over(w))
+def backfill(df: DataFrame, col: str, order: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Fill NULLs from the next row in ``order`` (E6), in a table of any size and for any type: the values are
+    carried down the descending order, across ranges.  Rows after the last value keep NULL."""
+    return carried(df, col, [order] if isinstance(order, str) else order, ascending=False, partitions=partitions)
 
 
 def ks_stat(kst: DataFrame, by: list[str] | None = None, digits: int = 4) -> DataFrame:

@@ -51,6 +51,7 @@ class BuildParams:
     presence: list = field(default_factory=lambda: ["ELJCOUNTY1", "ELJCOUNTY2", "MBELJFILINGNAME1",
                                                     "MBELJFILINGNAME2", "City_App", "State_App"])
     n_prebins: int = B.MAX_PREBINS
+    prebins: str = "shares"             # or "tree": leaves of a classification tree
     grid_penalties: tuple = tuple(M.PENALTIES)
     grid_c: tuple = tuple(M.C_VALUES)
     max_iter: int = 100
@@ -94,7 +95,7 @@ def build_from(spark: SparkSession, df: DataFrame, dictionary: DataFrame, params
 
     # fit + screen every feature in one set of jobs
     status, bins, counts = B.screen_features(spark, cleaned, tgt, [c for c in categorical if c not in presence],
-                                             trends, p.min_iv, p.max_iv, p.n_prebins)
+                                             trends, p.min_iv, p.max_iv, p.n_prebins, p.prebins)
     out["feature_status"] = status
     if not bins:
         raise ValueError("no feature passed the IV screen")

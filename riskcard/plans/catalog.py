@@ -220,6 +220,10 @@ def q_prebin_counts(spark, d):
     return rounded(B.prebin_counts(clean(spark, d), PREBIN_FEATURES, TARGET))
 
 
+def q_prebin_tree(spark, d):
+    return rounded(B.prebin_counts(clean(spark, d), PREBIN_FEATURES, TARGET, method="tree"))
+
+
 def _fit(spark, d, trend):
     counts = written(B.prebin_counts(clean(spark, d), PREBIN_FEATURES, TARGET), "prebin-counts")
     trends = spark.createDataFrame([(f, trend) for f in PREBIN_FEATURES], "feature string, trend string")
@@ -621,6 +625,7 @@ QUERIES = {
     "iv_select": q_iv_select,
     "feature_cardinality": q_feature_cardinality,
     "prebin_counts": q_prebin_counts,
+    "prebin_tree": q_prebin_tree,
     "bin_fit_asc": q_bin_fit_asc,
     "bin_fit_desc": q_bin_fit_desc,
     "bin_fit_categorical": q_bin_fit_categorical,

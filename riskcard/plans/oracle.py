@@ -255,6 +255,34 @@ def prebin_sql() -> str:
     return with_base(body, prebin_ctes(numeric_values(C.PREBIN_FEATURES), False), recursive=True)
 
 
+def prebin_tree_sql() -> str:
+    """Every node of the trees, level by level: a node is cut where the Gini impurity falls most, both sides
+    keeping 5% of the rows.  The leaves are the nodes that hold no other node."""
+    impure = "(({b}) * ({b}) + ({n} - ({b})) * ({n} - ({b}))) / ({n})"
+    left = impure.format(n="CAST(cn - sn AS DOUBLE)", b="CAST(cb - sb AS DOUBLE)")
+    right = impure.format(n="CAST(en - cn AS DOUBLE)", b="CAST(eb - cb AS DOUBLE)")
+    extra = f"""v AS (SELECT feature, x, count(*) AS n, count(*) FILTER (WHERE pi = 1) AS bad
+  FROM ({numeric_values(C.PREBIN_FEATURES)}) GROUP BY feature, x),
+run AS (SELECT feature, x, CAST(sum(n) OVER w AS BIGINT) AS cn, CAST(sum(bad) OVER w AS BIGINT) AS cb
+  FROM v WHERE x IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY x)),
+tot AS (SELECT feature, max(cn) AS n, max(cb) AS b, max(x) AS hi, CAST(ceil(0.05e0 * max(cn)) AS BIGINT) AS least
+  FROM run GROUP BY feature),
+tree(feature, sn, sb, en, eb, hi) AS (
+  SELECT feature, CAST(0 AS BIGINT), CAST(0 AS BIGINT), n, b, hi FROM tot
+  UNION ALL
+  SELECT feature, CASE WHEN side = 0 THEN sn ELSE cn END, CASE WHEN side = 0 THEN sb ELSE cb END,
+    CASE WHEN side = 0 THEN cn ELSE en END, CASE WHEN side = 0 THEN cb ELSE eb END, CASE WHEN side = 0 THEN x ELSE hi END
+  FROM (SELECT t.*, r.cn, r.cb, r.x, row_number() OVER (PARTITION BY t.feature, t.sn ORDER BY {left} + {right} DESC, r.cn) AS k
+        FROM tree t JOIN run r ON r.feature = t.feature JOIN tot ON tot.feature = t.feature
+        WHERE r.cn - t.sn >= least AND t.en - r.cn >= least AND t.eb - t.sb > 0 AND t.eb - t.sb < t.en - t.sn) c,
+       (VALUES (0), (1)) s(side) WHERE k = 1),
+leaf AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree u WHERE u.feature = t.feature AND u.sn >= t.sn
+  AND u.en <= t.en AND u.en - u.sn < t.en - t.sn))"""
+    return with_base(f"""SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY sn) - 1 AS INTEGER) AS pb,
+  en - sn AS n, eb - sb AS bad, {r6('hi')} AS hi FROM leaf
+UNION ALL SELECT feature, NULL, n, bad, NULL FROM v WHERE x IS NULL""", extra, recursive=True)
+
+
 def all_trends(features, trend: str) -> str:
     return " UNION ALL ".join(f"SELECT {q(f)} AS feature, {q(trend)} AS trend" for f in features)
 
@@ -604,6 +632,7 @@ SELECT 'Intercept', NULL, CAST(round_even({OFFSET} - {FACTOR} * {num(FX.SCORECAR
         "iv_by_feature": with_base(iv_by_feature_sql()),
         "iv_select": with_base(f"SELECT * FROM ({iv_by_feature_sql()}) WHERE iv > 0.01e0 AND iv < 1e0"),
         "feature_cardinality": with_base(card),
+        "prebin_tree": prebin_tree_sql(),
         "prebin_counts": prebin_sql(),
         "bin_fit_asc": fit_sql("ascending"),
         "bin_fit_desc": fit_sql("descending"),
