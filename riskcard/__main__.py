@@ -64,7 +64,7 @@ def main(argv=None) -> str:
                     corr_threshold=a.corr_threshold, train_fraction=a.train_fraction,
                     target_score=a.target_score, target_odds=a.target_odds, pts_double_odds=a.pdo,
                     new_asc=_list(a.new_asc), new_desc=_list(a.new_desc), exclude=_list(a.exclude),
-                    made_id=None if a.id_col else id_col)
+                    prebins=a.prebins, made_id=None if a.id_col else id_col)
     out = build_from(spark, df, d, p)
     names = ["missing_rate", "iv", "feature_status", "bin_members", "correlations", "grid", "coefficients", "model_metrics",
              "model_ks", "model_roc", "ks", "ks_point", "ks_curve", "optimal_cutoff", "histogram", "roc", "metrics", "ppt", "scored"]

@@ -8,12 +8,16 @@ the pruning rule then runs on that small long table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskcard.functions.exprs import MISSING_LABEL
 from riskcard.operators.bins import MISSING_CODE, cat_name, label_codes
 from riskcard.plans.prefix import written
+from riskcard.session import ship_code
 
 
 def level_columns(bins) -> list[tuple[str, str, str]]:
@@ -63,7 +67,31 @@ def level_labels(spark: SparkSession, bins) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, label string")
 
 
-_CODES = 1 << 12        # bin numbers per feature that fit the packed pair key
+def level_pair_counts(coded: DataFrame, sizes: list[int]) -> DataFrame:
+    """(fa, fb, ca, cb, k): how often bin number ca of column fa meets cb of column fb (fa <= fb).
+
+    A task adds a levels x levels matrix up over its Arrow batches and sends the cells that are not zero,
+    so what is shuffled depends on the levels and the tasks, not on the rows.  ``sizes``: bin numbers per
+    column, from -1 (missing) up; the matrix is that of all levels, for any number of columns."""
+    ship_code(coded.sparkSession)
+    offsets = np.r_[0, np.cumsum(sizes)]
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            codes = [pc.cast(c, pa.int64()).to_numpy(zero_copy_only=False) + 1 for c in b.columns]
+            for i, a in enumerate(codes):
+                for j in range(i, len(codes)):
+                    got = np.bincount(a * sizes[j] + codes[j], minlength=sizes[i] * sizes[j])
+                    total[i, j] = total[i, j] + got if (i, j) in total else got
+        for (i, j), cells in total.items():
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), i)), pa.array(np.full(len(at), j)), pa.array(at // sizes[j] - 1),
+                 pa.array(at % sizes[j] - 1), pa.array(cells[at].astype(np.int64))], ["fa", "fb", "ca", "cb", "k"])
+
+    parts = coded.mapInArrow(run, "fa long, fb long, ca long, cb long, k long")
+    return parts.groupBy("fa", "fb", "ca", "cb").agg(F.sum("k").alias("k")) if offsets[-1] else parts
 
 
 def corr_pairs_codes(coded: DataFrame, bins, target: str, digits: int = 2) -> DataFrame:
@@ -71,33 +99,28 @@ def corr_pairs_codes(coded: DataFrame, bins, target: str, digits: int = 2) -> Da
     Pearson, rounded half-even; NULL for a constant column (D10).
 
     Levels of a feature exclude each other, so every pair sum is a co-occurrence count of two bin
-    numbers.  A row emits one packed number per pair of binned columns (a fixed array inside
-    whole-stage codegen); one count with map-side combine leaves at most levels^2 rows, written
-    once.  Each level is then paired with the levels after it by position, an equi-join on tables
-    of at most levels^2 rows; nothing of it passes through the driver.
+    numbers (``level_pair_counts``).  The counts are written once; each level is then paired with the
+    levels after it by position, an equi-join on tables of at most levels^2 rows; nothing of it passes
+    through the driver.
     """
     spark = coded.sparkSession
     names = [cat_name(b.feature) for b in bins] + [target]
     level_no = {n: i for i, n in enumerate(names)}
-    code = [F.col(n).cast("long") + 1 for n in names]
-    base, m = len(names), _CODES
-    packed = F.array(*[((F.lit(i * base + j) * m + code[i]) * m + code[j])
-                       for i in range(base) for j in range(i, base)])
-    x = F.col("x")
-    counts = (coded.select(F.explode(packed).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-              .select(F.expr(f"x div {m * m * base}").alias("fa"), F.expr(f"x div {m * m} % {base}").alias("fb"),
-                      F.expr(f"x div {m} % {m} - 1").alias("ca"), (x % m - 1).alias("cb"), "k"))
+    base = len(names)
+    # bin numbers -1 .. k - 1, the target 0 and 1
+    sizes = [len(b.labels) + 1 for b in bins] + [3]
+    counts = level_pair_counts(coded.select(*[F.col(n).cast("int").alias(n) for n in names]), sizes)
     counts = written(counts, "level-pairs")
     n = counts.where((F.col("fa") == 0) & (F.col("fb") == 0)).agg(F.sum("k").cast("double").alias("n")).scalar()
     rows = [(name, level_no[src], c) for name, src, c in level_codes(bins)] + [(target, base - 1, 1)]
     levels = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, name string, f long, c long")
     own = counts.where("fa = fb").select(F.col("fa").alias("f"), F.col("ca").alias("c"), "k")
     levels = written(levels.join(own, ["f", "c"], "left").na.fill(0, ["k"]).withColumnRenamed("k", "s"), "levels")
-    left = (levels.where(F.col("pos") < len(rows) - 1)
-            .select("name", "f", "c", "s", F.explode(F.sequence(F.col("pos") + 1, F.lit(len(rows) - 1))).alias("pos")))
-    right = levels.select("pos", F.col("name").alias("b"), F.col("f").alias("f2"), F.col("c").alias("c2"),
-                          F.col("s").alias("s2"))
-    j = left.join(right, "pos")
+    m = len(rows)
+    both_of = spark.range(m * m).select(F.expr(f"id div {m}").alias("pos"), (F.col("id") % m).alias("pos2"))
+    right = levels.select(F.col("pos").alias("pos2"), F.col("name").alias("b"), F.col("f").alias("f2"),
+                          F.col("c").alias("c2"), F.col("s").alias("s2"))
+    j = both_of.where("pos < pos2").join(levels, "pos").join(right, "pos2")
     swap = F.col("f") > F.col("f2")
     turn = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     j = j.select("name", "b", "s", "s2", turn("f", "f2").alias("fa"), turn("f2", "f").alias("fb"),

@@ -192,14 +192,35 @@ def model_metrics(grain: DataFrame, key: str, bad_high: bool = False, partitions
                     F.bround(F.max("gini"), 2).alias("gini"))
 
 
-def score_percentiles(grain: DataFrame, key: str, qs=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+def _at_ranks(ranked: DataFrame, key: str, places: dict) -> DataFrame:
+    """One row with ``<name>``: the key at a fractional rank, interpolated between its neighbours.
+
+    ``ranked`` holds each distinct key with its count n and running count cum_n; ``places`` maps a name
+    to a rank from 0.  A rank is looked up, not sorted for: one aggregate that keeps two keys per name."""
+    first = F.col("cum_n") - F.col("n")
+    at = lambda r: F.max(F.when((first <= r) & (r < F.col("cum_n")), F.col(key).cast("double")))
+    ends = ranked.agg(*[e for name, r in places.items() for e in (
+        at(F.floor(r)).alias("_lo_" + name), at(F.ceil(r)).alias("_hi_" + name),
+        F.any_value(r - F.floor(r)).alias("_f_" + name))])
+    return ends.select(*[(F.col("_lo_" + n) + (F.col("_hi_" + n) - F.col("_lo_" + n)) * F.col("_f_" + n)).alias(n)
+                         for n in places])
+
+
+def score_percentiles(grain: DataFrame, key: str, qs=(0.1, 0.25, 0.5, 0.75, 0.9),
+                      partitions: int | None = 1) -> DataFrame:
     """Linear-interpolated percentiles from the grain, weighted by counts.
 
-    ``percentile`` with a frequency column keeps one entry per distinct key.
+    ``partitions`` 1: ``percentile`` with a frequency column, one entry per distinct (integer) key in one
+    task.  None: running counts by range and a look-up of the ranks, for raw predictions.
     """
-    p = F.percentile(F.col(key), F.array(*[F.lit(float(q)) for q in qs]), F.col("n"))
     names = [f"p{int(round(q * 100))}" for q in qs]
-    return grain.agg(p.alias("_p")).select(*[F.col("_p")[i].alias(nm) for i, nm in enumerate(names)])
+    if partitions == 1:
+        p = F.percentile(F.col(key), F.array(*[F.lit(float(q)) for q in qs]), F.col("n"))
+        return grain.agg(p.alias("_p")).select(*[F.col("_p")[i].alias(nm) for i, nm in enumerate(names)])
+    grain = written(grain.where(F.col(key).isNotNull()), "grain")
+    total = grain.agg(F.sum("n")).scalar()
+    ranked = running_sums(grain, [key], {"cum_n": "n"}, True, partitions)
+    return _at_ranks(ranked, key, {nm: F.lit(float(q)) * (total - 1) for nm, q in zip(names, qs)})
 
 
 def score_histogram(grain: DataFrame, key: str, bins: int = 80) -> DataFrame:
@@ -212,17 +233,27 @@ def score_histogram(grain: DataFrame, key: str, bins: int = 80) -> DataFrame:
             .groupBy("bin").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad")))
 
 
-def optimal_cutoff(grain: DataFrame, key: str, ascending: bool = True) -> DataFrame:
+def optimal_cutoff(grain: DataFrame, key: str, ascending: bool = True, partitions: int | None = 1,
+                   digits: int = 0) -> DataFrame:
     """Population fraction at max KS, then that percentile of the key, rounded.
 
+    ``partitions`` None takes range sums, for raw predictions: the fraction is counted in the given
+    order, and so is the percentile.
+
     One pass over the grain: running sums give KS and the population fraction
     per key, a window over the (small) grain picks the first maximum, and the
     percentile is found by rank interpolation over the cumulative counts, so
     the fraction never has to pass through the driver.
     """
-    c = _totals(_cumulate(grain, key, ascending, [], 1), [], 1)
     ks = F.abs(safe_div("cum_bad", "_B") - safe_div("cum_good", "_G"))
     grp = safe_div("cum_n", "_N")
+    if partitions != 1:
+        grain = written(grain, "grain")
+        c = written(_totals(_cumulate(grain, key, ascending, [], partitions), [], partitions), "cumulated")
+        best = c.agg(F.min_by(grp, F.struct(-ks, grp))).scalar()
+        at = _at_ranks(c, key, {"cutoff": best * (c.agg(F.max("_N")).scalar() - 1)})
+        return at.select(best.alias("group"), F.bround("cutoff", digits).alias("cutoff"))
+    c = _totals(_cumulate(grain, key, ascending, [], 1), [], 1)
     w = Window.partitionBy()
     c = c.withColumn("_ks", ks).withColumn("_grp", grp)
     c = c.withColumn("_best", F.min_by(F.col("_grp"), F.struct(-F.col("_ks"), F.col("_grp"))).over(w))
@@ -237,7 +268,7 @@ def optimal_cutoff(grain: DataFrame, key: str, ascending: bool = True) -> DataFr
                 F.max(F.when(inside(lo_r), F.col(key))).alias("_lo"),
                 F.max(F.when(inside(hi_r), F.col(key))).alias("_hi"),
                 F.first(pos - F.floor(pos)).alias("_f"))
-    return agg.select("group", F.bround(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"), 0)
+    return agg.select("group", F.bround(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"), digits)
                       .cast("double").alias("cutoff"))
 
 

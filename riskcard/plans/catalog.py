@@ -27,7 +27,7 @@ from riskcard.plans.prefix import global_row_number, written
 from riskcard.session import scratch_path
 from riskcard.sources import fixture as FX
 from riskcard.sources import report as RP
-from riskcard.sources.tables import DICTIONARY_COLUMNS, read_dictionary, read_table, scan, write_csv
+from riskcard.sources.tables import DICTIONARY_COLUMNS, line_counts, read_dictionary, read_table, scan, write_csv
 from riskcard.streaming.score_stream import stream_binned, stream_scores
 
 ID, TARGET = FX.ID, FX.TARGET
@@ -94,14 +94,30 @@ def _data_roles(spark, d):
 
 # --------------------------------------------------------------------- queries
 
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+BAD_LINE = 97               # every so many orders are written with a key that is no number
+
+
+def _orders_csv(spark, d):
+    """The orders as CSV, some lines with a key that does not fit the schema."""
+    path = scratch_path(spark, "orders") + ".csv"
+    o = read_table(spark, d, "orders").select(ORDER_COLUMNS)
+    key = F.col("o_orderkey").cast("string")
+    write_csv(o.withColumn("o_orderkey", F.when(F.col("o_orderkey") % BAD_LINE == 0, F.concat(F.lit("key "), key))
+                           .otherwise(key)), path)
+    return scan(spark, path, schema=o.schema, bad_lines="_bad")
+
+
 def q_scan_csv(spark, d):
-    path = scratch_path(spark, "nation") + ".csv"
-    write_csv(read_table(spark, d, "nation"), path)
-    return scan(spark, path)
+    return rounded(_orders_csv(spark, d).select(*ORDER_COLUMNS, F.col("_bad").isNotNull().alias("bad")))
+
+
+def q_scan_csv_lines(spark, d):
+    return line_counts(_orders_csv(spark, d), "_bad")
 
 
 def q_scan_parquet(spark, d):
-    return scan(spark, f"{d.rstrip('/')}/nation.parquet")
+    return rounded(scan(spark, f"{d.rstrip('/')}/orders.parquet").select(ORDER_COLUMNS))
 
 
 def q_report_tables(spark, d):
@@ -116,8 +132,10 @@ def q_report_tables(spark, d):
     }
     bt = B.complete_table(_code_counts(spark, d), B.label_table(spark, FX.SCORECARD_BINS))
     root = RP.write_report(spark, tables, bt, project="demo")
-    rows = [(n, spark.read.parquet(f"{root}/{n}").count()) for n in list(tables) + ["bins"]]
-    return spark.createDataFrame(rows, "table_name string, rows long")
+    rows = [(n, RP.read_report(spark, root, n).count()) for n in list(tables) + ["bins"]]
+    read = spark.createDataFrame(rows, "table_name string, rows long")
+    # as many rows as the manifest says, and the same when read
+    return read.join(RP.report_manifest(spark, root), ["table_name", "rows"]).select("table_name", "rows")
 
 
 def q_report_run_name(spark, d):
@@ -136,10 +154,7 @@ def q_table_shape(spark, d):
 
 
 def q_column_widths(spark, d):
-    a = app(spark, d)
-    # numbers are written with engine-specific digits: whole numbers and text have one text form
-    cols = [f.name for f in a.schema.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return RP.column_widths(a, cols)
+    return RP.column_widths(app(spark, d))
 
 
 def q_null_sentinels(spark, d):
@@ -548,6 +563,15 @@ def q_score_percentiles(spark, d):
     return rounded(V.score_percentiles(score_grain(spark, d), "score"))
 
 
+def q_optimal_cutoff_raw(spark, d):
+    """On raw predictions, highest risk first."""
+    return rounded(V.optimal_cutoff(_logit_grain(spark, d), "z", ascending=False, partitions=None, digits=4))
+
+
+def q_percentiles_raw(spark, d):
+    return rounded(V.score_percentiles(_logit_grain(spark, d), "z", partitions=None))
+
+
 def q_score_histogram(spark, d):
     return V.score_histogram(score_grain(spark, d), "score")
 
@@ -606,6 +630,7 @@ def q_stream_binned(spark, d):
 
 QUERIES = {
     "scan_csv": q_scan_csv,
+    "scan_csv_lines": q_scan_csv_lines,
     "scan_parquet": q_scan_parquet,
     "report_tables": q_report_tables,
     "report_run_name": q_report_run_name,
@@ -668,6 +693,8 @@ QUERIES = {
     "ks_curve": q_ks_curve,
     "optimal_cutoff": q_optimal_cutoff,
     "score_percentiles": q_score_percentiles,
+    "optimal_cutoff_raw": q_optimal_cutoff_raw,
+    "percentiles_raw": q_percentiles_raw,
     "score_histogram": q_score_histogram,
     "roc_curve": q_roc_curve,
     "auc_gini": q_auc_gini,

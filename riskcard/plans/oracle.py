@@ -57,6 +57,14 @@ def quoted(c: str) -> str:
     return '"MBID"' if c == "MBID" else c
 
 
+def exported(c: str) -> str:
+    """The text of a cell as exported: doubles have 1 to 4 decimals."""
+    if c not in DOUBLE_COLUMNS:
+        return f"CAST({quoted(c)} AS VARCHAR)"
+    digits = f"rtrim(CAST(CAST(round_even({c}, 4) AS DECIMAL(38, 4)) AS VARCHAR), '0')"
+    return f"CASE WHEN {digits} LIKE '%.' THEN {digits} || '0' ELSE {digits} END"
+
+
 def num(x: float) -> str:
     """A DOUBLE literal."""
     if math.isinf(x):
@@ -491,7 +499,19 @@ def _all() -> dict[str, str]:
     origin_row = ("SELECT NULL::BIGINT AS score, 0e0 AS \"group\", 0::BIGINT AS good, 0::BIGINT AS bad, "
                   "0e0 AS good_distri, 0e0 AS bad_distri, 0e0 AS badrate, NULL::DOUBLE AS cumbadrate, "
                   "NULL::DOUBLE AS lift, 0e0 AS cumgood, 0e0 AS cumbad, 0e0 AS ks")
-    nation = "SELECT * FROM nation"
+    scanned = "o_custkey, o_orderstatus, round(o_totalprice, 6) + 0e0 AS o_totalprice, o_orderpriority"
+    bad_line = f"o_orderkey % {C.BAD_LINE} = 0"
+    opt_raw = f"""SELECT {r6('g')} AS "group", {r6('round_even(lo + (hi - lo) * (pos - floor(pos)), 4)')} AS cutoff
+FROM (SELECT g, pos,
+        (SELECT z FROM zc WHERE zc.cn - zc.n <= floor(pos) AND floor(pos) < zc.cn) AS lo,
+        (SELECT z FROM zc WHERE zc.cn - zc.n <= ceil(pos) AND ceil(pos) < zc.cn) AS hi
+      FROM (SELECT cn / nn AS g, cn / nn * (nn - 1) AS pos FROM zc ORDER BY abs(cb / bb - cg / gg) DESC, cn LIMIT 1))"""
+    opt_raw_ctes = f"""zc AS (SELECT z, n, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(bad) OVER w AS DOUBLE) AS cb,
+  CAST(sum(good) OVER w AS DOUBLE) AS cg, CAST(sum(n) OVER () AS DOUBLE) AS nn, CAST(sum(bad) OVER () AS DOUBLE) AS bb,
+  CAST(sum(good) OVER () AS DOUBLE) AS gg
+FROM (SELECT z, count(*) AS n, count(*) FILTER (WHERE pi = 0) AS good, count(*) FILTER (WHERE pi = 1) AS bad
+      FROM (SELECT {z_expr()} AS z, pi FROM clean) GROUP BY z)
+WINDOW w AS (ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
     cleaned_sel = ", ".join(CLEANED_COLUMNS)
     kind = lambda c: (f"(SELECT CASE WHEN coalesce(bool_and({c} IS NULL OR {c} IN (0, 1)), true) THEN 'categorical' "
                       "ELSE 'numeric' END FROM clean)")
@@ -603,14 +623,17 @@ LEFT JOIN (SELECT feature, label, count(*) AS n FROM ({lbl}) GROUP BY ALL) c USI
 UNION ALL
 SELECT 'Intercept', NULL, CAST(round_even({OFFSET} - {FACTOR} * {num(FX.SCORECARD_INTERCEPT)}, 0) AS BIGINT), count(*) FROM app"""
     return {
-        "scan_csv": nation,
-        "scan_parquet": nation,
+        "scan_csv": f"SELECT CASE WHEN {bad_line} THEN NULL ELSE o_orderkey END AS o_orderkey, {scanned}, {bad_line} AS bad FROM orders",
+        "scan_csv_lines": " UNION ALL ".join(
+            f"SELECT {q(c)} AS feature, count(*) AS lines, count(*) FILTER (WHERE {bad_line}) AS bad, count(*) FILTER (WHERE "
+            + (f"{bad_line} OR " if c == "o_orderkey" else "") + f"{c} IS NULL) AS nulls FROM orders" for c in C.ORDER_COLUMNS),
+        "scan_parquet": f"SELECT o_orderkey, {scanned} FROM orders",
         "report_run_name": "SELECT o_orderkey, 'demo_' || strftime(o_orderdate, '%d-%m-%Y_%H-%M-%S') AS run_name FROM orders",
         "table_shape": with_base(f"""SELECT (SELECT count(*) FROM app) AS n_rows, {len(APP_COLUMNS)} AS n_cols,
   (SELECT min(app_id) FROM (SELECT app_id FROM app ORDER BY app_id LIMIT 5)) AS first_id"""),
         "column_widths": with_base(" UNION ALL ".join(
-            f"SELECT {q(c)} AS feature, CAST(max(length(CAST({quoted(c)} AS VARCHAR))) AS BIGINT) AS max_len FROM app"
-            for c in APP_COLUMNS if c not in DOUBLE_COLUMNS)),
+            f"SELECT {q(c)} AS feature, CAST(max(length({exported(c)})) AS BIGINT) AS max_len FROM app"
+            for c in APP_COLUMNS)),
         "null_sentinels": with_base("SELECT app_id, segment FROM clean"),
         "clean_columns": with_base(
             "SELECT " + ", ".join(r6(c) + f" AS {c}" if c in DOUBLE_COLUMNS else c for c in CLEANED_COLUMNS)
@@ -695,6 +718,10 @@ FROM (SELECT app_id, {logit} AS logit FROM clean)"""),
         "score_percentiles": with_base("SELECT " + ", ".join(
             f"{r6(f'quantile_cont(score, {qq})')} AS p{int(round(qq * 100))}" for qq in (0.1, 0.25, 0.5, 0.75, 0.9))
             + " FROM scored"),
+        "optimal_cutoff_raw": with_base(opt_raw, opt_raw_ctes),
+        "percentiles_raw": with_base("SELECT " + ", ".join(
+            f"{r6(f'quantile_cont(z, {qq})')} AS p{int(round(qq * 100))}" for qq in (0.1, 0.25, 0.5, 0.75, 0.9))
+            + f" FROM (SELECT {z_expr()} AS z FROM clean)"),
         "score_histogram": with_base(hist),
         "roc_curve": with_base(roc),
         "auc_gini": with_base(auc),

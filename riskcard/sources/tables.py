@@ -29,12 +29,22 @@ def reader_format(path: str) -> str:
     raise ValueError(f"unsupported file type: {path!r}; expected one of {sorted(READERS)}")
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: T.StructType | None = None,
+         bad_lines: str | None = None) -> DataFrame:
     """Read any supported file or folder.  CSV has a header row; types are
     inferred unless a schema is given (inference costs one extra pass, so pass
-    a schema for large inputs)."""
+    a schema for large inputs).
+
+    ``bad_lines`` names a further column for CSV and JSON with a schema: the text of a line that does
+    not fit the schema, NULL for all others.  Fields of such a line that cannot be read are NULL.
+    """
     fmt = reader_format(path)
     reader = spark.read.format(fmt)
+    if bad_lines is not None:
+        if fmt not in ("csv", "json") or schema is None:
+            raise ValueError("bad lines are captured from csv or json with a declared schema")
+        schema = T.StructType([*schema.fields, T.StructField(bad_lines, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_lines)
     if fmt == "csv":
         reader = reader.option("header", True)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -43,6 +53,15 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return nan_to_null(reader.load(path))
 
 
+def line_counts(scanned: DataFrame, bad_lines: str) -> DataFrame:
+    """(feature, lines, bad, nulls) per column of a scan with ``bad_lines``: all lines, those that do not fit
+    the schema, and the column's NULLs among all, in one pass."""
+    cols = [c for c in scanned.columns if c != bad_lines]
+    counts = scanned.agg(F.count(F.lit(1)).alias("lines"), F.count(bad_lines).alias("bad"),
+                         *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    return counts.unpivot(["lines", "bad"], cols, "feature", "nulls").select("feature", "lines", "bad", "nulls")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN means missing in the input model; make it SQL NULL once at ingest."""
     fl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -1,5 +1,9 @@
 """Monotone binning fit (FIXTURES M7, M9, M10 and the binning golden values)."""
 
+import math
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -178,3 +182,52 @@ def test_many_categories_are_never_collected(spark):
         F.coalesce(F.col("bin_id"), F.lit(MISSING_CODE)) != F.col("c_cat")).count()
     assert wrong == 0 and coded.where(F.col("c_cat") == MISSING_CODE).count() == 2
     assert counts.agg(F.sum("n")).head()[0] == 200_000
+
+
+def tree_leaves(values, max_prebins=20, min_share=0.05):
+    """Leaves of one feature's tree, by plain recursion over its sorted (x, n, bad) values."""
+    total = sum(n for _, n, _ in values)
+    least = max(1, math.ceil(min_share * total))
+
+    def gini(n, b):
+        return (b * b + (n - b) * (n - b)) / n
+
+    def grow(part):
+        n, b = sum(v[1] for v in part), sum(v[2] for v in part)
+        best, cn, cb = None, 0, 0
+        for i, (_, k, e) in enumerate(part[:-1], 1):
+            cn, cb = cn + k, cb + e
+            if cn >= least and n - cn >= least:
+                gain = gini(float(cn), float(cb)) + gini(float(n - cn), float(b - cb))
+                if best is None or gain > best[0]:
+                    best = gain, i
+        if best is None or b in (0, n):
+            return [part]
+        return grow(part[:best[1]]) + grow(part[best[1]:])
+    return [(k, sum(v[1] for v in p), sum(v[2] for v in p), p[-1][0]) for k, p in enumerate(grow(values))]
+
+
+def test_tree_prebins_match_recursion(spark):
+    rnd = random.Random(8)
+    table = {"steps": [(float(x), rnd.randint(1, 9), 0) for x in range(120)],
+             "few": [(0.0, 5, 1), (1.0, 90, 30), (2.0, 5, 4)], "pure": [(float(x), 4, 4) for x in range(9)],
+             "hot": [(-1.0, 3, 1), (0.0, 900, 400), (1.0, 60, 1), (2.0, 37, 30)], "one": [(7.0, 10, 3)]}
+    table["steps"] = [(x, n, sum(rnd.random() < (0.1 + 0.3 * (int(x) // 30 % 2)) for _ in range(n))) for x, n, _ in table["steps"]]
+    df = spark.createDataFrame([(f, *v) for f, vs in table.items() for v in vs], "feature string, x double, n long, bad long")
+    got = {}
+    for r in B.tree_prebins(df).orderBy("feature", "pb").collect():
+        got.setdefault(r.feature, []).append((r.pb, r.n, r.bad, r.hi))
+    assert got == {f: tree_leaves(vs) for f, vs in table.items()}
+    # fewer leaves than the tree could have: the cuts of largest gain
+    some = [r for r in B.tree_prebins(df, max_prebins=3).collect() if r.feature == "steps"]
+    assert len(some) == 3 and sum(r.n for r in some) == sum(v[1] for v in table["steps"])
+
+
+def test_prebin_methods(spark):
+    df = spark.createDataFrame([(float(k % 10), int(k % 10 > 6), None if k % 5 else 1.0) for k in range(200)],
+                               "a double, y int, b double")
+    got = B.prebin_counts(df, ["a", "b"], "y", method="tree").collect()
+    assert {(r.feature, r.pb) for r in got if r.feature == "b"} == {("b", 0), ("b", None)}
+    assert sorted((r.pb, r.n, r.bad, r.hi) for r in got if r.feature == "a") == [(0, 140, 0, 6.0), (1, 60, 60, 9.0)]
+    with pytest.raises(ValueError):
+        B.prebin_counts(df, ["a"], "y", method="other")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,33 @@ def test_cutoffs_come_highest_first(spark):
     _, g = grain(spark, [(i, (i * 7) % 11, i % 2) for i in range(50)])
     got = [r.cutoff_score for r in V.ppt_table(g, "score", *V.scaling()).collect()]
     assert got == sorted(got, reverse=True)
+
+
+@pytest.mark.parametrize("partitions", [1, None])
+def test_selection_on_raw_predictions(spark, partitions):
+    """Percentiles and cutoff of fractional keys equal numpy's; with integer keys both methods agree."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=500).round(2) if partitions is None else rng.integers(-40, 40, 500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-z))).astype(int)
+    kind = "z double, y int" if partitions is None else "z int, y int"
+    df = spark.createDataFrame([(z[i].item(), int(y[i])) for i in range(500)], kind)
+    g = V.score_grain(df, "z", "y")
+    qs = (0.0, 0.1, 0.37, 0.5, 1.0)
+    got = V.score_percentiles(g, "z", qs, partitions=partitions).first()
+    assert np.allclose(list(got), np.quantile(z, qs))
+    best = V.optimal_cutoff(g, "z", ascending=True, partitions=partitions, digits=6).first()
+    keys = np.unique(z)
+    ks = [abs((z[y == 1] <= k).mean() - (z[y == 0] <= k).mean()) for k in keys]
+    frac = (z <= keys[int(np.argmax(ks))]).mean()
+    assert abs(best["group"] - frac) < 1e-12 and abs(best["cutoff"] - np.quantile(z, frac)) < 1e-6
+    if partitions is None:
+        down = V.optimal_cutoff(g, "z", ascending=False, partitions=None, digits=6).first()
+        ks = [abs((z[y == 1] >= k).mean() - (z[y == 0] >= k).mean()) for k in keys[::-1]]
+        frac = (z >= keys[::-1][int(np.argmax(ks))]).mean()
+        assert abs(down["group"] - frac) < 1e-12 and abs(down["cutoff"] - np.quantile(z, 1 - frac)) < 1e-6
+
+
+def test_selection_on_empty_table(spark):
+    g = V.score_grain(spark.createDataFrame([], "z double, y int"), "z", "y")
+    assert list(V.score_percentiles(g, "z", partitions=None).first()) == [None] * 5
+    assert V.optimal_cutoff(g, "z", partitions=None).first()["cutoff"] is None
