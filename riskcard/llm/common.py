@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *reads: str) -> DataFrame:
+    """The documents with all columns but ``reads`` under names by position (``c0_``, ``c1_``, ..), so that no
+    column of the user meets a name that an operator works with.  Columns keep their order."""
+    return docs.toDF(*[c if c in reads else f"c{i}_" for i, c in enumerate(docs.columns)])
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

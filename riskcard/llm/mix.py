@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from riskcard.llm import words as W
-from riskcard.llm.common import agree, ready, row_key, slices, strings, written
+from riskcard.llm.common import agree, numbered, ready, row_key, slices, strings, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -175,7 +175,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed:
 
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents, all columns, each as often as the mix takes it."""
+    """The documents, all columns (of any name), each as often as the mix takes it."""
+    names, docs = docs.columns, numbered(docs, "doc_id", "text", "source")
     # repeated rows agree in id and text; numbering them on both sides keeps the join one to one
     nth = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
     times = mixed(docs, **parameters).select(
@@ -187,4 +188,4 @@ def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     same = (agree(rows["doc_id"].cast("long"), times["_mix_id"].cast("long")) & agree(rows["_text"], times["_mix_text"])
             & agree(rows["_row_no"], times["_mix_no"]))
     return (rows.join(times, (rows["_row"] == times["_mix"]) & same).where("times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[rows[c] for c in docs.columns]))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[rows[c] for c in docs.columns]).toDF(*names))

@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskcard.llm.common import written
+from riskcard.llm.common import numbered, written
 
 LIMIT = 64 << 20     # bytes of text in a shard
 STEP = 12            # bits per round
 BITS = 60
+ADDED = {"shard": "_shard", "shard_depth": "_depth", "doc_bytes": "_bytes", "shard_bytes": "_shard_bytes",
+         "shard_docs": "_shard_docs"}
 
 
 def bits_of(key: Column) -> Column:
@@ -77,7 +79,13 @@ def _look_up(rows: DataFrame, found: DataFrame, h: str, top: str | None, depth:
 
 def assigned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The documents, all columns, with shard (``s`` and its hash-prefix bits), shard_depth,
-    doc_bytes, shard_bytes and shard_docs."""
+    doc_bytes, shard_bytes and shard_docs.  A column of one of these names, in any case, is replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    names, docs = docs.columns, numbered(docs, "doc_id", "text")
+    return _assigned(docs, limit).toDF(*names, *ADDED)
+
+
+def _assigned(docs: DataFrame, limit: int) -> DataFrame:
     rows = docs.withColumns({
         "_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "_h": bits_of(F.col("doc_id")),
         "_shard": F.lit(None).cast("string"), "_depth": F.lit(None).cast("int"),
@@ -104,9 +112,7 @@ def assigned(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    new = {"shard": "_shard", "shard_depth": "_depth", "doc_bytes": "_bytes", "shard_bytes": "_shard_bytes",
-           "shard_docs": "_shard_docs"}
-    return rows.select(*[F.col(c) for c in docs.columns if c not in new], *[F.col(v).alias(k) for k, v in new.items()])
+    return rows.select(*docs.columns, *[F.col(v).alias(k) for k, v in ADDED.items()])
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:

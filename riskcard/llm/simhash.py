@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskcard.llm import words as W
-from riskcard.llm.common import agree, ready, row_key, written
+from riskcard.llm.common import agree, numbered, ready, row_key, written
 from riskcard.llm.graph import components
 
 SHINGLE = 4
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The documents, all columns, one of each group: that with the smallest doc_id (of rows that
     share it, the one with the smallest text key)."""
+    names, docs = docs.columns, numbered(docs, "doc_id", "text")
     groups = near_duplicates(docs, shingle, bits)
     kept = (groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
             .select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_text"))
@@ -239,4 +240,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     same = agree(rows["doc_id"].cast("long"), kept["_kept_id"]) & agree(rows["_text"], kept["_kept_text"])
     # repeated rows agree in id and text: one of them stays
     return (rows.join(kept, (rows["_row"] == kept["_kept"]) & same).dropDuplicates(["_row", "_kept_id", "_kept_text"])
-            .select(*[rows[c] for c in docs.columns]))
+            .select(*[rows[c] for c in docs.columns]).toDF(*names))

@@ -42,6 +42,7 @@ from riskcard.session import scratch_path
 SKIPPABLE = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+MOST_TASKS = 100_000     # of reading archives
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_TIMES = 50
@@ -206,7 +207,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
-    return manifest.repartition("archive").select("archive").mapInArrow(
+    # a numbered repartition is not coalesced: about one archive a task
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("archive").repartition(tasks).mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
              "target_uri string")
 

@@ -78,3 +78,43 @@ def test_empty_tables(spark):
     assert decontam.longest_matches(d.limit(0), b).count() == 0
     assert all(not r.hit for r in decontam.longest_matches(d, b.limit(0)).collect())
     assert decontam.without_benchmark(d, b.limit(0)).count() == len(docs)
+
+
+@pytest.mark.parametrize("item", [15, 500, 5_000])
+def test_repetitive_text_is_bounded(item):
+    """A 40 KB document of one word against an item of that word: one match, in little time and memory."""
+    import resource
+    import time
+
+    import pyarrow as pa
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    tests = decontam.Tests([(1, "word " * item)], 10)
+    got = list(decontam.judged(pa.array(["word " * 8_000, "word " * 9, None]), tests))
+    assert got[0] == (8_000, [{"start": 0, "end": 8_000}], [1],
+                      [{"item_id": 1, "item_pos": 0, "doc_pos": 0, "n_words": min(item, 8_000)}])
+    assert got[1:] == [(9, [], [], []), (0, [], [], [])]
+    assert time.time() - began < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_many_items_with_one_window():
+    import pyarrow as pa
+    common = "a b c d e f g h i j"
+    tests = decontam.Tests([(k, f"{common} tail{k}") for k in range(10_000)] + [(None, common)], 10)
+    got = list(decontam.judged(pa.array([f"{common} " * 300, "other words", f"x {common} tail77 y"]), tests))
+    assert got[0][2] == list(range(10_000)) and len(got[0][3]) == 1 and got[0][1] == [{"start": 0, "end": 3_000}]
+    assert got[1] == (2, [], [], [])
+    assert got[2][1] == [{"start": 1, "end": 12}] and len(got[2][2]) == 10_000
+    # the window "b .. j tail77" has only item 77; its match is part of the one before
+    assert {m["item_id"] for m in got[2][3]} <= {0, 77}
+
+
+def test_window_classes_are_exact():
+    import numpy as np
+    rnd = random.Random(5)
+    seq = np.array([rnd.randrange(3) for _ in range(400)] + [0] * 12)
+    start = np.arange(380)
+    need = np.array([rnd.randrange(1, 12) for _ in start])
+    cls, rep = decontam.window_classes(seq, start, need)
+    text = [(int(n), tuple(seq[s: s + n])) for s, n in zip(start, need)]
+    assert len(set(zip(cls.tolist(), text))) == len(set(cls.tolist())) == len(set(text))
+    assert [cls[r] for r in rep] == list(range(len(rep)))

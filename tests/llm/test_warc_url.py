@@ -106,3 +106,15 @@ def test_url_filters(spark):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((p, *brute(u)) for p, u, _ in rows), key=key)
     assert {r.verdict for r in urlfilter.judged(pages(spark, rows), rules.limit(0), "block").collect()} == {"block"}
     assert urlfilter.judged(pages(spark, []), rules).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    """About one archive a task: at least as many tasks with rows as half the archives, or the cores."""
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "some html " * 40 + str(k)) for k in range(400)],
+                                  "page_id long, url string, html string").repartition(4)
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(pages, folder, archive_bytes=4_000)
+    archives = manifest.count()
+    assert archives >= 16
+    used = warc.read_archives(manifest, folder).rdd.glom().map(len).filter(bool).count()
+    assert used >= min(archives // 2, spark.sparkContext.defaultParallelism)
