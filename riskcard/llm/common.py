@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that only tables written since were made from."""
+    for t in tables:
+        store, path = fs.FileSystem.from_uri(t.scratch_folder)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
 
 
 def numbered(docs: DataFrame, *reads: str) -> DataFrame:
