@@ -1,16 +1,19 @@
 """Exact top-k inner-product search in three phases with a uniform threshold.
 
 The dimensions are cut into LISTS lists; a vector's score is the sum of its partial scores in
-them.  Every task holds a part of each list.
+them.  Every task holds a part of each list.  No partial score exceeds the product of the lengths
+(norms) of the two pieces, so that product is the most that an entry not read yet can add.
 
-1. Each task gathers, per query and list, its k best partial scores, and sends the k best totals
-   among those entries.  The k-th best of all is a safe cutoff: k vectors reach it.
+1. Each task reads the head of each of its lists: the k entries of every batch with the longest
+   pieces.  It scores these vectors and sends its k best totals per query.  The k-th best of all is
+   a safe cutoff: k vectors reach it.
 2. The cutoff is broadcast.  A vector can only reach it if some partial score is at least
-   cutoff / LISTS (the uniform threshold).  Tasks collect the entries over the threshold and bound
-   each vector from above: what was collected, plus the threshold for every other list.  Vectors
-   whose bound stays below the cutoff are out.
-3. For the others the remaining partial scores are resolved exactly; those that reach the cutoff
-   compete, k per task and query at most (ties to the smaller id), and a window picks the k best.
+   cutoff / LISTS (the uniform threshold).  List by list, tasks read the entries that can reach the
+   threshold and belong to vectors that can still reach the cutoff: what was read, plus the most
+   that the other lists can add.  This ends when few (query, vector) pairs are left.
+3. For those pairs the remaining partial scores are resolved exactly, list by list; a pair whose
+   bound falls below the cutoff is out.  The k best of a task raise its own cutoff as it goes.  k per
+   task and query at most compete (ties to the smaller id), and a window picks the k best.
 
 Queries are worked through in blocks of bounded size (QUERY_CELLS numbers), each broadcast to a
 scan of all vectors; the vectors are never shuffled.  Components become floor(1024 x) in double
@@ -35,50 +38,105 @@ from riskcard.llm.common import ready, written
 from riskcard.session import scratch_path
 
 K = 10
-LISTS = 4
+LISTS = 8
 SCALE = 1024
 QUERY_CELLS = 1 << 19       # numbers in a block of queries (4 MB)
 PAIRS = 1 << 19             # scores held at a time in a task
+FEW = 1 / 4                 # share of pairs from which they are resolved one by one
 
 
 def matrix(ids: pa.Array, vectors: pa.Array, width: int, scale: int = SCALE):
     """(ids, integer rows floor(scale * x), padded to ``width``) of the rows that take part."""
-    rows, keep = [], []
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    offsets = np.asarray(vectors.offsets)
-    flat = vectors.values.cast(pa.float64())
+    offsets = np.asarray(vectors.offsets).astype(np.int64)
+    flat = vectors.values.cast(pa.float64())[offsets[0]: offsets[-1]]
     missing = np.asarray(flat.is_null())
     flat = np.asarray(flat.fill_null(0.0))
-    valid, id_ok = np.asarray(vectors.is_valid()), np.asarray(ids.is_valid())
-    for i in range(len(ids)):
-        a, b = offsets[i], offsets[i + 1]
-        if valid[i] and id_ok[i] and not missing[a:b].any() and np.isfinite(flat[a:b]).all():
-            keep.append(i)
-            row = np.floor(scale * flat[a:b])
-            rows.append(row[:width] if len(row) >= width else np.r_[row, np.zeros(width - len(row))])
-    kept = ids.take(pa.array(keep, pa.int64())).to_numpy(zero_copy_only=False).astype(np.int64)
-    return kept, np.array(rows).reshape(len(keep), width)
-
-
-def partials(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Per list the partial scores, queries by candidates."""
-    parts = np.array_split(np.arange(q.shape[1]), lists)
-    top = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1) * lists
-    if top < 2**53:
-        return [q[:, p] @ c[:, p].T for p in parts]
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(ids)), size)
+    bad = np.bincount(row[missing | ~np.isfinite(flat)], minlength=len(ids)) > 0
+    keep = np.asarray(vectors.is_valid()) & np.asarray(ids.is_valid()) & ~bad
+    place = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], size)
+    used = keep[row] & (place < width)
+    out = np.zeros((len(ids), width))
+    out[row[used], place[used]] = np.floor(scale * flat[used])
+    kept = ids.filter(pa.array(keep)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return kept, out[keep]
+
+
+def exactly(q: np.ndarray, c: np.ndarray):
+    """Both as numbers whose sums of products are exact: float64 below 2^53, else Python integers."""
+    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1) < 2**53:
+        return q, c
     exact = np.frompyfunc(int, 1, 1)
-    return [exact(q[:, p]).dot(exact(c[:, p]).T) for p in parts]
-
-
-def _pieces(batches, block, lists):
-    """(candidate ids, partial scores, own-row mask) of bounded pieces."""
+    return exact(q), exact(c)
+
+
+def lengths(rows: np.ndarray, parts: list) -> np.ndarray:
+    """The length of each row's piece in every list (rows x lists)."""
+    return np.stack([np.sqrt((rows[:, p].astype(np.float64) ** 2).sum(axis=1)) for p in parts], axis=1)
+
+
+def lists_of(width: int, lists: int) -> list:
+    return [p for p in np.array_split(np.arange(width), lists) if len(p)]
+
+
+def heads(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int, lists: int):
+    """Phase 1 of a batch: (totals of the list heads, -inf for a query's own row; multiplications)."""
+    long = lengths(c, lists_of(c.shape[1], lists))
+    head = np.unique(np.argpartition(-long, min(k, len(c)) - 1, axis=0)[:k]) if len(c) else np.zeros(0, np.int64)
+    a, b = exactly(q, c[head])
+    return np.where(own[:, head], -np.inf, a @ b.T), len(q) * len(head) * q.shape[1]
+
+
+def survivors(q: np.ndarray, c: np.ndarray, own: np.ndarray, cut: np.ndarray, lists: int):
+    """Phases 2 and 3 of a batch: (query, row, exact score) of all pairs that reach the cutoff of
+    their query (-inf: none), and the multiplications made."""
+    parts = lists_of(c.shape[1], lists)
+    ql, cl = lengths(q, parts), lengths(c, parts)
+    q, c = exactly(q, c)
+    # rounding of the bounds, far below one unit for sums of ordinary size
+    spare = 1 + 1e-9 * len(parts) * ql.max(initial=0) * cl.max(initial=0)
+    least = cut.astype(np.float64)[:, None]
+    threshold = least / len(parts) - spare
+    known = np.zeros((len(q), len(c)), q.dtype)
+    rest = ql @ cl.T
+    unread = np.ones((len(parts), len(c)), bool)
+    alive, made = ~own & (rest + spare >= least), 0
+    for no, p in enumerate(parts):
+        if alive.mean() < FEW:
+            break
+        most = np.outer(ql[:, no], cl[:, no])
+        at = np.flatnonzero((alive & (most >= threshold)).any(axis=0))
+        known[:, at] += q[:, p] @ c[np.ix_(at, p)].T
+        made += len(q) * len(at) * len(p)
+        rest[:, at] -= most[:, at]
+        unread[no, at] = False
+        alive &= known.astype(np.float64) + rest + spare >= least
+    qi, ci = np.nonzero(alive)
+    score, left = known[qi, ci], rest[qi, ci]
+    for no, p in enumerate(parts):
+        todo = np.flatnonzero(unread[no, ci])
+        step = max(1, PAIRS // len(p))
+        for i in range(0, len(todo), step):
+            at = todo[i: i + step]
+            score[at] += (q[np.ix_(qi[at], p)] * c[np.ix_(ci[at], p)]).sum(axis=1)
+        made += len(todo) * len(p)
+        left[todo] -= ql[qi[todo], no] * cl[ci[todo], no]
+        stay = score.astype(np.float64) + left + spare >= least[qi, 0]
+        qi, ci, score, left = qi[stay], ci[stay], score[stay], left[stay]
+    ok = score >= cut[qi]
+    return qi[ok], ci[ok], score[ok], made
+
+
+def _pieces(batches, block):
+    """(candidate ids, candidate rows, own-row mask) of bounded pieces."""
     q_ids, q = block
     step = max(1, PAIRS // max(len(q_ids), 1))
     for b in batches:
         ids, c = matrix(b.column(0), b.column(1), q.shape[1])
         for s in range(0, len(ids), step):
-            own = q_ids[:, None] == ids[None, s: s + step]
-            yield ids[s: s + step], partials(q, c[s: s + step], lists), own
+            yield ids[s: s + step], c[s: s + step], q_ids[:, None] == ids[None, s: s + step]
 
 
 def _best(rows: np.ndarray, k: int) -> np.ndarray:
@@ -94,14 +152,10 @@ def gather(vectors: DataFrame, block, k: int, lists: int) -> DataFrame:
     """Phase 1: (query, total), the k best totals of each task among its list heads."""
 
     def run(batches):
-        best = np.full((len(block.value[0]), 0), -np.inf)
-        for _, parts, own in _pieces(batches, block.value, lists):
-            total, head = sum(parts), np.zeros(own.shape, bool)
-            for p in parts:
-                p = np.where(own, -np.inf, p.astype(np.float64))
-                at = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
-                np.put_along_axis(head, at, True, axis=1)
-            best = _best(np.hstack([best, _best(np.where(head & ~own, total, -np.inf), k)]), k)
+        q = block.value[1]
+        best = np.full((len(q), 0), -np.inf)
+        for _, c, own in _pieces(batches, block.value):
+            best = _best(np.hstack([best, heads(q, c, own, k, lists)[0]]), k)
         query, col = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays(
             [pa.array(query.astype(np.int32)), pa.array([int(x) for x in best[query, col]], pa.int64())],
@@ -114,25 +168,19 @@ def resolve(vectors: DataFrame, block, cutoffs, k: int, lists: int) -> DataFrame
     """Phases 2 and 3: (query_id, vec_id, score) of every task's entries that reach the cutoff."""
 
     def run(batches):
-        q_ids, cut = block.value[0], cutoffs.value
-        has = np.array([c is not None for c in cut], bool)
-        low = np.array([c if c is not None else 0 for c in cut], object)
+        q_ids, q = block.value
+        cut = np.array([c if c is not None else -np.inf for c in cutoffs.value], object)
         query, vec, score = (np.zeros(0, np.int64) for _ in range(3))
-        for ids, parts, own in _pieces(batches, block.value, lists):
-            least = (low if parts[0].dtype == object else low.astype(np.float64))[:, None]
-            # times LISTS, so that the threshold cutoff / LISTS stays an integer comparison
-            over = [p * lists >= least for p in parts]
-            bound = sum(np.where(o, p * lists, least) for o, p in zip(over, parts))
-            enough = (np.logical_or.reduce(over) & (bound >= least * lists)) | ~has[:, None]
-            qi, ci = np.nonzero(enough & ~own)
-            exact = sum(p[qi, ci] for p in parts)
-            ok = ~has[qi] | (exact >= least[qi, 0])
-            query = np.r_[query, qi[ok]]
-            vec = np.r_[vec, ids[ci[ok]]]
-            score = np.r_[score, np.array([int(x) for x in exact[ok]], np.int64)]
+        for ids, c, own in _pieces(batches, block.value):
+            qi, ci, exact, _ = survivors(q, c, own, cut, lists)
+            query, vec = np.r_[query, qi], np.r_[vec, ids[ci]]
+            score = np.r_[score, np.array([int(x) for x in exact], np.int64)]
             order = np.lexsort((vec, -score, query))
-            order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+            rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            order, rank = order[rank < k], rank[rank < k]
             query, vec, score = query[order], vec[order], score[order]
+            for x, total in zip(query[rank == k - 1], score[rank == k - 1]):     # k vectors of this task reach it
+                cut[x] = max(cut[x], int(total))
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(vec), pa.array(score)],
                                          ["query_id", "vec_id", "score"])
 

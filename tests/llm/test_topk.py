@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -55,3 +56,39 @@ def test_large_components_stay_exact(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def counted(q, rows, k, lists, batch=1000):
+    """Results and multiplications of the phases over batches, as tasks run them."""
+    own = np.zeros((len(q), len(rows)), bool)
+    best, made = np.full((len(q), 0), -np.inf), 0
+    for i in range(0, len(rows), batch):
+        totals, n = topk.heads(q, rows[i: i + batch], own[:, i: i + batch], k, lists)
+        best, made = topk._best(np.hstack([best, totals]), k), made + n
+    cut, found = np.sort(best, axis=1)[:, 0].astype(object), [[] for _ in q]
+    for i in range(0, len(rows), batch):
+        qi, ci, score, n = topk.survivors(q, rows[i: i + batch], own[:, i: i + batch], cut, lists)
+        made += n
+        for x, y, z in zip(qi, ci, score):
+            found[x].append((-z, i + y))
+        found = [sorted(f)[:k] for f in found]
+        cut = np.array([max(c, -f[-1][0]) if len(f) == k else c for c, f in zip(cut, found)], object)
+    return found, made
+
+
+@pytest.mark.parametrize("spread,share", [(None, 0.9), (0.3, 0.55), ("lengths", 0.35)])
+def test_thresholds_save_multiplications(spread, share):
+    rng = np.random.Generator(np.random.PCG64(3))
+    rows = rng.normal(size=(8000, 64))
+    if spread == 0.3:                               # 40 clusters
+        rows = rng.normal(size=(40, 64))[rng.integers(0, 40, 8000)] + spread * rows
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    if spread == "lengths":                         # few long vectors
+        rows *= rng.pareto(2, 8000)[:, None]
+    rows = np.floor(1024 * rows)
+    q = rows[:40]
+    found, made = counted(q, rows, 10, 8)
+    scores = q @ rows.T
+    for x in range(40):
+        assert [(-z, y) for z, y in found[x]] == [(scores[x, y], y) for y in np.lexsort((np.arange(8000), -scores[x]))[:10]]
+    assert made < share * scores.size * 64, made / scores.size / 64
