@@ -2,11 +2,12 @@
 
 Job shape, for all features at once:
 
-1. value counts: (feature, value, n, bad), combined map-side; a hot value costs one row per task.
-2. pre-bins: the values of a feature in order (numbers by size, categories by event rate) get
-   cumulative shares from range sums (``plans.prefix``); pre-bin k takes the values whose share
-   starts in [k/20, (k+1)/20), and pre-bins under 5% of the rows are merged with the next.  The
-   pre-bins of numbers can also be the leaves of a classification tree (``tree_prebins``).
+1. pre-bins: of the values of a feature in order (numbers by size, categories by event rate),
+   pre-bin k takes those whose cumulative share starts in [k/20, (k+1)/20), and pre-bins under 5%
+   of the rows are merged with the next.  Numbers are counted by leading bits, refined where a cut
+   falls (``share_prebins``); categories get range sums (``plans.prefix``) over value counts
+   (feature, value, n, bad), combined map-side.
+2. the pre-bins of numbers can also be the leaves of a classification tree (``tree_prebins``).
 3. the fit: ``groupBy(feature).applyInPandas`` over at most 20 rows per feature.  Python never
    sees a raw row.
 4. bin tables come from the pre-bin counts and the fit; the data are not read again.
@@ -37,6 +38,7 @@ from riskcard.session import ship_code
 MAX_PREBINS = 20
 MIN_PREBIN_SHARE = 0.05
 IV_DIGITS = 10
+RADIX = (16, 12, 12, 12, 12)   # bits of a number's order-preserving form, counted in turn
 LABEL_MEMBERS = 10          # categories named in a bin's label
 
 COUNTS = "feature string, pb int, n long, bad long, hi double"
@@ -46,12 +48,17 @@ def _events(y: str = "_y"):
     return F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("bad")
 
 
-def numeric_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, x, n, bad) per distinct number; NULL and NaN are one missing row (x NULL)."""
+def numbers(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(_y, features...) as doubles; NaN is NULL, -0.0 is 0.0."""
     number = lambda c: F.col(c).cast("double")
-    wide = df.select(F.col(target).alias("_y"), *[
+    return df.select(F.col(target).alias("_y"), *[
         F.when(~F.isnan(number(c)), number(c) + F.lit(0.0)).alias(c) for c in features])
-    return wide.unpivot(["_y"], features, "feature", "x").groupBy("feature", "x").agg(*_events())
+
+
+def numeric_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, x, n, bad) per distinct number; NULL and NaN are one missing row (x NULL)."""
+    return (numbers(df, features, target).unpivot(["_y"], features, "feature", "x")
+            .groupBy("feature", "x").agg(*_events()))
 
 
 def category_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -92,6 +99,55 @@ def ordered_prebins(values: DataFrame, order: list[str], max_prebins: int = MAX_
     return run.join(merged, ["feature", "_raw"]).drop("_raw")
 
 
+def share_prebins(wide: DataFrame, features: list[str], max_prebins: int = MAX_PREBINS,
+                  min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
+    """(feature, pb, n, bad, hi) of the numbers in a written ``numbers`` table: exact cuts by cumulative
+    shares, without a shuffle row per distinct value.
+
+    Numbers are counted by the leading bits of their order-preserving form.  A cell of which all values
+    must start in one pre-bin, or that holds one value, is settled; the others (at most one per cut) are
+    counted again by their next bits.  So each pass exchanges at most 2^16 cells a feature and task, the
+    later ones max_prebins * 2^12, however many values there are."""
+    spark = wide.sparkSession
+    ship_code(spark)
+
+    def ordered(x: pd.Series) -> pd.Series:
+        bits = x.to_numpy(np.float64).view(np.int64)
+        return pd.Series(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
+
+    long = (wide.unpivot(["_y"], features, "feature", "x").where("x is not null")
+            .withColumn("_key", F.pandas_udf(ordered, "long")("x")))
+    rows = long.select("*", F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_from"),
+                       F.lit(None).cast("long").alias("_total"))
+    left, settled = 64, None
+    cell = Window.partitionBy("feature", "_in")             # at most 2^16 cells
+    for bits in RADIX:
+        left -= bits
+        cells = (rows.groupBy("feature", "_in", "_from", "_total", F.shiftright("_key", left).alias("_cell"))
+                 .agg(*_events(), F.min("x").alias("lo"), F.max("x").alias("hi")))
+        before = cell.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = (cells.withColumn("_total", F.coalesce("_total", F.sum("n").over(cell)))
+                 .withColumn("_from", F.col("_from") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+                 .withColumn("_raw", F.expr(f"_from * {max_prebins} div _total").cast("int"))
+                 .withColumn("_open", F.expr(f"lo < hi AND (_from + n - 1) * {max_prebins} div _total > _raw")))
+        cells = written(cells, "radix-cells")
+        done = cells.where("not _open").select("feature", "_raw", "n", "bad", "hi")
+        settled = done if settled is None else settled.unionByName(done)
+        opened = cells.where("_open").select(F.col("feature").alias("_f"), F.col("_cell").alias("_in"), "_from", "_total")
+        if opened.isEmpty():
+            break
+        # at most one cell per cut: max_prebins - 1 per feature
+        rows = long.join(F.broadcast(opened), (F.col("feature") == F.col("_f")) & (F.shiftright("_key", left) == F.col("_in")))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:                                # at most max_prebins rows
+        pdf = pdf.sort_values("_raw")
+        pdf["pb"] = merge_small(pdf["n"].tolist(), min_share)
+        return pdf.groupby(["feature", "pb"], as_index=False).agg({"n": "sum", "bad": "sum", "hi": "max"})
+
+    raw = settled.groupBy("feature", "_raw").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("hi").alias("hi"))
+    return raw.groupBy("feature").applyInPandas(merge, COUNTS).select("feature", "pb", "n", "bad", "hi")
+
+
 def tree_prebins(values: DataFrame, max_prebins: int = MAX_PREBINS, min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
     """(feature, pb, n, bad, hi) of (feature, x, n, bad) rows without missing values: the leaves of a
     classification tree per feature.
@@ -145,15 +201,14 @@ def prebin_counts(df: DataFrame, features: list[str], target: str, max_prebins:
     classification tree."""
     if method not in ("shares", "tree"):
         raise ValueError(f"unknown pre-bin method {method!r}")
-    values = written(numeric_counts(df, features, target), "value-counts")
     if method == "tree":
-        present = tree_prebins(values.where("x is not null"), max_prebins, min_share)
+        values = written(numeric_counts(df, features, target), "value-counts")
+        present, gone = tree_prebins(values.where("x is not null"), max_prebins, min_share), values.where("x is null")
     else:
-        pb = ordered_prebins(values.where("x is not null"), ["x"], max_prebins, min_share)
-        present = pb.groupBy("feature", "pb").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"),
-                                                  F.max("x").alias("hi"))
-    missing = values.where("x is null").select("feature", F.lit(None).cast("int").alias("pb"), "n", "bad",
-                                               F.lit(None).cast("double").alias("hi"))
+        wide = written(numbers(df, features, target), "numbers")
+        present = share_prebins(wide, features, max_prebins, min_share)
+        gone = (wide.unpivot(["_y"], features, "feature", "x").where("x is null").groupBy("feature").agg(*_events()))
+    missing = gone.select("feature", F.lit(None).cast("int").alias("pb"), "n", "bad", F.lit(None).cast("double").alias("hi"))
     return present.unionByName(missing)
 
 

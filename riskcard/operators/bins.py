@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskcard.functions.exprs import MISSING_LABEL, interval_label, members_label
+from riskcard.operators.intervals import interval_join
 from riskcard.operators.profile import as_text
 
 INF = float("inf")
@@ -168,22 +169,23 @@ def categorical_member_table(spark: SparkSession, bins: list[CategoricalBins]) -
 
 def apply_numeric_range_join(df: DataFrame, bins: list[NumericBins], id_col: str,
                              spark: SparkSession) -> DataFrame:
-    """Value -> interval lookup as a broadcast range join ``lo < x <= hi``.
+    """Value -> interval lookup by one interval join for all features (C6), labels back to one row each.
 
-    The bin table has one row per bin (bounded by the binning, not the data),
-    so broadcasting it is safe at any input size.
+    The bins of a feature do not overlap, so a row has one line per feature after the join; rows that
+    agree in id and all values have the same labels and are counted.
     """
-    table = numeric_bin_table(spark, bins)
-    out = df.select(id_col, *[b.feature for b in bins])
-    for b in bins:
-        t = F.broadcast(table.filter(F.col("feature") == b.feature)
-                        .select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
-                                F.col("label").alias(cat_name(b.feature))))
-        x = F.col(b.feature)
-        out = out.join(t, (x > F.col("_lo")) & (x <= F.col("_hi")), "left").drop("_lo", "_hi")
-        out = out.withColumn(cat_name(b.feature),
-                             F.coalesce(F.col(cat_name(b.feature)), F.lit(MISSING_LABEL)))
-    return out.select(id_col, *[cat_name(b.feature) for b in bins])
+    names = [b.feature for b in bins]
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(*names).alias("_row"))
+    found = interval_join(rows.select("_id", "_row", *[F.col("_row")[c].alias(f"_b{i}") for i, c in enumerate(names)]),
+                          [f"_b{i}" for i in range(len(names))],
+                          numeric_bin_table(spark, [NumericBins(f"_b{i}", b.splits) for i, b in enumerate(bins)]),
+                          ["_id", "_row"])
+    wide = found.groupBy("_id", "_row").agg(
+        (F.count(F.lit(1)) / len(bins)).cast("int").alias("_times"),
+        *[F.coalesce(F.max(F.when(F.col("feature") == f"_b{i}", F.col("label"))), F.lit(MISSING_LABEL)).alias(f"_l{i}")
+          for i in range(len(bins))])
+    return (wide.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+            .select(F.col("_id").alias(id_col), *[F.col(f"_l{i}").alias(cat_name(c)) for i, c in enumerate(names)]))
 
 
 def apply_categorical_join(df: DataFrame, bins: list[CategoricalBins], id_col: str,
