@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ from riskcard.session import ship_code
 MAX_PREBINS = 20
 MIN_PREBIN_SHARE = 0.05
 IV_DIGITS = 10
-RADIX = (16, 12, 12, 12, 12)   # bits of a number's order-preserving form, counted in turn
+FIRST_BITS, NEXT_BITS = 16, 12   # bits of a number's order-preserving form, counted in turn
 LABEL_MEMBERS = 10          # categories named in a bin's label
 
 COUNTS = "feature string, pb int, n long, bad long, hi double"
@@ -99,53 +100,82 @@ def ordered_prebins(values: DataFrame, order: list[str], max_prebins: int = MAX_
     return run.join(merged, ["feature", "_raw"]).drop("_raw")
 
 
+_BELOW = np.int64(2**63 - 1)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers of the same order."""
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & _BELOW)
+
+
+def _double(key: np.ndarray) -> np.ndarray:
+    return (key ^ ((key >> 63) & _BELOW)).view(np.float64)
+
+
+def ordered_numbers(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(_y, features...): ``numbers`` as whole numbers of the same order, NULL where missing."""
+    ship_code(df.sparkSession)
+    wide = numbers(df, features, target)
+
+    def run(batches):
+        for b in batches:
+            cols = [pa.array(_ordered(c.fill_null(0.0).to_numpy(zero_copy_only=False)), mask=np.asarray(c.is_null()))
+                    for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], b.schema.names)
+
+    return wide.mapInArrow(run, T.StructType([wide.schema["_y"], *[T.StructField(c, T.LongType()) for c in features]]))
+
+
 def share_prebins(wide: DataFrame, features: list[str], max_prebins: int = MAX_PREBINS,
                   min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
-    """(feature, pb, n, bad, hi) of the numbers in a written ``numbers`` table: exact cuts by cumulative
+    """(feature, pb, n, bad, hi) of a written ``ordered_numbers`` table: exact cuts by cumulative
     shares, without a shuffle row per distinct value.
 
-    Numbers are counted by the leading bits of their order-preserving form.  A cell of which all values
-    must start in one pre-bin, or that holds one value, is settled; the others (at most one per cut) are
-    counted again by their next bits.  So each pass exchanges at most 2^16 cells a feature and task, the
-    later ones max_prebins * 2^12, however many values there are."""
+    Numbers are counted by the leading bits in which a feature's values differ.  A cell of which all
+    values must start in one pre-bin, or that holds one value, is settled; the others (at most one per
+    cut) are counted again by their next bits.  So the first pass exchanges about 2^16 cells a feature
+    and task, the later ones max_prebins * 2^12, however many values there are."""
     spark = wide.sparkSession
-    ship_code(spark)
-
-    def ordered(x: pd.Series) -> pd.Series:
-        bits = x.to_numpy(np.float64).view(np.int64)
-        return pd.Series(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
-
-    long = (wide.unpivot(["_y"], features, "feature", "x").where("x is not null")
-            .withColumn("_key", F.pandas_udf(ordered, "long")("x")))
+    ends = wide.agg(*[f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(features)
+                      for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    spans = [(c, max(0, (ends[f"lo{i}"] ^ ends[f"hi{i}"]).bit_length() - FIRST_BITS)
+              if (ends[f"lo{i}"] or 0) >= 0 or (ends[f"hi{i}"] or 0) < 0 else 64 - FIRST_BITS)
+             for i, c in enumerate(features) if ends[f"lo{i}"] is not None]
+    # one row per feature: the bits that the first pass leaves
+    left = spark.createDataFrame(spans, "feature string, _bits int")
+    long = wide.unpivot(["_y"], features, "feature", "_key").where("_key is not null").join(F.broadcast(left), "feature")
     rows = long.select("*", F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_from"),
                        F.lit(None).cast("long").alias("_total"))
-    left, settled = 64, None
+    settled, done = None, 0
     cell = Window.partitionBy("feature", "_in")             # at most 2^16 cells
-    for bits in RADIX:
-        left -= bits
-        cells = (rows.groupBy("feature", "_in", "_from", "_total", F.shiftright("_key", left).alias("_cell"))
-                 .agg(*_events(), F.min("x").alias("lo"), F.max("x").alias("hi")))
-        before = cell.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = cell.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        prefix = F.expr(f"shiftright(_key, greatest(_bits - {done}, 0))")
+        cells = (rows.groupBy("feature", "_in", "_from", "_total", prefix.alias("_cell"))
+                 .agg(*_events(), F.min("_key").alias("lo"), F.max("_key").alias("hi")))
         cells = (cells.withColumn("_total", F.coalesce("_total", F.sum("n").over(cell)))
                  .withColumn("_from", F.col("_from") + F.coalesce(F.sum("n").over(before), F.lit(0)))
                  .withColumn("_raw", F.expr(f"_from * {max_prebins} div _total").cast("int"))
                  .withColumn("_open", F.expr(f"lo < hi AND (_from + n - 1) * {max_prebins} div _total > _raw")))
         cells = written(cells, "radix-cells")
-        done = cells.where("not _open").select("feature", "_raw", "n", "bad", "hi")
-        settled = done if settled is None else settled.unionByName(done)
+        part = cells.where("not _open").select("feature", "_raw", "n", "bad", "hi")
+        settled = part if settled is None else settled.unionByName(part)
         opened = cells.where("_open").select(F.col("feature").alias("_f"), F.col("_cell").alias("_in"), "_from", "_total")
-        if opened.isEmpty():
+        if opened.isEmpty():                                # a cell without bits left holds one value
             break
         # at most one cell per cut: max_prebins - 1 per feature
-        rows = long.join(F.broadcast(opened), (F.col("feature") == F.col("_f")) & (F.shiftright("_key", left) == F.col("_in")))
+        rows = long.join(F.broadcast(opened), (F.col("feature") == F.col("_f")) & (prefix == F.col("_in")))
+        done += NEXT_BITS
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:                                # at most max_prebins rows
         pdf = pdf.sort_values("_raw")
         pdf["pb"] = merge_small(pdf["n"].tolist(), min_share)
-        return pdf.groupby(["feature", "pb"], as_index=False).agg({"n": "sum", "bad": "sum", "hi": "max"})
+        out = pdf.groupby(["feature", "pb"], as_index=False).agg({"n": "sum", "bad": "sum", "hi": "max"})
+        return out.assign(hi=_double(out["hi"].to_numpy(np.int64)))
 
     raw = settled.groupBy("feature", "_raw").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("hi").alias("hi"))
-    return raw.groupBy("feature").applyInPandas(merge, COUNTS).select("feature", "pb", "n", "bad", "hi")
+    return raw.groupBy("feature").applyInPandas(merge, COUNTS)
 
 
 def tree_prebins(values: DataFrame, max_prebins: int = MAX_PREBINS, min_share: float = MIN_PREBIN_SHARE) -> DataFrame:
@@ -205,9 +235,9 @@ def prebin_counts(df: DataFrame, features: list[str], target: str, max_prebins:
         values = written(numeric_counts(df, features, target), "value-counts")
         present, gone = tree_prebins(values.where("x is not null"), max_prebins, min_share), values.where("x is null")
     else:
-        wide = written(numbers(df, features, target), "numbers")
+        wide = written(ordered_numbers(df, features, target), "numbers")
         present = share_prebins(wide, features, max_prebins, min_share)
-        gone = (wide.unpivot(["_y"], features, "feature", "x").where("x is null").groupBy("feature").agg(*_events()))
+        gone = wide.unpivot(["_y"], features, "feature", "x").where("x is null").groupBy("feature").agg(*_events())
     missing = gone.select("feature", F.lit(None).cast("int").alias("pb"), "n", "bad", F.lit(None).cast("double").alias("hi"))
     return present.unionByName(missing)
 

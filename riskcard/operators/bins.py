@@ -182,10 +182,11 @@ def apply_numeric_range_join(df: DataFrame, bins: list[NumericBins], id_col: str
                           ["_id", "_row"])
     wide = found.groupBy("_id", "_row").agg(
         (F.count(F.lit(1)) / len(bins)).cast("int").alias("_times"),
-        *[F.coalesce(F.max(F.when(F.col("feature") == f"_b{i}", F.col("label"))), F.lit(MISSING_LABEL)).alias(f"_l{i}")
-          for i in range(len(bins))])
+        *[F.max(F.when(F.col("feature") == f"_b{i}", F.col("bin_id"))).alias(f"_l{i}") for i in range(len(bins))])
+    label = lambda i, b: F.coalesce(F.get(F.array(*[F.lit(x) for x in b.labels]), F.col(f"_l{i}")),
+                                    F.lit(MISSING_LABEL)).alias(cat_name(b.feature))
     return (wide.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-            .select(F.col("_id").alias(id_col), *[F.col(f"_l{i}").alias(cat_name(c)) for i, c in enumerate(names)]))
+            .select(F.col("_id").alias(id_col), *[label(i, b) for i, b in enumerate(bins)]))
 
 
 def apply_categorical_join(df: DataFrame, bins: list[CategoricalBins], id_col: str,
