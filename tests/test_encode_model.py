@@ -230,3 +230,37 @@ def test_models_of_an_empty_or_one_class_table(spark):
     assert all(w == [0.0] for _, w in M.fit_models(spark.createDataFrame([], kind), ["a"], "y", [("l1", 1.0), ("l2", 1.0)]))
     one = M.fit_models(spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0)], kind), ["a"], "y", [("l1", 0.1), ("l2", 0.1)], max_iter=20)
     assert all(b0 > 3 and np.isfinite(w).all() for b0, w in one)
+
+
+def test_passes_do_not_grow_with_the_rows(spark, monkeypatch):
+    """All levels of three features, which add up to the intercept: as many passes for large weights as for
+    small ones, and the optimality conditions hold relative to the sums."""
+    rng = np.random.default_rng(13)
+    x = np.hstack([np.eye(k, dtype=int)[rng.integers(0, k, 500)] for k in (5, 4, 3)])
+    y = (rng.random(500) < 1 / (1 + np.exp(0.5 - x @ rng.normal(0, 0.7, 12)))).astype(int)
+    cols = [f"c{k}" for k in range(12)]
+    summed, passes = M._summed_over, []
+    monkeypatch.setattr(M, "_summed_over", lambda *a: passes.append(1) or summed(*a))
+    used = []
+    for weight in (1.0, 20_000.0):
+        df = spark.createDataFrame([(*map(int, r), int(t), weight) for r, t in zip(x, y)],
+                                   ", ".join(f"{c} int" for c in cols) + ", y int, w double")
+        passes.clear()
+        models = M.fit_models(df, cols, "y", [("l1", c) for c in M.C_VALUES])
+        used.append(len(passes))
+        for c, (b0, beta) in zip(M.C_VALUES, models):
+            b = np.array(beta)
+            g = x.T @ ((1 / (1 + np.exp(-(b0 + x @ b))) - y) * weight * c)
+            assert all(abs(v + np.sign(u)) < 1e-5 if u else abs(v) <= 1 + 1e-5 for v, u in zip(g, b))
+    assert max(used) <= 10
+
+
+def test_lasso_step_is_exact_where_coordinates_depend_on_each_other():
+    """A quadratic model of 10^6 rows with a one-hot set: solved to rounding in a few sweeps."""
+    rng = np.random.default_rng(14)
+    x = np.hstack([np.ones((300, 1)), np.eye(6)[rng.integers(0, 6, 300)], np.eye(5)[rng.integers(0, 5, 300)]])
+    curve = (x.T @ (x * rng.uniform(500, 1_000, (300, 1))))[None]
+    grad = (x.T @ rng.normal(0, 500, 300))[None]
+    new = M._lasso_steps(np.zeros((1, 12)), grad, curve, sweeps=50)
+    left = grad + np.einsum("kij,kj->ki", curve, new)
+    assert M._violation(new, left, np.array([True]))[0] < 1e-8
