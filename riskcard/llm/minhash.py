@@ -13,16 +13,16 @@ leaders first, one for each of its parts by hash: the node that meets most other
 buckets, for a group of edited copies one of the least edited, which links with most of them.  A bucket whose nodes are then in one component is
 done; in the others the leaders go and the next round takes more of them, until no bucket holds two
 components that were not compared.  A tight group of n costs about n comparisons, never all pairs,
-and no bucket is ever gathered.  Two texts of similarity 0.8 share a bucket with a chance of 99.8%.
-A bucket of more than CROWD nodes that is still mixed after the first round holds many texts that
-are alike, but less than SIMILARITY; its nodes are compared where a second band agrees as well,
-which two texts of similarity 0.8 have with a chance of 98.6% (0.85: 99.9%).
+and no bucket is ever gathered: one of more than CROWD nodes is dealt over several tasks.  No bucket is
+cut.  Two texts of similarity 0.8 share a bucket with a chance of 99.8%.
 
-*Order of comparisons.*  After the first round a pair is made in one bucket only, that of the first band
-(in buckets dealt again: the first two bands) in which both agree.  Before two texts are compared exactly, their sketches are: BITS bits of every
-minimum.  Pairs whose sketches agree in fewer places than similarity SIMILARITY explains (by DOUBT
-standard deviations, a chance of 0.1%) are left out, so most texts that are alike but below SIMILARITY
-cost a few machine words and not two texts.
+*Order of comparisons.*  After the first round a pair is made in one bucket only, that of the first band in
+which both agree.  Before two texts are compared exactly, their sizes and parities are: every shingle of a set
+turns one of PARITY bits, so the bits in which two sets differ are at most the shingles that only one
+of them has, and SIMILARITY bounds these.  A pair beyond that bound is no link, for certain; what is left
+of texts of up to 1,500 words are mostly links.  Of those, pairs whose sketches (BITS bits of every minimum)
+agree in as many places as similarity SIMILARITY explains (less DOUBT standard deviations) are compared
+first; the others where their texts are still in different components.
 
 *Edited texts.*  The second half of a text is replaced by the beginning of the next document, in
 descending order of doc_id.  Ranges of ids are dealt to tasks by an id computed from the edges (so a
@@ -55,7 +55,9 @@ PERMUTATIONS = 128
 BANDS, ROWS = 21, 6
 BLOCK = 1 << 15          # shingles hashed at a time
 LEADERS = 64             # parts of a bucket grow by this factor a round
-CROWD = 32               # nodes of a bucket that is dealt again on a second band
+CROWD = 4096             # nodes of a bucket that one task compares with its leaders
+PARITY = 1024            # bits of a set that its shingles turn
+CELLS = 26               # at most 2**CELLS bits tell which texts cross the shuffle for exact comparison
 BITS = 4                 # bits of every minimum in a sketch
 DOUBT = 3                # standard deviations by which a sketch may fall short
 
@@ -155,10 +157,30 @@ def alike(a: str, b: str, similarity: float):
     return differ <= PERMUTATIONS - fewest(similarity)
 
 
-def first_shared(a: str, b: str, last, count):
-    """Condition on two columns of band marks: up to band ``last`` they agree in ``count`` bands."""
-    same = [((F.col(a)[k] == F.col(b)[k]) & (last >= k)).cast("int") for k in range(BANDS)]
-    return sum(same[1:], same[0]) == count
+def parities(sets: list) -> np.ndarray:
+    """PARITY bits of each set of hashes, packed: bit b is set if an odd number of hashes fall on it."""
+    out = np.zeros((len(sets), PARITY // 64), np.uint64)
+    for row, hashes in zip(out, sets):
+        at = W.mix(hashes) % np.uint64(PARITY)
+        np.bitwise_xor.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def possible(a: str, b: str, size_a: str, size_b: str, similarity: float):
+    """Condition on two columns of parities and two of set sizes: false only where the Jaccard similarity of
+    the sets is below ``similarity``."""
+    most = (F.col(size_a) + F.col(size_b)) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    bits = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)]
+    return (F.abs(F.col(size_a) - F.col(size_b)) <= most) & (sum(bits[1:], bits[0]) <= most)
+
+
+def first_shared(a: str, b: str, band):
+    """Condition on two columns of band marks: they agree in no band before ``band``."""
+    same = [(F.get(a, F.lit(k)) == F.get(b, F.lit(k))) & (band > k) for k in range(BANDS - 1)]
+    every = F.lit(False)
+    for x in same:
+        every = every | x
+    return ~every
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -167,25 +189,30 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (hash of the shingle set), bands and sketch of every document."""
+    """doc_id, text_key, node (hash of the shingle set), its size, bands, sketch and parities of every document."""
 
     def run(batches):
         for b in batches:
             data, offsets = strings(b.column(1))
-            nodes, found, small = [], [], []
+            nodes, sizes, found, small, odd = [], [], [], [], []
             for i, j in slices(offsets, W.CHUNK):
                 h, first = shingles(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                nodes += [int.from_bytes(hashlib.blake2b(np.unique(h[x:y]).tobytes(), digest_size=8).digest(),
-                                         "big", signed=True) for x, y in zip(first[:-1], first[1:])]
+                sets = [np.unique(h[x:y]) for x, y in zip(first[:-1], first[1:])]
+                nodes += [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True)
+                          for x in sets]
+                sizes += [len(x) for x in sets]
                 mins = minima(h, first)
                 found.append(bands(mins).view(np.int64))
                 small.append(sketch(mins))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.int64()),
-                                              _lists(found, len(b)), _lists(small, len(b))],
-                                             ["doc_id", "text_key", "node", "bands", "sketch"])
+                odd.append(parities(sets))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                 *(_lists(x, len(b)) for x in (found, small, odd))],
+                ["doc_id", "text_key", "node", "size", "bands", "sketch", "odd"])
 
     ready(docs.sparkSession)
-    return _docs(docs).mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>, sketch array<long>")
+    return _docs(docs).mapInArrow(run, "doc_id long, text_key long, node long, size long, bands array<long>, "
+                                       "sketch array<long>, odd array<long>")
 
 
 def _lists(parts: list, rows: int) -> pa.Array:
@@ -193,13 +220,17 @@ def _lists(parts: list, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (len(flat) // max(rows, 1)), pa.int32()), pa.array(flat))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, packed): texts compressed."""
+def _packed(docs: DataFrame, wanted: tuple | None = None) -> DataFrame:
+    """(doc_id, text_key, packed): texts compressed; with the ``_cells`` of some text_keys few others than theirs."""
 
     def run(batches):
         import zstandard
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for b in batches:
+            if wanted is not None:
+                cell = b.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - wanted[0])
+                held = wanted[1][(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))
+                b = b.filter(pa.array((held & np.uint64(1)) == 1))
             packed = [pack(t.encode()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())],
                                              ["doc_id", "text_key", "packed"])
@@ -207,6 +238,18 @@ def _packed(docs: DataFrame) -> DataFrame:
     return _docs(docs).mapInArrow(run, "doc_id long, text_key long, packed binary")
 
 
+def _cells(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """(b, bits): 2**b bits, about eight a row and at most 2**CELLS; those of the first b bits of every text_key
+    are set.  An exact join follows, so that beyond 2**CELLS more texts cross, never fewer."""
+    b = max(6, min(CELLS, (8 * keys.count()).bit_length()))
+    cell = keys.select(F.shiftrightunsigned("text_key", 64 - b).alias("cell"))
+    words = (cell.groupBy(F.expr("cell div 64").alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("bits")).toArrow())
+    bits = np.zeros(2**b // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return b, bits
+
+
 def unpacked(column) -> pa.Array:
     import zstandard
     unpack = zstandard.ZstdDecompressor().decompress
@@ -236,83 +279,74 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def classes(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): the class of every node of ``marks`` (a written table of ``prints``)."""
-    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key", "bands"))
-                                      .alias("row"))
     # bands of one row of each node; equal sets have equal bands
-    each = written(nodes.select("node", F.posexplode("row.bands").alias("band", "bucket")), "bands")
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    each = (marks.groupBy("node").agg(F.min("bands").alias("bands"))
+            .select("node", F.posexplode("bands").alias("band", "bucket")))
     # weight: the nodes that a node meets, over its (at most BANDS) buckets
-    members = written(each.join(written(shared, "shared-buckets"), "bucket").withColumn("need", F.lit(1))
+    members = written(each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("k > 1")
                       .withColumn("weight", F.sum("k").over(Window.partitionBy("node"))).drop("k"), "members")
-    wanted = members.select("node").distinct()
+    wanted = written(members.select("node").distinct(), "wanted")
     if wanted.isEmpty():
         return marks.select("node", F.col("node").alias("label")).distinct()
-    # one text of each node that shares a bucket
-    texts = written(_packed(docs).join(marks.join(wanted, "node", "left_semi").select("doc_id", "text_key", "node"),
-                                       ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "packed"),
-                    "node-texts")
-    # 32 bits of every band, and the sketch
+    # 32 bits of every band, the parities and the sketch of each node that shares a bucket
     known = written(marks.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct(F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"), "sketch"))
-        .alias("m")).select("node", "m.bands", "m.sketch"), "node-sketches")
+        F.min(F.struct("text_key", "size", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"),
+                       "odd", "sketch")).alias("m")).select("node", "m.*"), "known")
+    # one text of each
+    keys = known.select("text_key", "node")
+    texts = written(_packed(docs, _cells(keys)).select("text_key", "packed").dropDuplicates(["text_key"])
+                    .join(keys, "text_key").select("node", "packed"), "node-texts")
+    known = known.drop("text_key")
     labels, parts = None, 1
     while True:
-        live = members
-        if labels is not None:
-            live = live.join(labels, "node", "left")
-        live = live.select("bucket", "band", "need", "weight", "node", (F.coalesce("root", "node") if labels is not None
-                                                      else F.col("node")).alias("label"))
+        live = _labelled(members, labels, "node", "label").select("bucket", "band", "weight", "node", "label")
         mixed = written(live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                    F.count(F.lit(1)).alias("k")).where("lo < hi")
-                        .select("bucket", "k"), "mixed-buckets")
-        live = written(live.join(mixed, "bucket"), "live")
+                        .select("bucket", F.ceil(F.col("k") / CROWD).cast("int").alias("tasks")), "mixed-buckets")
+        live = written(live.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))), "live")
         done = [members, mixed, live]
         if live.isEmpty():
             break
-        if parts == LEADERS:
-            live = written(_dealt_again(live, each), "live")
-            done.append(live)
-        live = live.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-        leaders = written(live.groupBy("bucket", "part").agg(F.max(F.struct("weight", "node", "label")).alias("m"))
-                          .select("bucket", "part", F.col("m.node").alias("a"), F.col("m.label").alias("la")), "leaders")
+        leaders = written(live.groupBy("bucket", "part").agg(F.max(F.struct("weight", "node", "label", "tasks")).alias("m"))
+                          .select("bucket", "part", F.col("m.node").alias("a"), F.col("m.label").alias("la"),
+                                  F.col("m.tasks").alias("tasks")), "leaders")
         # each row with the leader of its own part
         live = written(live.join(leaders.select("bucket", "part", F.col("a").alias("own")), ["bucket", "part"])
                        .drop("part"), "led")
         done.append(live)
-        new = (F.col("label") != F.col("la")) & (F.lit(True) if parts == 1 else
-                                                 first_shared("bands", "lead_bands", F.col("band"), F.col("need")))
-        new &= (F.col("node") != F.col("own")) | (F.col("a") < F.col("node"))       # two leaders meet once
-        lead = leaders.drop("part").join(known.toDF("a", "lead_bands", "lead_sketch"), "a")
-        pairs = written(live.join(known, "node").join(lead, "bucket")
-                        .where(new & alike("sketch", "lead_sketch", similarity))
-                        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            new = written(similar(pairs, texts, similarity), "links")
+        new = (F.col("label") != F.col("la")) & ((F.col("node") != F.col("own")) | (F.col("a") < F.col("node")))
+        new &= possible("odd", "lead_odd", "size", "lead_size", similarity)     # two leaders meet once
+        if parts > 1:
+            new &= first_shared("bands", "lead_bands", F.col("band"))
+        lead = (leaders.select("bucket", "a", "la", F.explode(F.sequence(F.lit(1), "tasks")).alias("task"))
+                .join(known.toDF("a", "lead_size", "lead_bands", "lead_odd", "lead_sketch"), "a"))
+        dealt = live.withColumn("task", 1 + F.pmod(F.xxhash64("node", F.lit(1)), "tasks").cast("int")).drop("tasks")
+        pairs = written(dealt.join(known, "node").join(lead, ["bucket", "task"]).where(new)
+                        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"),
+                                alike("sketch", "lead_sketch", similarity).alias("likely")).distinct(), "pairs")
+        for likely in (True, False):
+            some = pairs.where(F.col("likely") == likely).select("a", "b")
+            if not likely and labels is not None:
+                some = _labelled(_labelled(some, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+            if some.isEmpty():
+                continue
+            new = written(similar(some, texts, similarity), "links")
             if not new.isEmpty():
                 # what is known of the components stands for the links before
                 links = new if labels is None else new.unionByName(labels.toDF("a", "b"))
                 labels = written(components(links), "labels")
-        members = written(live.where("node <> own").select("bucket", "band", "need", "weight", "node"), "members")
+        members = written(live.where("node <> own").select("bucket", "band", "weight", "node"), "members")
         forget(*done, leaders, pairs)
         parts *= LEADERS
-    named = marks.select("node").distinct()
+    return _labelled(marks.select("node").distinct(), labels, "node", "label")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str) -> DataFrame:
+    """``rows`` with the class of their ``node`` as far as it is known: itself where no link is."""
     if labels is None:
-        return named.select("node", F.col("node").alias("label"))
-    return named.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-
-
-def _dealt_again(live: DataFrame, each: DataFrame) -> DataFrame:
-    """Members of crowded buckets go to one bucket per later band that they share with another member there;
-    the others stay."""
-    crowd = live.where(F.col("k") > CROWD)
-    later = each.select(F.col("node").alias("n"), F.col("band").alias("later"), F.col("bucket").alias("second"))
-    dealt = written(crowd.join(later, (F.col("node") == F.col("n")) & (F.col("later") > F.col("band")))
-                    .select(F.xxhash64("bucket", "second").alias("bucket"), F.col("later").alias("band"),
-                            F.lit(2).alias("need"), "weight", "node", "label"),
-                    "dealt-again")
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return (live.where(F.col("k") <= CROWD).select("bucket", "band", "need", "weight", "node", "label", "k")
-            .unionByName(dealt.join(written(shared, "shared-again"), "bucket")))
+        return rows.withColumn(label, F.col(node))
+    return (rows.join(labels.toDF(node, "root_"), node, "left").withColumn(label, F.coalesce("root_", node))
+            .drop("root_"))
 
 
 def class_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
