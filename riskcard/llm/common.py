@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskcard.session import scratch_path, ship_code
 
+FEW = 16
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -40,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in at most one task for ``each`` of so many rows, but FEW tasks: a table of few rows that comes out of
+    many shuffle partitions is not written as as many files.  More rows get more tasks, all of them in the end."""
+    return df.coalesce(max(FEW, -(-rows // each)))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete ``written`` tables that only tables written since were made from."""
     for t in tables:

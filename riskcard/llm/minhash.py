@@ -8,10 +8,11 @@ Jaccard similarity of the shingle sets.
 
 *Classes.*  Documents whose shingle sets have a Jaccard similarity of SIMILARITY or more link;
 components of links are classes.  Equal sets are one node.  BANDS groups of ROWS minima are joined:
-nodes that agree in one share a bucket.  In every bucket all nodes are compared, exactly, with a few
-leaders first, one for each of its parts by hash: the node that meets most others over all its
-buckets, for a group of edited copies one of the least edited, which links with most of them.  A bucket whose nodes are then in one component is
-done; in the others the leaders go and the next round takes more of them, until no bucket holds two
+nodes that agree in one share a bucket.  In every bucket all nodes are compared, exactly, with a leader
+first: the node that meets most others over all its buckets, for a group of edited copies one of the
+least edited, which links with most of them.  A bucket whose nodes are then in one component is done; in
+the others the leader goes and the next round takes LEADERS of them by hash, then LEADERS times as many, all
+where a bucket has no more than the round takes, until no bucket holds two
 components that were not compared.  A tight group of n costs about n comparisons, never all pairs,
 and no bucket is ever gathered: one of more than CROWD nodes is dealt over several tasks.  No bucket is
 cut.  Two texts of similarity 0.8 share a bucket with a chance of 99.8%.
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskcard.llm import words as W
-from riskcard.llm.common import forget, ready, slices, strings, written
+from riskcard.llm.common import few, forget, ready, slices, strings, written
 from riskcard.llm.graph import components
 
 SHINGLE = 5
@@ -54,12 +55,13 @@ SIMILARITY = 0.8
 PERMUTATIONS = 128
 BANDS, ROWS = 21, 6
 BLOCK = 1 << 15          # shingles hashed at a time
-LEADERS = 64             # parts of a bucket grow by this factor a round
+LEADERS = 64             # leaders of a bucket grow by this factor a round
 CROWD = 4096             # nodes of a bucket that one task compares with its leaders
 PARITY = 1024            # bits of a set that its shingles turn
 CELLS = 26               # at most 2**CELLS bits tell which texts cross the shuffle for exact comparison
 BITS = 4                 # bits of every minimum in a sketch
 DOUBT = 3                # standard deviations by which a sketch may fall short
+TEXTS = 2000             # texts, or pairs of texts, of a task at least
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240301))
 _A = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -282,65 +284,89 @@ def classes(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -
     # bands of one row of each node; equal sets have equal bands
     each = (marks.groupBy("node").agg(F.min("bands").alias("bands"))
             .select("node", F.posexplode("bands").alias("band", "bucket")))
-    # weight: the nodes that a node meets, over its (at most BANDS) buckets
-    members = written(each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("k > 1")
-                      .withColumn("weight", F.sum("k").over(Window.partitionBy("node"))).drop("k"), "members")
-    wanted = written(members.select("node").distinct(), "wanted")
-    if wanted.isEmpty():
+    # k: nodes of the bucket; weight: the nodes that a node meets, over its (at most BANDS) buckets
+    # at most so many rows has the table that is made next
+    rows = marks.count()
+    members = written(few(each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("k > 1")
+                      .withColumn("weight", F.sum("k").over(Window.partitionBy("node"))), BANDS * rows), "members")
+    if members.isEmpty():
         return marks.select("node", F.col("node").alias("label")).distinct()
     # 32 bits of every band, the parities and the sketch of each node that shares a bucket
-    known = written(marks.join(wanted, "node", "left_semi").groupBy("node").agg(
+    known = written(few(marks.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
         F.min(F.struct("text_key", "size", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"),
-                       "odd", "sketch")).alias("m")).select("node", "m.*"), "known")
+                       "odd", "sketch")).alias("m")).select("node", "m.*"), rows, 5 * TEXTS), "known")
+    nodes, rows = known.count(), members.count()
     # one text of each
     keys = known.select("text_key", "node")
-    texts = written(_packed(docs, _cells(keys)).select("text_key", "packed").dropDuplicates(["text_key"])
-                    .join(keys, "text_key").select("node", "packed"), "node-texts")
+    texts = written(few(_packed(docs, _cells(keys)).select("text_key", "packed").dropDuplicates(["text_key"])
+                        .join(keys, "text_key").select("node", "packed"), nodes, TEXTS), "node-texts")
     known = known.drop("text_key")
-    labels, parts = None, 1
+    lead_known = known.toDF("a", "lead_size", "lead_bands", "lead_odd", "lead_sketch")
+    close = possible("odd", "lead_odd", "size", "lead_size", similarity)
+    likely = alike("sketch", "lead_sketch", similarity).alias("likely")
+
+    # the first round: every node with the leader of each of its buckets
+    first = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "k")).alias("m"))
+    tasks = F.ceil(F.col("m.k") / CROWD).cast("int")
+    lead = first.select("bucket", F.col("m.node").alias("a"), F.explode(F.sequence(F.lit(1), tasks)).alias("task"))
+    dealt = members.withColumn("task", _task(F.ceil(F.col("k") / CROWD)))
+    met = dealt.join(lead, ["bucket", "task"]).where("a <> node").select(F.least("a", "node").alias("a"),
+                                                                      F.greatest("a", "node").alias("node")).distinct()
+    pairs = written(few(met.join(lead_known, "a").join(known, "node").where(close)
+                        .select("a", F.col("node").alias("b"), likely), rows), "pairs")
+    labels, parts = _linked(pairs, texts, None, similarity), LEADERS
+    forget(pairs)
     while True:
         live = _labelled(members, labels, "node", "label").select("bucket", "band", "weight", "node", "label")
-        mixed = written(live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                                   F.count(F.lit(1)).alias("k")).where("lo < hi")
-                        .select("bucket", F.ceil(F.col("k") / CROWD).cast("int").alias("tasks")), "mixed-buckets")
-        live = written(live.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))), "live")
+        mixed = live.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                           F.count(F.lit(1)).alias("k"), F.max(F.struct("weight", "node")).alias("m"))
+        mixed = written(few(mixed.where("lo < hi").select("bucket", "k", F.col("m.node").alias("led")), rows), "mixed-buckets")
+        live = live.join(mixed, "bucket")
+        if parts == LEADERS:                     # the leaders of the first round have met all
+            live = live.where("node <> led")
+        # every node leads where the round has leaders enough, else a share of them by hash
+        leads = (F.col("k") <= parts) | (F.pmod(F.xxhash64("node", F.lit(parts)), "k") < parts)
+        live = written(few(live.select("bucket", "band", "weight", "node", "label",
+                                   F.ceil(F.col("k") / CROWD).cast("int").alias("tasks"), leads.alias("leads")), rows), "live")
         done = [members, mixed, live]
         if live.isEmpty():
             break
-        leaders = written(live.groupBy("bucket", "part").agg(F.max(F.struct("weight", "node", "label", "tasks")).alias("m"))
-                          .select("bucket", "part", F.col("m.node").alias("a"), F.col("m.label").alias("la"),
-                                  F.col("m.tasks").alias("tasks")), "leaders")
-        # each row with the leader of its own part
-        live = written(live.join(leaders.select("bucket", "part", F.col("a").alias("own")), ["bucket", "part"])
-                       .drop("part"), "led")
-        done.append(live)
-        new = (F.col("label") != F.col("la")) & ((F.col("node") != F.col("own")) | (F.col("a") < F.col("node")))
-        new &= possible("odd", "lead_odd", "size", "lead_size", similarity)     # two leaders meet once
-        if parts > 1:
-            new &= first_shared("bands", "lead_bands", F.col("band"))
-        lead = (leaders.select("bucket", "a", "la", F.explode(F.sequence(F.lit(1), "tasks")).alias("task"))
-                .join(known.toDF("a", "lead_size", "lead_bands", "lead_odd", "lead_sketch"), "a"))
-        dealt = live.withColumn("task", 1 + F.pmod(F.xxhash64("node", F.lit(1)), "tasks").cast("int")).drop("tasks")
-        pairs = written(dealt.join(known, "node").join(lead, ["bucket", "task"]).where(new)
-                        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"),
-                                alike("sketch", "lead_sketch", similarity).alias("likely")).distinct(), "pairs")
-        for likely in (True, False):
-            some = pairs.where(F.col("likely") == likely).select("a", "b")
-            if not likely and labels is not None:
-                some = _labelled(_labelled(some, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-            if some.isEmpty():
-                continue
-            new = written(similar(some, texts, similarity), "links")
-            if not new.isEmpty():
-                # what is known of the components stands for the links before
-                links = new if labels is None else new.unionByName(labels.toDF("a", "b"))
-                labels = written(components(links), "labels")
-        members = written(live.where("node <> own").select("bucket", "band", "weight", "node"), "members")
-        forget(*done, leaders, pairs)
+        new = (F.col("label") != F.col("la")) & (~F.col("leads") | (F.col("a") < F.col("node"))) & close  # two leaders meet once
+        new &= first_shared("bands", "lead_bands", F.col("band"))
+        lead = (live.where("leads").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"),
+                                           F.explode(F.sequence(F.lit(1), "tasks")).alias("task")).join(lead_known, "a"))
+        dealt = live.withColumn("task", _task(F.col("tasks"))).drop("tasks")
+        pairs = written(few(dealt.join(known, "node").join(lead, ["bucket", "task"]).where(new)
+                            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), likely).distinct(),
+                            rows), "pairs")
+        labels = _linked(pairs, texts, labels, similarity)
+        members = written(live.where("not leads").select("bucket", "band", "weight", "node"), "members")
+        forget(*done, pairs)
         parts *= LEADERS
     return _labelled(marks.select("node").distinct(), labels, "node", "label")
 
 
+def _task(tasks):
+    """The one of a bucket's tasks that a node is compared in."""
+    return 1 + F.pmod(F.xxhash64("node", F.lit(1)), tasks).cast("int")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame | None:
+    """``labels`` with the components that the links among ``pairs`` join, likely ones first."""
+    for likely in (True, False):
+        some = pairs.where(F.col("likely") == likely).select("a", "b")
+        if not likely and labels is not None:
+            some = _labelled(_labelled(some, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+        if some.isEmpty():
+            continue
+        new = written(few(similar(some, texts, similarity), some.count(), TEXTS), "links")
+        if not new.isEmpty():
+            # what is known of the components stands for the links before
+            links = new if labels is None else new.unionByName(labels.toDF("a", "b"))
+            labels = components(links)
+    return labels
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str) -> DataFrame:
     """``rows`` with the class of their ``node`` as far as it is known: itself where no link is."""
     if labels is None:
@@ -352,10 +378,11 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, label: str)
 def class_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key and class_id (smallest doc_id of the class) of every distinct (doc_id, text)."""
     marks = written(prints(docs), "prints")
-    labelled = written(classes(docs, marks, similarity), "classes")
+    n = marks.count()
+    labelled = written(few(classes(docs, marks, similarity), n), "classes")
     rows = marks.join(labelled, "node").select("doc_id", "text_key", "label")
-    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least-ids")
-    return rows.join(least, "label").select("doc_id", "text_key", "class_id").distinct()
+    least = written(few(rows.groupBy("label").agg(F.min("doc_id").alias("class_id")), n), "least-ids")
+    return few(rows.join(least, "label").select("doc_id", "text_key", "class_id").distinct(), n)
 
 
 def _ranges(rows: DataFrame, spark: SparkSession) -> np.ndarray:

@@ -202,3 +202,56 @@ def test_parities_never_exclude_a_link(spark):
     got = df.select("m", "j", M.possible("x", "y", "m", "n", 0.8).alias("p")).collect()
     assert all(r.p for r in got if r.j >= 0.8) and sum(r.j >= 0.8 for r in got) > 15
     assert not any(r.p for r in got if r.j < 0.5 and 40 <= r.m <= 900)
+
+
+def loose(n, changed, seed):
+    """Copies of one text of 100 words with some words changed."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(100)]
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for at in rnd.sample(range(100), changed):
+            copy[at] = f"v{k}-{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_two_rounds_and_few_files_for_small_tables(spark, monkeypatch):
+    """Buckets of up to LEADERS nodes are settled by the second round, and tables of few rows are not written as
+    one file for each of many shuffle partitions."""
+    texts = loose(45, 4, 11) + near_copies(30)
+    rows = [(500 - k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    tables, write = [], M.written
+
+    def noted(df, name):
+        out = write(df, name)
+        tables.append((name, len(out.inputFiles())))
+        return out
+    monkeypatch.setattr(M, "written", noted)
+    monkeypatch.setitem(M.components.__globals__, "written", noted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.class_id for r in M.class_ids(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[d] for d, _ in rows] == class_of(rows)
+    assert sum(name == "pairs" for name, _ in tables) <= 2
+    assert all(files <= 16 for name, files in tables if name not in ("prints", "edges")), tables
+
+
+@pytest.mark.parametrize("leaders", [2, 5])
+def test_many_rounds_leave_no_link_out(spark, monkeypatch, leaders):
+    """Buckets of more nodes than a round has leaders: those by hash, round after round, meet every other node."""
+    monkeypatch.setattr(M, "LEADERS", leaders)
+    monkeypatch.setattr(M, "CROWD", 7)
+    texts = loose(30, 4, 12)
+    texts += [t + " end" for t in texts[:8]] + near_copies(12)
+    rows = [(500 - k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in M.class_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == class_of(rows)
